@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from routeledger.llm import lines, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
@@ -13,6 +15,35 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing}
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.CONTRACT_RULES)
 
-ORACLES: dict[str, str | None] = {}
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines, as a digest."""
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every row whose vec_id is divisible by 100."""
+    vectors = search.usable(table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, vectors.where(search.every(100)))
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_url_filters": op3_url_filters,
+    "op4_toxicity": op4_toxicity,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_exact_top_k": op10_exact_top_k,
+}
+
+ORACLES: dict[str, str | None] = {"op3_url_filters": urls.ORACLE, "op7_line_dedup": lines.ORACLE}
