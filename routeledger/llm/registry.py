@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.llm import lines, search, toxicity, urls
+from routeledger.llm import lines, minhash, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
@@ -27,6 +27,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of alike texts of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines, as a digest."""
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
@@ -42,6 +47,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filters": op3_url_filters,
     "op4_toxicity": op4_toxicity,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }

@@ -55,3 +55,43 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = (out * GOLDEN) ^ mix(h[i : i + n] + np.uint64(i))
     return mix(out)
+
+
+#: Characters of texts whose words are hashed together.
+CHUNK_CHARS = 1 << 20
+
+
+def chunked(texts: list[str | None], most: int = CHUNK_CHARS) -> list[tuple[int, int]]:
+    """Ranges of texts of about `most` characters, of one text at least."""
+    out, at, size = [], 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > at and size + n > most:
+            out.append((at, i))
+            at, size = i, 0
+        size += n
+    return [*out, (at, len(texts))] if len(texts) > at else out
+
+
+def word_hashes(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of some texts, one after another, and where each text's begin (one more entry
+    than texts). A null text has no words."""
+    words: list[str] = []
+    starts = np.zeros(len(texts) + 1, np.int64)
+    for i, text in enumerate(texts):
+        if text:
+            words += text.lower().split()
+        starts[i + 1] = len(words)
+    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words)), starts
+
+
+def lower_memo() -> Memo:
+    """Hashes of words that are in lower case already."""
+    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+
+
+def runs(starts: np.ndarray, k: int) -> np.ndarray:
+    """Whether a run of k words that begins at each word ends in the same text."""
+    n = int(starts[-1])
+    end = np.repeat(starts[1:], np.diff(starts))
+    return np.arange(n) + k <= end
