@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.llm import lines, minhash, search, toxicity, urls
+from routeledger.llm import lines, minhash, passages, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that others repeat."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -44,6 +49,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filters": op3_url_filters,
     "op4_toxicity": op4_toxicity,
