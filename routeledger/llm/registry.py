@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.llm import lines, minhash, passages, search, toxicity, urls
+from routeledger.llm import decontaminate, lines, minhash, passages, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
@@ -42,6 +42,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every row whose vec_id is divisible by 100."""
     vectors = search.usable(table(spark, sf_dir, "embeddings"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
