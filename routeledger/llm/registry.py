@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.llm import decontaminate, lines, minhash, passages, search, toxicity, urls
+from routeledger.llm import decontaminate, lines, minhash, passages, pii, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
@@ -47,6 +47,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every row whose vec_id is divisible by 100."""
     vectors = search.usable(table(spark, sf_dir, "embeddings"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_pii": op9_pii,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
