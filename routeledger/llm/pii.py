@@ -89,9 +89,9 @@ def listed(spans: Column) -> Column:
 
 
 def numbered_words(text: Column) -> Column:
-    """Words with a digit that are long enough: match, start and `context`, the two words before it or an empty string."""
+    """Words with a digit that are long enough: match, start and `context`, the two words within 200 characters before it or an empty string."""
     found = F.filter(located(text, CANDIDATE), lambda x: F.length(x["match"]) >= LEAST_LENGTH)
-    context = lambda x: F.lower(F.regexp_extract(x["before"], r"(\S+\s+\S+)\s+$", 1))
+    context = lambda x: F.lower(F.regexp_extract(F.substring(x["before"], -200, 200), r"(\S+\s+\S+)\s+$", 1))
     near = F.transform(found, lambda x: F.struct(x["match"].alias("match"), x["start"].cast("long").alias("start"), context(x).alias("context")))
     return F.when(text.rlike("[0-9]"), near)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.llm import decontaminate, lines, minhash, passages, pii, search, toxicity, urls
+from routeledger.llm import chat, decontaminate, lines, minhash, passages, pii, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
@@ -32,6 +32,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the conversations in order, with linked tool calls, as canonical JSON."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"), chat.TOOLS)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of alike texts of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filters": op3_url_filters,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -70,4 +76,4 @@ QUERIES = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLES: dict[str, str | None] = {"op3_url_filters": urls.ORACLE, "op7_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str | None] = {"op5_chat_formatting": chat.ORACLE, "op3_url_filters": urls.ORACLE, "op7_line_dedup": lines.ORACLE}
