@@ -32,6 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 #: Members of a block in which signatures are compared.
 BLOCK = 256
+#: Components of the signatures of members that no link reaches.
+LONG = 768
 #: Standard errors below the threshold down to which an estimated similarity is verified.
 MARGIN = 3.0
 UNIT = 1.0 / (1 << 53)
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = cut(verified(pairs, texts, similarity).select("a", "b"))
     for best in (4, None):
         classes = components(links)
-        found = cut(_left_over(members, leaders, classes, signed, bands, similarity, best).join(pairs, ["a", "b"], "left_anti"))
+        found = cut(_left_over(members, leaders, classes, signed, texts, similarity, best).join(pairs, ["a", "b"], "left_anti"))
         links = cut(links.union(verified(found, texts, similarity).select("a", "b")))
         pairs = cut(pairs.union(found))
     classes = components(links).toDF("node", "class")
@@ -226,22 +228,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
 
 
-def _left_over(members, leaders, classes, signed, bands, similarity, best) -> DataFrame:
+def _left_over(members, leaders, classes, signed, texts, similarity, best) -> DataFrame:
     """Pairs (a, b) of one bucket that are in different classes and may be alike, by their signatures.
 
-    In a bucket with several classes, members in other classes than the leader's are held against all members. `best`:
-    so many of the likeliest in a block for each member; None: all.
+    In a bucket with several classes, members in other classes than the leader's are held against all members; a pair is
+    taken in the first bucket that it shares. `best`: so many of the likeliest in a block for each member; None: all, by
+    signatures of LONG components, which tell pairs below the threshold better.
     """
     named = lambda name: classes.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
     at = members.join(named("id"), "id", "left").select("key", "id", F.coalesce("id_class", "id").alias("class"))
     lead = leaders.join(named("leader"), "leader", "left").select("key", F.coalesce("leader_class", "leader").alias("lead"))
     split = at.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key", "n")
     at = cut(at.join(split, "key").join(lead, "key"))
-    sig = signed.select("id", "sig")
+    sig = signed.select("id", "keys", "sig")
+    if best is None:
+        open_ids = at.select("id").distinct()
+        longer = signatures(texts.join(open_ids, "id", "left_semi"), LONG // ROWS, ROWS).select("id", "sig")
+        sig = cut(sig.drop("sig").join(longer, "id"))
 
     def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).alias("block")
-        dealt = rows.join(sig, "id").select("key", block, F.struct("id", "class", "sig").alias("x"))
+        dealt = rows.join(sig, "id").select("key", block, F.struct("id", "class", "keys", "sig").alias("x"))
         return dealt.groupBy("key", "block").agg(F.collect_list("x").alias(name)).drop("block")
 
     rest = at.where("class <> lead")
@@ -251,25 +258,25 @@ def _left_over(members, leaders, classes, signed, bands, similarity, best) -> Da
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
-            for some, everyone in zip(batch["some"], batch["all"], strict=True):
-                x, y = _columns(some), _columns(everyone)
-                width = x[2].shape[1]
-                least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / width)
-                for i in range(len(x[0])):
-                    agree = (y[2] == x[2][i]).mean(axis=1)
-                    likely = np.nonzero((agree >= least) & (y[1] != x[1][i]))[0]
+            for here, some, everyone in zip(batch["key"], batch["some"], batch["all"], strict=True):
+                (ids, of, keys, sigs), (their_ids, their, their_keys, their_sigs) = _columns(some), _columns(everyone)
+                least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / sigs.shape[1])
+                for i in range(len(ids)):
+                    agree = (their_sigs == sigs[i]).mean(axis=1)
+                    likely = np.nonzero((agree >= least) & (their != of[i]))[0]
                     if best is not None and len(likely) > best:
                         likely = likely[np.argsort(-agree[likely], kind="stable")[:best]]
-                    a, b = np.minimum(x[0][i], y[0][likely]), np.maximum(x[0][i], y[0][likely])
-                    out.append(pd.DataFrame({"a": a, "b": b}))
+                    elif best is None:
+                        likely = likely[keys[i][(their_keys[likely] == keys[i]).argmax(axis=1)] == here]
+                    out.append(pd.DataFrame({"a": np.minimum(ids[i], their_ids[likely]), "b": np.maximum(ids[i], their_ids[likely])}))
             yield pd.concat(out).drop_duplicates()
 
-    return met.select("some", "all").mapInPandas(compare, "a long, b long").distinct()
+    return met.select("key", "some", "all").mapInPandas(compare, "a long, b long").distinct()
 
 
-def _columns(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _columns(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return (
-        np.array([r["id"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64),
+        np.array([r["id"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), np.array([r["keys"] for r in rows], np.int64),
         np.frombuffer(b"".join(bytes(r["sig"]) for r in rows), np.uint8).reshape(len(rows), -1),
     )
 
