@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The default configuration.
 PREFIXES = ("run_", "rfnd_", "ord-", "customer-", "cust_", "session_", "sess-", "req_", "trace-")
@@ -46,7 +47,7 @@ class Config:
 DEFAULT = Config()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFC")
 

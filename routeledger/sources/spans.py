@@ -18,10 +18,11 @@ FIELDS = [
     ("gen_ai.tool.name", "tool", "string"), ("gen_ai.operation.name", "operation", "string"),
     ("gen_ai.usage.input_tokens", "input_tokens", "bigint"), ("gen_ai.usage.output_tokens", "output_tokens", "bigint"),
 ]
+TYPES = {"string": T.StringType(), "bigint": T.LongType(), "boolean": T.BooleanType()}
 COLUMN_OF = {name: column for name, column, _ in FIELDS}
 #: Attributes beyond the declared fields, with the type before the value: `string:a`, `number:1`, `boolean:true`.
 EXTRA = T.StructField("extra", T.MapType(T.StringType(), T.StringType()))
-SCHEMA = T.StructType([*(T.StructField(c, T._parse_datatype_string(k)) for _, c, k in FIELDS), EXTRA])
+SCHEMA = T.StructType([*(T.StructField(c, TYPES[k]) for _, c, k in FIELDS), EXTRA])
 
 
 def tag(name: str, column: Column) -> Column:
