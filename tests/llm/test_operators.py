@@ -92,6 +92,36 @@ def test_passages(spark):
     assert passages.repeated_passages(edge_docs(spark)).count() == 0
 
 
+def agreeing(a, b, least=40, agree=0.8):
+    """Whether some diagonal of two texts has `least` words or more of which `agree` are equal."""
+    for d in range(-len(b) + least, len(a) - least + 1):
+        same = [x == y for x, y in zip(a[max(0, d) :], b[max(0, -d) :], strict=False)]
+        if sum(same) < agree * least:
+            continue
+        total = np.concatenate([[0.0], np.cumsum(np.array(same) - agree)])
+        low = np.minimum.accumulate(total)
+        if (total[least:] - low[:-least] >= -1e-9).any():
+            return True
+    return False
+
+
+def test_passages_with_changed_words_against_brute_force(spark):
+    rng = random.Random(11)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    texts = []
+    for i in range(90):
+        n, changed = [(40, 0), (60, 5), (80, 8)][i % 3]
+        shared = some(n)
+        other = list(shared)
+        for at in rng.sample(range(n), changed):
+            other[at] = f"changed{i}"
+        texts += [some(30) + shared + some(25), some(20) + other + some(40)]
+    want = {j for i in range(0, len(texts), 2) if agreeing(texts[i], texts[i + 1]) for j in (i, i + 1)}
+    got = {r["doc_id"] for r in passages.repeated_passages(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    exact = {j for i in range(0, len(texts), 6) for j in (i, i + 1)}
+    assert len(want) == 180 and exact <= got and len(got & want) >= 0.98 * len(want)
+
+
 def test_packing(spark):
     encoder = packing.word_tokenizer()
     texts = [(i, " ".join(words(RNG.choice([3, 50, 400, 1500])))) for i in range(40)] + [(50, None), (51, ""), (51, ""), (None, "a b")]
