@@ -122,6 +122,22 @@ def test_passages_with_changed_words_against_brute_force(spark):
     assert len(want) == 180 and exact <= got and len(got & want) >= 0.98 * len(want)
 
 
+def test_passages_that_recur_within_a_document(spark):
+    shared = words(60)
+    once, twice = words(20) + shared + words(20), words(15) + shared + words(60) + shared + words(10)
+    for first, second in ((once, twice), (twice, once)):
+        docs = docs_of(spark, [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(words(25) + shared + words(5) + shared)), (4, " ".join(words(100)))])
+        got = collections.defaultdict(list)
+        for r in passages.repeated_passages(docs).collect():
+            got[r["doc_id"]].append((r["start"], r["end"]))
+        want = {1: first, 2: second}
+        for i, text in want.items():
+            assert sorted(got[i]) == ([(15, 75), (135, 195)] if text is twice else [(20, 80)])
+        assert sorted(got[3]) == [(25, 85), (90, 150)] and 4 not in got
+        left = {r["doc_id"]: len(r["text"].split()) for r in passages.without_repeats(docs).collect()}
+        assert left == {1: len(first), 2: len(second) - (120 if second is twice else 60), 3: 30, 4: 100}
+
+
 def test_packing(spark):
     encoder = packing.word_tokenizer()
     texts = [(i, " ".join(words(RNG.choice([3, 50, 400, 1500])))) for i in range(40)] + [(50, None), (51, ""), (51, ""), (None, "a b")]
