@@ -150,31 +150,46 @@ def parsed(turns: DataFrame, tools: dict[str, dict]) -> DataFrame:
     return needs(turns, "conv_id", "turn", "role", "text").mapInPandas(run, PARSED)
 
 
-def levels(calls: DataFrame, most: int = 1000) -> DataFrame:
-    """conv_id, call_id, `base` (the turn and number after which a call may stand) and `cyclic`.
+def keyed(rows: DataFrame) -> DataFrame:
+    """Add `conv`, a key of the conversation that is never null: null conv_ids are one conversation."""
+    return rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
 
-    A call stands at the latest of its own place and those of the calls that it depends on; rounds pass places on along the
-    dependencies until none moves. Calls that are still moved after as many rounds as there are calls in the longest
-    chain, or of `most`, depend on themselves.
+
+def levels(calls: DataFrame) -> DataFrame:
+    """conv, call_id, `base` (the turn and number after which a call may stand), depth and `cyclic`; calls have conv.
+
+    A call stands at the latest of its own place and those of the calls that it depends on. Each round settles the calls
+    whose references are all settled; what remains when a round settles none is on a cycle or behind one. As many rounds
+    as the longest chain of calls has are run, whatever the number of references.
     """
-    own = calls.select("conv_id", "call_id", F.struct("turn", "call").alias("own"), "refs")
-    needed = cut(own.select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct())
-    places = cut(own.groupBy("conv_id", "call_id").agg(F.min("own").alias("base"))).withColumn("depth", F.lit(0))
-    n = needed.count()
-    if n == 0:
-        return places.select("conv_id", "call_id", "base", "depth", F.lit(False).alias("cyclic"))
-    for _ in range(min(n, most) + 1):
-        of = places.select("conv_id", F.col("call_id").alias("ref"), F.col("base").alias("other"), F.col("depth").alias("below"))
-        heard = needed.join(of, ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.max("other").alias("other"), F.max("below").alias("below"))
-        moved = places.join(heard, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", F.greatest("base", F.coalesce("other", "base")).alias("base"),
-            F.greatest("depth", F.coalesce(F.col("below") + 1, "depth")).alias("depth"), F.col("depth").alias("was"),
-        )
-        moved = cut(moved)
-        places = moved.drop("was")
-        if moved.where("depth <> was").isEmpty():
-            return places.withColumn("cyclic", F.lit(False))
-    return places.withColumn("cyclic", F.col("depth") > n)
+    own = calls.select("conv", "call_id", F.struct("turn", "call").alias("own"), "refs")
+    needed = own.select("conv", "call_id", F.explode("refs").alias("ref")).distinct()
+    needed = cut(needed.join(own.select("conv", F.col("call_id").alias("ref")).distinct(), ["conv", "ref"]))
+    places = own.groupBy("conv", "call_id").agg(F.min("own").alias("base")).withColumn("depth", F.lit(0))
+    waits = needed.select("conv", "call_id").distinct().withColumn("waits", F.lit(True))
+    places = cut(places.join(waits, ["conv", "call_id"], "left").withColumn("waits", F.coalesce("waits", F.lit(False))))
+    left = places.where("waits").count()
+    while left:
+        of = places.select("conv", F.col("call_id").alias("ref"), F.col("base").alias("other"), F.col("depth").alias("below"), F.col("waits").alias("open"))
+        heard = needed.join(of, ["conv", "ref"]).groupBy("conv", "call_id").agg(F.max(F.when(~F.col("open"), F.col("other"))).alias("other"), F.max(F.when(~F.col("open"), F.col("below"))).alias("below"), F.max("open").alias("open"))
+        met = places.join(heard, ["conv", "call_id"], "left")
+        places = cut(met.select(
+            "conv", "call_id", F.when(F.col("waits"), F.greatest("base", F.coalesce("other", "base"))).otherwise(F.col("base")).alias("base"),
+            F.when(F.col("waits"), F.greatest("depth", F.coalesce(F.col("below") + 1, "depth"))).otherwise(F.col("depth")).alias("depth"),
+            (F.col("waits") & F.col("open")).alias("waits"),
+        ))
+        before, left = left, places.where("waits").count()
+        if left == before:
+            break
+    # On and behind cycles only places are passed on, until none moves: they only grow, and never beyond the latest.
+    moved = left > 0
+    while moved:
+        of = places.where("waits").select("conv", F.col("call_id").alias("ref"), F.col("base").alias("other"))
+        heard = needed.join(of, ["conv", "ref"]).groupBy("conv", "call_id").agg(F.max("other").alias("other"))
+        late = F.greatest("base", F.coalesce("other", "base"))
+        found = cut(places.join(heard, ["conv", "call_id"], "left").select("conv", "call_id", late.alias("base"), "depth", "waits", (late > F.col("base")).alias("moved")))
+        places, moved = found.drop("moved"), not found.where("moved").isEmpty()
+    return places.withColumnRenamed("waits", "cyclic")
 
 
 def positions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -228,12 +243,14 @@ def format_chats(turns: DataFrame, tools: dict[str, dict] | None = None) -> Data
 
 def _linked(rows: DataFrame, calls: DataFrame) -> DataFrame:
     """Rows with base, depth and status; results meet their calls by conversation and identifier."""
+    calls = keyed(calls)
     placed = levels(calls)
-    first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "call")).alias("first"))
-    results = rows.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
-    known = placed.join(first, ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left")
-    known = known.select(F.col("conv_id").alias("of"), F.col("call_id").alias("of_call"), F.col("base").alias("call_base"), F.col("depth").alias("call_depth"), "cyclic", "first", "answer")
-    met = rows.join(known, rows["conv_id"].eqNullSafe(known["of"]) & (rows["call_id"] == known["of_call"]), "left")
+    first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "call")).alias("first"))
+    results = keyed(rows.where("kind = 'result'")).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
+    known = placed.join(first, ["conv", "call_id"]).join(results, ["conv", "call_id"], "left")
+    known = known.select(F.col("conv").alias("of"), F.col("call_id").alias("of_call"), F.col("base").alias("call_base"), F.col("depth").alias("call_depth"), "cyclic", "first", "answer")
+    named = keyed(rows)
+    met = named.join(known, (named["conv"] == known["of"]) & (named["call_id"] == known["of_call"]), "left")
     here = F.struct("turn", "call")
     linked = F.col("of_call").isNotNull()
     late = F.when(here < F.col("call_base"), F.col("call_base")).otherwise(here)

@@ -207,6 +207,23 @@ def test_chat(spark):
     assert chat.fault({"query": 1}, chat.TOOLS["search"]) == "$.query: not string" and chat.fault({}, chat.TOOLS["search"]) == "$.query: missing"
 
 
+def test_chat_with_many_references_and_null_conversation(spark):
+    turn = lambda conv, i, *calls: (conv, i, "assistant", json.dumps({"tool_calls": list(calls)}))
+    uses = lambda i, ref: call(i, "search", query={"$result": ref})
+    answer = lambda conv, i, of: (conv, i, "tool", json.dumps({"tool_call_id": of, "content": "r"}))
+    turns = [turn(1, 0, call("a", "search", query="q")), answer(1, 1, "a"), turn(1, 2, *(uses(f"n{i}", "a") for i in range(1100)))]
+    turns += [turn(2, 0, uses("x", "y"), uses("y", "x"), uses("z", "y"), uses("own", "own"), call("free", "search", query="q"))]
+    turns += [turn(None, 0, uses("late", "b")), turn(None, 1, call("b", "search", query="q")), answer(None, 2, "b"), answer(None, 3, "late")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.format_chats(df, chat.TOOLS).orderBy("conv_id", "position").collect()
+    said = [(r["conv_id"], json.loads(r["line"]), r["status"]) for r in rows]
+    status = {(c, v["tool_call"]["id"]): s for c, v, s in said if "tool_call" in v}
+    assert {k[1]: s for k, s in status.items() if k[0] == 2} == {"x": "cyclic", "y": "cyclic", "z": "cyclic", "own": "cyclic", "free": "unanswered"}
+    assert collections.Counter(s for k, s in status.items() if k[0] == 1) == {"ok": 1, "unanswered": 1100}
+    alone = [v["tool_call"]["id"] if "tool_call" in v else "to " + v["tool_call_id"] for c, v, s in said if c is None and s == "ok"]
+    assert sorted(alone) == ["b", "late", "to b", "to late"] and alone.index("b") < alone.index("late") < alone.index("to late")
+
+
 def test_lines(spark):
     rows = [(i, f"head\nown {i}\n\nfoot ", "en", "s" if i < 20 else None, 1) for i in range(26)] + [(90, None, "en", "s", 0), (91, "", "en", "t", 0)]
     got = {r["doc_id"]: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, DOCS).withColumn("total", F.lit(1))).collect()}
