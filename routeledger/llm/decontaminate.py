@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,8 +150,8 @@ def consistent(item_slot, item_value, text_slot, text_value) -> float:
     if not len(at):
         return 1.0
     pairs, n = np.unique(np.stack([item_value[at], text_value[at]]), axis=1, return_counts=True)
-    best = pd.Series(n).groupby(pairs[0]).max()
-    return float(best.sum() / len(at))
+    first = np.nonzero(np.concatenate([[True], pairs[0][1:] != pairs[0][:-1]]))[0]
+    return float(np.maximum.reduceat(n, first).sum() / len(at))
 
 
 def held_items(t: Templates, i: int, hits: np.ndarray, where: np.ndarray, count: np.ndarray, items: Items, window: int, cover: float, agree: float) -> list[tuple]:
@@ -177,14 +176,16 @@ def held_items(t: Templates, i: int, hits: np.ndarray, where: np.ndarray, count:
         share = float((np.cumsum(covered)[:size] > 0).sum() / size)
         if share < cover:
             continue
-        # Slots on the diagonal that most windows lie on.
+        # Slots on every diagonal that a window lies on, those of most windows first: one with all slots consistent is the best.
         diagonals, n = np.unique(at[group] - place[group], return_counts=True)
         best = 0.0
-        for d in diagonals[np.argsort(-n, kind="stable")[:8]]:
+        for d in diagonals[np.argsort(-n, kind="stable")]:
             begin, end = max(0, -int(d)), min(size, int(t.starts[i + 1] - lo - d))
             mine, own = slice(items.starts[k] + begin, items.starts[k] + end), slice(lo + d + begin, lo + d + end)
             same = items.t[mine] == t.t[own]
             best = max(best, consistent(items.slot[mine][same], items.value[mine][same], t.slot[own][same], t.value[own][same]))
+            if best == 1:
+                break
         if best >= agree:
             found.append((int(items.ids[k]), int(at[group].min()), int(at[group].max() + span), share, best))
     return found

@@ -241,6 +241,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_after_many_inconsistent_variants(spark):
+    item = "she buys 5 red apples and then 5 green pears and then 5 blue plums and then 5 ripe figs for the table at home"
+    numbers = iter(range(100, 1000))
+    variants = [re.sub(r"\b5\b", lambda _: str(next(numbers)), item) for _ in range(12)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, " so ".join([*variants, item.replace("5", "7")])), (2, " so ".join(variants))]
+    got = {(r["doc_id"], r["consistent"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(1, 1.0)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
