@@ -52,26 +52,48 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def target(link: Column, host: Column) -> Column:
-    """The node of a link found on a page: an absolute one, or one that starts at the page's scheme or host."""
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with its `.` and `..` segments resolved; what follows them stays."""
+    parts = F.split(path, "/", -1)
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
+
+    joined = F.array_join(F.aggregate(parts, none, step), "/")
+    # A last segment of dots names a folder.
+    return F.when(path.rlike(r"/\.\.?$"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def target(link: Column, after: Column) -> Column:
+    """The node of a link found on a page whose URL has `after` behind its scheme: absolute, or relative to scheme, host, folder
+    or page. Links of other schemes (`mailto:`), to a part of the page itself and empty ones have none."""
+    host, path = host_of(after), F.when(path_of(after) == "", "/").otherwise(path_of(after))
+    whole = F.regexp_extract(link, r"^[^?#]*", 0)
+    own = F.when(link.startswith("/"), whole).otherwise(F.concat(F.regexp_extract(path, r"^(.*/)", 1), whole))
+    behind = F.regexp_extract(link, r"^[^?#]*([^#]*)", 1)
     return (
-        F.when(link.contains("://"), node_of(rest(link)))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), node_of(rest(link)))
         .when(link.startswith("//"), node_of(F.substring(link, 3, 1 << 30)))
-        .when(link.startswith("/") & (host != ""), node_of(F.concat(host, link)))
+        .when((link == "") | link.startswith("#") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host == ""), None)
+        .when(link.startswith("?"), node_of(F.concat(host, path, link)))
+        .otherwise(node_of(F.concat(host, without_dots(own), behind)))
     )
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes: the first canonical link and the first meta refresh of each page."""
+    """Edges (a, b) between nodes: all canonical links and meta refreshes of each page."""
     tag = lambda name, key, value: rf"(?i)<{name}\s[^>]*{key}\s*=\s*[\"']?{value}[^>]*>"
+    every = lambda tags, link: F.transform(F.regexp_extract_all("html", F.lit(tags), F.lit(0)), lambda x: F.regexp_extract(x, link, 1))
     found = pages.where(F.col("html").rlike(r"(?i)(canonical|refresh)") & (F.col("host") != "")).select(
-        node_of(rest(F.col("url"))).alias("a"), "host",
-        F.explode(F.array(
-            F.regexp_extract(F.regexp_extract("html", tag("link", "rel", "canonical"), 0), r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1),
-            F.regexp_extract(F.regexp_extract("html", tag("meta", "http-equiv", "refresh"), 0), r"(?i)url\s*=\s*[\"']?([^\"'\s>;]+)", 1),
+        rest(F.col("url")).alias("after"),
+        F.explode(F.concat(
+            every(tag("link", "rel", "canonical"), r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)"),
+            every(tag("meta", "http-equiv", "refresh"), r"(?i)url\s*=\s*[\"']?([^\"'\s>;]+)"),
         )).alias("link"),
     )
-    return found.select("a", target(F.col("link"), F.col("host")).alias("b")).where("a <> b")
+    return found.select(node_of(F.col("after")).alias("a"), target(F.col("link"), F.col("after")).alias("b")).where("a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:

@@ -173,6 +173,18 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0), urls.CONTRACT_RULES).count() == 0
 
 
+def test_urls_of_all_tags_and_relative_links(spark):
+    page, bad = "http://a.io/x/y/page?q=1", "http://bad.net/"
+    refresh = lambda link: f'<meta http-equiv="refresh" content="0; url={link}">'
+    forms = {"page2.html": "a.io/x/y/page2.html", "?p=1": "a.io/x/y/page?p=1", "../z": "a.io/x/z", "../../../z/./w?u=../k#f": "a.io/z/w?u=../k", "..": "a.io/x/", "/r/": "a.io/r/", "//B.io/p": "b.io/p",
+             "HTTP://c.io/p": "c.io/p", "/go?u=http://bad.net/": "a.io/go?u=http://bad.net/", "go?u=http://bad.net/": "a.io/x/y/go?u=http://bad.net/", "mailto:x@bad.net": None}
+    df = spark.createDataFrame([(i, page, refresh(k)) for i, k in enumerate(forms)], "page_id long, url string, html string").withColumn("host", F.lit("a.io"))
+    assert sorted(r["b"] for r in urls.links(df).collect()) == sorted(v for v in forms.values() if v)
+    pages = [(1, "http://d.io/", '<meta http-equiv="refresh" content="30">' + refresh(bad)), (2, "http://e.io/", f"<link rel=canonical href=http://e.io/><link rel=canonical href={bad}>"), (3, "http://f.io/", refresh("/go?u=http://bad.net/")), (4, "http://g.io", refresh("h")), (5, "http://g.io/h", refresh(bad))]
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), urls.CONTRACT_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}
+
+
 def test_toxicity(spark):
     rows = [(i, " ".join(words(30) + (["vile", "scum"] if i % 4 == 0 else []))) for i in range(400)]
     docs = docs_of(spark, [*rows, (900, None), (901, ""), (None, "vile scum")])
