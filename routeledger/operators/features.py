@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeledger.operators.graph import Graph
+from routeledger.operators.graph import Graph, cut
 
 #: Weights by kind.
 WEIGHTS = {"critical": 5, "side_effect": 5, "tool": 3, "service": 2, "ordinary": 1}
@@ -43,3 +43,13 @@ def nearest(own: DataFrame, families: DataFrame) -> DataFrame:
     order = Window.partitionBy("trace_id").orderBy(exact.desc(), "fingerprint")
     found = similarity(own, families).withColumn("rank", F.row_number().over(order)).where("rank = 1")
     return found.select("trace_id", F.col("fingerprint").alias("nearest"), "shared", "either")
+
+
+def nearest_of_all(own: DataFrame, families: DataFrame) -> DataFrame:
+    """As `nearest`, for many families: each distinct set of features is compared once, on either side."""
+    key = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("feature", "weight")))), 256).alias("set")
+    runs, groups = cut(own.groupBy("trace_id").agg(key)), cut(families.groupBy("fingerprint").agg(key))
+    one_run = runs.groupBy("set").agg(F.min("trace_id").alias("trace_id"))
+    one_family = groups.groupBy("set").agg(F.min("fingerprint").alias("fingerprint")).select("fingerprint")
+    found = nearest(own.join(one_run, "trace_id").select(F.col("set").alias("trace_id"), "feature", "weight"), families.join(one_family, "fingerprint", "left_semi"))
+    return runs.join(found.withColumnRenamed("trace_id", "set"), "set").select("trace_id", "nearest", "shared", "either")

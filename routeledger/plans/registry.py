@@ -261,6 +261,17 @@ def nearest_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.nearest(own, own.join(five, "trace_id").select("fingerprint", "feature", "weight"))
 
 
+def nearest_of_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar of all families of v1 for every run; without SQL, which would compare every run with every family."""
+    g, placed, routes = routed(spark, sf_dir)
+    own = graph.cut(features.features(g, placed))
+    every = routes.join(g.traces.where("release = 'v1'").select("trace_id"), "trace_id").groupBy("fingerprint").agg(F.min("trace_id").alias("trace_id"))
+    return features.nearest_of_all(own, own.join(every, "trace_id").select("fingerprint", "feature", "weight"))
+
+
+QUERIES["nearest_of_all_families"], ORACLES["nearest_of_all_families"] = nearest_of_all_families, None
+
+
 @query("""WITH n AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY ALL) SELECT l_orderkey::VARCHAR AS trace_id, count(*)::BIGINT AS spans, sum(n - 1)::BIGINT AS dropped, count(CASE WHEN parts > 1 THEN 1 END)::BIGINT AS conflicts FROM n GROUP BY l_orderkey""", spans=False)
 def span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as spans of their order: duplicates of an id are one span, in conflict if they name other parts."""

@@ -25,6 +25,37 @@ def test_query(spark, name):
     assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_nearest_of_all_families(spark):
+    from fractions import Fraction
+
+    from routeledger.operators import features
+
+    g, placed, routes = registry.routed(spark, DATA)
+    sets = {}
+    for r in features.features(g, placed).collect():
+        sets.setdefault(r["trace_id"], {})[r["feature"]] = r["weight"]
+    v1 = {r["trace_id"] for r in g.traces.where("release = 'v1'").collect()}
+    families = {}
+    for r in routes.collect():
+        if r["trace_id"] in v1:
+            families[r["fingerprint"]] = min(families.get(r["fingerprint"], r["trace_id"]), r["trace_id"])
+    kinds = {}
+    for f, t in sorted(families.items()):
+        kinds.setdefault(frozenset(sets[t].items()), f)
+
+    def best(a):
+        found = []
+        for b, f in kinds.items():
+            shared = sum(w for _, w in a & b)
+            found.append((-Fraction(shared, sum(w for _, w in a | b)), f))
+        return min(found)[1]
+
+    known = {a: best(a) for a in {frozenset(s.items()) for s in sets.values()}}
+    got = {r["trace_id"]: r["nearest"] for r in registry.QUERIES["nearest_of_all_families"](spark, DATA).collect()}
+    assert len(families) > 5 and got == {t: known[frozenset(s.items())] for t, s in sets.items()}
+
+
 def test_streaming_closes_runs(spark, tmp_path):
     from routeledger.streaming.windows import closed_runs, evaluate_closed
 
