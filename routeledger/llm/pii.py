@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts discover.
 
 Matches of the fixed patterns are the seeds. Words with a digit that are no part of a seed are candidates. The two words
-before a seed or candidate are its lexical pattern; patterns and instances form a bipartite graph. A pattern's score is
+before the word in which a seed or candidate begins are its lexical pattern; patterns and instances form a bipartite graph. A pattern's score is
 the share of its instances' scores, an instance's the best of its patterns', and seeds stay at 1; a few rounds of this
 run as joins of the counted edges. Candidates after patterns of high confidence, with enough different seeds, are added.
 All of it is DataFrame functions: matches and their places come from splitting a text at the pattern.
@@ -88,26 +88,45 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def context(text: Column, start: Column) -> Column:
+    """The two words before the word that holds a place of a text, in lower case; an empty string if there are fewer."""
+    two = r"(\S++\s++\S++)\s++\S*+$"
+    whole = lambda: F.regexp_extract(text.substr(F.lit(1), start.cast("int")), rf"(?:^|\s){two}", 1)
+    near = F.regexp_extract(text.substr((start - 199).cast("int"), F.lit(200)), rf"\s{two}", 1)
+    # Only where words are so long that 200 characters don't hold them all that comes before is looked at.
+    return F.lower(F.when(start <= 200, whole()).when(near != "", near).otherwise(whole()))
+
+
+def near_words(text: Column, found: Column) -> Column:
+    """match, start and context of found matches (match, start)."""
+    return F.transform(found, lambda x: F.struct(x["match"].alias("match"), x["start"].cast("long").alias("start"), context(text, x["start"]).alias("context")))
+
+
 def numbered_words(text: Column) -> Column:
-    """Words with a digit that are long enough: match, start and `context`, the two words within 200 characters before it or an empty string."""
-    found = F.filter(located(text, CANDIDATE), lambda x: F.length(x["match"]) >= LEAST_LENGTH)
-    context = lambda x: F.lower(F.regexp_extract(F.substring(x["before"], -200, 200), r"(\S+\s+\S+)\s+$", 1))
-    near = F.transform(found, lambda x: F.struct(x["match"].alias("match"), x["start"].cast("long").alias("start"), context(x).alias("context")))
-    return F.when(text.rlike("[0-9]"), near)
+    """Words with a digit that are long enough: match, start and context."""
+    return F.when(text.rlike("[0-9]"), near_words(text, F.filter(located(text, CANDIDATE), lambda x: F.length(x["match"]) >= LEAST_LENGTH)))
+
+
+def seeds(text: Column, base: Column) -> Column:
+    """The base spans, of any kind, but those within a longer one: match, start and context."""
+    longer = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    outer = F.filter(base, lambda s: ~F.exists(base, lambda o: longer(s, o)))
+    return near_words(text, F.transform(outer, lambda s: F.struct(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("match"), s["start"].alias("start"))))
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """row, start, end, instance (a hash), pattern and seed of all words with a digit; texts has row, base and words."""
+    """row, start, end, instance (a hash), pattern and seed of the base spans, which are the seeds, and of other words with a
+    digit; texts has row, base, words and seeds."""
     seen = texts.select("row", "base", F.explode("words").alias("x"))
     start, end = F.col("x.start"), F.col("x.start") + F.length("x.match")
     meets = F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
     # Sentence marks around a word are not its own.
     head = F.length(F.regexp_extract("x.match", r"^[(\[{\"'«“]*", 0))
     tail = F.length(F.regexp_extract("x.match", r"[)\]}\"'»”.,;:!?]*$", 0))
-    return seen.select(
-        "row", (start + head).alias("start"), (end - tail).alias("end"), F.xxhash64("x.match").alias("instance"),
-        F.when(F.col("x.context") != "", F.xxhash64("x.context")).alias("pattern"), meets.alias("seed"),
-    ).where("pattern IS NOT NULL AND end > start")
+    hashes = F.xxhash64("x.match").alias("instance"), F.when(F.col("x.context") != "", F.xxhash64("x.context")).alias("pattern")
+    others = seen.where(~meets).select("row", (start + head).alias("start"), (end - tail).alias("end"), *hashes, F.lit(False).alias("seed"))
+    known = texts.select("row", F.explode("seeds").alias("x")).select("row", start.alias("start"), end.alias("end"), *hashes, F.lit(True).alias("seed"))
+    return others.union(known).where("pattern IS NOT NULL AND end > start")
 
 
 def confident_patterns(seen: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
@@ -132,12 +151,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     texts = needs(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = F.array_sort(F.concat(*(spans_of(F.col("text"), kind) for kind in PATTERNS)))
-    found = written(texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), base.alias("base"), numbered_words(F.col("text")).alias("words")))
+    matched = texts.select("doc_id", "text", base.alias("base"))
+    found = written(matched.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "base", numbered_words(F.col("text")).alias("words"), seeds(F.col("text"), F.col("base")).alias("seeds")))
     seen = written(candidates(found))
     good = confident_patterns(seen)
     added = seen.where(~F.col("seed")).join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index(FOUND)).alias("kind"), "end")).alias("added"))
-    met = found.drop("words").join(added, "row", "left")
+    met = found.drop("words", "seeds").join(added, "row", "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {SPAN})"))))
     return met.select("doc_id", *(count(k) for k in PATTERNS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"))

@@ -287,6 +287,17 @@ def test_personal_data(spark):
     assert spans[40] == "id:16:24" and spans[41] == ""
 
 
+def test_personal_data_with_phones_and_plain_emails_as_seeds(spark):
+    phones = [(i, f"{' '.join(words(5))} reach me +1 (743) 555-38{i:02d} now") for i in range(10, 30)]
+    emails = [(i, f"{' '.join(words(5))} write to {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}@plain.org") for i in range(30, 60)]
+    long = "y" * 300
+    cards = [(i, f"{long} card 4111 1111 1111 {n} or so") for i, n in zip(range(60, 80), [f"{n:04d}" for n in range(3000) if holds("card", f"411111111111{n:04d}")], strict=False)]
+    new = {100: "please reach me AB-99213 soon", 101: "item 3 write to ZX12345", 102: f"z {long} card QQ-77123", 103: "no such AB-99213 here", 104: "room 123456 reach me KL-88888"}
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs_of(spark, [*phones, *emails, *cards, *new.items()])).collect()}
+    at = {i: new[i].rindex(x) for i, x in ((100, "AB-99213"), (101, "ZX12345"), (102, "QQ-77123"), (104, "KL-88888"))}
+    assert {i: got[i] for i in new} == {100: f"id:{at[100]}:{at[100] + 8}", 101: f"id:{at[101]}:{at[101] + 7}", 102: f"id:{at[102]}:{at[102] + 8}", 103: "", 104: f"id:{at[104]}:{at[104] + 8}"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).astype(float).tolist()) for i in range(300)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (None, [1.0] * 6)]
