@@ -4,8 +4,9 @@ The tokens of each text are counted in Arrow batches; a text longer than a seque
 Only the histogram of piece lengths, at most `capacity` numbers whatever the size of the corpus, reaches the driver.
 There a configuration linear program (least number of sequences, each filled by one pattern of lengths) is solved by
 multiplicative weights: every length has a weight, a knapsack dynamic program finds the pattern of the highest weight,
-and lengths that are covered well enough lose weight. The fractional solution is rounded down to whole patterns, and
-lengths that remain are filled by best fit on the histogram, many equal sequences at a time. The plan says, for each
+and lengths that are covered well enough lose weight. It stops after a fixed number of rounds, which is far from covering
+every length, and is rounded down to whole patterns; best fit on the histogram, many equal sequences at a time, places
+what remains: nearly all pieces (see the README). The plan says, for each
 length, which ranks go to which sequences. Pieces get ranks within their length from counts by (length, bucket), so
 that no length, however frequent, meets in one task.
 """
@@ -133,10 +134,11 @@ def best_pattern(weights: np.ndarray, capacity: int) -> dict[int, int]:
 
 
 def solve(counts: np.ndarray, capacity: int, rounds: int = 60, step: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """Patterns with fractional multiplicities that cover counts[l] pieces of each length l, by multiplicative weights.
+    """Patterns with fractional multiplicities for counts[l] pieces of each length l, by multiplicative weights: as many as
+    `rounds` at most, so they touch few of many lengths and do not cover the demand.
 
     In each round the best pattern is used as often as the scarcest of its lengths allows; a length's weight falls as
-    its share of the demand is covered. The sum is scaled to the demand.
+    its share of the demand is covered. `plan` scales the sum down to the demand.
     """
     demand = counts.astype(float)
     lengths = np.nonzero(counts)[0]
