@@ -3,17 +3,15 @@
 The tokens of each text are counted in Arrow batches; a text longer than a sequence is cut into full pieces and a rest.
 Only the histogram of piece lengths, at most `capacity` numbers whatever the size of the corpus, reaches the driver.
 There a configuration linear program (least number of sequences, each filled by one pattern of lengths) is solved by
-multiplicative weights: every length has a weight, a knapsack dynamic program finds the pattern of the highest weight,
-and lengths that are covered well enough lose weight. It stops after a fixed number of rounds, which is far from covering
-every length, and is rounded down to whole patterns; best fit on the histogram, many equal sequences at a time, places
-what remains: nearly all pieces (see the README). The plan says, for each
+multiplicative weights: every length has a weight, a bounded knapsack dynamic program prices the heaviest patterns, and weights
+fall as lengths are covered. Its solution is rounded to whole patterns and solved again for what is left; best fit places the small
+residue. Weights bound the number of sequences from below, so the gap is known. The plan says, for each
 length, which ranks go to which sequences. Pieces get ranks within their length from counts by (length, bucket), so
 that no length, however frequent, meets in one task.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -109,90 +107,139 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = 2048, end_id: int
     return needs(docs, "doc_id", "text").mapInPandas(cut_up, PIECES)
 
 
-def best_pattern(weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of total at most `capacity` with the highest weight; weights[l] is that of length l."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    lengths = np.nonzero(weights > 0)[0]
-    gain = weights[lengths]
-    for room in range(1, capacity + 1):
-        n = np.searchsorted(lengths, room, side="right")
-        best[room] = best[room - 1]
-        if n:
-            value = best[room - lengths[:n]] + gain[:n]
-            k = int(value.argmax())
-            if value[k] > best[room]:
-                best[room], last[room] = value[k], lengths[k]
-    pattern: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if taken := int(last[room]):
-            pattern[taken] = pattern.get(taken, 0) + 1
-            room -= taken
-        else:
-            room -= 1
-    return pattern
-
-
-def solve(counts: np.ndarray, capacity: int, rounds: int = 60, step: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """Patterns with fractional multiplicities for counts[l] pieces of each length l, by multiplicative weights: as many as
-    `rounds` at most, so they touch few of many lengths and do not cover the demand.
-
-    In each round the best pattern is used as often as the scarcest of its lengths allows; a length's weight falls as
-    its share of the demand is covered. `plan` scales the sum down to the demand.
+#: Weights favour long pieces by this much: short ones fill up what others leave and are kept for the end.
+TILT = 0.02
+#: A weight falls by exp(-FALL) while its length's demand is covered; patterns whose weight is within NEAR of the best are used.
+FALL, NEAR = 1.0, 0.02
+
+
+class Fills:
+    """The heaviest choice of lengths for every room up to the capacity: a bounded knapsack by dynamic programming."""
+
+    def __init__(self, weights: np.ndarray, limits: np.ndarray, capacity: int):
+        of, copies = [], []
+        for n in np.nonzero(limits)[0].tolist():
+            left, k = min(int(limits[n]), capacity // n), 1
+            while left > 0:  # 1, 2, 4, ... copies, together as many as the limit
+                k = min(k, left)
+                of.append(n)
+                copies.append(k)
+                left -= k
+                k *= 2
+        self.of, self.copies = np.array(of, np.int64), np.array(copies, np.int64)
+        self.best = np.zeros(capacity + 1)
+        self.took = np.zeros((len(of), capacity + 1), bool)
+        for i, (n, k) in enumerate(zip(of, copies, strict=True)):
+            more = self.best[: capacity + 1 - n * k] + k * weights[n]
+            self.took[i, n * k :] = more > self.best[n * k :]
+            np.maximum(self.best[n * k :], more, out=self.best[n * k :])
+
+    def chosen(self, rooms: np.ndarray) -> list[dict[int, int]]:
+        """Lengths and copies of the best choice for each of the rooms."""
+        left, picked = rooms.copy(), np.zeros((len(self.of), len(rooms)), bool)
+        for i in range(len(self.of) - 1, -1, -1):
+            picked[i] = self.took[i, left]
+            left -= picked[i] * (self.of[i] * self.copies[i])
+        out: list[dict[int, int]] = []
+        for own in picked.T:
+            pattern: dict[int, int] = {}
+            for i in np.nonzero(own)[0]:
+                pattern[int(self.of[i])] = pattern.get(int(self.of[i]), 0) + int(self.copies[i])
+            out.append(pattern)
+        return out
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> float:
+    """A number of sequences that no packing gets below, nor the linear program: the best of two families of dual feasible weights.
+    The first counts pieces of more than capacity - t whole, those of at least t by their share of a sequence, and no others; the
+    second rounds (k + 1) times the share down to whole k-ths."""
+    lengths = np.arange(capacity + 1)
+    pieces, tokens = np.cumsum(counts), np.cumsum(counts * lengths) / capacity
+    t = np.arange(capacity // 2 + 1)
+    whole = pieces[-1] - pieces[capacity - t]
+    part = tokens[capacity - t] - np.where(t > 0, tokens[np.maximum(t - 1, 0)], 0.0)
+    best = float((whole + part).max())
+    for k in range(1, 50):
+        exact = (k + 1) * lengths % capacity == 0
+        best = max(best, float(counts @ np.where(exact, lengths / capacity, (k + 1) * lengths // capacity / k)))
+    return best
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = 500) -> tuple[dict[tuple, float], float]:
+    """The configuration program for counts[l] pieces of each length l, by multiplicative weights: patterns, as tuples of length and
+    copies, with how often each is used, and a lower bound of the program's value.
+
+    A length starts at the weight of its share of a sequence; weights fall exponentially as demand is covered, so that lengths that lag
+    behind lead the next patterns. A round prices by one knapsack program the best pattern through every length, and uses those of nearly
+    the best weight as far as the scarcest length allows. Weights over the best pattern's weight are feasible for the dual, which gives the
+    bound. Nothing is covered twice; rounds end when all is covered, or after `rounds`.
     """
     demand = counts.astype(float)
-    lengths = np.nonzero(counts)[0]
-    covered, found = np.zeros(capacity + 1), []
+    need, share = demand.copy(), np.arange(capacity + 1) / capacity
+    found: dict[tuple, float] = {}
+    bound = lower_bound(counts, capacity)
     for _ in range(rounds):
-        share = np.zeros(capacity + 1)
-        share[lengths] = covered[lengths] / demand[lengths]
-        log_weight = -share[lengths] / step
-        weights = np.zeros(capacity + 1)
-        weights[lengths] = np.maximum(np.exp(log_weight - log_weight.max()), 1e-9) / demand[lengths]
-        # A weight per token as well: among patterns of like scarcity the fuller ones are better.
-        weights[lengths] += weights[lengths].max() * 1e-3 * lengths / capacity
-        pattern = best_pattern(weights, capacity)
-        uses = min(demand[n] / k for n, k in pattern.items()) * step
-        for n, k in pattern.items():
-            covered[n] += k * uses
-        found.append((pattern, uses))
-    return found
+        live = need > 1e-9 * demand
+        if not live.any():
+            break
+        done = np.divide(demand - need, demand, out=np.zeros(capacity + 1), where=demand > 0)
+        weights = np.where(live, share * (1 + TILT * share) * np.exp(-FALL * (done - done[live].min())), 0.0)
+        fills = Fills(weights, np.where(live, counts, 0), capacity)
+        lengths = np.nonzero(live)[0][::-1]
+        value = fills.best[capacity - lengths] + weights[lengths]
+        bound = max(bound, float(weights @ demand / value.max()))
+        lengths = lengths[value >= (1 - NEAR) * value.max()]
+        for n, pattern in zip(lengths.tolist(), fills.chosen(capacity - lengths), strict=True):
+            pattern[n] = pattern.get(n, 0) + 1
+            uses = min(need[m] / k for m, k in pattern.items())
+            if uses > 1e-9:
+                for m, k in pattern.items():
+                    need[m] = max(need[m] - k * uses, 0.0)
+                key = tuple(sorted(pattern.items()))
+                found[key] = found.get(key, 0.0) + uses
+    return found, bound
 
 
 class Plan(NamedTuple):
     """Where the pieces of each length go: for length l, from rank first[l][i] on, copy j = (rank - first) // times is
-    put at offset + j * l of sequence base + (rank - first) % times."""
+    put at offset + j * l of sequence base + (rank - first) % times. `by_program` sequences are patterns of the linear program, and
+    `bound` is a number of sequences that no packing gets below."""
 
     first: dict[int, np.ndarray]
     base: dict[int, np.ndarray]
     times: dict[int, np.ndarray]
     offset: dict[int, np.ndarray]
     sequences: int
+    by_program: int
+    bound: float
+
 
+def plan(counts: np.ndarray, capacity: int, rounds: int = 500) -> Plan:
+    """Round the solution of the configuration program to whole sequences; its size is bounded by the capacity alone.
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 60) -> Plan:
-    """Round the solution of the configuration program to whole sequences; its size is bounded by the capacity alone."""
+    Uses are rounded down, and then each pattern is used once more, the fullest first, where its pieces are still there. The program is
+    solved again for what is left, as long as that places a fiftieth of the sequences so far; best fit packs the residue.
+    """
     left = counts.astype(np.int64).copy()
-    chosen: list[tuple[dict[int, int], int]] = []
+    chosen: dict[tuple, int] = {}
 
-    def use(pattern: dict[int, int], most: int | None = None) -> None:
-        times = min(int(left[n]) // k for n, k in pattern.items())
-        times = times if most is None else min(times, most)
+    def use(pattern: tuple, most: int) -> int:
+        times = min(most, *(int(left[n]) // k for n, k in pattern))
         if times > 0:
-            for n, k in pattern.items():
+            for n, k in pattern:
                 left[n] -= k * times
-            chosen.append((pattern, times))
-
-    if left.any():
-        solved = solve(counts, capacity, rounds)
-        total = np.zeros(capacity + 1)
-        for pattern, uses in solved:
-            for n, k in pattern.items():
-                total[n] += k * uses
-        for pattern, uses in sorted(solved, key=lambda x: -sum(n * k for n, k in x[0].items())):
-            if sum(n * k for n, k in pattern.items()) == capacity:
-                scale = min(counts[n] / total[n] for n in pattern)
-                use(pattern, int(uses * scale))
+            chosen[pattern] = chosen.get(pattern, 0) + times
+        return max(times, 0)
+
+    bound, by_program = lower_bound(counts, capacity), 0
+    while left.any():
+        solved, least = solve(left, capacity, rounds)
+        bound = max(bound, least) if not by_program else bound
+        placed = sum(use(pattern, int(uses + 1e-9)) for pattern, uses in solved.items())
+        placed += sum(use(pattern, 1) for pattern in sorted(solved, key=lambda p: (-sum(n * k for n, k in p), -(solved[p] % 1), p)))
+        by_program += placed
+        if placed * 50 <= by_program:
+            break
     while left.any():
         room, pattern = capacity, {}
         while room > 0:
@@ -204,50 +251,49 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 60) -> Plan:
             k = min(room // n, int(left[n]) - pattern.get(n, 0))
             pattern[n] = pattern.get(n, 0) + k
             room -= n * k
-        use(pattern)
+        use(tuple(sorted(pattern.items())), 1 << 62)
     parts: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks = np.zeros(capacity + 1, np.int64)
     sequences = 0
-    for pattern, times in chosen:
+    for pattern, times in chosen.items():
         offset = 0
-        for n, k in pattern.items():
+        for n, k in pattern:
             parts.setdefault(n, []).append((int(ranks[n]), sequences, times, offset))
             ranks[n] += k * times
             offset += n * k
         sequences += times
     columns = [{n: np.array([x[i] for x in rows], np.int64) for n, rows in parts.items()} for i in range(4)]
-    return Plan(*columns, sequences)
+    return Plan(*columns, sequences, by_program, bound)
 
 
 def ranked(parts: DataFrame) -> DataFrame:
     """Add `rank`, from 0 without gaps among the pieces of a length, by buckets of each length: of n pieces there are
-    about sqrt(n) buckets of sqrt(n) pieces, so that neither numbering them nor adding up their sizes is one long task."""
+    about sqrt(n) buckets of sqrt(n) pieces, so that neither numbering them nor adding up their sizes is one long task.
+    `row` differs for all pieces, also for equal ones."""
     n_buckets = F.ceil(F.sqrt("n_length"))
     per_length = parts.groupBy("length").agg(F.count("*").alias("n_length"))
     # At most one row for each length, of which there are no more than the capacity.
-    dealt = parts.join(F.broadcast(per_length), "length").withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), n_buckets)
-    ).drop("n_length")
+    dealt = parts.join(F.broadcast(per_length), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), n_buckets)).drop("n_length")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
         .select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from_rank"))
     )
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("row")
     return (
         dealt.withColumn("rn", F.row_number().over(inside) - 1)
         .join(starts, ["length", "bucket"])
         .withColumn("rank", F.col("from_rank") + F.col("rn"))
-        .drop("bucket", "rn", "from_rank")
+        .drop("bucket", "rn", "from_rank", "row")
     )
 
 
-def pack(docs: DataFrame, encoder: Encoder, capacity: int = 2048, end_id: int = 0, rounds: int = 60) -> DataFrame:
+def pack(docs: DataFrame, encoder: Encoder, capacity: int = 2048, end_id: int = 0, rounds: int = 500) -> DataFrame:
     """Pack every document: its pieces with `sequence_id` and `offset`, gapless from 0 in each sequence.
 
     Empty tables give no rows; null texts are empty ones; extra columns are left out.
     """
-    parts = written(pieces(docs, encoder, capacity, end_id))
+    parts = written(pieces(docs, encoder, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))  # fixed once written
     counts = np.zeros(capacity + 1, np.int64)
     for row in parts.groupBy("length").count().collect():  # at most `capacity` rows
         counts[row["length"]] = row["count"]
@@ -275,10 +321,3 @@ def word_tokenizer() -> Encoder:
     import public_tokenizers
 
     return Encoder(public_tokenizers.path("word_bpe_49k.json"))
-
-
-def describe(path: str) -> dict:
-    """The normaliser and pre-tokeniser of a tokenizers file, to see whether `by_word` holds for it."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    return {k: spec.get(k) for k in ("normalizer", "pre_tokenizer")}

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -139,19 +141,20 @@ def test_passages_that_recur_within_a_document(spark):
 
 
 def test_packing(spark):
-    encoder = packing.word_tokenizer()
-    texts = [(i, " ".join(words(RNG.choice([3, 50, 400, 1500])))) for i in range(40)] + [(50, None), (51, ""), (51, ""), (None, "a b")]
-    rows = packing.pack(docs_of(spark, texts), encoder, 512).collect()
-    by_doc = collections.defaultdict(list)
-    for r in rows:
-        by_doc[r["doc_id"]].append(r)
     from tokenizers import Tokenizer
 
+    encoder = packing.word_tokenizer()
     full = Tokenizer.from_file(encoder.path)
-    for i, t in texts[:40]:
-        n = len(full.encode(t, add_special_tokens=False).ids) + 1
-        own = sorted(by_doc[i], key=lambda r: r["piece"])
-        assert sum(r["length"] for r in own) == n and all(r["length"] == 512 for r in own[:-1]) and [r["start"] for r in own] == [512 * k for k in range(len(own))]
+    texts = [(i, " ".join(words(RNG.choice([3, 50, 400, 1500])))) for i in range(40)]
+    texts += [(50, None), (51, ""), (51, ""), (None, "a b"), (52, "Ünïcode ÅSTRÖM, naïve! 12.5% x-y 日本語 😀\t\tİstanbul\n\n..."), (53, "9" * 3000), *((None, "") for _ in range(60))]
+    rows = packing.pack(docs_of(spark, texts), encoder, 512).collect()
+    want = collections.Counter()
+    for i, t in texts:
+        ids = [*full.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 512)):
+            part = np.array(ids[at : at + 512], "<u4")
+            want[i, k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     filled = collections.defaultdict(list)
     for r in rows:
         filled[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -161,7 +164,39 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 512
-    assert len(filled) <= -(-sum(r["length"] for r in rows) // 512) + 3 and len(by_doc[51]) == 2
+    assert len(filled) <= -(-sum(r["length"] for r in rows) // 512) + 3
+    assert packing.pack(docs_of(spark, texts).limit(0), encoder).count() == 0
+
+
+@pytest.mark.parametrize("shortest, times", [(1, 1), (1, 1000), (700, 1), (1025, 1), (300, 50)])
+def test_packing_follows_the_program(shortest, times):
+    rng = np.random.default_rng(shortest)
+    counts = np.bincount(np.clip(rng.lognormal(6, 1, 3000).astype(int), shortest, 2048), minlength=2049) * times
+    found = packing.plan(counts, 2048)
+    solved, bound = packing.solve(counts, 2048)
+    cover = np.zeros(2049)
+    for pattern, uses in solved.items():
+        assert sum(n * k for n, k in pattern) <= 2048
+        for n, k in pattern:
+            cover[n] += k * uses
+    assert np.allclose(cover, counts) and packing.lower_bound(counts, 2048) <= bound <= sum(solved.values()) + 1e-6
+    assert found.by_program >= 0.8 * found.sequences and bound - 1e-6 <= found.sequences <= sum(solved.values()) + len(solved)
+    assert found.sequences <= 1.03 * bound + 2
+    place = {n: sorted(zip(found.first[n], found.times[n], strict=True)) for n in found.first}
+    assert all(place[n][0][0] == 0 for n in place) and packing.plan(np.zeros(2049, np.int64), 2048).sequences == 0
+
+
+def test_knapsack_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(40):
+        weights, limits = np.zeros(31), np.zeros(31, int)
+        for n in rng.sample(range(1, 31), 5):
+            weights[n], limits[n] = rng.random() * n, rng.randint(1, 4)
+        lengths = np.nonzero(limits)[0].tolist()
+        fills = packing.Fills(weights, limits, 30)
+        want = max(sum(k * weights[n] for k, n in zip(ks, lengths, strict=True)) for ks in itertools.product(*(range(limits[n] + 1) for n in lengths)) if sum(k * n for k, n in zip(ks, lengths, strict=True)) <= 30)
+        pattern = fills.chosen(np.array([30]))[0]
+        assert abs(fills.best[30] - want) < 1e-9 and abs(sum(weights[n] * k for n, k in pattern.items()) - want) < 1e-9 and all(k <= limits[n] for n, k in pattern.items())
 
 
 def test_urls(spark):
