@@ -6,10 +6,10 @@
    place in the interval is below the shingle's count. A point goes to one component, which keeps its first one. Two nodes
    agree in a component with a probability equal to their weighted Jaccard similarity.
 3. Components are banded, and buckets are compared with one leader each, the member that meets most others. Pairs are
-   verified exactly, as the overlap of the multisets.
-4. A leader is not alike all members that are alike each other. Where a bucket is left with several connected components, members
-   beyond its leader's are held against all members in blocks of bounded size by their signatures, and what may be alike is
-   verified exactly: first the few best for each, then, for those still apart, all of the rest.
+   verified exactly, as the overlap of the multisets: one pair for each member of a bucket.
+4. A leader is not alike all members that are alike each other. In a bucket whose members are in several connected components,
+   members outside its largest component are held against the others by their signatures, in blocks of bounded size. The best few
+   partners of each are verified exactly; then, for buckets that still have several components, all that longer signatures leave open.
 No step holds a bucket in one task or writes all of its pairs.
 """
 
@@ -20,18 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeledger.llm.components import components
-from routeledger.llm.shared import cut, needs, written
+from routeledger.llm.shared import discard, needs, written
 from routeledger.llm.words import GOLDEN, Memo, chunked, lower_memo, mix, runs, shingles, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of rows: pairs at the threshold share a band with a probability of 0.9993.
 BANDS, ROWS = 24, 6
 #: Members of a block in which signatures are compared.
-BLOCK = 256
+BLOCK = 4096
+#: Partners of a member that are verified before all are.
+BEST = 3
 #: Components of the signatures of members that no link reaches.
 LONG = 768
 #: Standard errors below the threshold down to which an estimated similarity is verified.
@@ -134,47 +136,51 @@ def _first_points(out, doc, seed, low, width, of, m, until) -> None:
         steps = min(2 * steps, 64)
 
 
-def word_digest(docs: DataFrame) -> DataFrame:
-    """doc_id and `digest` (of a text's words in order), `words`; rows without doc_id or words are left out."""
+def signed_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, `digest` (of a text's words in order), `keys` (a hash for each band) and `sig` (the low byte of each component); rows
+    without doc_id or words are left out. Texts are read once, where they are; a batch's copies share one signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = lower_memo()
         for batch in batches:
-            split = [(t or "").lower().split() for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "words": [len(w) for w in split],
-                "digest": [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in split],
-            })
+            digests = [xxhash.xxh3_128_digest(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass")) for t in batch["text"]]
+            batch = batch.assign(digest=digests)[[d != NO_WORDS for d in digests]]
+            once = batch.drop_duplicates("digest")
+            for x, y in chunked(list(once["text"])):
+                part = once.iloc[x:y]
+                keys, low = banded(bag_minhash(Bags(list(part["text"]), memo), bands * rows), bands, rows)
+                signed = pd.DataFrame({"digest": part["digest"], "keys": list(keys), "sig": [r.tobytes() for r in low]})
+                yield batch[["doc_id", "digest"]].merge(signed, on="digest")
+
+    return needs(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, digest binary, keys array<long>, sig binary")
+
 
-    rows = needs(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    return rows.mapInPandas(run, "doc_id long, words long, digest binary").where("words > 0")
+#: The digest of a text without words.
+NO_WORDS = xxhash.xxh3_128_digest(b"")
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id and `node`, the least doc_id of the same words, for rows with a doc_id and words."""
-    digests = written(word_digest(docs).select("doc_id", "digest"))
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    return written(digests.join(least, "digest").select("doc_id", "node"))
+def banded(times: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of signatures, and the low byte of every component."""
+    # The last bits of a time may depend on how a processor takes logarithms.
+    sig = mix(times.view(np.uint64) >> np.uint64(20))
+    key = np.tile(np.arange(bands, dtype=np.uint64), (len(times), 1))
+    for j in range(rows):
+        key = mix(key * GOLDEN ^ sig[:, j::rows])
+    return key.view(np.int64), (sig & np.uint64(255)).astype(np.uint8)
 
 
-def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, `keys` (a hash for each band) and `sig` (the low byte of each component)."""
-    m = bands * rows
+def signatures(texts: DataFrame, components: int) -> DataFrame:
+    """id and `sig` (the low byte of each component) of texts (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = lower_memo()
         for batch in batches:
             for x, y in chunked(list(batch["text"])):
                 part = batch.iloc[x:y]
-                times = bag_minhash(Bags(list(part["text"]), memo), m)
-                # The last bits of a time may depend on how a processor takes logarithms.
-                sig = mix(times.view(np.uint64) >> np.uint64(20))
-                key = np.tile(np.arange(bands, dtype=np.uint64), (len(part), 1))
-                for j in range(rows):
-                    key = mix(key * GOLDEN ^ sig[:, j::rows])
-                low = (sig & np.uint64(255)).astype(np.uint8)
-                yield pd.DataFrame({"id": part["id"], "keys": list(key.view(np.int64)), "sig": [x.tobytes() for x in low]})
+                low = banded(bag_minhash(Bags(list(part["text"]), memo), components), 1, components)[1]
+                yield pd.DataFrame({"id": part["id"], "sig": [r.tobytes() for r in low]})
 
-    return texts.mapInPandas(run, "id long, keys array<long>, sig binary")
+    return texts.mapInPandas(run, "id long, sig binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,26 +207,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     node the least of the same words. A text that is null or has no words is in a class of its own; so is a row without
     doc_id, whose class_id is null. Rows with one doc_id are one document, linked by the text of any of them.
     """
-    same = nodes_of(docs)
-    reps = same.select(F.col("node").alias("id")).distinct()
-    texts = needs(docs, "doc_id", "text").toDF("id", "text").join(reps, "id", "left_semi").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    signed = written(signatures(texts, bands, rows))
-    keyed = signed.select("id", F.explode("keys").alias("key")).distinct()
+    signed = written(signed_documents(docs, bands, rows))
+    nodes = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(sizes, "key"))  # of buckets with several members
+    ids = members.select("id").distinct()
+    texts = written(needs(docs, "doc_id", "text").toDF("id", "text").where(F.trim("text") != "").join(ids, "id", "left_semi"))
 
     meets = members.groupBy("id").agg(F.sum("n").alias("meets"))
-    ranked = members.join(meets, "id").select("key", "id", "meets")
-    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("leader"))
-    pairs = cut(members.join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    links = cut(verified(pairs, texts, similarity).select("a", "b"))
-    for best in (4, None):
-        classes = components(links)
-        found = cut(_left_over(members, leaders, classes, signed, texts, similarity, best).join(pairs, ["a", "b"], "left_anti"))
-        links = cut(links.union(verified(found, texts, similarity).select("a", "b")))
-        pairs = cut(pairs.union(found))
-    classes = components(links).toDF("node", "class")
-    with_class = same.join(classes, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class"))
+    leaders = written(members.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("leader")))
+    tried = written(members.join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    links = written(verified(tried, texts, similarity).select("a", "b"))
+    classes = components(links)
+    sigs = nodes.select("id", "sig")
+    for best in (BEST, None):
+        at = _open(members.where("n > 2"), leaders, classes)
+        if at.isEmpty():
+            break
+        if best is None:
+            sigs = written(signatures(texts.join(at.select("id").distinct(), "id", "left_semi"), LONG))
+        found = written(_likely(at, sigs, similarity, best).join(tried, ["a", "b"], "left_anti"))
+        more = written(verified(found, texts, similarity).select("a", "b"))
+        discard(at)
+        if not more.isEmpty():
+            tried, links = tried.union(found), links.union(more)
+            classes = components(links)
+    same = signed.select("doc_id", "digest").join(nodes.select("digest", F.col("id").alias("node")), "digest")
+    with_class = same.join(classes, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
     with_class = with_class.groupBy("doc_id").agg(F.min("class").alias("class"), F.min("node").alias("node"))
     return (
         needs(docs, "doc_id").join(with_class, "doc_id", "left")
@@ -228,65 +242,60 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
 
 
-def _left_over(members, leaders, classes, signed, texts, similarity, best) -> DataFrame:
-    """Pairs (a, b) of one bucket that are in different classes and may be alike, by their signatures.
+def _open(members: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, id, class and `apart` (outside the largest class) of members of buckets with several classes, but for the leaders,
+    which all others have met. Buckets of which one member is left besides the leader are done."""
+    named = classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
+    at = members.join(named, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    at = written(at.join(leaders, "key").where("id <> leader").drop("leader"))
+    sizes = at.groupBy("key", "class").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    found = written(at.join(split, "key").select("key", "id", "class", (F.col("class") != F.col("largest")).alias("apart")))
+    discard(at)
+    return found
 
-    In a bucket with several classes, members in other classes than the leader's are held against all members; a pair is
-    taken in the first bucket that it shares. `best`: so many of the likeliest in a block for each member; None: all, by
-    signatures of LONG components, which tell pairs below the threshold better.
-    """
-    named = lambda name: classes.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
-    at = members.join(named("id"), "id", "left").select("key", "id", F.coalesce("id_class", "id").alias("class"))
-    lead = leaders.join(named("leader"), "leader", "left").select("key", F.coalesce("leader_class", "leader").alias("lead"))
-    split = at.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key", "n")
-    at = cut(at.join(split, "key").join(lead, "key"))
-    sig = signed.select("id", "keys", "sig")
-    if best is None:
-        open_ids = at.select("id").distinct()
-        longer = signatures(texts.join(open_ids, "id", "left_semi"), LONG // ROWS, ROWS).select("id", "sig")
-        sig = cut(sig.drop("sig").join(longer, "id"))
-
-    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).alias("block")
-        dealt = rows.join(sig, "id").select("key", block, F.struct("id", "class", "keys", "sig").alias("x"))
-        return dealt.groupBy("key", "block").agg(F.collect_list("x").alias(name)).drop("block")
-
-    rest = at.where("class <> lead")
-    n_rest = rest.groupBy("key").agg(F.count("*").alias("n_rest"))
-    met = blocks(rest.join(n_rest, "key"), "n_rest", "some").join(blocks(at.join(n_rest, "key", "left_semi"), "n", "all"), "key")
+
+def _likely(at: DataFrame, sigs: DataFrame, similarity: float, best: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different classes that may be alike by their signatures; `best`: so many of the likeliest for each
+    member outside its bucket's largest class; None: all."""
+    with_sig = at.join(sigs, "id")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        n = rows.groupBy("key").agg(F.count("*").alias("n"))
+        dealt = rows.join(n, "key").select("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("block"), F.struct("id", "class", "sig").alias("x"))
+        packed = dealt.groupBy("key", "block").agg(F.collect_list("x").alias("x"))
+        return packed.select("key", *(F.col(f"x.{c}").alias(f"{name}_{c}") for c in ("id", "class", "sig")))
+
+    met = blocks(with_sig.where("apart"), "own").join(blocks(with_sig, "other"), "key")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
-            for here, some, everyone in zip(batch["key"], batch["some"], batch["all"], strict=True):
-                (ids, of, keys, sigs), (their_ids, their, their_keys, their_sigs) = _columns(some), _columns(everyone)
-                least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / sigs.shape[1])
-                for i in range(len(ids)):
-                    agree = (their_sigs == sigs[i]).mean(axis=1)
-                    likely = np.nonzero((agree >= least) & (their != of[i]))[0]
+            out = [pd.DataFrame({"id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "agree": np.empty(0)})]
+            for row in batch.itertuples(index=False):
+                own, other = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (row.own_sig, row.other_sig))
+                least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / own.shape[1])
+                for i in range(len(own)):
+                    agree = (other == own[i]).mean(axis=1)
+                    likely = np.nonzero((agree >= least) & (row.other_class != row.own_class[i]))[0]
                     if best is not None and len(likely) > best:
                         likely = likely[np.argsort(-agree[likely], kind="stable")[:best]]
-                    elif best is None:
-                        likely = likely[keys[i][(their_keys[likely] == keys[i]).argmax(axis=1)] == here]
-                    out.append(pd.DataFrame({"a": np.minimum(ids[i], their_ids[likely]), "b": np.maximum(ids[i], their_ids[likely])}))
-            yield pd.concat(out).drop_duplicates()
-
-    return met.select("key", "some", "all").mapInPandas(compare, "a long, b long").distinct()
-
+                    if len(likely):
+                        out.append(pd.DataFrame({"id": row.own_id[i], "other": row.other_id[likely], "agree": agree[likely]}))
+            yield pd.concat(out).drop_duplicates(["id", "other"])
 
-def _columns(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (
-        np.array([r["id"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), np.array([r["keys"] for r in rows], np.int64),
-        np.frombuffer(b"".join(bytes(r["sig"]) for r in rows), np.uint8).reshape(len(rows), -1),
-    )
+    found = met.mapInPandas(compare, "id long, other long, agree double")
+    if best is not None:
+        first = Window.partitionBy("id").orderBy(F.desc("agree"), "other")
+        found = found.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= best)
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without copies and near copies: one row of each class, that of its least doc_id, with all columns.
 
-    Rows without doc_id all stay.
+    Of rows that repeat this doc_id the least by text stays. Rows without doc_id all stay.
     """
     kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    alone = docs.where(docs["doc_id"].isNull())
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(alone)
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)))
+    own = docs.join(kept, "doc_id", "left_semi").select("*", F.row_number().over(first).alias("_place")).where("_place = 1").drop("_place")
+    return own.select(*docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))

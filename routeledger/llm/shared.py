@@ -35,7 +35,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that `written` gave, once nothing that is still to run reads it."""
+    _remove(df.sparkSession, df.scratch)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
