@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts discover.
 
-Matches of the fixed patterns are the seeds. Words with a digit that are no part of a seed are candidates. The two words
-before the word in which a seed or candidate begins are its lexical pattern; patterns and instances form a bipartite graph. A pattern's score is
-the share of its instances' scores, an instance's the best of its patterns', and seeds stay at 1; a few rounds of this
-run as joins of the counted edges. Candidates after patterns of high confidence, with enough different seeds, are added.
-All of it is DataFrame functions: matches and their places come from splitting a text at the pattern.
+Matches of the fixed patterns are the seeds, and so are long hexadecimal keys. Other words with a digit are candidates. Seeds and
+candidates are instances; the two words before an instance, the two after it, and the ones on either side of it are its lexical
+patterns. Patterns and instances form a bipartite graph, which is scored in rounds: a pattern's confidence is the mean score of its
+different instances, and a pattern of high confidence whose instances' scores add up to enough lifts its instances to its confidence.
+What one round finds counts for the patterns of the next, so discovered identifiers induce patterns in turn. Candidates and keys in
+confident patterns are added to the fixed patterns' matches.
+All of it is DataFrame functions. Places come from sums of sums over blocks of a text's words and matches, so that a text of
+n of them costs about n * sqrt(n) small steps, and no list is copied for each of its members.
 """
 
 from __future__ import annotations
@@ -27,11 +30,15 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9
 #: The kind under which discovered identifiers are listed, after the others.
 FOUND = "id"
 KINDS = [*PATTERNS, FOUND]
-CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9]*+[0-9]\S*+"
+#: A key, which is a seed though no match of the fixed patterns.
+KEY = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
 #: Candidates have so many characters at least.
 LEAST_LENGTH = 6
-ROUNDS, CONFIDENCE, LEAST_SEEDS = 3, 0.8, 5
+#: Rounds of scoring at most; a pattern's least confidence, and the least sum of its instances' scores.
+ROUNDS, CONFIDENCE, SUPPORT = 6, 0.8, 5
 SPAN = "array<struct<start: long, kind: int, end: long>>"
+#: Signs around a word that are not its own.
+AROUND = (r"^[(\[{\"'«“<]*", r"[)\]}\"'»”>.,;:!?#$%&*]*$")
 
 
 def digits(match: Column) -> Column:
@@ -61,18 +68,39 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern in order: match, start (code points), and what lies between the match before and it."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.element_at(between, (i + 1).cast("int")).alias("before")))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.expr("cast(array() as array<struct<match: string, start: long, before: string>>)").alias("out"))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: within a lambda an expression would be computed for each item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocked(items: Column) -> Column:
+    """An array in blocks of about the square root of its size; none of an empty one. `items` is a name or bound by `let`."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), width)
+    return F.filter(F.transform(starts, lambda at: F.slice(items, at, width)), lambda part: F.size(part) > 0)
+
+
+def summed(items: Column, size) -> Column:
+    """struct(item, before) for each item of an array: `before` adds up the sizes of the items before it."""
+    add = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda acc, x: acc + size(x))
+
+    def within(part: Column, start: Column) -> Column:
+        return F.transform(part["part"], lambda x, i: F.struct(x.alias("item"), (start + add(F.slice(part["part"], 1, i))).alias("before")))
+
+    def placed(parts: Column) -> Column:
+        upto = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0).cast("long"), lambda acc, p: acc + p["sum"])
+        return F.flatten(F.transform(parts, lambda part, i: let(upto(i), lambda start: within(part, start))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["end"] + F.length(x["before"])
-        one = F.struct(x["match"].alias("match"), start.alias("start"), x["before"].alias("before"))
-        return F.struct((start + F.length(x["match"])).cast("long").alias("end"), F.concat(acc["out"], F.array(one)).alias("out"))
+    return let(F.transform(let(items, blocked), lambda part: F.struct(part.alias("part"), add(part).alias("sum"))), placed)
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+def located(text: Column, pattern: str) -> Column:
+    """Matches of a pattern in order, with the places where they begin, in code points: match, start and i."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    gap = lambda gaps, i: F.length(F.element_at(gaps, (i + 1).cast("int")))
+    pairs = let(between, lambda gaps: F.transform(found, lambda m, i: F.struct(m.alias("match"), gap(gaps, i).alias("gap"), i.alias("i"))))
+    placed = summed(pairs, lambda x: x["gap"] + F.length(x["match"]))
+    return F.transform(placed, lambda x: F.struct(x["item"]["match"].alias("match"), (x["before"] + x["item"]["gap"]).alias("start"), x["item"]["i"].alias("i")))
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -88,76 +116,103 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def context(text: Column, start: Column) -> Column:
-    """The two words before the word that holds a place of a text, in lower case; an empty string if there are fewer."""
-    two = r"(\S++\s++\S++)\s++\S*+$"
-    whole = lambda: F.regexp_extract(text.substr(F.lit(1), start.cast("int")), rf"(?:^|\s){two}", 1)
-    near = F.regexp_extract(text.substr((start - 199).cast("int"), F.lit(200)), rf"\s{two}", 1)
-    # Only where words are so long that 200 characters don't hold them all that comes before is looked at.
-    return F.lower(F.when(start <= 200, whole()).when(near != "", near).otherwise(whole()))
+def met_spans(spans: Column) -> Column:
+    """Sorted spans in blocks with the places that a block reaches from and to."""
+    return F.transform(let(spans, blocked), lambda part: F.struct(
+        part.alias("part"), F.element_at(part, 1)["start"].alias("lo"), F.aggregate(part, F.lit(0).cast("long"), lambda acc, s: F.greatest(acc, s["end"])).alias("hi"),
+    ))
+
 
+def first_met(blocks: Column, start: Column, end: Column) -> Column:
+    """The first of the spans that overlap a place, or null."""
+    near = F.filter(blocks, lambda b: (b["lo"] < end) & (b["hi"] > start))
+    return F.get(F.filter(F.flatten(F.transform(near, lambda b: b["part"])), lambda s: (s["start"] < end) & (s["end"] > start)), F.lit(0))
 
-def near_words(text: Column, found: Column) -> Column:
-    """match, start and context of found matches (match, start)."""
-    return F.transform(found, lambda x: F.struct(x["match"].alias("match"), x["start"].cast("long").alias("start"), context(text, x["start"]).alias("context")))
 
+def instances(texts: DataFrame) -> DataFrame:
+    """row, start, end, instance, patterns (an array of hashes), seed and base of every instance of texts (row, text, base): base spans,
+    keys, and other words with a digit that meet no base span. Of base spans that begin in one word the first counts."""
+    marked = F.filter(located(F.col("text"), r"\S+"), lambda x: x["match"].rlike("[0-9@]"))
 
-def numbered_words(text: Column) -> Column:
-    """Words with a digit that are long enough: match, start and context."""
-    return F.when(text.rlike("[0-9]"), near_words(text, F.filter(located(text, CANDIDATE), lambda x: F.length(x["match"]) >= LEAST_LENGTH)))
+    def judged(blocks: Column) -> Column:
+        met = lambda x: first_met(blocks, x["start"], x["start"] + F.length(x["match"]))
+        return F.transform(marked, lambda x: F.struct(x.alias("word"), met(x).alias("span")))
 
+    # A word in which a base span only goes on is no instance of its own.
+    own = lambda x: F.when(x["span"].isNull(), x["word"]["match"].rlike("[0-9]")).otherwise(x["span"]["start"] >= x["word"]["start"])
 
-def seeds(text: Column, base: Column) -> Column:
-    """The base spans, of any kind, but those within a longer one: match, start and context."""
-    longer = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    outer = F.filter(base, lambda s: ~F.exists(base, lambda o: longer(s, o)))
-    return near_words(text, F.transform(outer, lambda s: F.struct(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("match"), s["start"].alias("start"))))
+    def described(x: Column) -> Column:
+        word, base = x["word"]["match"], x["span"].isNotNull()
+        head, tail = (F.length(F.regexp_extract(word, around, 0)) for around in AROUND)
+        start = F.when(base, x["span"]["start"]).otherwise(x["word"]["start"] + head)
+        end = F.when(base, x["span"]["end"]).otherwise(x["word"]["start"] + F.length(word) - tail)
+        inside = word.substr((head + 1).cast("int"), (F.length(word) - head - tail).cast("int"))
+        value = F.when(base, F.col("text").substr((start + 1).cast("int"), (end - start).cast("int"))).otherwise(inside)
+        return F.struct(x["word"]["i"].alias("i"), start.alias("start"), end.alias("end"), value.alias("value"), base.alias("base"))
 
+    long_enough = lambda x: x["base"] | (F.length(x["value"]) >= LEAST_LENGTH) & x["value"].rlike("[0-9]")
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """row, start, end, instance (a hash), pattern and seed of the base spans, which are the seeds, and of other words with a
-    digit; texts has row, base, words and seeds."""
-    seen = texts.select("row", "base", F.explode("words").alias("x"))
-    start, end = F.col("x.start"), F.col("x.start") + F.length("x.match")
-    meets = F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
-    # Sentence marks around a word are not its own.
-    head = F.length(F.regexp_extract("x.match", r"^[(\[{\"'«“]*", 0))
-    tail = F.length(F.regexp_extract("x.match", r"[)\]}\"'»”.,;:!?]*$", 0))
-    hashes = F.xxhash64("x.match").alias("instance"), F.when(F.col("x.context") != "", F.xxhash64("x.context")).alias("pattern")
-    others = seen.where(~meets).select("row", (start + head).alias("start"), (end - tail).alias("end"), *hashes, F.lit(False).alias("seed"))
-    known = texts.select("row", F.explode("seeds").alias("x")).select("row", start.alias("start"), end.alias("end"), *hashes, F.lit(True).alias("seed"))
-    return others.union(known).where("pattern IS NOT NULL AND end > start")
+    def with_patterns(words: Column) -> Column:
+        def patterns(x: Column) -> Column:
+            last = x["i"] + F.size(F.split(x["value"], r"\s+")) - 1  # phones and cards may have spaces
+            at = lambda i: F.lower(F.get(words, i.cast("int")))
+            both = lambda kind, a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(F.lit(kind), a, b))
+            return F.array_compact(F.array(both("before", at(x["i"] - 2), at(x["i"] - 1)), both("around", at(x["i"] - 1), at(last + 1)), both("after", at(last + 1), at(last + 2))))
 
+        return F.transform("found", lambda x: F.struct(x.alias("x"), patterns(x).alias("patterns")))
 
-def confident_patterns(seen: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """Patterns whose score over the graph of patterns and instances reaches `confidence`, with enough different seeds."""
-    edges = written(seen.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")))
-    # Only patterns that precede seeds of several kinds of values can ever be confident.
-    able = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= least_seeds).select("pattern")
-    graph = written(edges.join(able, "pattern"))
-    scores = graph.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    patterns = None
+    seen = texts.where(F.col("text").rlike("[0-9@]"))
+    # Only what is found is kept of a text, and only then are its words looked at again.
+    seen = seen.select("row", "text", let(met_spans(F.col("base")), judged).alias("judged"))
+    seen = seen.select("row", "text", F.filter(F.transform(F.filter("judged", own), described), long_enough).alias("found")).where(F.size("found") > 0)
+    each = seen.select("row", F.explode(let(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), with_patterns)).alias("y")).select("row", "y.x", "y.patterns")
+    value = F.col("x.value")
+    return each.select("row", "x.start", "x.end", F.xxhash64(F.lower(value)).alias("instance"), "patterns", (F.col("x.base") | value.rlike(KEY)).alias("seed"), "x.base")
+
+
+def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
+    """Patterns of high confidence and support over the graph of patterns and instances: edges (pattern, instance, seed).
+
+    Scores only rise, so patterns once confident stay so; rounds end when confidence does not change.
+    """
+    graph = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    # A pattern of fewer different instances can't reach the support.
+    able = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
+    graph = written(graph.join(able, "pattern"))
+    scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    good, before = None, None
     for _ in range(rounds):
-        patterns = graph.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"))
-        best = graph.join(patterns, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("confidence").alias("best"))
-        scores = best.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("best")).alias("score"))
-    return patterns.where(F.col("confidence") >= confidence).select("pattern")
+        scored = graph.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"))
+        good = written(scored.where((F.col("confidence") >= confidence) & (F.col("support") >= support)))
+        reached = good.agg(F.count("*"), F.round(F.sum("confidence"), 6)).first()
+        if reached == before:
+            break
+        before = reached
+        lifted = graph.join(good, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
+        own = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("own"))
+        scores = own.join(lifted, "instance", "left").select("instance", F.greatest("own", F.coalesce("best", F.lit(0.0))).alias("score"))
+    return good.select("pattern")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (matches of the fixed patterns), base_sha256 and spans (with discovered ones).
+    """doc_id, n_email, n_ip, n_card, n_phone (matches of the fixed patterns), base_sha256, spans (with discovered ones) and n_found (those).
 
-    A null text counts as empty, and an empty one has no spans. Repeated rows and rows without doc_id are judged each.
+    A null text counts as empty, and an empty one has no spans; long texts are searched whole. Repeated rows and rows without doc_id are
+    judged each; other columns, whatever their names, are left out. An empty table gives no rows.
     """
     texts = needs(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = F.array_sort(F.concat(*(spans_of(F.col("text"), kind) for kind in PATTERNS)))
-    matched = texts.select("doc_id", "text", base.alias("base"))
-    found = written(matched.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "base", numbered_words(F.col("text")).alias("words"), seeds(F.col("text"), F.col("base")).alias("seeds")))
-    seen = written(candidates(found))
-    good = confident_patterns(seen)
-    added = seen.where(~F.col("seed")).join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
-    added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index(FOUND)).alias("kind"), "end")).alias("added"))
-    met = found.drop("words", "seeds").join(added, "row", "left")
+    # A row's number is fixed once it is written; it tells equal rows apart.
+    found = written(texts.select("doc_id", "text", base.alias("base")).withColumn("row", F.monotonically_increasing_id()))
+    seen = written(instances(found))
+    good = confident_patterns(seen.select(F.explode("patterns").alias("pattern"), "instance", "seed"))
+    told = seen.where(~F.col("base")).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    added = told.join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
+    added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index(FOUND)).alias("kind"), "end")).alias("added"))  # of one text
+    met = found.drop("text").join(added, "row", "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {SPAN})"))))
-    return met.select("doc_id", *(count(k) for k in PATTERNS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"))
+    return met.select(
+        "doc_id", *(count(k) for k in PATTERNS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"),
+        F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_found"),
+    )
