@@ -22,6 +22,8 @@ from routeledger.llm.shared import cut, needs, written
 
 #: Places of a conversation whose messages are numbered together.
 RANGE = 64
+#: Levels of a JSON value at most.
+MOST_NESTED = 100
 TYPES = {
     "string": lambda v: isinstance(v, str),
     "boolean": lambda v: isinstance(v, bool),
@@ -98,15 +100,31 @@ def references(value) -> list[str]:
     return sorted({r for v in value for r in references(v)}) if isinstance(value, list) else []
 
 
+def refused(constant: str):
+    raise ValueError(f"{constant} is no JSON value")
+
+
+def finite(number: str) -> float:
+    value = float(number)
+    return value if abs(value) < float("inf") else refused(number)
+
+
 def loaded(text: str | None):
-    """A JSON object in a text, or None."""
+    """A JSON object in a text, or None. NaN, infinities and numbers beyond the range of doubles are no JSON, nor is what is nested
+    more than MOST_NESTED deep; halves of surrogate pairs that stand alone become U+FFFD."""
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=refused, parse_float=finite)
+        if "\\ud" in text.lower():
+            whole = json.dumps(value, ensure_ascii=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            value = json.loads(whole)
     except (ValueError, RecursionError):
         return None
-    return value if isinstance(value, dict) else None
+    level = [value]
+    for _ in range(MOST_NESTED):
+        level = [v for x in level if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+    return value if isinstance(value, dict) and not level else None
 
 
 def parsed(turns: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -119,7 +137,7 @@ def parsed(turns: DataFrame, tools: dict[str, dict]) -> DataFrame:
             content = value.get("content")
             yield conv, turn, role, "result", 0, value["tool_call_id"], None, None, None, [], content if isinstance(content, str) else canonical(content)
             return
-        if not isinstance(calls, list) or not all(isinstance(c, dict) for c in calls):
+        if not isinstance(calls, list) or not calls or not all(isinstance(c, dict) for c in calls):
             yield conv, turn, role, "message", 0, None, None, None, None, [], text
             return
         if value.get("content"):
@@ -132,7 +150,7 @@ def parsed(turns: DataFrame, tools: dict[str, dict]) -> DataFrame:
             wrong = None
             if not isinstance(call.get("id"), str):
                 wrong = "no id"
-            elif name not in tools:
+            elif not isinstance(name, str) or name not in tools:
                 wrong = "unknown tool"
             elif not isinstance(arguments, dict):
                 wrong = "arguments are no object"
@@ -155,26 +173,28 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """conv, call_id, `base` (the turn and number after which a call may stand), depth and `cyclic`; calls have conv.
+def levels(calls: DataFrame, answers: DataFrame) -> DataFrame:
+    """conv, call_id, `base` (the turn and number after which a call may stand), depth and `cyclic`; calls have conv; answers have
+    conv, call_id and `said`, the place of a call's result.
 
-    A call stands at the latest of its own place and those of the calls that it depends on. Each round settles the calls
-    whose references are all settled; what remains when a round settles none is on a cycle or behind one. As many rounds
+    A call stands at the latest of its own place and those of the calls that it depends on and of their results. Each round settles the
+    calls whose references are all settled; what remains when a round settles none is on a cycle or behind one. As many rounds
     as the longest chain of calls has are run, whatever the number of references.
     """
     own = calls.select("conv", "call_id", F.struct("turn", "call").alias("own"), "refs")
     needed = own.select("conv", "call_id", F.explode("refs").alias("ref")).distinct()
     needed = cut(needed.join(own.select("conv", F.col("call_id").alias("ref")).distinct(), ["conv", "ref"]))
-    places = own.groupBy("conv", "call_id").agg(F.min("own").alias("base")).withColumn("depth", F.lit(0))
+    places = own.groupBy("conv", "call_id").agg(F.min("own").alias("base")).withColumn("depth", F.lit(0)).join(answers, ["conv", "call_id"], "left")
     waits = needed.select("conv", "call_id").distinct().withColumn("waits", F.lit(True))
     places = cut(places.join(waits, ["conv", "call_id"], "left").withColumn("waits", F.coalesce("waits", F.lit(False))))
+    behind = F.greatest("base", F.coalesce("said", "base"))
     left = places.where("waits").count()
     while left:
-        of = places.select("conv", F.col("call_id").alias("ref"), F.col("base").alias("other"), F.col("depth").alias("below"), F.col("waits").alias("open"))
+        of = places.select("conv", F.col("call_id").alias("ref"), behind.alias("other"), F.col("depth").alias("below"), F.col("waits").alias("open"))
         heard = needed.join(of, ["conv", "ref"]).groupBy("conv", "call_id").agg(F.max(F.when(~F.col("open"), F.col("other"))).alias("other"), F.max(F.when(~F.col("open"), F.col("below"))).alias("below"), F.max("open").alias("open"))
         met = places.join(heard, ["conv", "call_id"], "left")
         places = cut(met.select(
-            "conv", "call_id", F.when(F.col("waits"), F.greatest("base", F.coalesce("other", "base"))).otherwise(F.col("base")).alias("base"),
+            "conv", "call_id", "said", F.when(F.col("waits"), F.greatest("base", F.coalesce("other", "base"))).otherwise(F.col("base")).alias("base"),
             F.when(F.col("waits"), F.greatest("depth", F.coalesce(F.col("below") + 1, "depth"))).otherwise(F.col("depth")).alias("depth"),
             (F.col("waits") & F.col("open")).alias("waits"),
         ))
@@ -184,12 +204,12 @@ def levels(calls: DataFrame) -> DataFrame:
     # On and behind cycles only places are passed on, until none moves: they only grow, and never beyond the latest.
     moved = left > 0
     while moved:
-        of = places.where("waits").select("conv", F.col("call_id").alias("ref"), F.col("base").alias("other"))
+        of = places.where("waits").select("conv", F.col("call_id").alias("ref"), behind.alias("other"))
         heard = needed.join(of, ["conv", "ref"]).groupBy("conv", "call_id").agg(F.max("other").alias("other"))
         late = F.greatest("base", F.coalesce("other", "base"))
-        found = cut(places.join(heard, ["conv", "call_id"], "left").select("conv", "call_id", late.alias("base"), "depth", "waits", (late > F.col("base")).alias("moved")))
+        found = cut(places.join(heard, ["conv", "call_id"], "left").select("conv", "call_id", "said", late.alias("base"), "depth", "waits", (late > F.col("base")).alias("moved")))
         places, moved = found.drop("moved"), not found.where("moved").isEmpty()
-    return places.withColumnRenamed("waits", "cyclic")
+    return places.drop("said").withColumnRenamed("waits", "cyclic")
 
 
 def positions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -244,9 +264,9 @@ def format_chats(turns: DataFrame, tools: dict[str, dict] | None = None) -> Data
 def _linked(rows: DataFrame, calls: DataFrame) -> DataFrame:
     """Rows with base, depth and status; results meet their calls by conversation and identifier."""
     calls = keyed(calls)
-    placed = levels(calls)
-    first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "call")).alias("first"))
     results = keyed(rows.where("kind = 'result'")).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
+    placed = levels(calls, results.select("conv", "call_id", F.struct(F.col("answer.turn").alias("turn"), F.lit(0).alias("call")).alias("said")))
+    first = calls.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "call")).alias("first"))
     known = placed.join(first, ["conv", "call_id"]).join(results, ["conv", "call_id"], "left")
     known = known.select(F.col("conv").alias("of"), F.col("call_id").alias("of_call"), F.col("base").alias("call_base"), F.col("depth").alias("call_depth"), "cyclic", "first", "answer")
     named = keyed(rows)
