@@ -8,7 +8,7 @@ DataFrame functions; components are found by distributed label propagation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeledger.llm.components import components
@@ -43,13 +43,29 @@ def node_of(after: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_extract(after, r"^[^/?#]*([^#]*)", 1)))
 
 
-def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Add `rule` and `ruled`, those of the longest rule that fits `host` and `path`, or nulls."""
-    fits, rule, ruled = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for host, path, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):  # a later one is longer
-        fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
-        rule, ruled = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(ruled)
-    return df.withColumn("rule", rule).withColumn("ruled", ruled)
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rules (host, path, verdict) as a table."""
+    each = [F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("host", "path", "verdict"), strict=True))) for r in rules]
+    none = "cast(array() as array<struct<host: string, path: string, verdict: string>>)"
+    return spark.range(1).select(F.explode(F.array(*each) if each else F.expr(none)).alias("r")).select("r.*")
+
+
+def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add `rule` and `ruled`, those of the longest rule that fits `host` and `path`, or nulls.
+
+    The suffixes of the different hosts are hash-joined with the rules' hosts; what remains of a host's rules, those of its own
+    suffixes, meets each of its rows. Of rules of one length the greatest by host, path and verdict counts.
+    """
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = df.select("host").where("host <> ''").distinct().select(F.col("host").alias("of"), F.explode(suffixes).alias("suffix"))
+    size = F.length(F.concat(rules["host"], rules["path"]))
+    fit = hosts.join(rules, hosts["suffix"] == rules["host"]).groupBy("of").agg(
+        F.collect_set(F.struct(size.alias("size"), rules["host"].alias("host"), rules["path"].alias("path"), rules["verdict"].alias("verdict"))).alias("fit")
+    )
+    met = df.join(fit, df["host"] == fit["of"], "left")
+    best = F.array_max(F.filter("fit", lambda r: met["path"].startswith(r["path"])))
+    return met.withColumn("_best", best).select(*(met[c] for c in df.columns), F.concat("_best.host", "_best.path").alias("rule"), F.col("_best.verdict").alias("ruled"))
 
 
 def without_dots(path: Column) -> Column:
@@ -96,16 +112,17 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select(node_of(F.col("after")).alias("a"), target(F.col("link"), F.col("after")).alias("b")).where("a <> b")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
     """Judge pages (page_id, url, html): page_id, host, path, rule, verdict.
 
-    redirects, if given, has from_url and to_url. A null url, or one without `://`, has empty host and path, no rule
+    rules has host, path and verdict (block or allow). redirects, if given, has from_url and to_url. A null url, or one without `://`, has empty host and path, no rule
     and no aliases, and is allowed; null html has no links. Repeated pages are judged each; an empty table gives none.
     """
     read = needs(pages, "page_id", "url", "html")
+    rules = rule_table(pages.sparkSession, rules) if isinstance(rules, list) else needs(rules, "host", "path", "verdict").dropna()
     after = F.coalesce(rest(F.col("url")), F.lit(""))
-    read = with_rule(read.withColumn("host", host_of(after)).withColumn("path", path_of(after)), rules)
-    edges = links(read)
+    own = read.withColumn("host", host_of(after)).withColumn("path", path_of(after))
+    edges, read = links(own), with_rule(own, rules)
     if redirects is not None:
         ends = needs(redirects, "from_url", "to_url")
         edges = edges.union(ends.select(node_of(rest(F.col("from_url"))), node_of(rest(F.col("to_url")))).where("from_url <> to_url"))
