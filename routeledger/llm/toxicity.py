@@ -76,19 +76,21 @@ def ftrl(rows: list[tuple[np.ndarray, int]], rates: Rates) -> tuple[np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> dict[int, float]:
     """Weights by place, learned from the rows of `labels` (doc_id, toxic) that are given; null labels are left out.
 
-    A doc_id with several labels counts once, as toxic if one of them says so. Without any labelled row all scores are 0.5.
+    A doc_id with several labels counts once, as toxic if one of them says so, and one with several texts with the least of them. Without any labelled row all scores are 0.5.
     """
     known = needs(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     total = known.count()
     if total > sample_rows:
-        known = known.where(order < int((1 << 30) * sample_rows / total)).limit(sample_rows)
+        some = min(1 << 30, int((1 << 30) * sample_rows / total * 1.2) + (1 << 20))
+        known = known.where(order < some).orderBy(order, "doc_id").limit(sample_rows)  # always the same rows
     # At most sample_rows rows, so that broadcasting them is safe.
-    some = needs(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).withColumn("shard", F.pmod(order, F.lit(rates.shards)))
+    some = needs(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    some = some.withColumn("shard", F.pmod(order, F.lit(rates.shards)))
 
     def learn(shard: pd.DataFrame) -> pd.DataFrame:
         memo = word_memo()
-        shard = shard.sort_values("order", kind="stable")
+        shard = shard.sort_values(["order", "doc_id"], kind="stable")
         rows = [(np.unique(features(t, memo)).astype(np.int32), int(y)) for t, y in zip(shard["text"], shard["toxic"], strict=True)]
         places, w = ftrl(rows, rates)
         return pd.DataFrame({"place": places, "w": w})

@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -220,6 +221,86 @@ def test_urls_of_all_tags_and_relative_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}
 
 
+def test_urls_of_random_graphs_against_brute_force(spark):
+    rng = random.Random(8)
+    hosts = ["a.net", "b.example.net", "c.org", "d.io", "e.f.example.com", "g.com", "h.de"]
+    urls_ = [f"http://{h}/{p}" for h in hosts for p in ("", "en/1", "de/2", "fr/3", "x/4", "x/5")]
+    chain = [f"http://chain{i}.io/" for i in range(40)] + ["http://end.net/z"]
+    hub = [f"http://spoke{i}.io/" for i in range(50)]
+    tagged = lambda link: f'<link rel="canonical" href="{link}">'
+    pages = [(i, u, tagged(rng.choice(urls_)) if rng.random() < 0.5 else "") for i, u in enumerate(urls_)]
+    pages += [(100 + i, u, tagged(chain[i + 1]) if i + 1 < len(chain) else None) for i, u in enumerate(chain)]
+    pages += [(200 + i, u, tagged("http://hub.io/")) for i, u in enumerate(hub)] + [(300, "http://hub.io/", "<p>" + "x" * 200_000), (300, "http://hub.io/", "")]
+    table = [(hub[3], "http://www.bad.net/q"), ("http://x.org/fr/", "http://bad.net/"), (None, hub[1]), ("nothing", hub[2])]
+    pages += [(400, "http://x.org/fr/", ""), (401, "http://plain.io", None)]
+    rules = {(h, p): v for h, p, v in urls.CONTRACT_RULES}
+
+    def parts(u):
+        rest = u.split("://", 1)[1]
+        m = re.match(r"([^/?#]*)(/[^?#]*)?", rest)
+        return m[1].lower(), m[2] or ""
+
+    def ruled(u):
+        h, p = parts(u)
+        fit = [(len(a + b), a + b, v) for (a, b), v in rules.items() if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        return max(fit)[1:] if fit else (None, None)
+
+    node = lambda u: u.split("://", 1)[1]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ends = [(u, link) for _, u, html in pages for link in re.findall(r'href="([^"]+)"', html or "")] + [t for t in table if t[0] and "://" in t[0]]
+    for x, y in ends:
+        parent[find(node(x))] = find(node(y))
+    bad = {find(x) for x in list(parent) if ruled("http://" + x)[1] == "block"}
+    want = collections.Counter((i, *parts(u), ruled(u)[0], ruled(u)[1] or ("block" if node(u) in parent and find(node(u)) in bad else "allow")) for i, u, _ in pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("x")).withColumn("of", F.lit(1))
+    got = urls.filter_urls(df, urls.CONTRACT_RULES, spark.createDataFrame(table, "from_url string, to_url string")).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
+    assert {v for (i, *_, v) in want if 100 <= i < 300} == {"block"} and [v for (i, *_, v) in want if i == 400] == ["allow"]
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    rng = random.Random(6)
+    rates = toxicity.Rates(l1=0.5)
+    rows = [(np.array(sorted(rng.sample(range(40), 6))), rng.randint(0, 1)) for _ in range(120)]
+    last = 1 << toxicity.BITS
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == last else (rates.l1, rates.l2)
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((rates.beta + n[i] ** 0.5) / rates.alpha + l2)
+
+    for _ in range(rates.passes):
+        for places, y in rows:
+            at = [*places.tolist(), last]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / rates.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    places, w = toxicity.ftrl(rows, rates)
+    want = {i: weight(i) for i in range(40) if weight(i)} | {last: weight(last)}
+    assert set(places.tolist()) == set(want) and np.allclose(w, [want[i] for i in places.tolist()])
+
+
+def test_toxicity_takes_the_same_sample(spark):
+    rows = [(i, " ".join(words(8) + (["vile"] if i % 3 == 0 else []))) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [*rows, (3, "another text"), (7, None)])
+    first = toxicity.train(docs, labels, sample_rows=100)
+    assert first and first == toxicity.train(docs.repartition(7), labels.repartition(5), sample_rows=100)
+    assert toxicity.score(docs.limit(0), first).count() == 0
+
+
 def test_toxicity(spark):
     rows = [(i, " ".join(words(30) + (["vile", "scum"] if i % 4 == 0 else []))) for i in range(400)]
     docs = docs_of(spark, [*rows, (900, None), (901, ""), (None, "vile scum")])
@@ -271,6 +352,48 @@ def test_chat_with_many_references_and_null_conversation(spark):
     assert sorted(alone) == ["b", "late", "to b", "to late"] and alone.index("b") < alone.index("late") < alone.index("to late")
 
 
+def test_chat_never_fails_on_odd_json(spark):
+    odd = ['{"tool_call_id":"a","content":NaN}', '{"tool_call_id":"a","content":1e999}', '{"tool_call_id":"\\ud800x","content":"\\udc00 \\ud83d\\ude00"}', '{"tool_calls":[{"id":"b","name":["x"],"arguments":[1]}]}',
+           '{"tool_calls":[]}', '{"tool_calls":[1]}', '{"a":' * 5000 + "1" + "}" * 5000, '{"tool_calls":[{"id":"c","name":"search","arguments":' + '{"a":' * 300 + "1" + "}" * 303, '{"tool_calls":' + "9" * 5000 + "}", "{", "[]", "x" * 300_000]
+    df = spark.createDataFrame([(1, i, "tool", t) for i, t in enumerate(odd)] + [(1, None, None, None)] * 2, "conv_id long, turn long, role string, text string")
+    rows = chat.format_chats(df, chat.TOOLS).collect()
+    lines = {r["turn"]: json.loads(r["line"]) for r in rows if r["turn"] is not None}
+    assert len(rows) == len(odd) + 2 and all(lines[i]["content"] == odd[i] for i in (0, 1, 4, 5, 6, 7, 8, 9, 10, 11))
+    assert lines[2] == {"content": "\ufffd \U0001f600", "role": "tool", "tool_call_id": "\ufffdx"} and lines[3]["error"] == "unknown tool"
+
+
+def test_chat_order_against_brute_force(spark):
+    rng = random.Random(12)
+    turns, said = [], {}
+    for conv in [*range(12), None]:
+        ids = [f"c{i}" for i in range(rng.randint(1, 14))]
+        rank = {c: k for k, c in enumerate(rng.sample(ids, len(ids)))}
+        uses = {c: [d for d in ids if rank[d] < rank[c] and rng.random() < 0.25] for c in ids}
+        said[conv] = uses
+        rows = [("tool", {"tool_call_id": c, "content": c}) for c in ids if rng.random() < 0.7]
+        left = list(ids)
+        while left:
+            some, left = left[: rng.randint(1, 3)], left[3:] if len(left) > 3 else []
+            rows.append(("assistant", {"tool_calls": [call(c, "search", query="q", **{"limit": 1}) | {"arguments": {"query": "q", "x": [{"$result": d} for d in uses[c]]}} for c in some]}))
+            left = [c for c in ids if c in left and c not in some]
+        rows += [("user", None)] * 3
+        rng.shuffle(rows)
+        turns += [(conv, t, role, json.dumps(v) if v else f"hello {t}") for t, (role, v) in enumerate(rows)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = collections.defaultdict(list)
+    for r in chat.format_chats(df, {"search": {}}).orderBy("conv_id", "position").collect():
+        got[r["conv_id"]].append((r["position"], r["turn"], json.loads(r["line"]), r["status"]))
+    for conv, uses in said.items():
+        rows = got[conv]
+        assert [p for p, *_ in rows] == list(range(len(rows)))
+        calls = {v["tool_call"]["id"]: p for p, _, v, _ in rows if "tool_call" in v}
+        results = {v["tool_call_id"]: p for p, _, v, s in rows if "tool_call_id" in v and s == "ok"}
+        assert all(calls[c] < p for c, p in results.items())
+        assert all(calls[d] < calls[c] and results.get(d, -1) < calls[c] for c in calls for d in uses[c] if d in calls)
+        free = [t for _, t, v, s in rows if "tool_call" not in v and "tool_call_id" not in v]
+        assert free == sorted(free) and all(s in ("ok", "unanswered", "orphan") for *_, s in rows)
+
+
 def test_lines(spark):
     rows = [(i, f"head\nown {i}\n\nfoot ", "en", "s" if i < 20 else None, 1) for i in range(26)] + [(90, None, "en", "s", 0), (91, "", "en", "t", 0)]
     got = {r["doc_id"]: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, DOCS).withColumn("total", F.lit(1))).collect()}
@@ -333,6 +456,39 @@ def test_personal_data_with_phones_and_plain_emails_as_seeds(spark):
     assert {i: got[i] for i in new} == {100: f"id:{at[100]}:{at[100] + 8}", 101: f"id:{at[101]}:{at[101] + 7}", 102: f"id:{at[102]}:{at[102] + 8}", 103: "", 104: f"id:{at[104]}:{at[104] + 8}"}
 
 
+def test_personal_data_bootstraps_from_what_it_finds(spark):
+    seeds = [(i, f"{' '.join(words(5))} member code x{i}@site{i}.org") for i in range(60)]
+    first = [(100 + i, f"the member code AB-9921{i} now") for i in range(10)]
+    again = [(200 + i, f"see badge no AB-9921{i}; here") for i in range(10)]
+    new = [(300, "see badge no ZZ-77777, here"), (301, "nothing but ZZ-88888 here"), (302, "a badge of 12345678")]
+    rows = [*seeds, *first, *again, *new]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs_of(spark, rows + rows[:1])).collect()}
+    assert all(got[i]["spans"] == "id:16:24" and got[i]["n_found"] == 1 for i, _ in first) and all(got[i]["spans"] == "id:13:21" for i, _ in again)
+    assert got[300]["spans"] == "id:13:21" and got[301]["spans"] == got[302]["spans"] == "" and got[0]["n_found"] == 0
+
+
+def test_personal_data_finds_tokens(spark):
+    rng = random.Random(3)
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    token = [(i, f'{" ".join(words(4))} token = "{hexed()}"### {" ".join(words(3))}') for i in range(12)]
+    rows = [*token, (50, 'my token = "AKIA-1234-XYZW" is new'), (51, f"{hexed()} stands alone"), (52, "item 1234567 and 7654321 x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs_of(spark, rows)).collect()}
+    for i, text in token:
+        at = text.index('"') + 1
+        assert got[i] == f"id:{at}:{at + 40}"
+    assert got[50] == "id:12:26" and got[51] == "" and got[52] == ""
+
+
+def test_personal_data_of_many_numbered_words(spark):
+    text = " ".join(f"w{i}x {i % 250}.1.2.3 a{i}@b.cd" for i in range(8000))
+    began = time.time()
+    row = pii.personal_data(docs_of(spark, [(1, text), (2, "")])).where("doc_id = 1").first()
+    assert row["n_ip"] == row["n_email"] == 8000 and time.time() - began < 60
+    found = sorted((m.start(), k, m.end(), kind) for k, kind in enumerate(PATTERNS) for m in re.finditer(PATTERNS[kind], text) if holds(kind, m[0]))
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found).encode()).hexdigest()
+    assert pii.personal_data(docs_of(spark, []).limit(0)).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).astype(float).tolist()) for i in range(300)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (None, [1.0] * 6)]
