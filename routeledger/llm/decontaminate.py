@@ -1,32 +1,33 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become templates: numbers, names and units give way to typed placeholders, so that a question with other numbers or
-names keeps its template. Windows of templates of all benchmark items form a hash table that is broadcast, in blocks of
-a bounded number of windows; every text's windows are looked up in it where the text is, and only matches leave the task.
-Matches of one item on one diagonal are checked slot by slot: wherever the item has the same value the text must have
-one value too. A text that covers enough of an item's template, with consistent slots, holds the item.
+1. Words become templates: numbers, names and units give way to typed placeholders, so that a question with other numbers or names
+   keeps its template. An item's windows are hashes of runs of templates; an item of few templates is one window of its exact words.
+2. Texts are read once, where they are. A filter of a fixed number of bits, set for the items' windows, lets through the windows that
+   may be an item's, whatever the benchmark's size; runs of them leave the task with their slots.
+3. These windows are hash-joined with the items' windows, which are broadcast only where Spark finds them small.
+4. Matches are grouped by text, item and diagonal, and slots are checked: wherever the item has the same value the text must have
+   one value too. A text that covers enough of an item's template, with consistent slots on some diagonal, holds the item.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeledger.llm.shared import needs
+from routeledger.llm.shared import needs, written
 from routeledger.llm.words import MEMO_WORDS, Memo, chunked, hash_word, shingles
 
-#: Templates of a window; items of fewer, but not fewer than SHORTEST, are one window.
-WINDOW, SHORTEST = 8, 6
+#: Templates of a window; items of fewer are one window, and those of fewer than EXACT one of their words as they are.
+WINDOW, EXACT = 8, 6
 #: Of an item's templates so many must be covered, and of its slots so many be consistent.
 COVER, CONSISTENT = 0.5, 0.8
-#: Windows of benchmark items that are broadcast at once: 16 bytes each.
-BLOCK_WINDOWS = 1 << 20
+#: Bits of the filter for windows that may be an item's: 2 MB.
+FILTER_BITS = 1 << 24
 
 #: Units of measure and money.
 UNITS = frozenset(
@@ -108,142 +109,110 @@ class WordTable(Memo):
         return tuple(self.columns)
 
 
-def windows(t: Templates, i: int, window: int = WINDOW) -> np.ndarray:
-    """Hashes of the windows of text i; one of all its templates if they are fewer than a window's."""
-    own = t.t[t.starts[i] : t.starts[i + 1]]
-    return shingles(own, min(window, len(own))) if len(own) else np.empty(0, np.uint64)
-
-
-class Items(NamedTuple):
-    """A block of benchmark items: windows sorted by hash with their item and place; templates, slots and values of each."""
-
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    ids: np.ndarray
-    t: np.ndarray
-    slot: np.ndarray
-    value: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-
-
-def prepared(ids: list[int], texts: list[str | None], window: int = WINDOW) -> Items:
-    """The table of a block of items. Those of fewer than SHORTEST templates are left out."""
-    t = Templates(texts, WordTable())
-    hashes, item, place = [], [], []
-    for i in range(len(ids)):
-        if t.starts[i + 1] - t.starts[i] >= SHORTEST:
-            own = windows(t, i, window)
-            hashes.append(own)
-            item.append(np.full(len(own), i))
-            place.append(np.arange(len(own)))
-    empty = [np.empty(0, np.int64)]
-    h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    return Items(h[order], np.concatenate(item or empty)[order], np.concatenate(place or empty)[order], np.array(ids, np.int64), t.t, t.slot, t.value, t.starts, np.unique(np.minimum(np.diff(t.starts)[np.diff(t.starts) >= SHORTEST], window)))
-
-
-def consistent(item_slot, item_value, text_slot, text_value) -> float:
-    """Share of slots in which the text has the value that it has most often for the item's value; 1 without slots."""
-    at = np.nonzero((item_slot > 0) & (text_slot > 0))[0]
-    if not len(at):
-        return 1.0
-    pairs, n = np.unique(np.stack([item_value[at], text_value[at]]), axis=1, return_counts=True)
-    first = np.nonzero(np.concatenate([[True], pairs[0][1:] != pairs[0][:-1]]))[0]
-    return float(np.maximum.reduceat(n, first).sum() / len(at))
-
-
-def held_items(t: Templates, i: int, hits: np.ndarray, where: np.ndarray, count: np.ndarray, items: Items, window: int, cover: float, agree: float) -> list[tuple]:
-    """(item, from, to, covered share, consistent share) of the items that text i holds, by its windows `hits`, which have
-    `count` entries of the table from `where` on."""
-    at = np.repeat(hits, count)
-    entry = np.repeat(where, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    item, place = items.item[entry], items.place[entry]
-    lo = t.starts[i]
-    found = []
-    order = np.lexsort((place, item))
-    item, place, at = item[order], place[order], at[order]
-    cuts = np.nonzero(np.diff(item))[0] + 1
-    for group in np.split(np.arange(len(item)), cuts):
-        k = int(item[group[0]])
-        size = int(items.starts[k + 1] - items.starts[k])
-        span = min(window, size)
-        covered = np.zeros(size + 1, np.int64)
-        first = np.unique(place[group])
-        np.add.at(covered, first, 1)
-        np.add.at(covered, np.minimum(first + span, size), -1)
-        share = float((np.cumsum(covered)[:size] > 0).sum() / size)
-        if share < cover:
-            continue
-        # Slots on every diagonal that a window lies on, those of most windows first: one with all slots consistent is the best.
-        diagonals, n = np.unique(at[group] - place[group], return_counts=True)
-        best = 0.0
-        for d in diagonals[np.argsort(-n, kind="stable")]:
-            begin, end = max(0, -int(d)), min(size, int(t.starts[i + 1] - lo - d))
-            mine, own = slice(items.starts[k] + begin, items.starts[k] + end), slice(lo + d + begin, lo + d + end)
-            same = items.t[mine] == t.t[own]
-            best = max(best, consistent(items.slot[mine][same], items.value[mine][same], t.slot[own][same], t.value[own][same]))
-            if best == 1:
-                break
-        if best >= agree:
-            found.append((int(items.ids[k]), int(at[group].min()), int(at[group].max() + span), share, best))
-    return found
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, agree: float = CONSISTENT, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Pairs (doc_id, item_id, start, end, covered, consistent) of texts and the benchmark items that they hold.
-
-    start and end count templates. Null and empty texts and items, and items of fewer than SHORTEST templates, have none.
-    Rows without doc_id are reported with a null one; repeated rows of docs are reported each, of the benchmark once.
-    """
-    spark = docs.sparkSession
-    rows = needs(docs, "doc_id", "text")
-    listed = needs(benchmark, "item_id", "text").dropna().distinct()
-    # An item has no more windows than characters; blocks of items by hash stay near the bound.
-    total = listed.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block_windows)))
-    result = None
-    for block in range(blocks):
-        some = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        found = _block(rows, prepared(some["item_id"].to_pylist(), some["text"].to_pylist(), window), window, cover, agree, spark)
-        result = found if result is None else result.union(found)
-    return result
+def window_hashes(t: Templates, size: int) -> np.ndarray:
+    """A hash for each run of `size` templates, or of words as they are if it is less than EXACT; runs may reach over texts' ends."""
+    return shingles(t.t if size >= EXACT else t.value, size) ^ np.uint64(size)
+
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item (a hash of item_id and text), item_id, n (templates), size, place, hash, slots and values of the windows of the items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, item_id, text in zip(batch["item"], batch["item_id"], batch["text"], strict=True):
+                t = Templates([text], WordTable())
+                n = len(t.t)
+                if size := min(window, n):
+                    hashes = window_hashes(t, size).view(np.int64)
+                    slot, value = t.slot.astype(np.int32), t.value.view(np.int64)
+                    out += [(item, item_id, n, size, k, h, slot[k : k + size], value[k : k + size]) for k, h in enumerate(hashes.tolist())]
+            yield pd.DataFrame(out, columns=["item", "item_id", "n", "size", "place", "hash", "slots", "values"])
+
+    listed = needs(benchmark, "item_id", "text").dropna().distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    return listed.mapInPandas(run, "item long, item_id long, n int, size int, place int, hash long, slots array<int>, values array<long>")
+
+
+def places_in_filter(h: np.ndarray, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that stand for a hash."""
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (bits - 1)
 
 
-PAIRS = "doc_id long, item_id long, start long, end long, covered double, consistent double"
+def window_filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit array in which both bits of each window are set; at most bits / 64 numbers reach the driver."""
+    low, high = F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 40).bitwiseAND(bits - 1)
+    bit = items.select(F.explode(F.array(low, high)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
+    out = np.zeros(bits // 64, np.int64)
+    for row in words.collect():
+        out[row["word"]] = row["set"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _block(rows: DataFrame, items: Items, window: int, cover: float, agree: float, spark) -> DataFrame:
-    sent = spark.sparkContext.broadcast(items)
+RUNS = "row long, doc_id long, size int, at int, total int, hashes array<long>, slots array<int>, values array<long>"
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, memo = sent.value, WordTable()
+
+def runs_of_windows(docs: DataFrame, sizes: list[int], may_be: np.ndarray) -> DataFrame:
+    """Runs of neighbouring windows of texts that the filter lets through: row, doc_id, size, at (the first template), total (of the text), hashes of the
+    windows, and slots and values of the templates; docs has row, doc_id and text."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(may_be))  # FILTER_BITS at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may, memo = np.unpackbits(sent.value).astype(bool), WordTable()
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            out = []
+            rows, ids, texts, out = batch["row"].tolist(), batch["doc_id"].astype("Int64").tolist(), list(batch["text"]), []
             for x, y in chunked(texts):
                 if len(memo) > MEMO_WORDS:  # between chunks, so that no entry goes while it is in use
                     memo = WordTable()
                 t = Templates(texts[x:y], memo)
-                for size in table.sizes.tolist():
-                    if len(t.t) < size or not len(table.hashes):
+                for size in sizes:
+                    if len(t.t) < size:
                         continue
-                    h = shingles(t.t, size)
-                    lo = np.searchsorted(table.hashes, h)
-                    hit = np.nonzero(table.hashes[np.minimum(lo, len(table.hashes) - 1)] == h)[0]
+                    h = window_hashes(t, size)
+                    low, high = places_in_filter(h, len(may))
+                    hit = np.nonzero(may[low] & may[high])[0]
                     own = np.searchsorted(t.starts, hit, side="right") - 1
                     inside = hit + size <= t.starts[own + 1]
                     hit, own = hit[inside], own[inside]
-                    for i in np.unique(own):
-                        at = hit[own == i]
-                        begin = lo[at]
-                        count = np.searchsorted(table.hashes, h[at], side="right") - begin
-                        out += [(ids[x + i], *found) for found in held_items(t, i, at - t.starts[i], begin, count, table, size, cover, agree)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.float64()] * 2, strict=True)], names=["doc_id", "item_id", "start", "end", "covered", "consistent"])
-
-    return rows.mapInArrow(look_up, PAIRS)
+                    for part in np.split(np.arange(len(hit)), np.nonzero((np.diff(hit) > 1) | (np.diff(own) > 0))[0] + 1) if len(hit) else []:
+                        first, last, i = int(hit[part[0]]), int(hit[part[-1]]), int(own[part[0]])
+                        across = slice(first, last + size)
+                        out.append((rows[x + i], ids[x + i], size, first - int(t.starts[i]), int(t.starts[i + 1] - t.starts[i]), h[first : last + 1].view(np.int64), t.slot[across].astype(np.int32), t.value[across].view(np.int64)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RUNS.split(", ")]).astype({"doc_id": "Int64"})
+
+    return docs.mapInPandas(run, RUNS)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, agree: float = CONSISTENT) -> DataFrame:
+    """doc_id, item_id, start, end, covered and consistent of texts and the benchmark items that they hold.
+
+    start and end count templates; covered is the share of the item's templates in windows that the text has, consistent the share of the
+    slots of these windows that are consistent on the best diagonal, 1 where there are no slots. Null and empty texts and items have none;
+    an item of few words is held by a text that has them in a row, or that has no others if it is less than three. Rows without doc_id are
+    reported with a null one; repeated rows of docs are reported each, of the benchmark once; other columns are left out.
+    """
+    items = written(item_windows(benchmark, window))
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most `window`
+    rows = needs(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    runs = written(runs_of_windows(rows, sizes, window_filter(items)))
+    each = runs.select("row", "doc_id", "size", "at", "total", F.posexplode("hashes").alias("k", "hash"), "slots", "values")
+    each = each.select("row", "doc_id", (F.col("at") + F.col("k")).alias("at"), "total", "hash", "size", F.slice("slots", F.col("k") + 1, F.col("size")).alias("text_slots"), F.slice("values", F.col("k") + 1, F.col("size")).alias("text_values"))
+    met = written(each.join(items, ["hash", "size"]).where("n > 2 OR n = total"))
+    found = met.groupBy("row", "item").agg(
+        F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n").alias("n"), F.first("size").alias("size"),
+        F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.collect_set("place").alias("places"),
+    )
+    every = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
+    found = found.withColumn("covered", F.size(F.array_distinct(every)) / F.col("n")).where(F.col("covered") >= cover)
+    pair = F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b"), F.col("text_slots").alias("c"), F.col("text_values").alias("d"), F.sequence("place", F.col("place") + F.col("size") - 1).alias("e"))
+    slots = met.select("row", "item", (F.col("at") - F.col("place")).alias("diagonal"), F.explode(pair).alias("x")).where("x.a > 0 AND x.c > 0")
+    slots = slots.select("row", "item", "diagonal", F.col("x.e").alias("place"), F.col("x.b").alias("value"), F.col("x.d").alias("text_value")).distinct()
+    counted = slots.groupBy("row", "item", "diagonal", "value", "text_value").agg(F.count("*").alias("n"))
+    of_value = counted.groupBy("row", "item", "diagonal", "value").agg(F.max("n").alias("same"), F.sum("n").alias("n"))
+    on_diagonal = of_value.groupBy("row", "item", "diagonal").agg((F.sum("same") / F.sum("n")).alias("consistent"))
+    best = on_diagonal.groupBy("row", "item").agg(F.max("consistent").alias("consistent"))
+    judged = found.join(best, ["row", "item"], "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= agree)
+    return judged.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "covered", "consistent")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

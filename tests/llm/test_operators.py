@@ -421,6 +421,55 @@ def test_decontamination_after_many_inconsistent_variants(spark):
     assert got == {(1, 1.0)}
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(21)
+    some = lambda n: [rng.choice(["the", "of", "cat", "ran", "home", "7", "12", "kg", "Bob", "Ann.", "blue"]) for _ in range(n)]
+    bench = [(i, " ".join(some(rng.choice([2, 3, 5, 7, 9, 20, 30])))) for i in range(30)] + [(40, "..."), (41, "")]
+    texts = []
+    for i in range(120):
+        own = some(rng.randint(0, 60))
+        if i % 2:
+            item = rng.choice(bench)[1].split()
+            own[len(own) // 2 : len(own) // 2] = [str(rng.randint(1, 99)) if w.isdigit() and rng.random() < 0.5 else w for w in item]
+        texts.append((i, " ".join(own)))
+    texts += [(500, bench[0][1]), (500, bench[0][1]), (None, bench[5][1]), (501, None), (502, " ".join(["7"] * 3000))]
+
+    def parts(text):
+        t = decontaminate.Templates([text], decontaminate.WordTable())
+        return t.t.tolist(), t.slot.tolist(), t.value.tolist()
+
+    want = collections.Counter()
+    known = [(i, parts(x)) for i, x in bench]
+    for doc, text in texts:
+        tt, ts, tv = parts(text)
+        for item, (it, is_, iv) in known:
+            size = min(8, len(it))
+            if not size or (len(it) < 3 and len(it) != len(tt)):
+                continue
+            a, b = (it, tt) if size >= 6 else (iv, tv)
+            hits = [(p, q) for p in range(len(a) - size + 1) for q in range(len(b) - size + 1) if a[p : p + size] == b[q : q + size]]
+            covered = {p + k for p, _ in hits for k in range(size)}
+            if not hits or len(covered) / len(it) < 0.5:
+                continue
+            shares = []
+            for d in {q - p for p, q in hits}:
+                places = {p + k for p, q in hits if q - p == d for k in range(size)}
+                values = collections.defaultdict(collections.Counter)
+                for p in places:
+                    if is_[p] and ts[p + d]:
+                        values[iv[p]][tv[p + d]] += 1
+                if values:
+                    shares.append(sum(max(c.values()) for c in values.values()) / sum(sum(c.values()) for c in values.values()))
+            best = max(shares, default=1.0)
+            if best >= 0.8:
+                want[doc, item, min(q for _, q in hits), max(q for _, q in hits) + size, round(len(covered) / len(it), 6), round(best, 6)] += 1
+    docs = docs_of(spark, texts).withColumn("item", F.lit(1)).withColumn("at", F.lit(2))
+    rows = decontaminate.contaminated(docs, spark.createDataFrame(bench * 2, "item_id long, text string")).collect()
+    got = collections.Counter((r["doc_id"], r["item_id"], r["start"], r["end"], round(r["covered"], 6), round(r["consistent"], 6)) for r in rows)
+    assert got == want and len(want) > 40
+    assert decontaminate.contaminated(docs.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
