@@ -29,11 +29,6 @@ def at_least(num: Column, den: Column, threshold: str | float | Decimal) -> Colu
     return num.cast("decimal(19,0)") * F.lit(d).cast("decimal(10,0)") >= den.cast("decimal(19,0)") * F.lit(n).cast("decimal(10,0)")
 
 
-def above(num: Column, den: Column, threshold) -> Column:
-    n, d = fraction(threshold)
-    return num.cast("decimal(19,0)") * F.lit(d).cast("decimal(10,0)") > den.cast("decimal(19,0)") * F.lit(n).cast("decimal(10,0)")
-
-
 def fraction(value) -> tuple[int, int]:
     """A decimal of at most six places as a fraction; exponents and more places are refused."""
     text = str(value)

@@ -19,7 +19,7 @@ PREFIXES = ("run_", "rfnd_", "ord-", "customer-", "cust_", "session_", "sess-",
 VOLATILE = ("agent.run.id", "agent.order.id", "agent.idempotency.key_hash", "service.instance.id", "trace_id", "span_id", "parent_span_id", "timestamp", "duration_nano")
 CASELESS = ("agent.side_effect", "agent.data_domain", "agent.step.category")
 IDENTITY = ("agent.side_effect", "agent.data_domain", "agent.step.category", "gen_ai.tool.name", "gen_ai.operation.name")
-SEPARATORS = "/.:=?&#,;@ "
+SEPARATORS = "/.: =?&#,;@"
 SIDE_EFFECTS = ("none", "read", "write", "external")
 
 
@@ -93,7 +93,23 @@ def side_effect(raw: Column) -> Column:
 def non_negative_integer(raw: Column) -> Column:
     """A whole number of 0 or more from a number or a string of digits; else null."""
     text = F.trim(raw.cast("string"))
-    return F.when(text.rlike("^[0-9]+$"), text.cast("bigint"))
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
+
+
+def key_hash(salt: str, key: Column) -> Column:
+    """SHA-256 of a key under a salt, so that the key itself is not kept."""
+    return F.sha2(F.concat(F.lit(f"{salt}:"), key), 256)
+
+
+def cursor(key: Column) -> Column:
+    """A place in a list as URL-safe base64 without padding."""
+    return F.rtrim(F.translate(F.base64(key.cast("binary")), "+/\n", "-_"), F.lit("="))
+
+
+def cursor_key(text: Column) -> Column:
+    """The place that a cursor names."""
+    plain = F.translate(text, "-_", "+/")
+    return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")).cast("string")
 
 
 def filled(text: Column) -> Column:

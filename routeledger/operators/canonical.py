@@ -1,77 +1,17 @@
-"""Canonical order, subtree digests and route fingerprints, level by level over all traces at once."""
+"""Canonical order, route fingerprints and ancestors, from the places that `graph.build` gives."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeledger.functions.names import DEFAULT, Config
-from routeledger.operators.graph import Graph, cut, keep_partitions
-
-
-def json_text(c: Column) -> Column:
-    """A string or number as JSON; null as `null`. Control characters have lower-case escapes."""
-    text = F.to_json(F.array(c))
-    return F.coalesce(F.when(c.isNotNull(), text.substr(F.lit(2), F.length(text) - 2)), F.lit("null"))
-
-
-def entries_json(left: str, right: str, between: str) -> Column:
-    """Fingerprint attributes as JSON: of an object, or of an array of pairs."""
-    entries = F.coalesce("entries", F.array().cast("array<struct<k: string, v: string>>"))
-    start, end = ("[", "]") if between == "," else ("", "")
-    return F.concat(F.lit(left), F.array_join(F.transform(entries, lambda e: F.concat(F.lit(start), e["k"], F.lit(between), e["v"], F.lit(end))), ","), F.lit(right))
-
-
-def node_label() -> Column:
-    """What identifies a node wherever it stands: a JSON array of its eight parts."""
-    parts = [json_text(F.col(c)) for c in ("label", "service", "kind", "side_effect", "tool", "data_domain", "retry_number")]
-    return F.concat(F.lit("["), F.concat_ws(",", *parts, entries_json("[", "]", ",")), F.lit("]"))
-
-
-def utf16_length(text: Column) -> Column:
-    return F.length(text) + F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]", ""))
-
-
-def leveled(graph: Graph) -> tuple[DataFrame, int]:
-    """trace_id, span_id, up and depth of the nodes that are reached from their root, and the greatest depth."""
-    keep_partitions(graph.nodes.sparkSession)
-    places = graph.nodes.select("trace_id", "span_id", "up")
-    level = cut(graph.traces.where("root IS NOT NULL").select("trace_id", F.col("root").alias("span_id"), F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth")))
-    reached, depth = level, 0
-    while True:
-        above = level.select("trace_id", F.col("span_id").alias("up"))
-        # A root that also has a parent is reached at depth 0 only.
-        level = cut(places.join(above, ["trace_id", "up"]).join(graph.traces.select("trace_id", "root"), "trace_id").where("span_id <> root").select("trace_id", "span_id", "up", F.lit(depth + 1).alias("depth")))
-        if level.isEmpty():
-            return reached, depth
-        depth += 1
-        reached = reached.union(level)
+from routeledger.operators.graph import Graph, entries_json, json_text, per_trace
 
 
 def ordered(graph: Graph) -> DataFrame:
-    """Nodes reached from their root with depth, `digest` of their subtree and `order`, the place in a walk that takes
-    siblings by digest and span id. Digests and subtree sizes go up level by level, places come down."""
-    reached, depth = leveled(graph)
-    nodes = cut(graph.nodes.join(reached.select("trace_id", "span_id", "depth"), ["trace_id", "span_id"]).withColumn("node_label", node_label()))
-    slim = nodes.select("trace_id", "span_id", "up", "depth", F.concat(utf16_length(F.col("node_label")).cast("string"), F.lit(":"), "node_label").alias("text"))
-    below, done = None, []
-    for d in range(depth, -1, -1):
-        level = slim.where(F.col("depth") == d)
-        if below is None:
-            level = level.withColumn("parts", F.lit("")).withColumn("size", F.lit(1).cast("bigint"))
-        else:
-            children = below.groupBy("trace_id", F.col("up").alias("span_id")).agg(F.concat(F.lit("|"), F.array_join(F.array_sort(F.collect_list("digest")), "|")).alias("parts"), (F.sum("size") + 1).alias("size"))
-            level = level.join(children, ["trace_id", "span_id"], "left").fillna({"parts": "", "size": 1})
-        below = cut(level.select("trace_id", "span_id", "up", "depth", "size", F.sha2(F.concat("text", "parts"), 256).alias("digest")))
-        done.append(below)
-    level = done[-1].withColumn("order", F.lit(0).cast("bigint"))
-    result = level
-    for here in reversed(done[:-1]):
-        before = Window.partitionBy("trace_id", "up").orderBy("digest", "span_id").rowsBetween(Window.unboundedPreceding, -1)
-        parent = level.select("trace_id", F.col("span_id").alias("up"), F.col("order").alias("from"))
-        level = cut(here.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0))).join(parent, ["trace_id", "up"]).withColumn("order", F.col("from") + 1 + F.col("skip")).select(*here.columns, "order"))
-        result = result.union(level)
-    return nodes.drop("depth").join(result.select("trace_id", "span_id", "depth", "digest", "order"), ["trace_id", "span_id"])
+    """Nodes reached from their root, with depth, `digest` of their subtree and `order`."""
+    return graph.nodes.where("`order` IS NOT NULL")
 
 
 def canonical_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,29 +23,51 @@ def canonical_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(nodes: DataFrame, edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def fingerprints(nodes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """trace_id and `fingerprint`: SHA-256 of the canonical graph as JSON. A trace has a bounded number of spans."""
     fields = [("order", "order"), ("depth", "depth"), ("label", "label"), ("service", "service"), ("kind", "kind"), ("sideEffect", "side_effect"), ("tool", "tool"), ("dataDomain", "data_domain"), ("retryNumber", "retry_number")]
     node = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), json_text(F.col(c))) for k, c in fields), F.concat(F.lit('"attributes":'), entries_json("{", "}", ":"))), F.lit("}"))
-    texts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), ",")
-    all_nodes = nodes.groupBy("trace_id").agg(texts(F.struct("order", node.alias("text"))).alias("nodes"))
-    edge = F.concat(F.lit('{"from":'), F.col("from").cast("string"), F.lit(',"to":'), F.col("to").cast("string"), F.lit(',"type":'), json_text(F.col("type")), F.lit("}"))
-    all_edges = canonical_edges(nodes, edges).groupBy("trace_id").agg(texts(F.struct("from", "to", "type", edge.alias("text"))).alias("edges"))
+    mine = F.struct("order", F.col("span_id").alias("id"), "up", node.alias("text"))
+    packed = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(mine)).alias("n"))
+    place = F.map_from_arrays(F.col("n")["id"], F.col("n")["order"])
+    packed = packed.withColumn("place", place)
+    ends = F.transform(F.filter("n", lambda x: x["up"].isNotNull()), lambda x: F.struct(F.element_at("place", x["up"]).alias("from"), x["order"].alias("to")))
+    ends = F.array_sort(F.filter(ends, lambda e: e["from"].isNotNull()))
+    edges = F.transform(ends, lambda e: F.concat(F.lit('{"from":'), e["from"].cast("string"), F.lit(',"to":'), e["to"].cast("string"), F.lit(',"type":"parent"}')))
     head = f'{{"normaliserVersion":"{config.version}","normaliserConfigHash":"{config.hash()}","nodes":['
-    whole = F.concat(F.lit(head), "nodes", F.lit('],"edges":['), F.coalesce("edges", F.lit("")), F.lit("]}"))
-    return all_nodes.join(all_edges, "trace_id", "left").select("trace_id", F.sha2(whole, 256).alias("fingerprint"))
+    whole = F.concat(F.lit(head), F.array_join(F.col("n")["text"], ","), F.lit('],"edges":['), F.array_join(edges, ","), F.lit("]}"))
+    return packed.select("trace_id", F.sha2(whole, 256).alias("fingerprint"))
 
 
-def ancestors(nodes: DataFrame, targets: DataFrame, most: int = 10_000) -> DataFrame:
+def ancestors(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """trace_id, span_id, ancestor and dist for the targets (trace_id, span_id) only: themselves at 0, then up to the top.
-    A span that comes round a cycle ends there."""
-    ups = nodes.where("up IS NOT NULL").select("trace_id", F.col("span_id").alias("ancestor"), F.col("up").alias("next"))
-    level = cut(targets.select("trace_id", "span_id", F.col("span_id").alias("ancestor"), F.lit(0).alias("dist")))
-    found, dist = level, 0
-    while dist < most:
-        dist += 1
-        level = cut(level.join(ups, ["trace_id", "ancestor"]).where("next <> span_id").select("trace_id", "span_id", F.col("next").alias("ancestor"), F.lit(dist).alias("dist")))
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found
+    A span that comes round a cycle ends there. Nodes have span_id and up; their traces are bounded."""
+    wanted = targets.select("trace_id", "span_id", F.lit(True).alias("wanted"))
+    marked = nodes.select("trace_id", "span_id", "up").join(wanted, ["trace_id", "span_id"], "left").withColumn("pre", F.lit(0))
+
+    def walk(ids: list, ups: list, marks: list):
+        up = dict(zip(ids, ups, strict=True))
+        for start, mark in zip(ids, marks, strict=True):
+            at, dist, seen = start, 0, set()
+            while mark and at in up and at not in seen:
+                yield start, at, dist
+                seen.add(at)
+                at, dist = up[at], dist + 1
+
+    return per_trace(marked, {"span_id": F.col("span_id"), "up": F.col("up"), "wanted": F.col("wanted")}, walk, "struct<span_id: string, ancestor: string, dist: int>")
+
+
+def nearest_above(nodes: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """Nodes with a column for each mark: how far above them the nearest node with that mark is, or null. Nodes are those of a graph."""
+    names = list(marks)
+
+    def walk(ids: list, ups: list, *marked: list):
+        far: dict[str, tuple] = {}
+        has = {i: k for k, i in enumerate(ids)}
+        for i, up in zip(ids, ups, strict=True):  # parents come before their children
+            above = far.get(up, (None,) * len(names))
+            far[i] = tuple(None if up is None else 1 if m[has[up]] else None if d is None else d + 1 for m, d in zip(marked, above, strict=True))
+            yield (i, *far[i])
+
+    found = per_trace(nodes, {"span_id": F.col("span_id"), "up": F.col("up")} | {f"m{k}": marks[n] for k, n in enumerate(names)}, walk, f"struct<span_id: string, {', '.join(f'd{k}: int' for k in range(len(names)))}>")
+    return nodes.join(found.toDF("trace_id", "span_id", *names), ["trace_id", "span_id"])

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 #: Severities of the kinds of changes.
 SEVERITY = {
-    "node_added": "medium", "node_removed": "high", "cardinality_changed": "medium", "edge_added": "low", "edge_removed": "medium", "tool_added": "high",
-    "service_added": "high", "domain_added": "high", "side_effect_duplicated": "critical", "retry_increased": "medium", "attribute_added": "low", "route_unknown": "high",
+    "node_added": "structural", "node_removed": "structural", "edge_added": "structural", "edge_removed": "structural", "cardinality_changed": "behavioural",
+    "tool_added": "behavioural", "service_added": "behavioural", "data_domain_added": "behavioural", "retry_increased": "behavioural",
+    "side_effect_duplicated": "structural", "attribute_changed": "informational", "route_unknown": "structural",
 }
 
 
-
-
 def changes(before: DataFrame, after: DataFrame, before_edges: DataFrame, after_edges: DataFrame, approved: list[str] | None = None, fingerprint: str | None = None) -> DataFrame:
     """kind, subject, before and after of every change from one route's nodes and edges to another's.
 
@@ -26,18 +25,18 @@ def changes(before: DataFrame, after: DataFrame, before_edges: DataFrame, after_
     row = lambda df, k, subject, x=None, y=None: df.select(F.lit(k).alias("kind"), subject.alias("subject"), (F.lit(None) if x is None else x).cast("bigint").alias("before"), (F.lit(None) if y is None else y).cast("bigint").alias("after"))
     edge = lambda df: df.select(F.concat("a", F.lit("->"), "b", F.lit("|"), "type").alias("e")).distinct()
     out = out.union(row(edge(after_edges).subtract(edge(before_edges)), "edge_added", F.col("e"))).union(row(edge(before_edges).subtract(edge(after_edges)), "edge_removed", F.col("e")))
-    for column, name in (("tool", "tool_added"), ("service", "service_added"), ("data_domain", "domain_added")):
+    for column, name in (("tool", "tool_added"), ("service", "service_added"), ("data_domain", "data_domain_added")):
         new = after.where(F.col(column).isNotNull()).select(column).distinct().join(before.select(column).distinct(), column, "left_anti")
         out = out.union(row(new, name, F.col(column)))
     effects = lambda df, n: df.where("side_effect IN ('write', 'external')").groupBy("label", "side_effect").agg(F.count("*").alias(n))
-    more = effects(after, "y").join(effects(before, "x"), ["label", "side_effect"], "left").where("y > 1 AND y > coalesce(x, 0)")
-    out = out.union(row(more, "side_effect_duplicated", F.col("label"), F.coalesce("x", F.lit(0)), F.col("y")))
+    more = effects(after, "y").join(effects(before, "x"), ["label", "side_effect"], "left").where("y > coalesce(x, 0)")
+    out = out.union(row(more, "side_effect_duplicated", F.concat_ws("|", "label", "side_effect"), F.coalesce("x", F.lit(0)), F.col("y")))
     retries = lambda df, n: df.groupBy("label").agg(F.max("retry_number").alias(n))
     rose = retries(after, "y").join(retries(before, "x"), "label", "left").where("y > coalesce(x, 0)")
     out = out.union(row(rose, "retry_increased", F.col("label"), F.coalesce("x", F.lit(0)), F.col("y")))
     facts = lambda df: df.select("label", F.explode("entries").alias("f")).select("label", F.concat_ws("=", "f.k", "f.v").alias("fact")).distinct()
     added = facts(after).join(facts(before), ["label", "fact"], "left_anti").join(before.select("label").distinct(), "label", "left_semi")
-    out = out.union(row(added, "attribute_added", F.concat_ws(" ", "label", "fact")))
+    out = out.union(row(added.select("label").distinct(), "attribute_changed", F.col("label")))
     if approved is not None and fingerprint not in approved:
         out = out.union(before.sparkSession.range(1).select(F.lit("route_unknown"), F.lit(fingerprint), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
     severities = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))

@@ -64,13 +64,15 @@ def evaluate(spans: DataFrame, contract: dict, families: DataFrame | None = None
     spec = contract["spec"]
     rules = spec["rules"]
     graph = build(spans, (spec.get("selectors") or {}).get("rootSpan"), unicode=unicode)
-    placed = cut(ordered(graph))
-    routes = cut(fingerprints(placed, graph.edges))
-    nodes = cut(graph.nodes.join(placed.select("trace_id", "span_id", "order", "depth"), ["trace_id", "span_id"], "left"))
+    nodes = graph.nodes
+    placed = ordered(graph)
+    routes = fingerprints(placed)
     own = features.features(graph, placed, critical_labels(contract)) if families is not None else None
     results = cut(evaluate_rules(graph, nodes, rules, routes, own, families))
-    retries = nodes.groupBy("trace_id").agg(F.sum(F.when(F.col("retry_number") > 0, F.col("retry_number")).otherwise(0)).alias("retries"))
-    roots = graph.traces.join(nodes.select("trace_id", F.col("span_id").alias("root"), F.col("duration_ns").alias("root_ns")), ["trace_id", "root"], "left").select("trace_id", F.floor(F.coalesce("root_ns", F.lit(0)) / 1_000_000).alias("duration_ms"))
-    tokens = nodes.groupBy("trace_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    runs = run_status(graph.traces, results).join(routes, "trace_id", "left").join(retries, "trace_id", "left").join(roots, "trace_id", "left").join(tokens, "trace_id", "left")
+    positive = F.sum(F.when(F.col("retry_number") > 0, F.col("retry_number")).otherwise(0))
+    totals = nodes.groupBy("trace_id").agg(
+        positive.alias("retries"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.max(F.when(F.col("order") == 0, F.expr("duration_ns div 1000000"))).alias("duration_ms"),
+    )
+    runs = run_status(graph.traces, results).join(routes, "trace_id", "left").join(totals, "trace_id", "left").withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0)))
     return Evaluation(graph, nodes, routes, results, violations_of(results), cut(runs))

@@ -38,11 +38,18 @@ def similarity(own: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def nearest(own: DataFrame, families: DataFrame) -> DataFrame:
-    """The most similar family of each run, ties to the smaller fingerprint: trace_id, nearest, shared, either."""
+    """The most similar family of each run, ties to the smaller fingerprint: trace_id, nearest, shared, either.
+
+    A run that shares nothing with any family is nearest to the least fingerprint, by 0 of both sums.
+    """
     exact = F.col("shared").cast("decimal(19,0)") / F.col("either").cast("decimal(18,0)")
     order = Window.partitionBy("trace_id").orderBy(exact.desc(), "fingerprint")
     found = similarity(own, families).withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return found.select("trace_id", F.col("fingerprint").alias("nearest"), "shared", "either")
+    # One row at most, so that each run meets it.
+    least = families.groupBy("fingerprint").agg(F.sum("weight").alias("theirs")).orderBy("fingerprint").limit(1).select(F.col("fingerprint").alias("least"), "theirs")
+    mine = own.groupBy("trace_id").agg(F.sum("weight").alias("mine")).join(F.broadcast(least), F.lit(True))
+    met = mine.join(found.select("trace_id", "fingerprint", "shared", "either"), "trace_id", "left")
+    return met.select("trace_id", F.coalesce("fingerprint", "least").alias("nearest"), F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"), F.coalesce("either", F.col("mine") + F.col("theirs")).cast("bigint").alias("either"))
 
 
 def nearest_of_all(own: DataFrame, families: DataFrame) -> DataFrame:

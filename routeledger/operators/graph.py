@@ -1,14 +1,17 @@
 """Rooted trees of spans: dedup, roots, orphans, cycles, edges and quality, for all traces at once.
 
-Everything is keyed by trace. `build` partitions by trace_id once, and joins on further keys keep that partitioning.
+Everything is keyed by trace. `build` shuffles spans once, by trace_id; duplicates, names and classes are columns, the spans of a
+trace, whose number is bounded, become one row of arrays, and a tree walk gives the arrays of places and digests beside them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeledger.functions import names
@@ -20,7 +23,12 @@ SYNTHETIC = "synthetic-root"
 
 
 class Graph(NamedTuple):
-    """traces: trace_id, root, quality, warnings, counts; nodes: one row for each span; edges: trace_id, from, to, type."""
+    """traces: trace_id, root, quality, warnings, counts; nodes: one row for each span; edges: trace_id, from, to, type.
+
+    Of a node, `up` is its parent in the tree, `order` and `depth` its place in a walk from the root that takes siblings by digest and
+    span id, null if the root does not reach it; `pre` and `last` number the walk through all trees of the trace: the nodes below one
+    are those from pre + 1 to last. `digest` is that of its subtree.
+    """
 
     traces: DataFrame
     nodes: DataFrame
@@ -40,14 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_partitions(spark: SparkSession) -> None:
-    """Let joins on (trace_id, more) use tables that are partitioned by trace_id, instead of shuffling them again."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
-
-
 def usable(spans: DataFrame, most: int = MAX_SPANS) -> tuple[DataFrame, DataFrame]:
-    """Rows with a span_id of traces that are not too large, and a row of counts for each trace."""
+    """Rows with a span_id of traces that are not too large, and a row of counts for each trace. Rows without a trace_id are of no trace."""
+    spans = spans.where("trace_id IS NOT NULL")
     counts = spans.groupBy("trace_id").agg(
         F.count("*").alias("rows"), F.count("span_id").alias("with_id"), F.max("release").alias("release"), F.max("environment").alias("environment")
     )
@@ -59,13 +62,13 @@ def usable(spans: DataFrame, most: int = MAX_SPANS) -> tuple[DataFrame, DataFram
 
 def dedup(spans: DataFrame) -> DataFrame:
     """One row for each span_id: the one with most values, ties by the row's hash. `conflict` marks rows of one id that
-    differ in name, service, parent or kind."""
+    differ in name, service, parent or kind, `merged` ids with several rows."""
     filled = sum((F.col(c).isNotNull().cast("int") for _, c, _ in FIELDS), F.coalesce(F.size("extra"), F.lit(0)))
     what = F.xxhash64(F.coalesce("name", F.lit("")), F.coalesce("service", F.lit("")), F.coalesce("parent_span_id", F.lit("")), F.coalesce("kind", F.lit("")))
     same = Window.partitionBy("trace_id", "span_id")
     best = same.orderBy(F.desc("_filled"), "_hash")
     hashed = spans.withColumn("_filled", filled).withColumn("_what", what).withColumn("_hash", F.xxhash64(*(c for _, c, _ in FIELDS)))
-    marked = hashed.withColumn("conflict", F.min("_what").over(same) != F.max("_what").over(same)).withColumn("_rank", F.row_number().over(best))
+    marked = hashed.withColumn("conflict", F.min("_what").over(same) != F.max("_what").over(same)).withColumn("merged", F.count("*").over(same) > 1).withColumn("_rank", F.row_number().over(best))
     return marked.where("_rank = 1").drop("_filled", "_what", "_hash", "_rank")
 
 
@@ -80,7 +83,7 @@ def project(rows: DataFrame, config: Config = DEFAULT, unicode: bool = True) ->
     quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     entries = F.filter(F.array(*(F.when(value(n, c).isNotNull() & (value(n, c) != ""), F.struct(F.lit(f'"{n}"').alias("k"), quoted(value(n, c)).alias("v"))) for n, c in identity)), lambda x: x.isNotNull())
     return rows.select(
-        "trace_id", "span_id", F.nullif("parent_span_id", F.lit("")).alias("parent_id"), "conflict",
+        "trace_id", "span_id", F.nullif("parent_span_id", F.lit("")).alias("parent_id"), "conflict", "merged",
         F.coalesce("name", F.lit("")).alias("name"), names.normalised_name(F.coalesce("name", F.lit("")), config, unicode).alias("label"),
         F.coalesce("service", F.lit("unknown")).alias("service"), F.nullif("kind", F.lit("")).alias("kind"), "operation", "status_code",
         F.coalesce("start_ns", F.lit(0)).alias("start_ns"), F.coalesce("duration_ns", F.lit(0)).alias("duration_ns"),
@@ -91,73 +94,153 @@ def project(rows: DataFrame, config: Config = DEFAULT, unicode: bool = True) ->
     )
 
 
-def roots(nodes: DataFrame, root_name: str | None) -> DataFrame:
-    """trace_id, root, synthetic and n_parentless: the first parentless node with the label, else the only parentless one, else a generated root."""
-    free = F.col("parent_id").isNull()
-    found = nodes.groupBy("trace_id").agg(
-        F.min(F.when(free & (F.col("label") == F.lit(root_name)), F.col("span_id"))).alias("named"),
-        F.count(F.when(free, 1)).alias("n_parentless"), F.min(F.when(free, F.col("span_id"))).alias("only"),
-    )
-    root = F.coalesce("named", F.when(F.col("n_parentless") == 1, F.col("only")))
-    return found.select("trace_id", F.coalesce(root, F.lit(SYNTHETIC)).alias("root"), root.isNull().alias("generated"), "n_parentless")
+def json_text(c: Column) -> Column:
+    """A string or number as JSON; null as `null`. Control characters have lower-case escapes."""
+    text = F.to_json(F.array(c))
+    return F.coalesce(F.when(c.isNotNull(), text.substr(F.lit(2), F.length(text) - 2)), F.lit("null"))
 
 
-def cycle_members(nodes: DataFrame, most: int = MAX_SPANS) -> DataFrame | None:
-    """trace_id and span_id of the nodes on a cycle of parent pointers; None if there is none.
+def entries_json(left: str, right: str, between: str) -> Column:
+    """Fingerprint attributes as JSON: of an object, or of an array of pairs."""
+    entries = F.coalesce("entries", F.array().cast("array<struct<k: string, v: string>>"))
+    start, end = ("[", "]") if between == "," else ("", "")
+    return F.concat(F.lit(left), F.array_join(F.transform(entries, lambda e: F.concat(F.lit(start), e["k"], F.lit(between), e["v"], F.lit(end))), ","), F.lit(right))
+
+
+def node_label() -> Column:
+    """What identifies a node wherever it stands: a JSON array of its eight parts."""
+    parts = [json_text(F.col(c)) for c in ("label", "service", "kind", "side_effect", "tool", "data_domain", "retry_number")]
+    return F.concat(F.lit("["), F.concat_ws(",", *parts, entries_json("[", "]", ",")), F.lit("]"))
+
+
+def utf16_length(text: Column) -> Column:
+    return F.length(text) + F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]", ""))
+
+
+#: The label of a generated root, with its length.
+SYNTHETIC_TEXT = f'["{SYNTHETIC}","unknown",null,"none",null,null,null,[]]'
+PLACED = "up: array<string>, depth: array<int>, order: array<bigint>, pre: array<bigint>, last: array<bigint>, digest: array<string>, orphan: array<boolean>, on_cycle: array<boolean>"
+TREE = f"struct<root: string, generated: boolean, root_digest: string, root_last: bigint, {PLACED}>"
 
-    Only traces in which some child does not begin after its parent (by time, then id) can have one; there, pointers are
-    doubled until they span the largest trace, and the images of the pointers are the members.
-    """
-    links = nodes.where("parent_id IS NOT NULL").select("trace_id", "span_id", "start_ns", F.col("parent_id").alias("p"))
-    ends = nodes.select("trace_id", F.col("span_id").alias("p"), F.col("start_ns").alias("p_start"))
-    met = links.join(ends, ["trace_id", "p"])
-    doubtful = met.where((F.col("p_start") > F.col("start_ns")) | (F.col("p_start") == F.col("start_ns")) & (F.col("p") >= F.col("span_id"))).select("trace_id").distinct()
-    pointers = cut(met.join(doubtful, "trace_id", "left_semi").select("trace_id", "span_id", "p"))
-    if pointers.isEmpty():
-        return None
-    for _ in range(max(1, (most - 1).bit_length())):
-        on = pointers.select("trace_id", F.col("span_id").alias("p"), F.col("p").alias("next"))
-        pointers = cut(pointers.join(on, ["trace_id", "p"]).select("trace_id", "span_id", F.col("next").alias("p")))
-        if pointers.isEmpty():
-            return None
-    return pointers.select("trace_id", F.col("p").alias("span_id")).distinct()
+
+def on_cycles(parent: list[int]) -> list[bool]:
+    """Whether each node is on a cycle of parent pointers; -1 is no parent."""
+    state, out = [0] * len(parent), [False] * len(parent)
+    for start in range(len(parent)):
+        path, i = [], start
+        while i >= 0 and state[i] == 0:
+            state[i] = 1
+            path.append(i)
+            i = parent[i]
+        if i >= 0 and state[i] == 1:
+            for k in path[path.index(i) :]:
+                out[k] = True
+        for k in path:
+            state[k] = 2
+    return out
+
+
+def walked(ids: list, parents: list, labels: list, texts: list, root_name: str | None) -> tuple:
+    """The tree of one trace, as a TREE: a walk down for the order of nodes, up for digests and sizes, and down again for places."""
+    n, at = len(ids), {s: i for i, s in enumerate(ids)}
+    free = [i for i in range(n) if parents[i] is None]
+    named = [i for i in free if labels[i] == root_name]
+    root = min(named, key=lambda i: ids[i]) if named else free[0] if len(free) == 1 else n
+    parent = [-1 if p is None else at.get(p, -1) for p in parents]
+    cyclic = on_cycles(parent)
+    # A child on a cycle, or without a parent that is there, hangs off a generated root if there is one.
+    up = [n if root == n and (p < 0 or c) else -1 if c else p for p, c in zip(parent, cyclic, strict=True)] + [-1]
+    below: list[list[int]] = [[] for _ in range(n + 1)]
+    for i in range(n):
+        if up[i] >= 0:
+            below[up[i]].append(i)
+    tops = [root, *(i for i in range(n) if up[i] < 0 and i != root)]
+    down = list(tops)
+    for i in down:
+        down += below[i]
+    digest, size = [""] * (n + 1), [1] * (n + 1)
+    texts = [*texts, f"{len(SYNTHETIC_TEXT)}:{SYNTHETIC_TEXT}"]
+    names_ = [*ids, SYNTHETIC]
+    for i in reversed(down):
+        below[i].sort(key=lambda k: (digest[k], names_[k]))
+        digest[i] = hashlib.sha256("|".join([texts[i], *(digest[k] for k in below[i])]).encode("utf-8", "surrogatepass")).hexdigest()
+        size[i] = 1 + sum(size[k] for k in below[i])
+    depth, pre, free_place = [0] * (n + 1), [0] * (n + 1), 0
+    for i in tops:
+        pre[i] = free_place
+        free_place += size[i]
+    for i in down:
+        place = pre[i] + 1
+        for k in below[i]:
+            pre[k], depth[k] = place, depth[i] + 1
+            place += size[k]
+    inside = [pre[i] < size[root] for i in range(n)]
+    return (
+        names_[root], root == n, digest[n] if root == n else None, size[n] - 1 if root == n else None,
+        [None if u < 0 else names_[u] for u in up[:n]], [d if x else None for d, x in zip(depth, inside, strict=False)], [p if x else None for p, x in zip(pre, inside, strict=False)],
+        pre[:n], [p + s - 1 for p, s in zip(pre[:n], size[:n], strict=True)], digest[:n], [p is not None and k < 0 for p, k in zip(parents, parent, strict=True)], cyclic,
+    )
 
 
 def build(spans: DataFrame, root_name: str | None = None, config: Config = DEFAULT, unicode: bool = True, most: int = MAX_SPANS) -> Graph:
     """The trees of all traces. Traces without usable rows, or with too many, have a row in `traces` with that quality."""
-    keep_partitions(spans.sparkSession)
     rows, counts = usable(spans, most)
-    nodes = cut(project(dedup(rows.repartition("trace_id")), config, unicode))
-    root = roots(nodes, root_name)
-    parents = nodes.select("trace_id", F.col("span_id").alias("parent_id"), F.col("span_id").alias("parent"), F.col("kind").alias("parent_kind"))
-    placed = nodes.join(parents.drop("parent_kind"), ["trace_id", "parent_id"], "left").join(root, "trace_id")
-    cyclic = cycle_members(nodes, most)
-    placed = placed.withColumn("on_cycle", F.lit(False)) if cyclic is None else placed.join(cyclic.withColumn("on_cycle", F.lit(True)), ["trace_id", "span_id"], "left").fillna({"on_cycle": False})
-    # A child on a cycle, or without a parent that is there, hangs off a generated root if there is one.
-    up = F.when(F.col("parent").isNotNull() & ~F.col("on_cycle"), F.col("parent")).when(F.col("generated"), F.lit(SYNTHETIC))
-    placed = placed.withColumn("orphan", F.col("parent_id").isNotNull() & F.col("parent").isNull()).withColumn("up", up)
-    served = nodes.where("kind = 'Server' AND parent_id IS NOT NULL").select("trace_id", F.col("parent_id").alias("span_id"), F.lit(True).alias("served")).distinct()
-    placed = cut(placed.join(served, ["trace_id", "span_id"], "left").withColumn("unserved", (F.col("kind") == "Client") & ~F.col("side_effect").isin("none", "unknown") & F.col("served").isNull()).drop("served"))
-    found = placed.groupBy("trace_id").agg(
-        F.first("root").alias("root"), F.first("generated").alias("generated"), F.first("n_parentless").alias("n_parentless"), F.count("*").alias("spans"),
+    nodes = project(dedup(rows.repartition("trace_id")), config, unicode).withColumn("text", node_label())
+    nodes = nodes.withColumn("text", F.concat(utf16_length(F.col("text")).cast("string"), F.lit(":"), "text"))
+
+    @F.pandas_udf(TREE)
+    def tree(ids: pd.Series, parents: pd.Series, labels: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        found = [walked(list(i), list(p), list(x), list(t), root_name) for i, p, x, t in zip(ids, parents, labels, texts, strict=True)]
+        return pd.DataFrame(found, columns=[c.split(":")[0].strip() for c in TREE[7:-1].split(", ")])
+
+    # At most `most` spans for each trace.
+    packed = nodes.groupBy("trace_id").agg(F.collect_list(F.struct(*(c for c in nodes.columns if c != "trace_id"))).alias("n"))
+    packed = packed.withColumn("t", tree(*(F.col("n")[c] for c in ("span_id", "parent_id", "label", "text"))))
+    places = [c.split(":")[0] for c in PLACED.split(", ")]
+    served = F.transform(F.filter("n", lambda x: (x["kind"] == "Server") & x["parent_id"].isNotNull()), lambda x: x["parent_id"])
+    packed = packed.withColumn("served", F.map_from_arrays(F.array_distinct(served), F.transform(F.array_distinct(served), lambda x: F.lit(True))))
+    each = packed.select("trace_id", "t.root", "t.generated", "served", F.explode(F.arrays_zip("n", *(F.col(f"t.{c}").alias(c) for c in places))).alias("x"))
+    watched = F.coalesce((F.col("x.n.kind") == "Client") & ~F.col("x.n.side_effect").isin("none", "unknown"), F.lit(False))
+    spans_of = [F.col(f"x.n.{c}").alias(c) for c in nodes.columns if c not in ("trace_id", "text")]
+    unserved = watched & F.element_at("served", F.col("x.n.span_id")).isNull()
+    made = packed.where("t.generated").select(
+        "trace_id", "t.root", "t.generated", F.lit(SYNTHETIC).alias("span_id"), F.lit(SYNTHETIC).alias("name"), F.lit(SYNTHETIC).alias("label"), F.lit("unknown").alias("service"),
+        F.lit("none").alias("side_effect"), F.lit(0).cast("bigint").alias("duration_ns"), F.lit(True).alias("synthetic"), F.lit(False).alias("orphan"), F.lit(False).alias("on_cycle"), F.lit(False).alias("unserved"),
+        F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("order"), F.lit(0).cast("bigint").alias("pre"), F.col("t.root_last").alias("last"), F.col("t.root_digest").alias("digest"),
+    )
+    every = cut(each.select("trace_id", "root", "generated", *spans_of, *(F.col(f"x.{c}").alias(c) for c in places), unserved.alias("unserved")).unionByName(made, allowMissingColumns=True))
+    real = every.where("NOT synthetic")
+    found = real.groupBy("trace_id").agg(
+        F.first("root").alias("root"), F.first("generated").alias("generated"), F.count("*").alias("spans"),
         *(F.array_sort(F.collect_set(F.when(c, F.col("span_id")))).alias(n) for n, c in (
-            ("conflicts", F.col("conflict")), ("orphans", F.col("orphan")), ("cycle", F.col("on_cycle")), ("unserved", F.coalesce("unserved", F.lit(False))),
-            ("parentless", F.col("parent_id").isNull()))),
+            ("conflicts", F.col("conflict")), ("orphans", F.col("orphan")), ("cycle", F.col("on_cycle")), ("unserved", F.col("unserved")),
+            ("merged", F.col("merged") & ~F.col("conflict")), ("parentless", F.col("parent_id").isNull()))),
+        F.max((F.col("parent_id").isNull() & (F.col("label") == F.lit(root_name))).cast("int")).alias("named"),
     )
     some = lambda c: F.size(c) > 0
     quality = F.when(some("conflicts") | some("cycle"), "inconsistent").when(some("orphans") | F.col("generated"), "incomplete").otherwise("complete")
-    warning = lambda kind, ids: F.struct(F.lit(kind).alias("kind"), ids.alias("span_ids"))
+    warning = lambda kind, ids, when=None: F.struct(F.lit(kind).alias("kind"), (ids if when is None else F.when(when, ids).otherwise(F.array().cast("array<string>"))).alias("span_ids"))
     warnings = F.filter(F.array(
-        warning("conflicting_duplicate", F.col("conflicts")), warning("orphan", F.col("orphans")), warning("cycle", F.col("cycle")),
-        warning("client_without_server", F.col("unserved")), warning("multiple_roots", F.when(F.size("parentless") > 1, F.col("parentless")).otherwise(F.array().cast("array<string>"))),
+        # Kinds of warnings.
+        warning("multiple_roots", F.col("parentless"), F.size("parentless") > 1), warning("synthetic_root", F.array("root"), F.col("generated")),
+        warning("orphan_span", F.col("orphans")), warning("cycle_detected", F.col("cycle")),
+        warning("duplicate_spans_merged", F.col("merged")), warning("conflicting_duplicate_spans", F.col("conflicts")),
+        warning("client_span_without_server_span", F.col("unserved")),
+        warning("missing_root_selector_match", F.array("root"), F.lit(root_name is not None) & (F.coalesce("named", F.lit(0)) == 0)),
     ), lambda w: F.size(w["span_ids"]) > 0)
     traces = counts.join(found.select("trace_id", "root", "generated", "spans", quality.alias("quality"), warnings.alias("warnings")), "trace_id", "left")
     traces = traces.select("trace_id", "release", "environment", "rejected_rows", "root", F.coalesce("generated", F.lit(False)).alias("generated"), F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("quality", "state").alias("quality"), "warnings")
-    made = traces.where("generated").select(
-        "trace_id", F.lit(SYNTHETIC).alias("span_id"), F.lit(SYNTHETIC).alias("name"), F.lit(SYNTHETIC).alias("label"), F.lit("unknown").alias("service"),
-        F.lit("none").alias("side_effect"), F.lit(0).cast("bigint").alias("duration_ns"), F.lit(True).alias("synthetic"),
-    )
-    columns = [*nodes.columns, "up", "unserved", "orphan"]
-    every = placed.select(columns).unionByName(made, allowMissingColumns=True).withColumn("unserved", F.coalesce("unserved", F.lit(False))).withColumn("orphan", F.coalesce("orphan", F.lit(False)))
-    edges = placed.where("up IS NOT NULL").select("trace_id", F.col("up").alias("from"), F.col("span_id").alias("to"), F.lit("parent").alias("type"))
-    return Graph(traces, every, edges)
+    edges = every.where("up IS NOT NULL").select("trace_id", F.col("up").alias("from"), F.col("span_id").alias("to"), F.lit("parent").alias("type"))
+    return Graph(traces, every.drop("root", "generated"), edges)
+
+
+def per_trace(nodes: DataFrame, columns: dict[str, Column], walk, returns: str) -> DataFrame:
+    """Rows of struct `returns` of every trace, of which there are at most MAX_SPANS nodes: `walk` takes lists of its nodes' columns in
+    the order of `pre`, and gives a list of tuples."""
+
+    @F.pandas_udf(f"array<{returns}>")
+    def run(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([[tuple(r) for r in walk(*map(list, row))] for row in x.itertuples(index=False)])
+
+    packed = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("pre", *(c.alias(n) for n, c in columns.items())))).alias("n"))
+    return packed.select("trace_id", F.explode(run(F.struct(*(F.col("n")[n].alias(n) for n in columns)))).alias("x")).select("trace_id", "x.*")

@@ -2,34 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeledger.functions.exact import distribution, percentile
-from routeledger.functions.names import margin_up, rule_id, safe_text
+from routeledger.functions.exact import at_least, distribution, percentile
+from routeledger.functions.names import canonical_json, margin_up, rule_id, safe_text
+from routeledger.operators.canonical import fingerprints, ordered
+from routeledger.operators.diff import labeled_edges
+from routeledger.operators.graph import build, cut
+
+#: Reasons for which a run is left out, those of eligibility in the order in which they are looked for.
+REASONS = [
+    "UNTRUSTED_TYPED_ATTRIBUTE", "TRACE_FETCH_FAILED", "TRACE_MALFORMED", "TRACE_TOO_LARGE", "TRACE_INCONSISTENT", "TRACE_INCOMPLETE", "ROOT_SPAN_MISSING", "NORMALISER_VERSION_MISMATCH",
+    "RELEASE_ID_MISSING", "RELEASE_MISMATCH", "ENVIRONMENT_MISMATCH", "RUN_ID_MISSING", "RUN_NOT_SUCCESSFUL", "DUPLICATE_TRACE", "DUPLICATE_RUN",
+]
 
-#: Reasons for which a run is left out, in the order in which they are looked for.
-REASONS = ["fetch_failed", "empty", "too_large", "type_mismatch", "wrong_release", "wrong_environment", "out_of_window", "inconsistent", "incomplete", "errored", "short"]
+
+def facts(spans: DataFrame, traces: DataFrame, untrusted: DataFrame | None = None) -> DataFrame:
+    """trace_id, quality, warnings and the different releases, environments and run ids of each trace, whether a span has an error, and
+    `typed_ok`: not one of the traces of `untrusted`, whose values have other types than declared."""
+    own = spans.where("trace_id IS NOT NULL").groupBy("trace_id").agg(
+        *(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(f"{c}s") for c in ("release", "environment", "run_id")),
+        F.coalesce(F.max(F.col("has_error") | (F.lower("status_code") == "error")), F.lit(False)).alias("has_error"),
+    )
+    met = traces.select("trace_id", "quality", "warnings").join(own, "trace_id", "left")
+    if untrusted is None:
+        return met.withColumn("typed_ok", F.lit(True))
+    bad = untrusted.select("trace_id").distinct().withColumn("typed_ok", F.lit(False))
+    return met.join(bad, "trace_id", "left").withColumn("typed_ok", F.coalesce("typed_ok", F.lit(True)))
 
 
-def reason(release: str | None = None, environment: str | None = None, window_ns: tuple[int, int] | None = None, least_spans: int = 1) -> Column:
-    """The first reason for which a run is no good example, or null. Rows: quality, release, environment, start_ns, has_error, spans, typed_ok."""
-    c = F.when(F.col("quality").isNull(), "fetch_failed").when(F.col("quality") == "empty", "empty").when(F.col("quality") == "too_large", "too_large").when(~F.col("typed_ok"), "type_mismatch")
-    if release is not None:
-        c = c.when(~F.col("release").eqNullSafe(release), "wrong_release")
+def reason(release: str, environment: str | None = None, successful_only: bool = False, needs_root: bool = False) -> Column:
+    """The first reason for which a run is no good example, or null. Rows: those of `facts`."""
+    c = F.when(~F.col("typed_ok"), "UNTRUSTED_TYPED_ATTRIBUTE").when(F.col("quality").isNull(), "TRACE_FETCH_FAILED")
+    c = c.when(F.col("quality") == "empty", "TRACE_MALFORMED").when(F.col("quality") == "too_large", "TRACE_TOO_LARGE")
+    c = c.when(F.col("quality") == "inconsistent", "TRACE_INCONSISTENT").when(F.col("quality") != "complete", "TRACE_INCOMPLETE")
+    if needs_root:
+        c = c.when(F.exists("warnings", lambda w: w["kind"] == "missing_root_selector_match"), "ROOT_SPAN_MISSING")
+    c = c.when(F.size("releases") == 0, "RELEASE_ID_MISSING").when(F.col("releases") != F.array(F.lit(release)), "RELEASE_MISMATCH")
     if environment is not None:
-        c = c.when(~F.col("environment").eqNullSafe(environment), "wrong_environment")
-    if window_ns is not None:
-        c = c.when((F.col("start_ns") < window_ns[0]) | (F.col("start_ns") >= window_ns[1]), "out_of_window")
-    return c.when(F.col("quality") == "inconsistent", "inconsistent").when(F.col("quality") == "incomplete", "incomplete").when(F.col("has_error"), "errored").when(F.col("spans") < least_spans, "short")
+        c = c.when(F.col("environments") != F.array(F.lit(environment)), "ENVIRONMENT_MISMATCH")
+    c = c.when(F.size("run_ids") != 1, "RUN_ID_MISSING")
+    return c.when(F.col("has_error"), "RUN_NOT_SUCCESSFUL") if successful_only else c
 
 
 def dataset(runs: DataFrame, why: Column) -> tuple[DataFrame, DataFrame]:
     """Eligible runs, one for each run id (the smallest trace id), and the number of those left out by reason."""
     judged = runs.withColumn("reason", why)
-    once = Window.partitionBy(F.coalesce("run_id", "trace_id")).orderBy("trace_id")
+    once = Window.partitionBy(F.get("run_ids", F.lit(0))).orderBy("trace_id")
     good = judged.where("reason IS NULL").withColumn("place", F.row_number().over(once))
-    tally = judged.where("reason IS NOT NULL").select("reason").union(good.where("place > 1").select(F.lit("duplicate"))).groupBy("reason").agg(F.count("*").alias("runs"))
+    tally = judged.where("reason IS NOT NULL").select("reason").union(good.where("place > 1").select(F.lit("DUPLICATE_RUN"))).groupBy("reason").agg(F.count("*").alias("runs"))
     return good.where("place = 1").drop("place", "reason"), tally
 
 
@@ -47,38 +71,97 @@ def representatives(runs: DataFrame, k: int = 3) -> DataFrame:
     return runs.join(middle, "fingerprint").withColumn("place", F.row_number().over(near)).where(F.col("place") <= k).select("fingerprint", "place", "trace_id")
 
 
-def label_statistics(nodes: DataFrame, runs: DataFrame) -> DataFrame:
-    """For every label: runs with it, all runs, least, most and p95 of its count in a run (runs without it count as 0) and its presence."""
-    per_run = nodes.join(runs.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id", "label").agg(
-        F.count("*").alias("n"), F.max("retry_number").alias("retry"), F.min("side_effect").alias("side_effect"), F.min("service").alias("service")
-    )
+def family_topology(nodes: DataFrame, families_: DataFrame) -> DataFrame:
+    """fingerprint, label, occurrences, greatest retry and the kinds of one run of each family: families_ has fingerprint and trace_id."""
+    own = nodes.join(families_.select("fingerprint", "trace_id"), "trace_id")
+    sets = {"side_effects": "side_effect", "services": "service", "kinds": "kind", "tools": "tool", "data_domains": "data_domain", "operations": "operation"}
+    return own.groupBy("fingerprint", "label").agg(F.count("*").alias("occurrences"), F.max("retry_number").alias("most_retry"), *(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()))
+
+
+def hidden_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """trace_id and label of what a run may have hidden: labels that somewhere are children of one whose client span has no server span
+    in this run. nodes have unserved; edges are by labels (a, b)."""
+    flagged = nodes.where("unserved").select("trace_id", F.col("label").alias("a")).distinct()
+    return flagged.join(edges.select("a", F.col("b").alias("label")).distinct(), "a").select("trace_id", "label").distinct()
+
+
+def presence_class(present: Column, observable: Column, required: float = 1, rare: float = 0.05) -> Column:
+    """Always, required (at least that share of the runs that could show it), optional, rare (less than that share), unobservable."""
+    least = at_least(present, observable, required)
+    return (
+        F.when(observable == 0, "unobservable").when(present == observable, "always").when(least, "required")
+        .when(~at_least(present, observable, rare), "rare").otherwise("optional")
+    )
+
+
+def label_statistics(nodes: DataFrame, runs: DataFrame, edges: DataFrame, required: float = 1, rare: float = 0.05) -> DataFrame:
+    """For every label: runs with it, those that could show it, all runs, least, most and p95 of its count in these (0 without it), its
+    presence, kinds, parents and whether it is a remote handler; edges are by labels (trace_id, a, b)."""
+    per_run = nodes.join(runs.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id", "label").agg(F.count("*").alias("n"), F.max("retry_number").alias("retry"))
     total = runs.agg(F.count("*").alias("total"))
-    seen = per_run.groupBy("label").agg(F.count("*").alias("present"), F.min("n").alias("lo"), F.max("n").alias("most"), F.collect_set("side_effect").alias("side_effects"), F.collect_set("service").alias("services"), F.max("retry").alias("most_retry"))
-    # Of runs without the label only the number matters: the p95 over all runs is a rank among the others.
+    mine = nodes.join(runs.select("trace_id"), "trace_id", "left_semi")
+    sets = {"side_effects": "side_effect", "services": "service", "kinds": "kind", "tools": "tool", "data_domains": "data_domain", "operations": "operation"}
+    seen = per_run.groupBy("label").agg(F.count("*").alias("present"), F.min("n").alias("lo"), F.max("n").alias("most"), F.max("retry").alias("most_retry"))
+    seen = seen.join(mine.groupBy("label").agg(*(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items())), "label")
+    of_runs = edges.join(runs.select("trace_id"), "trace_id", "left_semi")
+    parents = of_runs.groupBy(F.col("b").alias("label")).agg(F.array_sort(F.collect_set("a")).alias("parent_labels"))
+    hidden = hidden_labels(mine, of_runs).join(per_run.select("trace_id", "label"), ["trace_id", "label"], "left_anti").groupBy("label").agg(F.count("*").alias("unobservable"))
+    clients = mine.where("kind = 'Client'").select(F.col("label").alias("a")).distinct()
+    # A label whose parents all are client spans somewhere.
+    foreign = of_runs.select("a", F.col("b").alias("label")).distinct().join(clients, "a", "left_anti").select("label").distinct().withColumn("foreign", F.lit(True))
+    seen = seen.join(parents, "label", "left").join(hidden, "label", "left").join(foreign, "label", "left").crossJoin(total)  # total is one row
+    seen = seen.withColumn("unobservable", F.coalesce("unobservable", F.lit(0))).withColumn("observable", F.col("total") - F.col("unobservable"))
+    # Of runs without the label only the number matters: the p95 is a rank among the others.
     order = Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     histogram = per_run.groupBy("label", "n").agg(F.count("*").alias("runs"))
-    ranked = histogram.join(seen.select("label", "present"), "label").crossJoin(total).withColumn("upto", F.col("total") - F.col("present") + F.sum("runs").over(order))
-    rank = F.ceil(F.lit(95) * F.col("total") / 100)
-    p95 = ranked.where(F.col("upto") >= rank).groupBy("label").agg(F.min("n").alias("n")).withColumnRenamed("n", "above")
-    met = seen.crossJoin(total).join(p95, "label", "left")
-    zero = (F.col("total") - F.col("present")) >= F.ceil(F.lit(95) * F.col("total") / 100)
-    presence = F.when(F.col("present") == F.col("total"), "always").when(F.col("present") * 2 >= F.col("total"), "usual").otherwise("rare")
+    rank = F.ceil(F.lit(95) * F.col("observable") / 100)
+    ranked = histogram.join(seen.select("label", "present", "observable"), "label").withColumn("upto", F.col("observable") - F.col("present") + F.sum("runs").over(order))
+    p95 = ranked.where(F.col("upto") >= rank).groupBy("label").agg(F.min("n").alias("above"))
+    met = seen.join(p95, "label", "left")
+    zero = F.col("observable") - F.col("present") >= rank
+    handler = (F.col("kinds") == F.array(F.lit("Server"))) & F.col("parent_labels").isNotNull() & F.col("foreign").isNull()
     return met.select(
-        "label", "present", "total", F.when(F.col("present") < F.col("total"), F.lit(0)).otherwise(F.col("lo")).cast("bigint").alias("least"), "most",
-        F.when(zero, F.lit(0)).otherwise(F.col("above")).cast("bigint").alias("p95"), presence.alias("presence"), F.array_sort("side_effects").alias("side_effects"), F.array_sort("services").alias("services"), "most_retry",
+        "label", "present", "observable", "unobservable", "total", F.when(F.col("present") < F.col("observable"), F.lit(0)).otherwise(F.col("lo")).cast("bigint").alias("least"), "most",
+        F.when(zero, F.lit(0)).otherwise(F.col("above")).cast("bigint").alias("p95"), presence_class(F.col("present"), F.col("observable"), required, rare).alias("presence"),
+        *sets, F.coalesce("parent_labels", F.array().cast("array<string>")).alias("parent_labels"), F.coalesce(handler, F.lit(False)).alias("remote_handler"), "most_retry",
     )
 
 
 def edge_statistics(edges: DataFrame, runs: DataFrame) -> DataFrame:
-    """a, b, runs that have the edge, and how often it occurs; edges by labels."""
+    """a, b, type, runs that have the edge, all runs, and how often it occurs; edges by labels."""
     mine = edges.join(runs.select("trace_id"), "trace_id", "left_semi")
-    return mine.groupBy("trace_id", "a", "b").agg(F.count("*").alias("n")).groupBy("a", "b").agg(F.count("*").alias("runs"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    each = mine.groupBy("trace_id", "a", "b", "type").agg(F.count("*").alias("n")).groupBy("a", "b", "type").agg(F.count("*").alias("runs"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    return each.crossJoin(runs.agg(F.count("*").alias("all_runs")))  # one row
+
+
+def retry_statistics(nodes: DataFrame, runs: DataFrame) -> DataFrame:
+    """group (tool, else label), runs with a retry number of it, the distribution of its greatest one in these runs, and side effects."""
+    mine = nodes.join(runs.select("trace_id"), "trace_id", "left_semi").where("retry_number IS NOT NULL").withColumn("group", F.coalesce("tool", "label"))
+    per_run = mine.groupBy("trace_id", "group").agg(F.max("retry_number").alias("retry"))
+    effects = mine.groupBy("group").agg(F.array_sort(F.collect_set("side_effect")).alias("side_effects"), F.array_sort(F.collect_set("operation")).alias("operations"))
+    return per_run.groupBy("group").agg(*distribution("retry", "")).join(effects, "group")
+
+
+def run_retries(nodes: DataFrame) -> DataFrame:
+    """trace_id, total (the sum over groups of the greatest retry number) and side_effect_max; runs without a retry number have no row."""
+    mine = nodes.where("retry_number IS NOT NULL").groupBy("trace_id", F.coalesce("tool", "label").alias("group")).agg(
+        F.max("retry_number").alias("retry"), F.max(F.when(F.col("side_effect").isin("write", "external"), F.col("retry_number"))).alias("effect")
+    )
+    return mine.groupBy("trace_id").agg(F.sum("retry").alias("total"), F.coalesce(F.max("effect"), F.lit(0)).alias("side_effect_max"))
 
 
 def attribute_support(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """label, key, value and spans of the allow-listed attributes."""
+    """label, key, value, spans that carry it and all spans of the label, for allow-listed attributes."""
     pairs = nodes.select("label", F.explode(F.map_filter("attributes", lambda k, v: k.isin(*keys))).alias("key", "value"))
-    return pairs.groupBy("label", "key", "value").agg(F.count("*").alias("spans"))
+    every = nodes.groupBy("label").agg(F.count("*").alias("all_spans"))
+    return pairs.groupBy("label", "key", "value").agg(F.count("*").alias("spans")).join(every, "label")
+
+
+def availability(runs: DataFrame, column: str, least: int = 1) -> DataFrame:
+    """One row: whether a metric is available over the runs, and why not; observed and all runs."""
+    found = runs.agg(F.count(column).alias("observed"), F.count("*").alias("runs"))
+    why = F.when(F.col("observed") == 0, "ATTRIBUTE_NOT_EMITTED").when(F.col("observed") < least, "INSUFFICIENT_OBSERVATIONS")
+    return found.select(F.lit(column).alias("metric"), why.isNull().alias("available"), why.alias("reason"), "observed", "runs")
 
 
 def status(n_eligible: int, truncated: bool, least: int = 20) -> str:
@@ -86,54 +169,134 @@ def status(n_eligible: int, truncated: bool, least: int = 20) -> str:
 
 
 def decided(found: DataFrame, decisions: dict[str, str]) -> DataFrame:
-    """Families with the status that a review gives them: approved, rejected, optional or excluded; else pending."""
+    """Families with the status that a review gives them: approved, rejected, optional or excluded_fixture_error; else pending."""
     known = {r[0] for r in found.where(F.col("fingerprint").isin(*decisions)).select("fingerprint").collect()} if decisions else set()  # as many as decisions
     if missing := sorted(set(decisions) - known):
         raise ValueError(f"no such families: {', '.join(missing)}")
-    if bad := sorted(set(decisions.values()) - {"approved", "rejected", "optional", "excluded"}):
+    if bad := sorted(set(decisions.values()) - {"approved", "rejected", "optional", "excluded_fixture_error"}):
         raise ValueError(f"unknown decisions: {', '.join(bad)}")
     states = F.create_map(*(F.lit(x) for kv in decisions.items() for x in kv)) if decisions else F.create_map().cast("map<string,string>")
     return found.withColumn("status", F.coalesce(F.element_at(states, F.col("fingerprint")), F.lit("pending")))
 
 
 def cardinality_bounds(labels: DataFrame, margin: int = 0) -> DataFrame:
-    """Recommended bounds: p95 with the outliers flagged where the most exceeds it, else the most with a margin, rounded up."""
+    """Recommended bounds: p95 with the outliers flagged where the most exceeds it, else the most and a margin."""
     outliers = F.col("most") > F.col("p95")
-    top = F.when(outliers, F.col("p95")).otherwise(F.ceil(F.col("most") * (100 + margin) / 100))
-    return labels.select("label", F.col("least").alias("min"), F.greatest(top, F.lit(1)).cast("bigint").alias("max"), outliers.alias("outliers"))
+    top = F.when(outliers, F.col("p95")).otherwise(F.col("most") + margin)
+    return labels.select("label", F.col("least").alias("min"), top.cast("bigint").alias("max"), outliers.alias("outliers"))
+
+
+#: Attributes on which all spans of a side effect must agree to give a rule.
+AGREEING = ["agent.idempotency.present"]
+
 
+def proposal_rows(nodes: DataFrame, runs: DataFrame, edges: DataFrame, most: int) -> dict:
+    """What a proposal is made of, all of it bounded: labels with their bounds and agreeing attributes, lists of values, retries, metrics."""
+    labels = label_statistics(nodes, runs, edges)
+    mine = nodes.join(runs.select("trace_id"), "trace_id", "left_semi")
+    agree = attribute_support(mine, AGREEING).where("spans = all_spans").groupBy("label").agg(F.collect_list(F.struct("key", "value")).alias("agreed"))
+    rows = labels.join(cardinality_bounds(labels), "label").join(agree, "label", "left").orderBy("label").limit(most + 1).collect()
+    per_run = run_retries(mine).agg(F.max("total").alias("total"), F.max("side_effect_max").alias("side_effect_max")).first()
+    groups = mine.where("retry_number IS NOT NULL").agg(F.max("retry_number").alias("most"), F.array_sort(F.collect_set("operation")).alias("operations")).first()
+    metrics = runs.agg(F.max("duration_ms").alias("most"), *(percentile(c, 95).alias(c) for c in ("duration_ms", "input_tokens", "output_tokens"))).first()
+    return {"labels": rows, "retries": per_run, "groups": groups, "metrics": metrics}
 
-def propose(labels: DataFrame, found: DataFrame, runs: DataFrame, name: str, most_rules: int = 400, most_values: int = 256) -> dict:
-    """A draft contract from the statistics of approved families. Labels that read alike once cleaned are refused and disclosed."""
-    approved = sorted(r[0] for r in found.where("status = 'approved'").select("fingerprint").limit(most_values + 1).collect())
-    rows = labels.join(cardinality_bounds(labels), "label").orderBy("label").limit(most_rules + 1).collect()
+
+def propose(nodes: DataFrame, edges: DataFrame, found: DataFrame, runs: DataFrame, name: str, root: str | None = None, minimum_runs: int = 20, most_rules: int = 400, most_values: int = 256) -> dict:
+    """A draft contract from approved families: presence, handler edges, side effects, allowed values, retries, routes and budgets.
+
+    nodes and edges (by labels: trace_id, a, b, type) are those of a graph; runs (trace_id, fingerprint, duration_ms, input_tokens,
+    output_tokens) are cut to the families of `found` that are approved. What can't be said is disclosed as code and subject.
+    """
+    good = found.where("status = 'approved'").select("fingerprint")
+    approved = sorted(r[0] for r in good.limit(most_values + 1).collect())
+    runs = runs.join(good, "fingerprint", "left_semi")
+    seen = proposal_rows(nodes, runs, edges, most_rules)
+    rules, disclosures = [], []
+    add = lambda rule, severity: rules.append(rule | {"severity": severity})
+    tell = lambda code, subject: disclosures.append(f"{code}:{subject}")
     clean: dict[str, list] = {}
-    for r in rows[:most_rules]:
+    for r in seen["labels"][:most_rules]:
         clean.setdefault(safe_text(r["label"]), []).append(r)
-    rules, disclosures = [], ["rules_truncated"] if len(rows) > most_rules else []
-    for label, own in sorted(clean.items()):
-        if len(own) > 1:
-            disclosures.append(f"ambiguous_label:{label}")
+    named = {own[0]["label"]: label for label, own in clean.items() if label and len(own) == 1}
+    for r in (r for label, own in sorted(clean.items()) if not label or len(own) > 1 for r in own):
+        tell("LABEL_NOT_EXPRESSIBLE", r["label"])
+    for r in seen["labels"][:most_rules]:
+        label = named.get(r["label"])
+        if label is None or r["label"] == root:
             continue
-        r = own[0]
-        effects = any(e in ("write", "external") for e in r["side_effects"])
-        severity = "critical" if r["side_effects"] == ["read"] and r["presence"] == "always" else "high"
-        if r["least"] >= 1:
-            rules.append({"id": rule_id("require", label), "type": "required_span", "selector": {"name": label}, "cardinality": {"min": r["least"], "max": r["max"]}, "severity": severity})
-        elif effects:
-            rules.append({"id": rule_id("bound", label), "type": "cardinality", "selector": {"name": label}, "min": 0, "max": r["max"], "scope": "run", "severity": "high"})
-        if r["outliers"]:
-            disclosures.append(f"outliers:{label}")
-    services = sorted({s for own in clean.values() for r in own for s in r["services"]})
-    if 0 < len(services) <= most_values:
-        rules.append({"id": "allowed-services", "type": "allowed_values", "field": "service.name", "values": services, "severity": "high"})
+        if r["presence"] == "unobservable":
+            tell("LABEL_UNOBSERVABLE", label)
+            continue
+        if r["remote_handler"]:
+            for parent in r["parent_labels"]:
+                if parent in named:
+                    add({"id": rule_id("answered", f"{named[parent]}->{label}"), "type": "required_edge", "from": {"name": named[parent]}, "to": {"name": label}, "relationship": "direct"}, "high")
+        else:
+            if r["outliers"]:
+                tell("CARDINALITY_OUTLIER", label)
+            if r["least"] >= 1:
+                add({"id": rule_id("require", label), "type": "required_span", "selector": {"name": label}, "cardinality": {"min": r["least"], "max": r["max"]}}, "critical" if r["side_effects"] == ["read"] else "high")
+            else:
+                tell("LABEL_OPTIONAL", label)
+                add({"id": rule_id("bound", label), "type": "cardinality", "selector": {"name": label}, "min": 0, "max": r["max"], "scope": "run"}, "medium")
+        if len(r["side_effects"]) == 1 and r["side_effects"][0] in ("write", "external"):
+            effect = r["side_effects"][0]
+            add({"id": rule_id("single", f"{label}|{effect}"), "type": "cardinality", "selector": {"name": label, "attributes": {"agent.side_effect": effect}}, "min": 0, "max": r["max"], "scope": "run"}, "critical")
+            if root in named and r["present"] == r["observable"]:
+                add({"id": rule_id("within", f"{named[root]}->{label}"), "type": "required_ancestry", "ancestor": {"name": named[root]}, "descendant": {"name": label}, "relationship": "any_depth"}, "high")
+            for fact in r["agreed"] or []:
+                kind, _, text = fact["value"].partition(":")
+                value = {"boolean": text == "true", "number": int(text) if kind == "number" and text.lstrip("-").isdigit() else text}.get(kind, text)
+                add({"id": rule_id("attribute", f"{label}|{fact['key']}"), "type": "attribute_constraint", "selector": {"name": label}, "field": fact["key"], "operator": "equals", "value": value}, "critical")
+    for field, column, prefix in (("gen_ai.tool.name", "tools", "tools"), ("service.name", "services", "services"), ("agent.data_domain", "data_domains", "domains")):
+        values = sorted({safe_text(v) for r in seen["labels"] for v in r[column]})
+        if len(values) > most_values:
+            tell("BUDGET_NOT_PROPOSED", field)
+        elif values:
+            add({"id": rule_id("approved", prefix), "type": "allowed_values", "field": field, "values": values}, "high")
+    operations, retries = seen["groups"]["operations"] or [], seen["retries"]
+    if seen["groups"]["most"] is None or not operations:
+        tell("BUDGET_NOT_PROPOSED", "retries")
+    else:
+        where = {"operation": safe_text(operations[0])} if len(operations) == 1 else {"attributes": {"gen_ai.operation.name": {"operator": "in", "values": [safe_text(o) for o in operations[:most_values]]}}}
+        add({"id": rule_id("retries", "bounded"), "type": "retry_budget", "selector": where, "maxPerTool": seen["groups"]["most"], "maxRunTotal": max(retries["total"], seen["groups"]["most"]), "sideEffectMax": retries["side_effect_max"]}, "high")
     if approved and len(approved) <= most_values:
-        rules.append({"id": "approved-routes", "type": "approved_routes", "fingerprints": [f"sha256:{f}" for f in approved], "severity": "high"})
-    times = runs.agg(F.max("duration_ms").alias("most"), percentile("duration_ms", 95).alias("p95"), percentile("output_tokens", 95).alias("tokens")).first()
-    if times["most"] is not None:
-        rules.append({"id": "run-latency", "type": "numeric_budget", "metric": "run.duration_ms", "aggregation": "max", "max": margin_up(times["most"], 50), "scope": "run", "severity": "medium"})
-        rules.append({"id": "release-latency", "type": "numeric_budget", "metric": "run.duration_ms", "aggregation": "p95", "max": margin_up(times["p95"], 20), "scope": "release", "severity": "medium"})
-    if times["tokens"] is not None:
-        rules.append({"id": "release-tokens", "type": "numeric_budget", "metric": "gen_ai.usage.output_tokens", "aggregation": "p95", "max": margin_up(times["tokens"], 25), "scope": "release", "severity": "medium"})
-    gate = {"minCompletedRuns": 20, "maxViolationPercent": 1, "maxUnknownRoutePercent": 1, "maxLatencyRegressionPercent": 20, "zeroToleranceRuleIds": [r["id"] for r in rules if r["severity"] == "critical"]}
-    return {"apiVersion": "v1", "kind": "TrajectoryContract", "metadata": {"id": name, "name": name, "version": "1.0.0"}, "spec": {"selectors": {}, "approvedRoutes": [f"sha256:{f}" for f in approved], "rules": rules, "gate": gate}, "disclosures": sorted(set(disclosures))}
+        add({"id": rule_id("route", "approved-family"), "type": "approved_routes", "fingerprints": [f"sha256:{f}" for f in approved], "minSimilarity": 0.92}, "high")
+    metrics = seen["metrics"]
+    if metrics["most"] is not None:
+        add({"id": rule_id("budget", "run.duration_ms"), "type": "numeric_budget", "metric": "run.duration_ms", "aggregation": "max", "max": margin_up(metrics["most"], 50), "scope": "run"}, "medium")
+        add({"id": rule_id("budget", "release.duration_ms"), "type": "numeric_budget", "metric": "run.duration_ms", "aggregation": "p95", "max": margin_up(metrics["duration_ms"], 20), "scope": "release"}, "medium")
+    else:
+        tell("BUDGET_NOT_PROPOSED", "run.duration_ms")
+    for column in ("input_tokens", "output_tokens"):
+        metric = f"gen_ai.usage.{column}"
+        if metrics[column] is None:
+            tell("BUDGET_NOT_PROPOSED", metric)
+        else:
+            add({"id": rule_id("budget", metric), "type": "numeric_budget", "metric": metric, "aggregation": "p95", "max": margin_up(metrics[column], 25), "scope": "release"}, "medium")
+    if len(rules) > most_rules or len(seen["labels"]) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    gate = {
+        "minCompletedRuns": minimum_runs, "evaluationTimeoutSeconds": 600, "maxViolationPercent": 0.5, "maxUnknownRoutePercent": 1, "maxLatencyRegressionPercent": 20,
+        "maxTokenRegressionPercent": 25, "zeroToleranceRuleIds": sorted(r["id"] for r in rules if r["severity"] == "critical"),
+    }
+    routes = [f"sha256:{f}" for f in approved]
+    return {"apiVersion": "v1", "kind": "TrajectoryContract", "metadata": {"id": name, "name": name, "version": "0.1.0"}, "spec": {"selectors": {"rootSpan": root} if root else {}, "approvedRoutes": routes, "rules": rules, "gate": gate}, "disclosures": sorted(set(disclosures))}
+
+
+def mine(spans: DataFrame, release: str, name: str, root: str | None = None, environment: str | None = None, decisions: dict[str, str] | None = None, least: int = 20, unicode: bool = True) -> dict:
+    """The whole way from spans to a draft: eligible runs, families, the baseline's status and, once families are approved, a contract."""
+    g = build(spans, root, unicode=unicode)
+    good, tally = dataset(facts(spans, g.traces), reason(release, environment))
+    totals = g.nodes.groupBy("trace_id").agg(F.max(F.when(F.col("order") == 0, F.expr("duration_ns div 1000000"))).alias("duration_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.greatest("retry_number", F.lit(0))).alias("retries"))
+    runs = cut(good.select("trace_id").join(fingerprints(ordered(g)), "trace_id").join(totals, "trace_id"))
+    found = families(runs)
+    state = status(runs.count(), False, least)
+    draft = propose(g.nodes, labeled_edges(g.nodes, g.edges), decided(found, decisions), runs, name, root, least) if decisions else None
+    return {"families": found, "runs": runs, "tally": tally, "status": state, "draft": draft, "baseline": baseline_id(release, root, environment)}
+
+
+def baseline_id(release: str, root: str | None, environment: str | None) -> str:
+    """An identity of what was mined, by its selection."""
+    return hashlib.sha256(canonical_json([release, root, environment]).encode()).hexdigest()[:32]

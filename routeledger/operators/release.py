@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,40 @@ from routeledger.functions.exact import fraction, percentile, ratio
 #: Decisions by rank and exit codes.
 DECISIONS = ["pass", "insufficient_data", "fail", "error"]
 EXIT_CODES = {"pass": 0, "fail": 2, "insufficient_data": 3, "error": 4, "configuration": 5}
-MISSING_CODES = ("REQUIRED_SPAN_MISSING", "REQUIRED_EDGE_MISSING", "REQUIRED_ANCESTRY_MISSING")
-ABOVE_CODES = ("CARDINALITY_ABOVE_MAX", "REQUIRED_SPAN_ABOVE_MAX")
-UNKNOWN_CODES = ("ROUTE_NOT_APPROVED",)
+MISSING_CODES = ("REQUIRED_SPAN_MISSING", "REQUIRED_ANCESTRY_MISSING", "REQUIRED_EDGE_MISSING", "CARDINALITY_BELOW_MIN")
+ABOVE_CODES = ("CARDINALITY_ABOVE_MAX", "REQUIRED_SPAN_TOO_MANY", "RETRY_BUDGET_SIDE_EFFECT_EXCEEDED")
+UNKNOWN_CODES = ("ROUTE_NOT_APPROVED", "ROUTE_DRIFTED")
+#: Codes of findings, in the order in which they are listed, and of disclosures.
+FINDINGS = [
+    "CONTRACT_NOT_ACTIVE", "CONTRACT_MISMATCH", "RUN_EVALUATION_ERRORED", "RETRIEVAL_TRUNCATED", "EVALUATION_TIMED_OUT", "EVALUATION_INCOMPLETE", "AGGREGATION_STALE",
+    "MIN_RUNS_NOT_MET", "RUN_EVIDENCE_INSUFFICIENT", "RELEASE_RULE_EVIDENCE_INSUFFICIENT", "ZERO_TOLERANCE_VIOLATION", "VIOLATION_RATE_EXCEEDED", "UNKNOWN_ROUTE_RATE_EXCEEDED",
+    "LATENCY_REGRESSION_EXCEEDED", "TOKEN_REGRESSION_EXCEEDED", "RELEASE_BUDGET_EXCEEDED", "RELEASE_CARDINALITY_EXCEEDED",
+]
+DISCLOSURES = [
+    "BASELINE_UNAVAILABLE", "LATENCY_REGRESSION_NOT_MEASURED", "TOKEN_REGRESSION_NOT_MEASURED", "RETRY_CHANGE_NOT_MEASURED",
+    "RELEASE_BUDGET_NOT_MEASURED", "RUN_DURATION_NOT_RECORDED", "RUN_RETRIES_NOT_RECORDED",
+]
+
+
+class State(NamedTuple):
+    """What is known of the evaluation beside its runs; times are in milliseconds."""
+
+    contract_state: str = "active"
+    same_contract: bool = True
+    truncated: bool = False
+    started_ms: int | None = None
+    completed_ms: int | None = 0
+    now_ms: int = 0
+    window_end_ms: int = 0
+    max_age_seconds: int = 3600
+
+
+class Reference(NamedTuple):
+    """What a release is compared with: figures of its baseline."""
+
+    latency_p95_ms: int | None = None
+    tokens_p95: int | None = None
+    retries_per_run: int | None = None
 
 
 def counts(runs: DataFrame, violations: DataFrame) -> DataFrame:
@@ -23,7 +56,10 @@ def counts(runs: DataFrame, violations: DataFrame) -> DataFrame:
         F.max(F.col("code").isin(*UNKNOWN_CODES).cast("int")).alias("unknown_route"), F.max(F.col("code").isin(*ABOVE_CODES).cast("int")).alias("duplicate"),
         F.max(F.col("code").isin(*MISSING_CODES).cast("int")).alias("missing"),
     )
-    met = runs.join(by_run, "trace_id", "left").fillna(0)
+    v_columns = [c for c in by_run.columns if c != "trace_id"]
+    met = runs.join(by_run, "trace_id", "left").fillna(0, v_columns)
+    tokens = F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(), F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+    met = met.withColumn("tokens", tokens)
     is_ = lambda s: F.col("status") == s
     return met.groupBy("release").agg(
         F.count("*").alias("runs"), n(is_("pass")).alias("passed"), n(is_("fail")).alias("failed"), n(is_("insufficient_data")).alias("insufficient"), n(is_("error")).alias("errors"),
@@ -31,12 +67,14 @@ def counts(runs: DataFrame, violations: DataFrame) -> DataFrame:
         F.sum("unknown_route").cast("bigint").alias("unknown_routes"), F.sum("duplicate").cast("bigint").alias("duplicate_rule_runs"), F.sum("missing").cast("bigint").alias("missing_prerequisites"),
         n(F.col("quality") != "complete").alias("degraded"), F.countDistinct("fingerprint").alias("routes"),
         percentile("duration_ms", 95).alias("p95_ms"), percentile("duration_ms", 99).alias("p99_ms"), F.sum("retries").alias("retries"), F.sum("output_tokens").alias("output_tokens"),
+        percentile("tokens", 95).alias("p95_tokens"), F.count("duration_ms").alias("timed"), F.count("retries").alias("with_retries"), F.expr("sum(retries) div count(retries)").alias("retries_per_run"),
     )
 
 
 def rates(counted: DataFrame) -> DataFrame:
-    """Counts with the exact shares of failing runs and of unknown routes."""
-    return counted.withColumn("violation_rate", ratio(F.col("failed"), F.col("runs"))).withColumn("unknown_rate", ratio(F.col("unknown_routes"), F.col("runs")))
+    """Counts with the exact shares of runs that fail, follow unknown routes, repeat side effects or miss a prerequisite."""
+    shares = {"violation_rate": "failed", "unknown_rate": "unknown_routes", "duplicate_rate": "duplicate_rule_runs", "missing_rate": "missing_prerequisites"}
+    return counted.withColumns({name: ratio(F.col(c), F.col("runs")) for name, c in shares.items()})
 
 
 def release_budgets(results: DataFrame, runs: DataFrame, rules: list[dict]) -> DataFrame:
@@ -46,21 +84,24 @@ def release_budgets(results: DataFrame, runs: DataFrame, rules: list[dict]) -> D
         F.count("value").alias("reporting"), F.count("*").alias("runs"), F.sum("value").alias("sum"), F.max("value").alias("max"),
         F.floor(F.sum("value") / F.count("value")).alias("avg"), percentile("value", 95).alias("p95"), percentile("value", 99).alias("p99"),
     )
-    value, over, under = F.lit(None).cast("bigint"), F.lit(False), F.lit(False)
+    value, bad, is_budget = F.lit(None).cast("bigint"), F.lit(False), F.lit(False)
     for rule in rules:
         if rule.get("scope") != "release":
             continue
         mine = F.col("rule_id") == rule["id"]
-        own = F.col(rule["aggregation"] if rule["type"] == "numeric_budget" else "sum")
+        budget = rule["type"] == "numeric_budget"
+        own = F.col(rule["aggregation"] if budget else "sum")
         value = F.when(mine, own).otherwise(value)
+        wrong = F.lit(False)
         if rule.get("max") is not None:
-            over = F.when(mine, own > rule["max"]).otherwise(over)
-        if rule.get("min") is not None:
-            under = F.when(mine, own < rule["min"]).otherwise(under)
-    outcome = (
-        F.when(F.col("reporting") == 0, "not_measured").when(over, "violation").when(F.col("reporting") < F.col("runs"), "insufficient_evidence").when(under, "violation").otherwise("pass")
-    )
-    return found.select("release", "rule_id", "reporting", "runs", value.alias("value"), outcome.alias("outcome"))
+            wrong = own > rule["max"]
+        if not budget and rule.get("min") is not None:
+            wrong = wrong | (own < rule["min"])
+        bad, is_budget = F.when(mine, wrong).otherwise(bad), F.when(mine, F.lit(budget)).otherwise(is_budget)
+    # A budget that no run reports is disclosed; one that some runs don't report can't be decided.
+    outcome = F.when((F.col("reporting") == 0) & is_budget, "not_measured").when(F.col("reporting") < F.col("runs"), "insufficient_evidence").when(bad, "violation").otherwise("pass")
+    decided = outcome.isin("violation", "pass")
+    return found.select("release", "rule_id", "reporting", "runs", F.when(decided, value).alias("value"), outcome.alias("outcome"), is_budget.alias("is_budget"))
 
 
 def change(now: Column, base: Column) -> Column:
@@ -81,31 +122,73 @@ def weighted_reference(families: DataFrame) -> DataFrame:
     return families.where("status = 'approved'").agg(F.floor(F.sum(F.col("p95_ms") * F.col("runs")) / F.sum("runs")).alias("p95_ms"))
 
 
-def findings(counted: DataFrame, violations: DataFrame, runs: DataFrame, budgets: DataFrame, gate: dict, reference_p95: int | None = None) -> DataFrame:
-    """release, finding, decision and detail for everything that keeps a release from passing."""
+def changes_from(counted: DataFrame, reference: Reference | None) -> DataFrame:
+    """release, metric, before, after and change (percent, cut toward 0; null: not measured) of latency, tokens and retries."""
+    ref = reference or Reference()
+    rows = [("run.duration_ms", ref.latency_p95_ms, "p95_ms"), ("gen_ai.usage.total_tokens", ref.tokens_p95, "p95_tokens"), ("agent.retry.count", ref.retries_per_run, "retries_per_run")]
+    each = F.array(*(F.struct(F.lit(metric).alias("metric"), F.lit(base).cast("bigint").alias("before"), F.col(now).cast("bigint").alias("after")) for metric, base, now in rows))
+    return counted.select("release", F.explode(each).alias("x")).select("release", "x.*").withColumn("change", change(F.col("after"), F.col("before")))
+
+
+def findings(counted: DataFrame, violations: DataFrame, runs: DataFrame, budgets: DataFrame, gate: dict, reference: Reference | None = None, state: State = State()) -> DataFrame:
+    """release, finding, decision, rule_id and detail for everything that keeps a release from passing, in order by `place`."""
     rows = []
-    add = lambda df, name, decision, when, detail: rows.append(df.where(when).select("release", F.lit(name).alias("finding"), F.lit(decision).alias("decision"), detail.cast("string").alias("detail")))
-    add(counted, "runs_errored", "error", F.col("errors") > 0, F.col("errors"))
-    add(counted, "too_few_runs", "insufficient_data", F.col("runs") - F.col("errors") < gate.get("minCompletedRuns", 1), F.col("runs"))
-    add(counted, "insufficient_runs", "insufficient_data", F.col("insufficient") > 0, F.col("insufficient"))
-    if "maxViolationPercent" in gate:
-        n, d = fraction(gate["maxViolationPercent"])
-        add(counted, "violation_rate", "fail", F.col("failed") * 100 * d > F.col("runs") * n, F.col("failed"))
-    if "maxUnknownRoutePercent" in gate:
-        n, d = fraction(gate["maxUnknownRoutePercent"])
-        add(counted, "unknown_route_rate", "fail", F.col("unknown_routes") * 100 * d > F.col("runs") * n, F.col("unknown_routes"))
-    if reference_p95 is not None and "maxLatencyRegressionPercent" in gate:
-        add(counted, "latency_regression", "fail", regressed(F.col("p95_ms"), F.lit(reference_p95), gate["maxLatencyRegressionPercent"]), F.col("p95_ms"))
+
+    def add(df: DataFrame, name: str, decision: str, when: Column, detail: Column, rule: Column | None = None) -> None:
+        rule = F.lit(None) if rule is None else rule
+        rows.append(df.where(when).select("release", F.lit(name).alias("finding"), F.lit(decision).alias("decision"), rule.cast("string").alias("rule_id"), detail.cast("string").alias("detail")))
+
+    always = lambda name, decision, detail: add(counted, name, decision, F.lit(True), F.lit(detail))
+    if state.contract_state != "active":
+        always("CONTRACT_NOT_ACTIVE", "error", state.contract_state)
+    if not state.same_contract:
+        always("CONTRACT_MISMATCH", "error", "other content hash")
+    add(counted, "RUN_EVALUATION_ERRORED", "error", F.col("errors") > 0, F.col("errors"))
+    if state.truncated:
+        always("RETRIEVAL_TRUNCATED", "insufficient_data", "truncated")
+    if state.completed_ms is None:
+        always("EVALUATION_INCOMPLETE", "insufficient_data", "not completed")
+    elif state.started_ms is not None and state.completed_ms - state.started_ms > 1000 * gate.get("evaluationTimeoutSeconds", 600):
+        always("EVALUATION_TIMED_OUT", "insufficient_data", str(state.completed_ms - state.started_ms))
+    if state.now_ms - state.window_end_ms > 1000 * state.max_age_seconds:
+        always("AGGREGATION_STALE", "insufficient_data", str(state.now_ms - state.window_end_ms))
+    add(counted, "MIN_RUNS_NOT_MET", "insufficient_data", F.col("runs") < gate.get("minCompletedRuns", 1), F.col("runs"))
+    add(counted, "RUN_EVIDENCE_INSUFFICIENT", "insufficient_data", F.col("insufficient") > 0, F.col("insufficient"))
     zero = gate.get("zeroToleranceRuleIds") or []
     if zero:
-        hit = violations.where(F.col("rule_id").isin(*zero)).join(runs.select("trace_id", "release"), "trace_id").groupBy("release").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
-        add(hit, "zero_tolerance", "fail", F.lit(True), F.col("rules"))
-    add(budgets, "release_budget", "fail", F.col("outcome") == "violation", F.col("rule_id"))
-    add(budgets, "budget_evidence", "insufficient_data", F.col("outcome") == "insufficient_evidence", F.col("rule_id"))
+        hit = violations.where(F.col("rule_id").isin(*zero)).join(runs.select("trace_id", "release"), "trace_id").groupBy("release").agg(F.count("*").alias("n"))
+        add(hit, "ZERO_TOLERANCE_VIOLATION", "fail", F.lit(True), F.col("n"))
+    for key, name, column in (("maxViolationPercent", "VIOLATION_RATE_EXCEEDED", "failed"), ("maxUnknownRoutePercent", "UNKNOWN_ROUTE_RATE_EXCEEDED", "unknown_routes")):
+        if key in gate:
+            n, d = fraction(gate[key])
+            add(counted, name, "fail", F.col(column) * 100 * d > F.col("runs") * n, F.col(column))
+    for key, name, column, base in (
+        ("maxLatencyRegressionPercent", "LATENCY_REGRESSION_EXCEEDED", "p95_ms", reference and reference.latency_p95_ms),
+        ("maxTokenRegressionPercent", "TOKEN_REGRESSION_EXCEEDED", "p95_tokens", reference and reference.tokens_p95),
+    ):
+        if key in gate and base is not None:
+            add(counted, name, "fail", regressed(F.col(column), F.lit(base), gate[key]), F.col(column))
+    add(budgets, "RELEASE_BUDGET_EXCEEDED", "fail", (F.col("outcome") == "violation") & F.col("is_budget"), F.col("value"), F.col("rule_id"))
+    add(budgets, "RELEASE_CARDINALITY_EXCEEDED", "fail", (F.col("outcome") == "violation") & ~F.col("is_budget"), F.col("value"), F.col("rule_id"))
+    add(budgets, "RELEASE_RULE_EVIDENCE_INSUFFICIENT", "insufficient_data", F.col("outcome") == "insufficient_evidence", F.col("reporting"), F.col("rule_id"))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
-    return out
+    # The gravest decision first, then the order of codes, then rules.
+    place = F.struct(-F.array_position(F.array(*map(F.lit, DECISIONS)), F.col("decision")), F.array_position(F.array(*map(F.lit, FINDINGS)), F.col("finding")), F.coalesce("rule_id", F.lit("")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("release").orderBy(place)))
+
+
+def disclosures(counted: DataFrame, budgets: DataFrame, reference: Reference | None = None) -> DataFrame:
+    """release, disclosure and subject of what could not be measured, which neither passes nor fails."""
+    said = lambda df, name, when, subject=None: df.where(when).select("release", F.lit(name).alias("disclosure"), (F.lit(None) if subject is None else subject).cast("string").alias("subject"))
+    out = said(budgets, "RELEASE_BUDGET_NOT_MEASURED", F.col("outcome") == "not_measured", F.col("rule_id"))
+    if reference is None:
+        out = out.union(said(counted, "BASELINE_UNAVAILABLE", F.lit(True)))
+    out = out.union(said(counted, "RUN_DURATION_NOT_RECORDED", F.col("timed") < F.col("runs"))).union(said(counted, "RUN_RETRIES_NOT_RECORDED", F.col("with_retries") < F.col("runs")))
+    names = {"run.duration_ms": "LATENCY_REGRESSION_NOT_MEASURED", "gen_ai.usage.total_tokens": "TOKEN_REGRESSION_NOT_MEASURED", "agent.retry.count": "RETRY_CHANGE_NOT_MEASURED"}
+    open_ = changes_from(counted, reference).where("change IS NULL")
+    return out.union(open_.select("release", F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("metric")), F.lit(None).cast("string")))
 
 
 def decisions(counted: DataFrame, found: DataFrame) -> DataFrame:
@@ -124,3 +207,10 @@ def evidence(runs: DataFrame, most: int = 5) -> DataFrame:
     return runs.where("status IN ('fail', 'pass')").withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("release", "status", "place", "trace_id")
 
 
+
+
+def decision_hash(counted: DataFrame, found: DataFrame) -> DataFrame:
+    """release and `hash`: SHA-256 of its counts and findings as text; not of times or ids of the evaluation."""
+    listed = found.groupBy("release").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "finding", "decision", F.coalesce("rule_id", F.lit("")), F.coalesce("detail", F.lit(""))))), "|").alias("said"))
+    numbers = F.concat_ws(",", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("runs", "passed", "failed", "insufficient", "errors", "unknown_routes")))
+    return counted.join(listed, "release", "left").select("release", F.sha2(F.concat_ws(";", "release", numbers, F.coalesce("said", F.lit(""))), 256).alias("hash"))

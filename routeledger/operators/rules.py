@@ -1,19 +1,20 @@
 """The eleven rules of a contract over all runs: each gives rows of outcome pass, violation, insufficient_evidence or deferred.
 
-Rules that count or look at a run's own spans are aggregated together, in one pass over the nodes; rules about ancestry
-walk up only from the spans that they are about; every rule starts from the runs, so that runs without a match have rows.
+Rules that count or look at a run's own spans are aggregated together, in one pass over the nodes; rules about ancestry share one
+walk down every tree, which notes how far above each span the nearest one of interest is; every rule starts from the runs, so
+that runs without a match have rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeledger.functions.exact import at_least
 from routeledger.operators import canonical, features
-from routeledger.operators.graph import Graph
+from routeledger.operators.graph import Graph, cut
 from routeledger.operators.selectors import SIDE_EFFECTING, condition, field, operand_of, selector
 
 RESULT = "struct<outcome: string, code: string, detail: string, value: bigint, span_ids: array<string>>"
@@ -57,7 +58,7 @@ def counted(rule: dict, found: Column) -> Column:
     if rule["type"] == "cardinality" and rule["scope"] == "release":
         return one(result("deferred", None, n, spans))
     over = F.lit(False) if high is None else n > high
-    above = "REQUIRED_SPAN_ABOVE_MAX" if rule["type"] == "required_span" else "CARDINALITY_ABOVE_MAX"
+    above = "REQUIRED_SPAN_TOO_MANY" if rule["type"] == "required_span" else "CARDINALITY_ABOVE_MAX"
     below = "REQUIRED_SPAN_MISSING" if rule["type"] == "required_span" else "CARDINALITY_BELOW_MIN"
     return one(
         F.when(over, result("violation", above, n, spans))
@@ -92,7 +93,7 @@ def single_pass(traces: DataFrame, nodes: DataFrame, rules: list[dict]) -> DataF
             value = plain_value(rule["field"])
             bad = value.isNotNull() & ~condition(value, "in", rule["values"])
             aggs += [F.count(value).alias(c), F.collect_set(F.when(bad, value)).alias(f"{c}_bad")]
-            wrong = F.transform(F.array_sort(f"{c}_bad"), lambda v: result("violation", "VALUE_NOT_ALLOWED", None, None, v))
+            wrong = F.transform(F.array_sort(f"{c}_bad"), lambda v: result("violation", "DISALLOWED_VALUE", None, None, v))
             none = F.coalesce(c, F.lit(0)) == 0
             parts.append((rule, F.when(none, one(result("insufficient_evidence", "attribute_not_emitted"))).when(F.size(f"{c}_bad") > 0, wrong).otherwise(one(result("pass")))))
         elif kind == "attribute_constraint":
@@ -102,11 +103,11 @@ def single_pass(traces: DataFrame, nodes: DataFrame, rules: list[dict]) -> DataF
             aggs += [F.collect_list(F.when(mine & ~holds & ~unsure, place())).alias(c), F.count(F.when(mine & unsure, 1)).alias(f"{c}_unsure")]
             found = F.coalesce(c, F.array().cast("array<struct<order: bigint, span_id: string>>"))
             parts.append((rule, one(
-                F.when(F.size(found) > 0, result("violation", "ATTRIBUTE_CONSTRAINT_VIOLATED", F.size(found), ids(found)))
+                F.when(F.size(found) > 0, result("violation", "ATTRIBUTE_CONSTRAINT_FAILED", F.size(found), ids(found)))
                 .when(F.col(f"{c}_unsure") > 0, result("insufficient_evidence", "attribute_not_emitted")).otherwise(result("pass"))
             )))
         elif kind == "numeric_budget":
-            amount = {"run.duration_ms": F.when((F.col("span_id") == F.col("run_root")), F.floor(F.col("duration_ns") / 1_000_000))}.get(
+            amount = {"run.duration_ms": F.when((F.col("span_id") == F.col("run_root")), F.expr("duration_ns div 1000000"))}.get(
                 rule["metric"], F.col("input_tokens") if rule["metric"].endswith("input_tokens") else F.col("output_tokens")
             )
             aggs.append((F.sum if rule["aggregation"] == "sum" or rule["metric"] != "run.duration_ms" else F.max)(amount).cast("bigint").alias(c))
@@ -141,67 +142,78 @@ def per_offender(traces: DataFrame, spans: DataFrame, rule: dict, code: str, dou
 
 
 def required_edge(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame:
-    """Each `from` span has a `to` span as a child, or anywhere below it."""
-    starts = nodes.where(selector(rule["from"])).select("trace_id", "span_id", "order", "unserved")
-    ends = nodes.where(selector(rule["to"]))
+    """Each `from` span has a `to` span as a child, or anywhere below it: nodes below one are those from pre + 1 to last."""
     if rule["relationship"] == "direct":
-        above = ends.select("trace_id", F.col("up").alias("span_id"))
+        above = nodes.where(selector(rule["to"]) & F.col("up").isNotNull()).select("trace_id", F.col("up").alias("span_id")).distinct()
+        left = nodes.where(selector(rule["from"])).join(above, ["trace_id", "span_id"], "left_anti")
     else:
-        above = canonical.ancestors(nodes, ends).where("dist > 0").select("trace_id", F.col("ancestor").alias("span_id"))
-    left = starts.join(above.where("span_id IS NOT NULL").distinct(), ["trace_id", "span_id"], "left_anti")
+        later = Window.partitionBy("trace_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+        following = nodes.withColumn("_next", F.min(F.when(selector(rule["to"]), F.col("pre"))).over(later))
+        left = following.where(selector(rule["from"]) & F.coalesce(F.col("_next") > F.col("last"), F.lit(True)))
     left = left.withColumn("state", F.when(F.col("unserved"), "unsure").otherwise("bad"))
     return per_offender(traces, left, rule, "REQUIRED_EDGE_MISSING", F.col("unsure") > 0, F.lit("unobservable_subtree"))
 
 
+def ancestry_marks(rules: list[dict]) -> dict[str, Column]:
+    """What the rules about ancestry look for above a span, by the rule's id."""
+    marks = {}
+    for rule in rules:
+        if rule["type"] == "required_ancestry":
+            marks[f"ancestor {rule['id']}"] = selector(rule["ancestor"])
+        elif rule["type"] == "forbidden_path":
+            unless = (rule.get("unless") or {}).get("contains")
+            marks[f"from {rule['id']}"] = selector(rule["from"])
+            marks[f"unless {rule['id']}"] = selector(unless) if unless else F.lit(False)
+    return marks
+
+
 def required_ancestry(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame:
-    """Each `descendant` has an `ancestor` as its parent, or anywhere above it."""
-    below = nodes.where(selector(rule["descendant"])).select("trace_id", "span_id", "order")
-    chain = canonical.ancestors(nodes, below.select("trace_id", "span_id"))
-    anchors = nodes.where(selector(rule["ancestor"])).select("trace_id", F.col("span_id").alias("ancestor"), F.lit(True).alias("anchor"))
-    orphans = nodes.where("orphan").select("trace_id", F.col("span_id").alias("ancestor"), F.lit(True).alias("lost"))
-    near = F.col("dist") == 1 if rule["relationship"] == "direct" else F.col("dist") > 0
-    seen = chain.join(anchors, ["trace_id", "ancestor"], "left").join(orphans, ["trace_id", "ancestor"], "left").groupBy("trace_id", "span_id").agg(
-        F.max((near & F.col("anchor").isNotNull()).cast("int")).alias("has"), F.max_by(F.coalesce("lost", F.lit(False)), "dist").alias("lost")
-    )
-    missing = below.join(seen.where("has = 0"), ["trace_id", "span_id"]).withColumn("state", F.when(F.col("lost"), "unsure").otherwise("bad"))
+    """Each `descendant` has an `ancestor` as its parent, or anywhere above it; nodes have the distances of ancestry_marks."""
+    far = F.col(f"`ancestor {rule['id']}`")
+    has = far == 1 if rule["relationship"] == "direct" else far.isNotNull()
+    above = Window.partitionBy("trace_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    # The top of a span's tree is the last top before it in the walk.
+    topped = nodes.withColumn("_lost", F.last(F.when(F.col("up").isNull(), F.col("orphan")), ignorenulls=True).over(above))
+    missing = topped.where(selector(rule["descendant"]) & ~F.coalesce(has, F.lit(False))).withColumn("state", F.when(F.col("_lost"), "unsure").otherwise("bad"))
     return per_offender(traces, missing, rule, "REQUIRED_ANCESTRY_MISSING", F.col("unsure") > 0, F.lit("trace_incomplete"))
 
 
 def forbidden_path(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame:
-    """No `to` span below a `from` span, unless a span between the nearest such pair is exempt."""
-    ends = nodes.where(selector(rule["to"])).select("trace_id", "span_id", "order")
-    chain = canonical.ancestors(nodes, ends.select("trace_id", "span_id"))
+    """No `to` span below a `from` span, unless a span from the nearest such one down to it is exempt; nodes have the distances of
+    ancestry_marks."""
+    nearest, exempt = F.col(f"`from {rule['id']}`"), F.col(f"`unless {rule['id']}`")
     unless = (rule.get("unless") or {}).get("contains")
-    marks = nodes.select("trace_id", F.col("span_id").alias("ancestor"), selector(rule["from"]).alias("is_from"), (selector(unless) if unless else F.lit(False)).alias("exempt"))
-    seen = chain.join(marks.where("is_from OR exempt"), ["trace_id", "ancestor"]).groupBy("trace_id", "span_id").agg(
-        F.min(F.when(F.col("is_from") & (F.col("dist") > 0), F.col("dist"))).alias("nearest"), F.min(F.when(F.col("exempt"), F.col("dist"))).alias("exempt")
-    )
-    bad = ends.join(seen.where("nearest IS NOT NULL AND (exempt IS NULL OR exempt > nearest)"), ["trace_id", "span_id"]).withColumn("state", F.lit("bad"))
+    own = selector(unless) if unless else F.lit(False)
+    bad = nodes.where(selector(rule["to"]) & nearest.isNotNull() & ~own & F.coalesce(exempt > nearest, F.lit(True))).withColumn("state", F.lit("bad"))
     return per_offender(traces, bad, rule, "FORBIDDEN_PATH_PRESENT", F.col("quality") != "complete", F.lit("trace_incomplete"))
 
 
 def retry_budget(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame:
-    """Greatest retry number of each tool (or label), their sum over the run, and that of spans with side effects."""
-    mine = nodes.where(selector(rule["selector"]))
-    effects = F.col("side_effect").isin(*SIDE_EFFECTING)
-    most = rule.get("sideEffectMax")
+    """A violation for each tool (or label) whose greatest retry number is too high, for the sum of these over the run, and for each
+    tool with side effects, in this order; without any retry number there is no evidence."""
+    mine = nodes.where(selector(rule["selector"]) & F.col("retry_number").isNotNull())
+    retry, effects = F.col("retry_number"), F.col("side_effect").isin(*SIDE_EFFECTING)
+    unknown = (F.col("side_effect") == "unknown") & (retry > rule["sideEffectMax"])
+    spans = lambda when: F.collect_list(F.when(when, place()))
     groups = mine.groupBy("trace_id", F.coalesce("tool", "label").alias("tool")).agg(
-        F.max("retry_number").alias("most"), F.max(F.when(effects, F.col("retry_number"))).alias("effect"), F.max(F.when(F.col("side_effect") == "unknown", F.col("retry_number"))).alias("unknown")
+        F.max(retry).alias("most"), F.max(F.when(effects, retry)).alias("effect"), spans(F.lit(True)).alias("all"), spans(effects).alias("mutating"), spans(unknown).alias("unknown"),
     )
     found = groups.groupBy("trace_id").agg(
-        F.max("most").alias("tool_most"), F.sum("most").alias("total"), F.max("effect").alias("effect_most"), F.max("unknown").alias("unknown_most"), F.count("*").alias("groups")
+        F.array_sort(F.collect_list(F.struct("tool", "most", "effect", "all", "mutating"))).alias("groups"), F.sum("most").alias("total"), F.flatten(F.collect_list("unknown")).alias("unknown")
     )
-    over = lambda column, key: (F.col(column) > rule[key]) if rule.get(key) is not None else F.lit(False)
-    unsure = (F.col("unknown_most") > most) if most is not None else F.lit(False)
-    choice = (
-        F.when(over("effect_most", "sideEffectMax"), result("violation", "RETRY_BUDGET_SIDE_EFFECT_EXCEEDED", F.col("effect_most")))
-        .when(over("tool_most", "maxPerTool"), result("violation", "RETRY_BUDGET_TOOL_EXCEEDED", F.col("tool_most")))
-        .when(over("total", "maxRunTotal"), result("violation", "RETRY_BUDGET_RUN_EXCEEDED", F.col("total")))
-        .when(F.coalesce(unsure, F.lit(False)), result("insufficient_evidence", "side_effect_unknown"))
-        .when(F.col("groups").isNotNull() & F.col("tool_most").isNull(), result("insufficient_evidence", "attribute_not_emitted"))
-        .otherwise(result("pass", None, F.col("total")))
+    over = lambda value, most: F.filter("groups", lambda g: g[value] > most)
+    tools = F.transform(over("most", rule["maxPerTool"]), lambda g: result("violation", "RETRY_BUDGET_PER_TOOL_EXCEEDED", g["most"], ids(g["all"]), g["tool"]))
+    total = F.when(F.col("total") > rule["maxRunTotal"], one(result("violation", "RETRY_BUDGET_RUN_TOTAL_EXCEEDED", F.col("total"), ids(F.flatten(F.transform("groups", lambda g: g["all"])))))).otherwise(F.array().cast(f"array<{RESULT}>"))
+    mutating = F.transform(over("effect", rule["sideEffectMax"]), lambda g: result("violation", "RETRY_BUDGET_SIDE_EFFECT_EXCEEDED", g["effect"], ids(g["mutating"]), F.concat(F.lit("side-effect:"), g["tool"])))
+    every = F.concat(tools.cast(f"array<{RESULT}>"), total.cast(f"array<{RESULT}>"), mutating.cast(f"array<{RESULT}>"))
+    results = (
+        F.when(F.col("groups").isNull(), one(result("insufficient_evidence", "attribute_not_emitted")).cast(f"array<{RESULT}>"))
+        .when(F.size(every) > 0, every)
+        .when(F.size("unknown") > 0, one(result("insufficient_evidence", "side_effect_unclassified", None, ids(F.col("unknown")))).cast(f"array<{RESULT}>"))
+        .otherwise(one(result("pass", None, F.col("total"))).cast(f"array<{RESULT}>"))
     )
-    return per_run(traces, found, rule, choice)
+    met = traces.select("trace_id").join(found, "trace_id", "left")
+    return met.select("trace_id", F.lit(rule["id"]).alias("rule_id"), F.explode(results).alias("r")).select("trace_id", "rule_id", "r.*")
 
 
 def approved_routes(traces: DataFrame, routes: DataFrame, rule: dict, own: DataFrame | None = None, approved: DataFrame | None = None) -> DataFrame:
@@ -223,13 +235,16 @@ def approved_routes(traces: DataFrame, routes: DataFrame, rule: dict, own: DataF
 def evaluate_rules(graph: Graph, nodes: DataFrame, rules: list[dict], routes: DataFrame | None = None, own: DataFrame | None = None, approved: DataFrame | None = None) -> DataFrame:
     """trace_id, rule_id, rule_type, severity, outcome, code, detail, value and span_ids of all rules over the runs that can be evaluated.
 
-    nodes: graph.nodes with canonical `order` where they have one.
+    nodes: graph.nodes.
     """
     traces = graph.traces.where("quality IN ('complete', 'incomplete')")
     nodes = nodes.join(traces.select("trace_id"), "trace_id", "left_semi")
+    marks = ancestry_marks(rules)
+    seen = canonical.nearest_above(nodes, marks) if marks else nodes
+    seen = cut(seen) if len(marks) > 2 else seen  # read by several rules
     structural = {"required_edge": required_edge, "required_ancestry": required_ancestry, "forbidden_path": forbidden_path, "retry_budget": retry_budget}
     parts = [p for p in [single_pass(traces, nodes, rules)] if p is not None]
-    parts += [structural[r["type"]](traces, nodes, r) for r in rules if r["type"] in structural]
+    parts += [structural[r["type"]](traces, seen, r) for r in rules if r["type"] in structural]
     parts += [approved_routes(traces, routes, r, own, approved) for r in rules if r["type"] == "approved_routes"]
     every = reduce(DataFrame.unionByName, parts)
     about = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r["id"]), F.struct(F.lit(r["type"]).alias("rule_type"), F.lit(r["severity"]).alias("severity"), F.lit(i).alias("rule_order")))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import warnings
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,12 +38,31 @@ def check_pattern(pattern: str) -> list[str]:
     if re.search(r"(?<!\\)[*+?}][*+?{]", pattern):
         out.append("a repeat of a repeat is not allowed")
     try:
-        re.compile(pattern, re.ASCII)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(pattern, re.ASCII)
+            if nested_repeat(parser.parse(pattern)):
+                out.append("a repeat within a repeat, or of alternatives that may begin alike, is not allowed")
     except re.error as e:
         out.append(f"no pattern: {e}")
     return out
 
 
+def nested_repeat(parsed, inside: bool = False) -> bool:
+    """Whether a parsed pattern repeats something that itself repeats or has a choice of several words, on which engines that
+    backtrack take exponential time."""
+    for op, value in parsed:
+        if op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            many = value[1] > 1
+            if inside and (many or value[0] != value[1]) or nested_repeat(value[2], inside or many):
+                return True
+        elif op is parser.SUBPATTERN and nested_repeat(value[-1], inside):
+            return True
+        elif op is parser.BRANCH and (inside or any(nested_repeat(x, inside) for x in value[1])):
+            return True
+    return False
+
+
 def rendered(pattern: str) -> str:
     """The pattern in Java's syntax with the subset's meaning: `$` is the very end, `.` stops at line feeds only, `&&` and
     `[` in a class are letters."""
@@ -74,19 +95,28 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce((F.length(text) <= MAX_INPUT) & text.rlike(rendered(pattern)), F.lit(False))
 
 
+def list_value(members: Column) -> Column:
+    """The value of an attribute that is a list, from its members as tagged values, whose order says nothing."""
+    return F.concat(F.lit("array:"), F.to_json(F.array_sort(members)))
+
+
 def condition(value: Column, operator: str, operand=None) -> Column:
-    """Whether a tagged value fulfils a condition; an absent one equals nothing, and differs from everything."""
+    """Whether a tagged value fulfils a condition; an absent one equals nothing, and differs from everything. A list equals the value
+    that is its only member, and is in a set if one of its members is."""
     absent = value.isNull()
+    members = F.when(value.startswith("array:"), F.from_json(F.substring(value, 7, 1 << 30), "array<string>"))
+    equals = lambda x: F.coalesce((value == x) | (F.coalesce(members == F.array(F.lit(x)), F.lit(False))), F.lit(False))
+    within = lambda xs: F.coalesce(value.isin(*xs) | F.coalesce(F.arrays_overlap(members, F.array(*map(F.lit, xs))), F.lit(False)), F.lit(False)) if xs else F.lit(False)
     if operator == "exists":
         return ~absent
     if operator == "equals":
-        return F.coalesce(value == tagged(operand), F.lit(False))
+        return equals(tagged(operand))
     if operator == "not_equals":
-        return F.coalesce(value != tagged(operand), F.lit(True))
+        return absent | ~equals(tagged(operand))
     if operator == "in":
-        return F.coalesce(value.isin(*map(tagged, operand)), F.lit(False))
+        return within([tagged(x) for x in operand])
     if operator == "not_in":
-        return F.coalesce(~value.isin(*map(tagged, operand)), F.lit(True))
+        return absent | ~within([tagged(x) for x in operand])
     if operator == "matches":
         text = F.when(value.startswith("string:"), F.substring(value, 8, 1 << 30))
         return matches(text, operand)

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routeledger.functions import exact, names
-from routeledger.operators import canonical, diff, features, graph, mine, release, rules
+from routeledger.functions import exact, names, redact
+from routeledger.operators import canonical, diff, features, graph, mine, release, rules, selectors, tables
 from routeledger.operators.evaluate import evaluate
 from routeledger.sources import spans as source
 from routeledger.streaming import windows
@@ -48,7 +48,7 @@ def event_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace_id, release, duration_ms and spans of every run, without its tree."""
     return event_spans(spark, sf_dir).groupBy("trace_id", "release").agg(
-        F.max(F.when(F.col("span_id") == "root", F.floor(F.col("duration_ns") / 1_000_000))).alias("duration_ms"), F.count("*").alias("spans"), F.max("retry_number").alias("retries")
+        F.max(F.when(F.col("span_id") == "root", F.expr("duration_ns div 1000000"))).alias("duration_ms"), F.count("*").alias("spans"), F.max("retry_number").alias("retries")
     )
 
 
@@ -67,6 +67,8 @@ steps AS (SELECT trace_id, release, 'e' || event_id AS span_id,
     CASE WHEN event_type IN ('purchase', 'signup') THEN event_type END AS tool, length(event_type) * 10 AS tokens FROM w),
 spans AS (SELECT * FROM steps UNION ALL
   SELECT trace_id, release, 'root', NULL, 'session', 'Server', sum(duration_ns)::BIGINT, min(start_ns)::BIGINT, 'web', 'none', NULL, NULL, NULL, NULL FROM steps GROUP BY ALL),
+tool_retries AS (SELECT trace_id, coalesce(tool, label) AS t, max(retry) AS m, max(CASE WHEN effect IN ('write', 'external') THEN retry END) AS e FROM spans WHERE effect IS NOT NULL AND retry IS NOT NULL GROUP BY ALL),
+run_retries AS (SELECT trace_id, sum(m) AS total FROM tool_retries GROUP BY trace_id),
 runs AS (SELECT trace_id, release, max(CASE WHEN span_id = 'root' THEN duration_ns // 1000000 END) AS duration_ms, count(*) AS spans, max(retry) AS retries FROM spans GROUP BY trace_id, release)
 """
 
@@ -94,7 +96,7 @@ def span_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, size, quality and client spans without a server of every trace."""
     traces = event_graph(spark, sf_dir).traces
-    lost = F.filter("warnings", lambda w: w["kind"] == "client_without_server")
+    lost = F.filter("warnings", lambda w: w["kind"] == "client_span_without_server_span")
     return traces.select("trace_id", "root", F.col("spans").cast("bigint").alias("spans"), "quality", F.coalesce(F.size(F.get(lost, F.lit(0))["span_ids"]), F.lit(0)).cast("bigint").alias("unserved"))
 
 
@@ -128,8 +130,8 @@ routes AS (SELECT trace_id, sha256('{{"normaliserVersion":"{names.DEFAULT.versio
 
 def routed(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame, DataFrame]:
     g = event_graph(spark, sf_dir)
-    placed = graph.cut(canonical.ordered(g))
-    return g, placed, graph.cut(canonical.fingerprints(placed, g.edges))
+    placed = canonical.ordered(g)
+    return g, placed, graph.cut(canonical.fingerprints(placed))
 
 
 @query(JSON_NODES + "SELECT trace_id, span_id, depth::BIGINT AS depth, ord AS place FROM texts JOIN places USING (trace_id, span_id)")
@@ -160,9 +162,8 @@ def family_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def of_rule(rule_id: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = event_graph(spark, sf_dir)
-        nodes = g.nodes.withColumn("order", F.lit(None).cast("bigint"))
         rule = next(r for r in RULES if r["id"] == rule_id)
-        return rules.evaluate_rules(g, nodes, [rule]).groupBy("trace_id", "rule_id", "outcome", "code").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+        return rules.evaluate_rules(g, g.nodes, [rule]).groupBy("trace_id", "rule_id", "outcome", "code").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
     run.__doc__ = f"Outcomes of the rule {rule_id}."
     return run
@@ -178,15 +179,20 @@ def verdict(bad: str, rule_code: str) -> tuple[str, str]:
 
 
 RULE_SQL = {
-    "require-view": one_per_run("require-view", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'view' GROUP BY trace_id", "CASE WHEN coalesce(c, 0) BETWEEN 1 AND 6 THEN 'pass' ELSE 'violation' END", "CASE WHEN coalesce(c, 0) > 6 THEN 'REQUIRED_SPAN_ABOVE_MAX' WHEN coalesce(c, 0) < 1 THEN 'REQUIRED_SPAN_MISSING' END", value="coalesce(c, 0)"),
+    "require-view": one_per_run("require-view", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'view' GROUP BY trace_id", "CASE WHEN coalesce(c, 0) BETWEEN 1 AND 6 THEN 'pass' ELSE 'violation' END", "CASE WHEN coalesce(c, 0) > 6 THEN 'REQUIRED_SPAN_TOO_MANY' WHEN coalesce(c, 0) < 1 THEN 'REQUIRED_SPAN_MISSING' END", value="coalesce(c, 0)"),
     "one-purchase": one_per_run("one-purchase", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' GROUP BY trace_id", *verdict("coalesce(c, 0) > 1", "CARDINALITY_ABOVE_MAX"), value="coalesce(c, 0)"),
     "no-second-retry": one_per_run("no-second-retry", "SELECT trace_id, count(*) AS c FROM spans WHERE retry = 2 GROUP BY trace_id", *verdict("c > 0", "FORBIDDEN_SPAN_PRESENT"), value="c"),
     "views-lead-on": one_per_run("views-lead-on", "SELECT v.trace_id, count(*) AS c FROM spans v WHERE label = 'view' AND NOT EXISTS (SELECT 1 FROM spans k WHERE k.trace_id = v.trace_id AND k.up = v.span_id AND k.label = 'click') GROUP BY v.trace_id", *verdict("c > 0", "REQUIRED_EDGE_MISSING"), n="coalesce(c, 1)"),
     "buy-after-view": one_per_run("buy-after-view", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' AND up = 'root' GROUP BY trace_id", *verdict("c > 0", "REQUIRED_ANCESTRY_MISSING"), n="coalesce(c, 1)"),
     "no-error-in-view": one_per_run("no-error-in-view", "SELECT e.trace_id, count(*) AS c FROM spans e JOIN spans v ON v.trace_id = e.trace_id AND v.span_id = e.up WHERE e.label = 'error' AND v.label = 'view' AND v.retry NOT IN (1, 2, 3) GROUP BY e.trace_id", *verdict("c > 0", "FORBIDDEN_PATH_PRESENT"), n="coalesce(c, 1)"),
-    "known-services": one_per_run("known-services", "SELECT trace_id, count(DISTINCT service) AS c FROM spans WHERE service NOT IN ('web', 'payments') GROUP BY trace_id", *verdict("c > 0", "VALUE_NOT_ALLOWED"), n="coalesce(c, 1)"),
-    "first-purchase": one_per_run("first-purchase", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' AND retry <> 0 GROUP BY trace_id", *verdict("c > 0", "ATTRIBUTE_CONSTRAINT_VIOLATED"), value="c"),
-    "few-retries": one_per_run("few-retries", "SELECT trace_id, max(m) AS tool_most, sum(m) AS total, max(e) AS effect FROM (SELECT trace_id, coalesce(tool, label) AS t, max(retry) AS m, max(CASE WHEN effect IN ('write', 'external') THEN retry END) AS e FROM spans WHERE effect IS NOT NULL GROUP BY ALL) GROUP BY trace_id", "CASE WHEN effect > 1 OR tool_most > 2 OR total > 3 THEN 'violation' WHEN tool_most IS NULL THEN 'insufficient_evidence' ELSE 'pass' END", "CASE WHEN effect > 1 THEN 'RETRY_BUDGET_SIDE_EFFECT_EXCEEDED' WHEN tool_most > 2 THEN 'RETRY_BUDGET_TOOL_EXCEEDED' WHEN total > 3 THEN 'RETRY_BUDGET_RUN_EXCEEDED' WHEN tool_most IS NULL THEN 'attribute_not_emitted' END", value="CASE WHEN effect > 1 THEN effect WHEN tool_most > 2 THEN tool_most ELSE total END"),
+    "known-services": one_per_run("known-services", "SELECT trace_id, count(DISTINCT service) AS c FROM spans WHERE service NOT IN ('web', 'payments') GROUP BY trace_id", *verdict("c > 0", "DISALLOWED_VALUE"), n="coalesce(c, 1)"),
+    "first-purchase": one_per_run("first-purchase", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' AND retry <> 0 GROUP BY trace_id", *verdict("c > 0", "ATTRIBUTE_CONSTRAINT_FAILED"), value="c"),
+    "few-retries": """SELECT trace_id, 'few-retries' AS rule_id, outcome, code, count(*)::BIGINT AS n, sum(value)::BIGINT AS value FROM (
+        SELECT trace_id, 'violation' AS outcome, 'RETRY_BUDGET_PER_TOOL_EXCEEDED' AS code, m AS value FROM tool_retries WHERE m > 2
+        UNION ALL SELECT trace_id, 'violation', 'RETRY_BUDGET_RUN_TOTAL_EXCEEDED', total FROM run_retries WHERE total > 3
+        UNION ALL SELECT trace_id, 'violation', 'RETRY_BUDGET_SIDE_EFFECT_EXCEEDED', e FROM tool_retries WHERE e > 1
+        UNION ALL SELECT trace_id, CASE WHEN total IS NULL THEN 'insufficient_evidence' ELSE 'pass' END, CASE WHEN total IS NULL THEN 'attribute_not_emitted' END, total
+          FROM runs LEFT JOIN run_retries USING (trace_id) WHERE trace_id NOT IN (SELECT trace_id FROM tool_retries WHERE m > 2 OR e > 1) AND coalesce(total, 0) <= 3) GROUP BY ALL""",
     "run-latency": one_per_run("run-latency", "SELECT trace_id FROM runs", *verdict("duration_ms > 700", "NUMERIC_BUDGET_EXCEEDED"), value="duration_ms"),
 }
 for _rule in RULES:
@@ -204,7 +210,7 @@ def run_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).runs.select("trace_id", "release", "status", "violations")
 
 
-@query(STATUS + ", dup AS (SELECT trace_id FROM res WHERE code IN ('CARDINALITY_ABOVE_MAX', 'REQUIRED_SPAN_ABOVE_MAX') GROUP BY trace_id) SELECT release, count(*)::BIGINT AS runs, count(CASE WHEN status = 'fail' THEN 1 END)::BIGINT AS failed, count(CASE WHEN status = 'pass' THEN 1 END)::BIGINT AS passed, count(dup.trace_id)::BIGINT AS duplicate_rule_runs, quantile_disc(duration_ms, 0.95)::BIGINT AS p95_ms, (count(CASE WHEN status = 'fail' THEN 1 END) * 1000000 // count(*)) // 1000000 || '.' || lpad(((count(CASE WHEN status = 'fail' THEN 1 END) * 1000000 // count(*)) % 1000000)::VARCHAR, 6, '0') AS violation_rate FROM st JOIN runs USING (trace_id) LEFT JOIN dup USING (trace_id) GROUP BY release")
+@query(STATUS + ", dup AS (SELECT trace_id FROM res WHERE code IN ('CARDINALITY_ABOVE_MAX', 'REQUIRED_SPAN_TOO_MANY', 'RETRY_BUDGET_SIDE_EFFECT_EXCEEDED') GROUP BY trace_id) SELECT release, count(*)::BIGINT AS runs, count(CASE WHEN status = 'fail' THEN 1 END)::BIGINT AS failed, count(CASE WHEN status = 'pass' THEN 1 END)::BIGINT AS passed, count(dup.trace_id)::BIGINT AS duplicate_rule_runs, quantile_disc(duration_ms, 0.95)::BIGINT AS p95_ms, (count(CASE WHEN status = 'fail' THEN 1 END) * 1000000 // count(*)) // 1000000 || '.' || lpad(((count(CASE WHEN status = 'fail' THEN 1 END) * 1000000 // count(*)) % 1000000)::VARCHAR, 6, '0') AS violation_rate FROM st JOIN runs USING (trace_id) LEFT JOIN dup USING (trace_id) GROUP BY release")
 def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs, failing runs, the exact violation rate and p95 latency of every release."""
     e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
@@ -228,11 +234,12 @@ def release_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.release_budgets(e.results, e.runs, RULES).select("release", "rule_id", "reporting", "value", "outcome")
 
 
-@query(", c AS (SELECT trace_id, label, count(*) AS n, max(retry) AS r FROM spans GROUP BY ALL), g AS (SELECT l.label, r.trace_id, coalesce(n, 0) AS n, c.r FROM (SELECT DISTINCT label FROM c) l CROSS JOIN runs r LEFT JOIN c ON c.label = l.label AND c.trace_id = r.trace_id) SELECT label, count(CASE WHEN n > 0 THEN 1 END)::BIGINT AS present, count(*)::BIGINT AS total, min(n)::BIGINT AS least, max(n)::BIGINT AS most, quantile_disc(n, 0.95)::BIGINT AS p95, max(r)::BIGINT AS most_retry FROM g GROUP BY label")
+@query(", c AS (SELECT trace_id, label, count(*) AS n, max(retry) AS r FROM spans GROUP BY ALL), g AS (SELECT l.label, r.trace_id, coalesce(n, 0) AS n, c.r FROM (SELECT DISTINCT label FROM c) l CROSS JOIN runs r LEFT JOIN c ON c.label = l.label AND c.trace_id = r.trace_id) SELECT label, count(CASE WHEN n > 0 THEN 1 END)::BIGINT AS present, count(*)::BIGINT AS observable, min(n)::BIGINT AS least, max(n)::BIGINT AS most, quantile_disc(n, 0.95)::BIGINT AS p95, max(r)::BIGINT AS most_retry, CASE WHEN count(CASE WHEN n > 0 THEN 1 END) = count(*) THEN 'always' WHEN count(CASE WHEN n > 0 THEN 1 END) * 100 < count(*) * 5 THEN 'rare' ELSE 'optional' END AS presence, false AS remote_handler FROM g GROUP BY label")
 def label_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence and cardinality of every label over all runs."""
-    nodes = event_graph(spark, sf_dir).nodes
-    return mine.label_statistics(nodes, event_runs(spark, sf_dir)).select("label", "present", "total", "least", "most", "p95", "most_retry")
+    g = event_graph(spark, sf_dir)
+    found = mine.label_statistics(g.nodes, event_runs(spark, sf_dir), diff.labeled_edges(g.nodes, g.edges))
+    return found.select("label", "present", "observable", "least", "most", "p95", "most_retry", "presence", "remote_handler")
 
 
 @query(", a AS (SELECT label, count(*) AS n FROM spans WHERE release = 'v1' GROUP BY label), b AS (SELECT label, count(*) AS n FROM spans WHERE release = 'v2' GROUP BY label) SELECT CASE WHEN a.n IS NULL THEN 'node_added' WHEN b.n IS NULL THEN 'node_removed' ELSE 'cardinality_changed' END AS kind, coalesce(a.label, b.label) AS subject, coalesce(a.n, 0)::BIGINT AS before, coalesce(b.n, 0)::BIGINT AS after FROM a FULL JOIN b ON a.label = b.label WHERE a.n IS DISTINCT FROM b.n")
@@ -348,3 +355,367 @@ def dimension_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(ordered, F.col("c_custkey") == F.col("o_custkey"), "left")
     )
     return met.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("customers"), F.count(F.when(F.col("n") > 0, 1)).alias("ordering"))
+
+
+def labeled(g: graph.Graph) -> DataFrame:
+    return diff.labeled_edges(g.nodes, g.edges)
+
+
+EDGES = ", e AS (SELECT s.trace_id, p.label AS a, s.label AS b, 'parent' AS type FROM spans s JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.up) "
+
+
+@query(EDGES + "SELECT a, b, type, count(DISTINCT trace_id)::BIGINT AS runs, count(*)::BIGINT AS total, (SELECT max(n) FROM (SELECT count(*) AS n FROM e x WHERE x.a = e.a AND x.b = e.b GROUP BY x.trace_id))::BIGINT AS most, (SELECT count(*) FROM runs)::BIGINT AS all_runs FROM e GROUP BY a, b, type")
+def edge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs have each edge between labels."""
+    return mine.edge_statistics(labeled(event_graph(spark, sf_dir)), event_runs(spark, sf_dir))
+
+
+@query(", r AS (SELECT trace_id, coalesce(tool, label) AS grp, max(retry) AS retry FROM spans WHERE retry IS NOT NULL GROUP BY ALL) SELECT grp AS \"group\", count(*)::BIGINT AS count, min(retry)::BIGINT AS min, max(retry)::BIGINT AS max, sum(retry)::BIGINT AS sum, quantile_disc(retry, 0.95)::BIGINT AS p95 FROM r GROUP BY grp")
+def retry_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact distribution of the greatest retry number of every tool."""
+    return mine.retry_statistics(event_graph(spark, sf_dir).nodes, event_runs(spark, sf_dir)).select("group", "count", "min", "max", "sum", "p95")
+
+
+@query("SELECT trace_id, sum(m)::BIGINT AS total, coalesce(max(e), 0)::BIGINT AS side_effect_max FROM (SELECT trace_id, coalesce(tool, label) AS t, max(retry) AS m, max(CASE WHEN effect IN ('write', 'external') THEN retry END) AS e FROM spans WHERE retry IS NOT NULL GROUP BY ALL) GROUP BY trace_id")
+def run_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of retries of every run, and the most of a side effect."""
+    return mine.run_retries(event_graph(spark, sf_dir).nodes)
+
+
+@query("SELECT label, 'agent.side_effect' AS key, 'string:' || effect AS value, count(*)::BIGINT AS spans, (SELECT count(*) FROM spans x WHERE x.label = spans.label)::BIGINT AS all_spans FROM spans WHERE effect IS NOT NULL GROUP BY label, effect")
+def attribute_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each label that carry a value of an attribute."""
+    return mine.attribute_support(event_graph(spark, sf_dir).nodes, ["agent.side_effect"])
+
+
+@query(", t AS (SELECT trace_id, sum(tokens) AS o FROM spans GROUP BY 1) SELECT 'output_tokens' AS metric, count(o) >= 20 AS available, CASE WHEN count(o) = 0 THEN 'ATTRIBUTE_NOT_EMITTED' WHEN count(o) < 20 THEN 'INSUFFICIENT_OBSERVATIONS' END AS reason, count(o)::BIGINT AS observed, count(*)::BIGINT AS runs FROM t UNION ALL SELECT 'input_tokens', false, 'ATTRIBUTE_NOT_EMITTED', 0, count(*) FROM t")
+def metric_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether enough runs report their tokens."""
+    runs = event_spans(spark, sf_dir).groupBy("trace_id").agg(F.sum("output_tokens").alias("output_tokens"), F.sum("input_tokens").alias("input_tokens"))
+    return mine.availability(runs, "output_tokens", 20).union(mine.availability(runs, "input_tokens", 20))
+
+
+@query(JSON_NODES + ", fam AS (SELECT fingerprint, min(trace_id) AS trace_id FROM routes GROUP BY 1) SELECT fingerprint, label, count(*)::BIGINT AS occurrences, max(retry)::BIGINT AS most_retry, list_sort(list(DISTINCT service))::VARCHAR[] AS services FROM fam JOIN spans USING (trace_id) GROUP BY fingerprint, label")
+def family_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of one run of every family."""
+    g, placed, routes = routed(spark, sf_dir)
+    first = routes.groupBy("fingerprint").agg(F.min("trace_id").alias("trace_id"))
+    return mine.family_topology(placed, first).select("fingerprint", "label", "occurrences", "most_retry", "services")
+
+
+@query(", u AS (SELECT trace_id, release, split_part(trace_id, '-', 1) AS usr FROM runs) SELECT reason, count(*)::BIGINT AS runs FROM (SELECT CASE WHEN release <> 'v1' THEN 'RELEASE_MISMATCH' WHEN row_number() OVER (PARTITION BY release, usr ORDER BY trace_id) > 1 THEN 'DUPLICATE_RUN' END AS reason FROM u) WHERE reason IS NOT NULL GROUP BY reason")
+def baseline_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why runs are no examples of v1, where a user is one run."""
+    spans = event_spans(spark, sf_dir).withColumn("run_id", F.substring_index("trace_id", "-", 1))
+    return mine.dataset(mine.facts(spans, graph.build(spans, ROOT, unicode=False).traces), mine.reason("v1", needs_root=True))[1]
+
+
+TOP_ROUTES = ", top AS (SELECT fingerprint FROM routes JOIN runs USING (trace_id) WHERE release = 'v1' GROUP BY 1 ORDER BY count(*) DESC, fingerprint LIMIT 5) "
+
+
+def approved_of_v1(g: graph.Graph, routes: DataFrame) -> list[str]:
+    """The five most frequent routes of v1."""
+    counts = routes.join(g.traces.where("release = 'v1'").select("trace_id"), "trace_id").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    return [r[0] for r in counts.orderBy(F.desc("n"), "fingerprint").limit(5).select("fingerprint").collect()]
+
+
+@query(JSON_NODES + TOP_ROUTES + "SELECT trace_id, CASE WHEN fingerprint IN (SELECT fingerprint FROM top) THEN 'pass' ELSE 'violation' END AS outcome, CASE WHEN fingerprint NOT IN (SELECT fingerprint FROM top) THEN 'ROUTE_NOT_APPROVED' END AS code FROM routes")
+def rule_approved_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose route is none of the five most frequent ones of v1."""
+    g, placed, routes = routed(spark, sf_dir)
+    rule = {"id": "routes", "type": "approved_routes", "fingerprints": approved_of_v1(g, routes), "severity": "high"}
+    return rules.evaluate_rules(g, g.nodes, [rule], routes).select("trace_id", "outcome", "code")
+
+
+@query(JSON_NODES + TOP_ROUTES + "SELECT release, count(DISTINCT fingerprint)::BIGINT AS routes, count(DISTINCT CASE WHEN fingerprint IN (SELECT fingerprint FROM top) THEN fingerprint END)::BIGINT AS covered FROM routes JOIN runs USING (trace_id) GROUP BY release")
+def routes_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the approved routes each release takes."""
+    g, placed, routes = routed(spark, sf_dir)
+    of = routes.join(g.traces.select("trace_id", "release"), "trace_id").select("release", "fingerprint").distinct()
+    top = spark.range(1).select(F.explode(F.array(*map(F.lit, approved_of_v1(g, routes)))).alias("fingerprint"))
+    both = of.join(top, "fingerprint", "left_semi").groupBy("release").agg(F.count("*").alias("covered"))
+    return of.groupBy("release").agg(F.count("*").alias("routes")).join(both, "release", "left").select("release", "routes", F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+FINDING_SQL = STATUS + """, per AS (SELECT release, count(*) AS runs, count(CASE WHEN status = 'fail' THEN 1 END) AS failed, count(CASE WHEN status = 'insufficient_data' THEN 1 END) AS insufficient, quantile_disc(duration_ms, 0.95) AS p95 FROM st JOIN runs USING (trace_id) GROUP BY release),
+z AS (SELECT release, sum(n) AS n FROM res JOIN runs USING (trace_id) WHERE outcome = 'violation' AND rule_id IN ('require-view', 'one-purchase') GROUP BY release), t AS (SELECT release, trace_id, sum(tokens) AS tokens FROM spans GROUP BY ALL)
+SELECT release, 'MIN_RUNS_NOT_MET' AS finding, 'insufficient_data' AS decision, NULL AS rule_id, runs::VARCHAR AS detail FROM per WHERE runs < 20
+UNION ALL SELECT release, 'RUN_EVIDENCE_INSUFFICIENT', 'insufficient_data', NULL, insufficient::VARCHAR FROM per WHERE insufficient > 0
+UNION ALL SELECT release, 'ZERO_TOLERANCE_VIOLATION', 'fail', NULL, n::BIGINT::VARCHAR FROM z
+UNION ALL SELECT release, 'VIOLATION_RATE_EXCEEDED', 'fail', NULL, failed::VARCHAR FROM per WHERE failed * 1000 > runs * 5
+UNION ALL SELECT release, 'LATENCY_REGRESSION_EXCEEDED', 'fail', NULL, p95::BIGINT::VARCHAR FROM per WHERE p95 * 100 > 100 * 120
+UNION ALL SELECT release, 'RELEASE_BUDGET_EXCEEDED', 'fail', 'release-latency', p95::BIGINT::VARCHAR FROM per WHERE p95 > 900
+UNION ALL SELECT release, 'RELEASE_BUDGET_EXCEEDED', 'fail', 'release-tokens', (sum(tokens) // count(tokens))::BIGINT::VARCHAR FROM t GROUP BY release HAVING sum(tokens) // count(tokens) > 5000"""
+
+
+@query(FINDING_SQL)
+def gate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that keeps a release from passing, against a baseline whose p95 is 100 ms."""
+    e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
+    budgets = release.release_budgets(e.results, e.runs, RULES)
+    found = release.findings(release.counts(e.runs, e.violations), e.violations, e.runs, budgets, GATE | {"maxLatencyRegressionPercent": 20}, release.Reference(latency_p95_ms=100))
+    return found.select("release", "finding", "decision", "rule_id", "detail")
+
+
+@query("SELECT release, unnest(['BASELINE_UNAVAILABLE', 'LATENCY_REGRESSION_NOT_MEASURED', 'TOKEN_REGRESSION_NOT_MEASURED', 'RETRY_CHANGE_NOT_MEASURED']) AS disclosure FROM (SELECT DISTINCT release FROM runs)")
+def gate_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a gate without a baseline could not measure."""
+    e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
+    return release.disclosures(release.counts(e.runs, e.violations), release.release_budgets(e.results, e.runs, RULES)).select("release", "disclosure")
+
+
+@query(STATUS + ", f AS (SELECT release, status, trace_id, row_number() OVER (PARTITION BY release, status ORDER BY trace_id) AS place FROM st JOIN runs USING (trace_id) WHERE status IN ('fail', 'pass')) SELECT release, status, place, trace_id FROM f WHERE place <= 5")
+def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five failing and five passing runs of every release."""
+    return release.evidence(evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).runs)
+
+
+@query(STATUS + "SELECT rule_id, code, sum(n)::BIGINT AS violations, count(DISTINCT trace_id)::BIGINT AS runs FROM res WHERE outcome = 'violation' GROUP BY rule_id, code")
+def violations_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of every rule and how many runs they are in."""
+    found = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).violations
+    return found.groupBy("rule_id", "code").agg(F.count("*").alias("violations"), F.countDistinct("trace_id").alias("runs"))
+
+
+@query(STATUS + "SELECT trace_id, release, violations FROM st JOIN runs USING (trace_id) WHERE status = 'fail' AND trace_id > '3' ORDER BY trace_id LIMIT 25")
+def violating_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of violating runs beyond a key."""
+    runs = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).runs.where("status = 'fail'")
+    return tables.keyset_page(runs.select("trace_id", "release", "violations"), "trace_id", F.lit("3"), 25, descending=False).drop("more")
+
+
+@query(", p AS (SELECT release, quantile_disc(duration_ms, 0.95) AS p95, sum(retries) // count(retries) AS r FROM (SELECT release, runs.trace_id, duration_ms, coalesce(sum(CASE WHEN retry > 0 THEN retry ELSE 0 END), 0) AS retries FROM runs JOIN spans USING (trace_id, release) GROUP BY ALL) GROUP BY release) SELECT release, 'run.duration_ms' AS metric, 400::BIGINT AS before, p95::BIGINT AS after, ((p95 - 400) * 100 // 400)::BIGINT AS change FROM p UNION ALL SELECT release, 'agent.retry.count', 1, r::BIGINT, ((r - 1) * 100)::BIGINT FROM p")
+def changes_from_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency and retries of every release against a baseline."""
+    e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
+    found = release.changes_from(release.counts(e.runs, e.violations), release.Reference(latency_p95_ms=400, retries_per_run=1))
+    return found.where("metric <> 'gen_ai.usage.total_tokens'")
+
+
+FAULTY = """, f0 AS (SELECT *, CASE WHEN span_id <> 'root' THEN substr(span_id, 2)::BIGINT END AS e, split_part(trace_id, '-', 1)::BIGINT AS usr FROM spans),
+faulty AS (SELECT trace_id, release, span_id, CASE WHEN label = 'click' AND e % 101 = 0 THEN span_id ELSE up END AS up, label, effect, retry, label <> 'session' AND e % 97 = 0 AS conflict, label = 'click' AND e % 101 = 0 AS cyclic
+  FROM f0 WHERE NOT (label = 'view' AND e % 7 = 0) AND NOT (label = 'session' AND usr % 13 = 0)),
+placed AS (SELECT s.*, p.span_id IS NULL AND s.up IS NOT NULL AS orphan, p.label AS above FROM faulty s LEFT JOIN faulty p ON p.trace_id = s.trace_id AND p.span_id = s.up),
+tr AS (SELECT trace_id, count(*) AS spans, count(CASE WHEN up IS NULL THEN 1 END) = 0 AS generated, count(CASE WHEN orphan THEN 1 END) AS orphans, CASE WHEN bool_or(conflict) OR bool_or(cyclic) THEN 'inconsistent' WHEN bool_or(orphan) OR count(CASE WHEN up IS NULL THEN 1 END) = 0 THEN 'incomplete' ELSE 'complete' END AS quality FROM placed GROUP BY trace_id) """
+
+
+def faulty_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs with defects: lost views and roots, spans that are their own parents, and ids with two rows that differ."""
+    spans = event_spans(spark, sf_dir)
+    event, usr = F.when(F.col("span_id") != "root", F.substring("span_id", 2, 30).cast("bigint")), F.substring_index("trace_id", "-", 1).cast("bigint")
+    kept = spans.where(~((F.col("name") == "view") & (event % 7 == 0)) & ~((F.col("name") == "session") & (usr % 13 == 0)))
+    kept = kept.withColumn("parent_span_id", F.when((F.col("name") == "click") & (event % 101 == 0), F.col("span_id")).otherwise(F.col("parent_span_id")))
+    other = kept.where(event % 97 == 0).select("trace_id", "span_id", "parent_span_id", "release", F.concat("name", F.lit("-again")).alias("name"))
+    return kept.unionByName(source.as_spans(other))
+
+
+@query(FAULTY + "SELECT trace_id, spans::BIGINT AS spans, quality, generated, orphans::BIGINT AS orphans FROM tr")
+def faulty_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of runs with defects."""
+    traces = graph.build(faulty_spans(spark, sf_dir), ROOT, unicode=False).traces
+    lost = F.filter("warnings", lambda w: w["kind"] == "orphan_span")
+    return traces.select("trace_id", F.col("spans").cast("bigint").alias("spans"), "quality", "generated", F.coalesce(F.size(F.get(lost, F.lit(0))["span_ids"]), F.lit(0)).cast("bigint").alias("orphans"))
+
+
+def faulty_rule(rule_id: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = graph.build(faulty_spans(spark, sf_dir), ROOT, unicode=False)
+        rule = next(r for r in [*RULES, *MORE_RULES] if r["id"] == rule_id)
+        return rules.evaluate_rules(g, g.nodes, [rule]).groupBy("trace_id", "outcome", "code").agg(F.count("*").alias("n"))
+
+    run.__doc__ = f"Outcomes of the rule {rule_id} over runs with defects."
+    return run
+
+
+MORE_RULES = [
+    {"id": "session-leads-to-click", "type": "required_edge", "from": {"name": "session"}, "to": {"name": "click"}, "relationship": "any_depth", "severity": "low"},
+    {"id": "purchase-answered", "type": "required_edge", "from": {"name": "purchase"}, "to": {"name": "error"}, "relationship": "direct", "severity": "low"},
+    {"id": "click-below-view", "type": "required_ancestry", "ancestor": {"name": "view"}, "descendant": {"name": "click"}, "relationship": "direct", "severity": "low"},
+    {"id": "paid-domain", "type": "allowed_values", "field": "agent.data_domain", "values": ["money"], "severity": "low"},
+    {"id": "clicks-retried", "type": "attribute_constraint", "selector": {"name": "click"}, "field": "agent.step.category", "operator": "exists", "severity": "low"},
+    {"id": "purchase-domain", "type": "attribute_constraint", "selector": {"name": "click"}, "field": "agent.data_domain", "operator": "equals", "value": "money", "severity": "low"},
+]
+DECIDE = "SELECT trace_id, CASE WHEN bad > 0 THEN 'violation' WHEN unsure > 0 THEN 'insufficient_evidence' ELSE 'pass' END AS outcome, CASE WHEN bad > 0 THEN '{code}' WHEN unsure > 0 THEN '{why}' END AS code, (CASE WHEN bad > 0 THEN bad ELSE 1 END)::BIGINT AS n FROM (SELECT tr.trace_id, {bad} AS bad, {unsure} AS unsure FROM tr LEFT JOIN placed USING (trace_id) WHERE quality <> 'inconsistent' GROUP BY tr.trace_id, quality)"
+LOST = "count(CASE WHEN label = '{label}' AND NOT coalesce(above = 'view', false) AND {state} THEN 1 END)"
+FAULTY_RULES = {
+    "require-view": "SELECT trace_id, CASE WHEN n > 6 THEN 'violation' WHEN n < 1 AND quality <> 'complete' THEN 'insufficient_evidence' WHEN n < 1 THEN 'violation' ELSE 'pass' END AS outcome, CASE WHEN n > 6 THEN 'REQUIRED_SPAN_TOO_MANY' WHEN n < 1 AND quality <> 'complete' THEN 'trace_incomplete' WHEN n < 1 THEN 'REQUIRED_SPAN_MISSING' END AS code, 1::BIGINT AS n FROM (SELECT tr.trace_id, quality, count(CASE WHEN label = 'view' THEN 1 END) AS n FROM tr LEFT JOIN placed USING (trace_id) WHERE quality <> 'inconsistent' GROUP BY tr.trace_id, quality)",
+    "no-second-retry": "SELECT trace_id, CASE WHEN n > 0 THEN 'violation' WHEN quality <> 'complete' THEN 'insufficient_evidence' ELSE 'pass' END AS outcome, CASE WHEN n > 0 THEN 'FORBIDDEN_SPAN_PRESENT' WHEN quality <> 'complete' THEN 'trace_incomplete' END AS code, 1::BIGINT AS n FROM (SELECT tr.trace_id, quality, count(CASE WHEN retry = 2 THEN 1 END) AS n FROM tr LEFT JOIN placed USING (trace_id) WHERE quality <> 'inconsistent' GROUP BY tr.trace_id, quality)",
+    "buy-after-view": DECIDE.format(code="REQUIRED_ANCESTRY_MISSING", why="trace_incomplete", bad=LOST.format(label="purchase", state="(NOT orphan OR generated)"), unsure=LOST.format(label="purchase", state="orphan AND NOT generated")),
+    "click-below-view": DECIDE.format(code="REQUIRED_ANCESTRY_MISSING", why="trace_incomplete", bad=LOST.format(label="click", state="(NOT orphan OR generated)"), unsure=LOST.format(label="click", state="orphan AND NOT generated")),
+    "no-error-in-view": "SELECT trace_id, CASE WHEN bad > 0 THEN 'violation' WHEN quality <> 'complete' THEN 'insufficient_evidence' ELSE 'pass' END AS outcome, CASE WHEN bad > 0 THEN 'FORBIDDEN_PATH_PRESENT' WHEN quality <> 'complete' THEN 'trace_incomplete' END AS code, greatest(bad, 1)::BIGINT AS n FROM (SELECT tr.trace_id, quality, (SELECT count(*) FROM placed c JOIN placed v ON v.trace_id = c.trace_id AND v.span_id = c.up WHERE c.trace_id = tr.trace_id AND c.label = 'error' AND v.label = 'view' AND v.retry NOT IN (1, 2, 3)) AS bad FROM tr WHERE quality <> 'inconsistent')",
+    "session-leads-to-click": "SELECT trace_id, CASE WHEN bad THEN 'violation' ELSE 'pass' END AS outcome, CASE WHEN bad THEN 'REQUIRED_EDGE_MISSING' END AS code, 1::BIGINT AS n FROM (SELECT tr.trace_id, NOT generated AND count(CASE WHEN label = 'click' AND NOT orphan THEN 1 END) = 0 AS bad FROM tr LEFT JOIN placed USING (trace_id) WHERE quality <> 'inconsistent' GROUP BY tr.trace_id, generated)",
+    "purchase-answered": DECIDE.format(code="REQUIRED_EDGE_MISSING", why="unobservable_subtree", bad="0", unsure="count(CASE WHEN label = 'purchase' THEN 1 END)"),
+    "paid-domain": "SELECT trace_id, CASE WHEN bad THEN 'violation' WHEN n = 0 THEN 'insufficient_evidence' ELSE 'pass' END AS outcome, CASE WHEN bad THEN 'DISALLOWED_VALUE' WHEN n = 0 THEN 'attribute_not_emitted' END AS code, 1::BIGINT AS n FROM (SELECT tr.trace_id, coalesce(bool_or(label = 'signup'), false) AS bad, count(CASE WHEN label IN ('signup', 'purchase') THEN 1 END) AS n FROM tr LEFT JOIN placed USING (trace_id) WHERE quality <> 'inconsistent' GROUP BY tr.trace_id)",
+    "clicks-retried": DECIDE.format(code="ATTRIBUTE_CONSTRAINT_FAILED", why="", bad="least(count(CASE WHEN label = 'click' THEN 1 END), 1)", unsure="0"),
+    "purchase-domain": DECIDE.format(code="", why="attribute_not_emitted", bad="0", unsure="count(CASE WHEN label = 'click' THEN 1 END)"),
+}
+for _id, _sql in FAULTY_RULES.items():
+    _name = f"faulty_{_id.replace('-', '_')}"
+    QUERIES[_name], ORACLES[_name] = faulty_rule(_id), SPANS + FAULTY + _sql
+
+
+@query("SELECT o_orderkey::VARCHAR AS trace_id, list_contains(flags, 'R') AS has_r, flags = ['N'] AS only_n, NOT list_contains(flags, 'A') AS not_a, flags <> ['A'] AS other_than_a FROM (SELECT l_orderkey AS o_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1)", spans=False)
+def list_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on attributes that are lists: the return flags of each order."""
+    flags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("trace_id")).agg(F.collect_set("l_returnflag").alias("flags"))
+    value = selectors.list_value(F.transform("flags", lambda x: F.concat(F.lit("string:"), x)))
+    is_ = lambda op, x: selectors.condition(value, op, x)
+    return flags.select("trace_id", is_("in", ["R"]).alias("has_r"), is_("equals", "N").alias("only_n"), is_("not_in", ["A"]).alias("not_a"), is_("not_equals", "A").alias("other_than_a"))
+
+
+@query("SELECT count(CASE WHEN effect IS NOT NULL THEN 1 END)::BIGINT AS known, count(CASE WHEN effect IS NULL OR effect <> 'read' THEN 1 END)::BIGINT AS not_read, count(CASE WHEN effect IS NULL OR effect NOT IN ('read', 'write') THEN 1 END)::BIGINT AS neither, count(CASE WHEN effect = 'read' OR effect = 'write' THEN 1 END)::BIGINT AS ends_right, count(CASE WHEN retry IN (1, 2) THEN 1 END)::BIGINT AS retried, 0::BIGINT AS text_one FROM spans")
+def attribute_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that fulfil each kind of condition; an absent value differs from everything, and "1" is not 1."""
+    nodes = event_graph(spark, sf_dir).nodes
+    n = lambda name, op, x=None: F.count(F.when(selectors.condition(selectors.field(name), op, x), 1))
+    effect, retry = "agent.side_effect", "agent.retry.number"
+    return nodes.agg(
+        n(effect, "exists").alias("known"), n(effect, "not_equals", "read").alias("not_read"), n(effect, "not_in", ["read", "write"]).alias("neither"),
+        n(effect, "matches", "^(read|wr[hi]te)$").alias("ends_right"), n(retry, "in", [1, 2]).alias("retried"), n(retry, "equals", "1").alias("text_one"),
+    )
+
+
+@query("SELECT DISTINCT key, value FROM (SELECT 'event_type' AS key, event_type AS value FROM events UNION ALL SELECT 'release', CASE WHEN date_trunc('week', ts)::DATE < DATE '2024-01-15' THEN 'v1' ELSE 'v2' END FROM events)", spans=False)
+def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of two fields of the spans' source."""
+    return source.field_values(event_spans(spark, sf_dir).where("name <> 'session'").select(F.col("name").alias("event_type"), "release"), ["event_type", "release"])
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS key, 'number' AS kind FROM events", spans=False)
+def field_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the events' open properties and the type of their values."""
+    return source.field_keys(table(spark, sf_dir, "events").select(F.col("props").alias("text")), "text")
+
+
+@query("SELECT service, release, count(*)::BIGINT AS spans, count(DISTINCT trace_id)::BIGINT AS traces, count(CASE WHEN label = 'error' THEN 1 END)::BIGINT AS errors FROM spans GROUP BY service, release")
+def service_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans, traces and errors of every service."""
+    return source.services(event_spans(spark, sf_dir))
+
+
+@query("SELECT trace_id, count(*)::BIGINT AS spans FROM spans WHERE trace_id LIKE '1%' GROUP BY trace_id")
+def fetched_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a set of traces; those without spans are told apart."""
+    spans = event_spans(spark, sf_dir)
+    ids = spans.where("trace_id LIKE '1%'").select("trace_id").union(spark.range(3).select(F.concat(F.lit("none-"), "id")))
+    found, missing = source.fetch(spans, ids)
+    return found.groupBy("trace_id").agg(F.count("*").alias("spans")).join(missing, "trace_id", "left_anti")
+
+
+@query("SELECT trace_id FROM spans WHERE label = 'session' AND release = 'v1' ORDER BY start_ns, trace_id LIMIT 40")
+def discovered_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty roots of v1."""
+    return source.discover(event_spans(spark, sf_dir), ROOT, "v1", 40)[0]
+
+
+@query("SELECT p.event_id, count(e.event_id)::BIGINT AS errors FROM events p JOIN events e ON e.user_id = p.user_id AND e.event_type = 'error' AND abs(epoch_us(e.ts) // 1000000 - epoch_us(p.ts) // 1000000) <= 3600 WHERE p.event_type = 'purchase' GROUP BY p.event_id", spans=False)
+def evidence_within_an_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a user at most an hour before or after each purchase."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))
+    logs = events.where("event_type = 'error'").select("user_id", "at")
+    return tables.within(events.where("event_type = 'purchase'").drop("event_type"), logs, "user_id", "at").groupBy("event_id").agg(F.count("*").alias("errors"))
+
+
+@query("SELECT release, min(start_ns)::BIGINT AS first_ns, max(start_ns)::BIGINT AS last_ns, count(*)::BIGINT AS runs FROM (SELECT trace_id, release, min(start_ns) AS start_ns FROM spans GROUP BY ALL) GROUP BY release")
+def release_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each release was first and last seen."""
+    runs = event_spans(spark, sf_dir).groupBy("trace_id", "release").agg(F.min("start_ns").alias("start_ns"))
+    return runs.groupBy("release").agg(F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"), F.count("*").alias("runs"))
+
+
+@query("SELECT o_custkey AS key, max(o_orderkey)::BIGINT AS value FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_custkey, max(o_orderkey)::BIGINT FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1", spans=False)
+def upserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of each customer: those of even keys over what was stored."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
+    last = lambda df: df.groupBy("key").agg(F.max("value").alias("value"))
+    return tables.upsert(last(orders), last(orders.where("value % 2 = 0")), ["key"])
+
+
+@query("SELECT o_orderkey::VARCHAR AS name, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'create' ELSE 'conflict' END WHEN o_orderkey % 3 = 0 THEN 'recreate' WHEN o_orderstatus = 'O' THEN 'unchanged' ELSE 'update' END AS operation FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey::VARCHAR, 'stale' FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 <> 0", spans=False)
+def reconciled_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be done with artifacts that are desired, registered or remote."""
+    orders = table(spark, sf_dir, "orders")
+    name = F.col("o_orderkey").cast("string").alias("name")
+    desired = orders.where("o_orderkey % 2 = 0").select(name, F.lit("O").alias("hash"))
+    registered = orders.where("o_orderkey % 5 <> 0").select(name, F.col("o_orderstatus").alias("hash"), F.lit("synced").alias("status"), F.col("o_orderkey").cast("string").alias("resource"))
+    return tables.reconciled(desired, registered, orders.where("o_orderkey % 3 <> 0").select(name))
+
+
+@query("SELECT o_orderstatus AS status, count(*) FILTER (WHERE o_totalprice > 100000)::BIGINT AS large, count(*) FILTER (WHERE o_orderpriority = '1-URGENT')::BIGINT AS urgent, max(o_orderkey) FILTER (WHERE o_totalprice > 100000)::BIGINT AS last_large FROM orders GROUP BY 1", spans=False)
+def filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and maxima of some rows of each group in one pass."""
+    large = F.col("o_totalprice") > 100000
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count_if(large).alias("large"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.max(F.when(large, F.col("o_orderkey"))).cast("bigint").alias("last_large")
+    )
+
+
+@query("SELECT event_id, 'string:[redacted]' AS api_key, 'string:' || event_type AS kind, 'number:10' AS tokens, 'string:see [redacted] here' AS note FROM events", spans=False)
+def redacted_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of events without secrets, by key and by value."""
+    secret = "a-known-secret"
+    values = F.create_map(F.lit("x_api_key"), F.lit("string:v"), F.lit("kind"), F.concat(F.lit("string:"), "event_type"), F.lit("tokens"), F.lit("number:10"), F.lit("note"), F.lit(f"string:see {secret} here"))
+    clean = table(spark, sf_dir, "events").select("event_id", redact.redacted_map(values, [secret]).alias("m"))
+    return clean.select("event_id", F.concat(F.lit("string:"), F.col("m")["x_api_key"]).alias("api_key"), F.col("m")["kind"].alias("kind"), F.col("m")["tokens"].alias("tokens"), F.col("m")["note"].alias("note"))
+
+
+@query("SELECT o_orderkey, sha256('salt:' || o_orderkey) AS key_hash, replace(replace(rtrim(base64(o_orderpriority::BLOB), '='), '+', '-'), '/', '_') AS cursor, o_orderpriority AS back, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey::BIGINT END AS number FROM orders", spans=False)
+def keys_and_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Salted hashes of keys, places in lists as cursors, and whole numbers read from text."""
+    key = F.col("o_orderkey").cast("string")
+    place = names.cursor(F.col("o_orderpriority"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("-"), key)).otherwise(F.concat(key, F.lit("99999999999999999999")))).otherwise(key)
+    return table(spark, sf_dir, "orders").select("o_orderkey", names.key_hash("salt", key).alias("key_hash"), place.alias("cursor"), names.cursor_key(place).alias("back"), names.non_negative_integer(text).alias("number"))
+
+
+@query("SELECT event_type AS series, event_id, CASE WHEN before IS NULL THEN NULL WHEN k >= before THEN k - before ELSE k END AS increase FROM (SELECT event_type, event_id, (props->>'k')::BIGINT AS k, lag((props->>'k')::BIGINT) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events)", spans=False)
+def counter_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Increases of a counter of every type of event, a fall being a reset."""
+    points = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("value"))
+    return windows.counter_increase(points, "event_id")
+
+
+@query(JSON_NODES + ", fam AS (SELECT fingerprint, count(*) AS runs, quantile_disc(duration_ms, 0.95) AS p95 FROM routes JOIN runs USING (trace_id) WHERE release = 'v1' GROUP BY 1) SELECT (sum(p95 * runs) // sum(runs))::BIGINT AS p95_ms FROM fam")
+def baseline_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latency that v1's families are the reference for, weighted by their runs."""
+    runs = routed(spark, sf_dir)[2].join(event_runs(spark, sf_dir).where("release = 'v1'"), "trace_id")
+    return release.weighted_reference(mine.families(runs).withColumn("status", F.lit("approved")))
+
+
+@query(STATUS + "SELECT release, trace_id, status FROM (SELECT release, trace_id, status, row_number() OVER (PARTITION BY release ORDER BY status = 'fail' DESC, trace_id) AS k FROM st JOIN runs USING (trace_id)) WHERE k = 1")
+def representative_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run that stands for each release in a comparison."""
+    return diff.representative(evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).runs)
+
+
+RELEASE_DIFF = EDGES + """, ce AS (SELECT DISTINCT release, a, b FROM e JOIN runs USING (trace_id)),
+fx AS (SELECT label, effect, count(CASE WHEN release = 'v1' THEN 1 END) AS x, count(CASE WHEN release = 'v2' THEN 1 END) AS y FROM spans WHERE effect IN ('write', 'external') GROUP BY ALL),
+rt AS (SELECT label, max(CASE WHEN release = 'v1' THEN retry END) AS x, max(CASE WHEN release = 'v2' THEN retry END) AS y FROM spans GROUP BY label)
+SELECT 'edge_added' AS kind, a || '->' || b || '|parent' AS subject, NULL::BIGINT AS before, NULL::BIGINT AS after, 'structural' AS severity FROM ce v WHERE release = 'v2' AND NOT EXISTS (SELECT 1 FROM ce w WHERE w.release = 'v1' AND w.a = v.a AND w.b = v.b)
+UNION ALL SELECT 'edge_removed', a || '->' || b || '|parent', NULL, NULL, 'structural' FROM ce v WHERE release = 'v1' AND NOT EXISTS (SELECT 1 FROM ce w WHERE w.release = 'v2' AND w.a = v.a AND w.b = v.b)
+UNION ALL SELECT 'side_effect_duplicated', label || '|' || effect, x, y, 'structural' FROM fx WHERE y > x
+UNION ALL SELECT 'retry_increased', label, coalesce(x, 0)::BIGINT, y::BIGINT, 'behavioural' FROM rt WHERE y > coalesce(x, 0)"""
+
+
+@query(RELEASE_DIFF)
+def release_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What else changed between the releases: edges, side effects and retries."""
+    g = event_graph(spark, sf_dir)
+    side = lambda r: g.nodes.where(F.col("release") == r) if r == "v2" else g.nodes.join(g.traces.where(F.col("release") == r).select("trace_id"), "trace_id", "left_semi")
+    found = diff.changes(side("v1"), side("v2"), diff.labeled_edges(side("v1"), g.edges), diff.labeled_edges(side("v2"), g.edges))
+    return found.where("kind IN ('edge_added', 'edge_removed', 'side_effect_duplicated', 'retry_increased')")
+
+
+@query("SELECT release, date_trunc('day', make_timestamp(start_ns // 1000)) AS day, count(*)::BIGINT AS runs, quantile_disc(duration_ms, 0.95)::BIGINT AS p95_ms, sum(tokens)::BIGINT AS tokens, max(retries)::BIGINT AS most_retry FROM runs JOIN (SELECT trace_id, min(start_ns) AS start_ns, sum(tokens) AS tokens FROM spans GROUP BY 1) USING (trace_id) GROUP BY ALL")
+def run_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, latency, tokens and retries by day and release."""
+    spans = event_spans(spark, sf_dir)
+    more = spans.groupBy("trace_id").agg(F.min("start_ns").alias("start_ns"), F.sum("output_tokens").alias("tokens"))
+    return windows.panels(event_runs(spark, sf_dir).join(more, "trace_id"))
+
+
+@query(STATUS + ", d AS (SELECT trace_id FROM res WHERE code IN ('CARDINALITY_ABOVE_MAX', 'REQUIRED_SPAN_TOO_MANY', 'RETRY_BUDGET_SIDE_EFFECT_EXCEEDED') GROUP BY 1), m AS (SELECT trace_id FROM res WHERE code IN ('REQUIRED_SPAN_MISSING', 'REQUIRED_ANCESTRY_MISSING', 'REQUIRED_EDGE_MISSING', 'CARDINALITY_BELOW_MIN') GROUP BY 1) SELECT release, count(*)::BIGINT AS runs, count(CASE WHEN status = 'fail' THEN 1 END)::BIGINT AS failed, count(d.trace_id)::BIGINT AS duplicates, count(m.trace_id)::BIGINT AS missing FROM st JOIN runs USING (trace_id) LEFT JOIN d USING (trace_id) LEFT JOIN m USING (trace_id) GROUP BY release")
+def release_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases side by side: failing runs, repeated side effects and missing prerequisites."""
+    e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
+    return release.counts(e.runs, e.violations).select("release", "runs", "failed", F.col("duplicate_rule_runs").alias("duplicates"), F.col("missing_prerequisites").alias("missing"))

@@ -106,6 +106,27 @@ def fetch(spans: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spans.join(wanted, "trace_id", "left_semi"), wanted.join(spans.select("trace_id"), "trace_id", "left_anti")
 
 
+def field_values(spans: DataFrame, fields: list[str]) -> DataFrame:
+    """key and value: the different values of some fields, as text."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in fields))
+    return spans.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
+
+
+def field_keys(rows: DataFrame, text: str) -> DataFrame:
+    """key and kind (string, number, boolean, array, object or null) of the keys of JSON objects."""
+    keys = rows.select(F.col(text), F.explode(F.json_object_keys(text)).alias("key"))
+    raw = F.element_at(F.from_json(F.col(text), "map<string,string>"), F.col("key"))
+    kind = F.when(raw.isNull(), "null").when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number").when(raw.isin("true", "false"), "boolean").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").otherwise("string")
+    return keys.select("key", kind.alias("kind")).distinct()
+
+
+def services(spans: DataFrame) -> DataFrame:
+    """service, release and their spans, traces and errors."""
+    return spans.groupBy("service", "release").agg(
+        F.count("*").alias("spans"), F.countDistinct("trace_id").alias("traces"), F.count(F.when(F.col("has_error"), 1)).alias("errors")
+    )
+
+
 def logs_of(logs: DataFrame, traces: DataFrame, most_chars: int = 2000) -> DataFrame:
     """Log lines of the traces (trace_id), with bodies cut to `most_chars` characters."""
     return logs.join(traces.select("trace_id").distinct(), "trace_id", "left_semi").withColumn("body", F.substring("body", 1, most_chars))

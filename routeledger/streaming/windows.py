@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeledger.functions.exact import percentile
+
 
 def rolling(rows: DataFrame, ts: str, span: str, every: str, key: str | None = None) -> DataFrame:
     """Counts of rows in windows of `span` that start every `every`: window_start, [key], n. Batch or streaming."""
@@ -47,3 +49,9 @@ def counter_increase(points: DataFrame, ts: str = "ts") -> DataFrame:
     """The increase of a counter from point to point of each series, a fall being a reset: series, ts, increase."""
     before = F.lag("value").over(Window.partitionBy("series").orderBy(ts))
     return points.select("series", ts, F.when(before.isNull(), F.lit(None)).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value")).alias("increase"))
+
+
+def panels(runs: DataFrame) -> DataFrame:
+    """release and day with runs, p95 of duration_ms, tokens and the most retries; runs have start_ns and these columns."""
+    day = F.date_trunc("day", F.timestamp_micros(F.expr("start_ns div 1000"))).cast("timestamp_ntz")
+    return runs.groupBy("release", day.alias("day")).agg(F.count("*").alias("runs"), percentile("duration_ms", 95).alias("p95_ms"), F.sum("tokens").alias("tokens"), F.max("retries").alias("most_retry"))

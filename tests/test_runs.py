@@ -1,13 +1,14 @@
 """Trees, routes, rules and releases over small runs."""
 
+import hashlib
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from routeledger.functions import exact, names
-from routeledger.operators import canonical, diff, features, graph, mine, release, selectors
+from routeledger.functions import exact, names, redact
+from routeledger.operators import canonical, diff, features, graph, mine, release, rules, selectors
 from routeledger.operators.evaluate import evaluate
 from routeledger.plans import contract
 from routeledger.sources import spans as source
@@ -42,9 +43,9 @@ def test_names(spark, raw, want):
 
 
 def test_quality(spark):
-    assert quality(spark, rows()) == ("complete", ["client_without_server"])
+    assert quality(spark, rows()) == ("complete", ["client_span_without_server_span"])
     assert quality(spark, rows(steps=[*STEPS, ("e", "gone", "lost", None)]))[0] == "incomplete"
-    assert quality(spark, rows(steps=[*STEPS, ("e", "f", "x", None), ("f", "e", "y", None)])) == ("inconsistent", ["client_without_server", "cycle"])
+    assert quality(spark, rows(steps=[*STEPS, ("e", "f", "x", None), ("f", "e", "y", None)])) == ("inconsistent", ["client_span_without_server_span", "cycle_detected"])
     assert quality(spark, [*rows(), {**rows()[0], "name": "other"}])[0] == "inconsistent"
     assert quality(spark, [*rows(), rows()[1]])[0] == "complete"
     assert quality(spark, [{**rows()[0], "span_id": None}])[0] == "empty"
@@ -52,7 +53,7 @@ def test_quality(spark):
 
 def fingerprint(spark, run):
     g = graph.build(spans(spark, run), "start")
-    return canonical.fingerprints(canonical.ordered(g), g.edges).first()["fingerprint"]
+    return canonical.fingerprints(canonical.ordered(g)).first()["fingerprint"]
 
 
 def test_fingerprint_ignores_ids_and_order(spark):
@@ -65,10 +66,61 @@ def test_fingerprint_ignores_ids_and_order(spark):
 
 
 def test_deep_chain(spark):
-    chain = [(f"s{i}", f"s{i - 1}" if i else None, f"n{i}", None) for i in range(8)]
+    n = 10_000
+    chain = [(f"s{i:05}", f"s{i - 1:05}" if i else None, f"n{i % 7}", None) for i in range(n)]
+    random.Random(2).shuffle(chain)
     g = graph.build(spans(spark, rows(steps=chain)), "n0")
-    assert [r["order"] for r in canonical.ordered(g).orderBy("depth").collect()] == list(range(8))
-    assert canonical.ancestors(g.nodes, g.nodes.where("span_id = 's7'")).count() == 8
+    places = canonical.ordered(g).select("span_id", "depth", "order").collect()
+    assert len(places) == n and all(r["depth"] == r["order"] == int(r["span_id"][1:]) for r in places)
+    assert canonical.ancestors(g.nodes, g.nodes.where("span_id = 's09999'")).count() == n
+    far = canonical.nearest_above(g.nodes, {"six": F.col("label") == "n6"}).where("span_id = 's09999'").first()
+    assert far["six"] == 4  # 9995 is the nearest above
+    assert canonical.fingerprints(canonical.ordered(g)).count() == 1
+
+
+def brute_force_places(run):
+    """order by span of a tree, by recursion over the same texts."""
+    below = {}
+    for r in run:
+        below.setdefault(r["up"], []).append(r)
+
+    def digest(r):
+        parts = sorted(digest(c)[0] for c in below.get(r["span_id"], []))
+        text = r["text"] + "".join(f"|{p}" for p in parts)
+        return hashlib.sha256(text.encode()).hexdigest(), r["span_id"]
+
+    out, waiting = [], [r for r in run if r["up"] is None and r["order"] == 0]
+    while waiting:
+        r = waiting.pop()
+        out.append(r["span_id"])
+        waiting += sorted(below.get(r["span_id"], []), key=digest, reverse=True)
+    return out
+
+
+def test_random_trees_against_brute_force(spark):
+    rng = random.Random(9)
+    runs = []
+    for t in range(25):
+        n = rng.randint(1, 25)
+        steps = [(f"s{i}", None if i == 0 else f"s{rng.randrange(i)}", rng.choice(["a", "b", "c.d"]), rng.choice(["Client", "Server", None])) for i in range(n)]
+        steps += [("lost", "gone", "a", None)] if t % 5 == 0 else []
+        rng.shuffle(steps)
+        runs.append(rows(f"t{t}", steps))
+    g = graph.build(spans(spark, *runs), None)
+    texts = g.nodes.withColumn("label_text", graph.node_label()).withColumn("text", F.concat(F.length("label_text").cast("string"), F.lit(":"), "label_text"))
+    for t in range(25):
+        own = [r.asDict() for r in texts.where(F.col("trace_id") == f"t{t}").collect()]
+        got = [r["span_id"] for r in sorted((r for r in own if r["order"] is not None), key=lambda r: r["order"])]
+        assert got == brute_force_places(own)
+        for r in own:
+            inside = [x for x in own if r["pre"] < x["pre"] <= r["last"]]
+            up = {x["span_id"]: x["up"] for x in own}
+
+            def above(x, up=up):
+                while (x := up[x]) is not None:
+                    yield x
+
+            assert {x["span_id"] for x in inside} == {x["span_id"] for x in own if r["span_id"] in set(above(x["span_id"]))}
 
 
 RULES = [
@@ -102,7 +154,7 @@ def test_rules_and_release(spark):
 
 def test_similarity_and_diff(spark):
     g = graph.build(spans(spark, rows("x"), rows("y", STEPS[:3])), "start")
-    placed = graph.cut(canonical.ordered(g))
+    placed = canonical.ordered(g)
     own = features.features(g, placed)
     near = features.nearest(own, own.where("trace_id = 'x'").select(F.lit("f").alias("fingerprint"), "feature", "weight"))
     found = {r["trace_id"]: (r["shared"], r["either"]) for r in near.collect()}
@@ -153,17 +205,116 @@ def test_contract_documents():
 
 
 def test_mining(spark):
-    many = [rows(f"t{i}", release="r1") for i in range(4)]
-    e = evaluate(spans(spark, *many), DOC)
-    runs = e.runs.withColumn("run_id", F.lit(None).cast("string")).withColumn("start_ns", F.lit(1)).withColumn("has_error", F.lit(False)).withColumn("typed_ok", F.lit(True))
-    good, tally = mine.dataset(runs, mine.reason("r1"))
-    assert good.count() == 4 and tally.count() == 0
-    found = mine.families(good)
-    route = found.first()["fingerprint"]
-    approved = mine.decided(found, {route: "approved"})
-    draft = mine.propose(mine.label_statistics(e.nodes, good), approved, good, "x")
-    draft.pop("disclosures")
-    assert contract.validate(draft) == [] and mine.representatives(good).count() == 3
+    many = [[r | {"run_id": f"run{i}", "operation": "op", "retry_number": 0, "output_tokens": 5} for r in rows(f"t{i}", release="r1")] for i in range(4)]
+    other = rows("u", release="r2", run_id="x")
+    all_spans = spans(spark, *many, other, [r | {"run_id": "run0"} for r in rows("t9", release="r1")], rows("v", release="r1"))
+    first = mine.mine(all_spans, "r1", "x", "start", least=2)
+    assert first["status"] == "pending_review" and {r["reason"]: r["runs"] for r in first["tally"].collect()} == {"RELEASE_MISMATCH": 1, "RUN_ID_MISSING": 1, "DUPLICATE_RUN": 1}
+    route = first["families"].first()["fingerprint"]
+    found = mine.mine(all_spans, "r1", "x", "start", decisions={route: "approved"}, least=2)
+    draft = found["draft"]
+    disclosed = draft.pop("disclosures")
+    kinds = {r["type"] for r in draft["spec"]["rules"]}
+    assert contract.validate(draft) == [] and mine.representatives(first["runs"]).count() == 3
+    assert kinds == {"required_span", "required_edge", "cardinality", "required_ancestry", "allowed_values", "retry_budget", "approved_routes", "numeric_budget"}
+    assert "BUDGET_NOT_PROPOSED:gen_ai.usage.input_tokens" in disclosed and first["baseline"] == found["baseline"]
+    assert draft["spec"]["gate"]["zeroToleranceRuleIds"] == sorted(r["id"] for r in draft["spec"]["rules"] if r["severity"] == "critical")
     assert evaluate(spans(spark, *many), draft).runs.where("status = 'pass'").count() == 4
     with pytest.raises(ValueError):
-        mine.decided(found, {"none": "approved"})
+        mine.decided(first["families"], {"none": "approved"})
+
+
+def test_labels_that_a_run_may_hide(spark):
+    # In the second run the server span of look.up is missing, so look.handler may have been there.
+    e = graph.build(spans(spark, rows("x"), rows("y", [STEPS[0], STEPS[1], STEPS[3]])), "start")
+    got = {r["label"]: r for r in mine.label_statistics(e.nodes, e.traces, diff.labeled_edges(e.nodes, e.edges)).collect()}
+    assert (got["look.handler"]["present"], got["look.handler"]["observable"], got["look.handler"]["presence"], got["look.handler"]["remote_handler"]) == (1, 1, "always", True)
+    assert got["look.up"]["unobservable"] == 0 and not got["pay.out"]["remote_handler"]
+
+
+def test_retry_budget_has_a_violation_for_each_way(spark):
+    steps = [("a", None, "start", None), ("b", "a", "one", None), ("c", "a", "two", None), ("d", "a", "pay.out", None), ("e", "a", "odd", None)]
+    run = rows("t", steps)
+    for r, retry, effect in zip(run, (None, 3, 4, 2, 1), ("none", "read", "read", "write", None), strict=True):
+        r["retry_number"], r["side_effect"] = retry, effect
+    rule = {"id": "r", "type": "retry_budget", "selector": {"service": "svc"}, "maxPerTool": 2, "maxRunTotal": 9, "sideEffectMax": 0, "severity": "high"}
+
+    def said(run, **more):
+        g = graph.build(spans(spark, run), "start")
+        return [(r["outcome"], r["code"], r["detail"], r["value"]) for r in rules.evaluate_rules(g, g.nodes, [rule | more]).collect()]
+
+    assert sorted(said(run)) == sorted([
+        ("violation", "RETRY_BUDGET_PER_TOOL_EXCEEDED", "one", 3), ("violation", "RETRY_BUDGET_PER_TOOL_EXCEEDED", "two", 4), ("violation", "RETRY_BUDGET_RUN_TOTAL_EXCEEDED", None, 10),
+        ("violation", "RETRY_BUDGET_SIDE_EFFECT_EXCEEDED", "side-effect:pay.out", 2),
+    ])
+    assert said([r | {"retry_number": None} for r in run]) == [("insufficient_evidence", "attribute_not_emitted", None, None)]
+    assert said(run, maxPerTool=9, maxRunTotal=99, sideEffectMax=3) == [("pass", None, None, 10)]
+    unknown = [r | {"side_effect": None} for r in run]
+    assert [x[:2] for x in said(unknown, maxPerTool=9, maxRunTotal=99, sideEffectMax=3)] == [("insufficient_evidence", "side_effect_unclassified")]
+
+
+def test_side_effects_that_are_new_are_changes(spark):
+    g = graph.build(spans(spark, rows("x", STEPS[:3]), rows("y")), "start")
+    side = lambda t: g.nodes.where(F.col("trace_id") == t)
+    found = diff.changes(side("x"), side("y"), diff.labeled_edges(side("x"), g.edges), diff.labeled_edges(side("y"), g.edges), ["f"], "g").collect()
+    assert ("side_effect_duplicated", "pay.out|write", 0, 1, "structural") in [tuple(r) for r in found] and ("route_unknown", "g", None, None, "structural") in [tuple(r) for r in found]
+
+
+def test_similarity_without_overlap(spark):
+    own = spark.createDataFrame([("t", "a", 2), ("u", "c", 1)], "trace_id string, feature string, weight int")
+    families = spark.createDataFrame([("f2", "c", 1), ("f1", "d", 4)], "fingerprint string, feature string, weight int")
+    assert {tuple(r) for r in features.nearest(own, families).collect()} == {("t", "f1", 0, 6), ("u", "f2", 1, 1)}
+
+
+def test_state_of_a_release(spark):
+    e = evaluate(spans(spark, rows("good", release="r1", output_tokens=1)), DOC)
+    counted, budgets = release.counts(e.runs, e.violations), release.release_budgets(e.results, e.runs, RULES)
+    codes = lambda **state: [r["finding"] for r in release.findings(counted, e.violations, e.runs, budgets, DOC["spec"]["gate"], None, release.State(**state)).orderBy("place").collect()]
+    assert codes() == []
+    assert codes(contract_state="draft", same_contract=False, truncated=True, completed_ms=None, now_ms=10_000_000) == ["CONTRACT_NOT_ACTIVE", "CONTRACT_MISMATCH", "RETRIEVAL_TRUNCATED", "EVALUATION_INCOMPLETE", "AGGREGATION_STALE"]
+    assert codes(started_ms=0, completed_ms=601_000) == ["EVALUATION_TIMED_OUT"]
+    found = release.findings(counted, e.violations, e.runs, budgets, DOC["spec"]["gate"] | {"maxLatencyRegressionPercent": 20, "maxTokenRegressionPercent": 20}, release.Reference(latency_p95_ms=4, tokens_p95=1))
+    assert {r["finding"] for r in found.collect()} == {"LATENCY_REGRESSION_EXCEEDED", "TOKEN_REGRESSION_EXCEEDED"}
+    assert release.decision_hash(counted, found).first()["hash"] != release.decision_hash(counted, found.limit(1)).first()["hash"]
+    assert {r["disclosure"] for r in release.disclosures(counted, budgets, release.Reference(4, 4, 0)).collect()} == {"RETRY_CHANGE_NOT_MEASURED"}
+
+
+def test_patterns_that_take_exponential_time_are_refused():
+    for bad in ("(a+)+b", "(a|ab)*", "(?:x*y)*", "((ab)*c)+"):
+        assert selectors.check_pattern(bad), bad
+    for good in ("(ab)+", "[ab]+c*", "^(one|two)$", "a{2,3}b"):
+        assert not selectors.check_pattern(good), good
+
+
+def test_lists_and_redaction(spark):
+    df = spark.createDataFrame([(["string:a"],), (["string:a", "string:b"],)], "x array<string>")
+    got = lambda op, x: [r[0] for r in df.select(selectors.condition(selectors.list_value(F.col("x")), op, x)).collect()]
+    assert got("equals", "a") == [True, False] and got("in", ["b"]) == [False, True] and got("not_in", ["b"]) == [True, False] and got("matches", "a") == [False, False]
+    doc = {"apiKey": "x", "tokens": 3, "deep": [{"Password": 1, "note": "a long-secret b"}]}
+    assert redact.redacted(doc, ["long-secret", "b"]) == {"apiKey": "[redacted]", "tokens": 3, "deep": [{"Password": "[redacted]", "note": "a [redacted] b"}]}
+    nodes = graph.build(spans(spark, rows(extra={"x.secret": "string:s"})), "start").nodes
+    document = json.loads(redact.exported(nodes).first()["document"])
+    assert [n["order"] for n in document["nodes"]] == [0, 1, 2, 3] and document["nodes"][0]["attributes"]["x.secret"] == "[redacted]"
+
+
+def test_sources(spark, tmp_path):
+    capture = {"rows": [{"data": {"trace_id": "t", "span_id": "a", "name": "start", "duration_nano": 5, "agent.retry.number": 1, "flag": True}, "timestamp": "2026-01-01T00:00:00.001Z"}]}
+    (tmp_path / "c.json").write_text(json.dumps(capture))
+    row = source.read_capture(spark, str(tmp_path / "c.json")).first()
+    assert row["start_ns"] == 1767225600001000000 and row["retry_number"] == 1 and row["extra"] == {"flag": "boolean:true"}
+    df = spans(spark, rows(), rows("u"))
+    assert source.verify_types(df.withColumn("kind", F.lit(1)).drop("tool"))["mismatched"] == ["kind"]
+    page = source.search(df, F.col("name") == "start", ["trace_id"], 0, 10, 1, 1)
+    assert [r["trace_id"] for r in page.collect()] == ["u"] and source.discover(df.withColumn("release", F.lit("r")), "start", "r", 1)[1]
+    extra = spark.createDataFrame([("t", {"k": "string:1"}), ("u", {"k": "number:1"})], "trace_id string, extra map<string,string>")
+    assert source.untrusted_fields(extra, {"k": "number"}).collect()[0]["trace_id"] == "t"
+    logs = spark.createDataFrame([("t", "x" * 3000), ("z", "y")], "trace_id string, body string")
+    assert [len(r["body"]) for r in source.logs_of(logs, df).collect()] == [2000]
+    series = spark.createDataFrame([([([([("a", "b")], [(1, 2.0), (2, 3.0)])],)],)], "results array<struct<series: array<struct<labels: array<struct<key: string, value: string>>, values: array<struct<ts: bigint, value: double>>>>>>")
+    assert [(r["labels"], r["ts"], r["value"]) for r in source.metric_points(series).collect()] == [({"a": "b"}, 1, 2.0), ({"a": "b"}, 2, 3.0)]
+    assert sorted(r["trace_id"] for r in source.read_spans(spark, _saved(df, tmp_path)).collect()) == ["t"] * 4 + ["u"] * 4
+
+
+def _saved(df, tmp_path):
+    df.drop("extra").withColumnRenamed("service", "service.name").write.parquet(str(tmp_path / "spans"))
+    return str(tmp_path / "spans")
