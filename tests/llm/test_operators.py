@@ -69,6 +69,35 @@ def test_near_duplicates_of_edge_cases(spark):
     assert minhash.near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    rng = random.Random(14)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    base, texts = some(100), []
+    for i in range(700):  # most are alike the base, some only each other
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[rng.randrange(100)] = f"new{rng.randrange(50)}"
+        texts.append((i, " ".join(w)))
+    texts += [(1000 + i, " ".join(some(100))) for i in range(50)]
+    bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, t in texts for w in [t.split()]}
+    label = {i: i for i, _ in texts}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in bags:
+        for b in bags:
+            if a < b and find(a) != find(b) and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    wrong = sum(got[i] != find(i) for i in label)
+    assert wrong <= 0.01 * len(label)
+
+
 def test_bag_minhash_is_unbiased():
     memo = minhash.lower_memo()
     errors = []
@@ -400,6 +429,16 @@ def test_lines(spark):
     assert got[3]["text"] == "own 3\n" and got[3]["n_dropped"] == 2 and got[22]["text"] == "own 22\n" and got[90]["text"] is None and got[91]["text"] == ""
 
 
+def test_lines_of_edge_cases(spark):
+    rows = [(i % 10, f"same\nown {i % 10}", "en", "s", 1) for i in range(20)] + [(None, "same\nx", "en", "s", 1), (None, "same\ny", "en", None, 1), (30, "z" * 100_000 + "\nsame", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit(99)).withColumn("hits", F.lit(1)).withColumn("h", F.lit(1))
+    got = lines.drop_boilerplate(df)
+    assert got.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "hits", "h", "n_lines", "n_dropped"] and got.count() == 23
+    kept = collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect())
+    assert kept[3, "own 3", 2, 1] == 2 and kept[None, "x", 2, 1] == 1 and kept[None, "same\ny", 2, 0] == 1 and kept[30, "z" * 100_000, 2, 1] == 1
+    assert lines.drop_boilerplate(df.limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     item = "A train travels 120 km from Paris to Lyon in 3 hours and then it returns with half of that speed to the station"
     moved = item.replace("120", "450").replace("3 hours", "7 hours").replace("Paris", "Oslo")
@@ -561,3 +600,38 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     held = {r["doc_id"] for r in decontaminate.contaminated(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).collect()}
     assert rows and not held & {r["doc_id"] for r in rows} and max(r["length"] for r in rows) <= 2048
+
+
+def test_pipeline_stages_on_small_tables(spark, tmp_path):
+    """Every stage against a plain reading of what it is to keep, with nulls, repeated rows and extra columns; and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(30)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    item = "A train travels 120 km from Paris to Lyon in 3 hours and then it returns with half of that speed to the station"
+    rows = [(i, "top line\n" + " ".join(some(30) + (["vile", "scum"] if i % 5 == 0 else [])), "en", f"s{i % 2}", 1) for i in range(200)]
+    near = some(80)
+    rows += [(300 + i, " ".join(near[:-1] + [f"x{i}"]), "en", "t", 1) for i in range(5)] + [(310, f"{' '.join(some(9))} {item}", "en", "t", 1)]
+    rows += [(320, None, None, None, None), (321, "", "en", "t", 0), (322, "twice the row", "en", "t", 1), (322, "twice the row", "en", "t", 1), (None, "no id here", "en", "t", 1)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(200)]
+    tables = {"documents": spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / "full" / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
+    sf, ids, docs = str(tmp_path / "full"), {}, tables["documents"]
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = stage(spark, docs, sf)
+        if name != "best_fit_packing":
+            assert docs.columns == before
+            docs.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+            ids[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    clean = {r[0] for r in rows if not (r[0] is not None and r[0] < 200 and r[0] % 5 == 0)}
+    assert len(clean ^ set(ids["toxicity"])) <= 4
+    assert set(ids["line_dedup"]) == set(ids["toxicity"]) and not any((t or "").startswith("top line") for t in ids["line_dedup"].values())
+    assert set(ids["line_dedup"]) - set(ids["minhash_near_dedup"]) == {301, 302, 303, 304} and {None, 320, 321, 322} <= set(ids["minhash_near_dedup"])
+    assert set(ids["minhash_near_dedup"]) - set(ids["benchmark_decontamination"]) == {310}
+    packed = docs.collect()
+    assert {r["doc_id"] for r in packed} == set(ids["benchmark_decontamination"]) and sum(r["doc_id"] == 322 for r in packed) == 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
