@@ -13,7 +13,7 @@ from routeledger.operators.graph import Graph, build, cut
 from routeledger.operators.rules import evaluate_rules
 
 #: Severities, the gravest first, and outcomes by rank.
-SEVERITIES = ["critical", "high", "medium", "low", "info"]
+SEVERITIES = ["critical", "high", "medium", "low"]
 
 
 class Evaluation(NamedTuple):

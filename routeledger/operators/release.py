@@ -52,7 +52,7 @@ def counts(runs: DataFrame, violations: DataFrame) -> DataFrame:
     """One row for each release: runs by status, violations by severity, unknown routes, duplicates and missing prerequisites."""
     n = lambda c: F.count(F.when(c, 1))
     by_run = violations.groupBy("trace_id").agg(
-        *(n(F.col("severity") == s).alias(f"v_{s}") for s in ("critical", "high", "medium", "low", "info")),
+        *(n(F.col("severity") == s).alias(f"v_{s}") for s in ("critical", "high", "medium", "low")),
         F.max(F.col("code").isin(*UNKNOWN_CODES).cast("int")).alias("unknown_route"), F.max(F.col("code").isin(*ABOVE_CODES).cast("int")).alias("duplicate"),
         F.max(F.col("code").isin(*MISSING_CODES).cast("int")).alias("missing"),
     )
@@ -63,7 +63,7 @@ def counts(runs: DataFrame, violations: DataFrame) -> DataFrame:
     is_ = lambda s: F.col("status") == s
     return met.groupBy("release").agg(
         F.count("*").alias("runs"), n(is_("pass")).alias("passed"), n(is_("fail")).alias("failed"), n(is_("insufficient_data")).alias("insufficient"), n(is_("error")).alias("errors"),
-        *(F.sum(f"v_{s}").alias(f"v_{s}") for s in ("critical", "high", "medium", "low", "info")),
+        *(F.sum(f"v_{s}").alias(f"v_{s}") for s in ("critical", "high", "medium", "low")),
         F.sum("unknown_route").cast("bigint").alias("unknown_routes"), F.sum("duplicate").cast("bigint").alias("duplicate_rule_runs"), F.sum("missing").cast("bigint").alias("missing_prerequisites"),
         n(F.col("quality") != "complete").alias("degraded"), F.countDistinct("fingerprint").alias("routes"),
         percentile("duration_ms", 95).alias("p95_ms"), percentile("duration_ms", 99).alias("p99_ms"), F.sum("retries").alias("retries"), F.sum("output_tokens").alias("output_tokens"),

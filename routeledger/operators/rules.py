@@ -91,6 +91,7 @@ def single_pass(traces: DataFrame, nodes: DataFrame, rules: list[dict]) -> DataF
             parts.append((rule, forbidden(found) if kind == "forbidden_span" else counted(rule, found)))
         elif kind == "allowed_values":
             value = plain_value(rule["field"])
+            value = F.when(selector(rule["selector"]), value) if rule.get("selector") else value
             bad = value.isNotNull() & ~condition(value, "in", rule["values"])
             aggs += [F.count(value).alias(c), F.collect_set(F.when(bad, value)).alias(f"{c}_bad")]
             wrong = F.transform(F.array_sort(f"{c}_bad"), lambda v: result("violation", "DISALLOWED_VALUE", None, None, v))

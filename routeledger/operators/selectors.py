@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPERATORS = ("equals", "not_equals", "in", "not_in", "exists", "matches")
-MAX_INPUT, MAX_PATTERN = 8192, 512
+MAX_INPUT, MAX_PATTERN = 8192, 256
 #: Fields that are columns of a node besides its attributes.
 SIDE_EFFECTING = ("write", "external")
 
@@ -135,19 +135,22 @@ def selector(spec: dict) -> Column:
             out = out & F.coalesce(F.col(column) == spec[key], F.lit(False))
     if "namePattern" in spec:
         out = out & matches(F.col("label"), spec["namePattern"])
-    for name, wanted in (spec.get("attributes") or {}).items():
-        value = field(name)
-        if isinstance(wanted, dict):
-            out = out & condition(value, wanted["operator"], operand_of(wanted))
-        else:
-            out = out & condition(value, "equals", wanted)
+    for name, operator, operand in conditions(spec):
+        out = out & condition(field(name), operator, operand)
     return out
 
 
+def conditions(spec: dict) -> list[tuple]:
+    """Key, operator and operand of a selector's conditions: a list of them, or an object of values or of conditions by key."""
+    own = spec.get("attributes") or {}
+    each = [(c["key"], c) for c in own] if isinstance(own, list) else own.items()
+    return [(key, c["operator"], operand_of(c)) if isinstance(c, dict) else (key, "equals", c) for key, c in each]
+
+
 def pins_side_effect(spec: dict) -> bool:
     """Whether a selector takes only spans that write or reach outside."""
-    wanted = (spec.get("attributes") or {}).get("agent.side_effect")
-    if isinstance(wanted, dict):
-        values = [wanted.get("value")] if wanted["operator"] == "equals" else wanted.get("values", []) if wanted["operator"] == "in" else [None]
-        return bool(values) and all(v in SIDE_EFFECTING for v in values)
-    return wanted in SIDE_EFFECTING
+    for key, operator, operand in conditions(spec):
+        values = [operand] if operator == "equals" else operand if operator == "in" else []
+        if key == "agent.side_effect" and values and all(v in SIDE_EFFECTING for v in values):
+            return True
+    return False

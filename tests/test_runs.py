@@ -192,18 +192,44 @@ def test_contract_documents():
     text = contract.yaml.safe_dump(DOC)
     assert contract.content_hash(contract.load(text)) == contract.content_hash(DOC)
     assert contract.content_hash(contract.load(contract.dump(DOC))) == contract.content_hash(DOC)
-    for bad in ("a: &x 1\nb: *x", "a: !!str x", "[" * 40 + "]" * 40):
-        with pytest.raises(contract.ContractError):
-            contract.load(bad)
-    worse = json.loads(json.dumps(DOC))
-    worse["spec"]["rules"].append({"id": "no", "type": "forbidden_span", "selector": {"name": "look.up"}, "severity": "high"})
-    assert any("required and forbidden" in x for x in contract.validate(worse))
     assert contract.edited(DOC, maxViolationPercent=2)["spec"]["gate"]["maxViolationPercent"] == 2
     assert contract.moved("draft", "approved") == "approved"
     with pytest.raises(contract.ContractError):
         contract.moved("draft", "active")
 
 
+@pytest.mark.parametrize("text, code", [
+    ("a: &x 1", "YAML_ANCHOR_FORBIDDEN"), ("a: !!str x", "YAML_TAG_FORBIDDEN"), ("[" * 40 + "]" * 40, "YAML_TOO_DEEP"), ("", "SOURCE_EMPTY"), ("a: " + "x" * 300_000, "SOURCE_TOO_LARGE"),
+    ("\n" * 9000 + "a: 1", "SOURCE_TOO_MANY_LINES"), ("a: 1\na: 2", "YAML_DUPLICATE_KEY"), ("a: 1\n---\nb: 2", "YAML_MULTIPLE_DOCUMENTS"), ("a: [", "YAML_MALFORMED"), ("a: *x", "YAML_ALIAS_FORBIDDEN"), ("7", "INVALID_TYPE"),
+])
+def test_sources_of_contracts_that_are_refused(text, code):
+    with pytest.raises(contract.ContractError) as e:
+        contract.load(text)
+    assert e.value.codes == [code]
+
+
+@pytest.mark.parametrize("change, code", [
+    (lambda d: d.update(kind="x"), "UNKNOWN_KIND"), (lambda d: d.update(apiVersion="?"), "UNKNOWN_API_VERSION"), (lambda d: d.update(more=1), "UNKNOWN_FIELD"),
+    (lambda d: d["spec"]["rules"].append({"type": "odd"}), "UNKNOWN_RULE_TYPE"), (lambda d: d["spec"]["rules"][0].pop("selector"), "REQUIRED"), (lambda d: d["spec"]["rules"][0].update(selector=3), "INVALID_TYPE"),
+    (lambda d: d["spec"]["rules"][0].update(severity="odd"), "INVALID_ENUM"), (lambda d: d["metadata"].update(version="1"), "INVALID_FORMAT"), (lambda d: d["spec"]["rules"][0].update(id="No Id"), "INVALID_IDENTIFIER"),
+    (lambda d: d["spec"]["rules"][1].update(min=4), "INVALID_RANGE"), (lambda d: d["spec"]["rules"][1].update(max=1.5), "INVALID_NUMBER"), (lambda d: d["spec"]["rules"][0].update(description="x" * 2000), "STRING_TOO_LONG"),
+    (lambda d: d["spec"]["rules"].append({"id": "v", "type": "allowed_values", "field": "service.name", "values": [], "severity": "low"}), "LIST_EMPTY"),
+    (lambda d: d["spec"]["rules"].append({"id": "v", "type": "allowed_values", "field": "service.name", "values": list(range(300)), "severity": "low"}), "LIST_TOO_LONG"),
+    (lambda d: d["spec"]["rules"].append({"id": "v", "type": "allowed_values", "field": "service.name", "values": ["a", "a"], "severity": "low"}), "DUPLICATE_VALUE"),
+    (lambda d: d["spec"].update(rules=[d["spec"]["rules"][0]] * 600), "TOO_MANY_RULES"), (lambda d: d["spec"]["rules"].append(d["spec"]["rules"][0]), "DUPLICATE_RULE_ID"),
+    (lambda d: d["spec"]["rules"][0].update(selector={}), "EMPTY_SELECTOR"), (lambda d: d["spec"]["rules"][0].update(selector={"namePattern": "(a+)+"}), "INVALID_PATTERN"),
+    (lambda d: d["spec"]["rules"].append({"id": "no", "type": "forbidden_span", "selector": {"name": "look.up"}, "severity": "high"}), "CONTRADICTORY_RULES"),
+    (lambda d: d["spec"]["rules"].append({"id": "two", "type": "cardinality", "selector": {"name": "look.up"}, "min": 2, "scope": "run", "severity": "high"}), "CONTRADICTORY_RULES"),
+    (lambda d: d["spec"]["gate"].update(zeroToleranceRuleIds=["none"]), "UNKNOWN_RULE_REFERENCE"), (lambda d: d["spec"]["gate"].update(maxViolationPercent=0.1234567), "INVALID_NUMBER"),
+    (lambda d: d["spec"].update(approvedRoutes=["a" * 64], rules=[*d["spec"]["rules"], {"id": "r", "type": "approved_routes", "fingerprints": ["b" * 64], "severity": "high"}]), "UNKNOWN_ROUTE_REFERENCE"),
+])
+def test_faults_of_contracts(change, code):
+    doc = json.loads(json.dumps(DOC))
+    assert contract.validate(doc) == []
+    change(doc)
+    assert code in {fault.split(": ")[1] for fault in contract.validate(doc)}
+
+
 def test_mining(spark):
     many = [[r | {"run_id": f"run{i}", "operation": "op", "retry_number": 0, "output_tokens": 5} for r in rows(f"t{i}", release="r1")] for i in range(4)]
     other = rows("u", release="r2", run_id="x")
