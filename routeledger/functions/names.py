@@ -129,9 +129,9 @@ def safe_text(text: str, most: int = 200) -> str:
 
 
 def rule_id(prefix: str, label: str) -> str:
-    """A readable id with eight hex digits of the label's digest."""
-    slug = re.sub(r"[^a-z0-9]+", "-", label.lower()).strip("-")[:40] or "label"
-    return f"{prefix}-{slug}-{hashlib.sha256(label.encode()).hexdigest()[:8]}"
+    """A readable id with eight hex digits of the label's digest, so that labels that read alike have ids of their own."""
+    slug = re.sub("-+", "-", re.sub("[^a-z0-9]", "-", label.lower())[:80]).strip("-")
+    return "-".join(x for x in (prefix, slug, hashlib.sha256(label.encode()).hexdigest()[:8]) if x)[:128]
 
 
 def margin_up(value: int, percent: int) -> int:

@@ -42,6 +42,13 @@ def violations_of(results: DataFrame) -> DataFrame:
     return results.where("outcome = 'violation'").select("trace_id", ident.alias("violation_id"), "rule_id", "rule_type", "severity", rank.alias("severity_rank"), "rule_order", "code", "detail", "value", "span_ids")
 
 
+def evaluation_hashes(results: DataFrame) -> DataFrame:
+    """trace_id and `hash`: SHA-256 of a run's outcomes by rule, without span ids, so that equal runs have one hash."""
+    counted = results.groupBy("trace_id", "rule_id", "outcome", "code").agg(F.count("*").alias("n"))
+    said = F.concat_ws("|", "rule_id", "outcome", F.coalesce("code", F.lit("")), F.col("n").cast("string"))
+    return counted.groupBy("trace_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(said)), ";"), 256).alias("hash"))
+
+
 def run_status(traces: DataFrame, results: DataFrame) -> DataFrame:
     """One row for each run with its status: fail, insufficient_data, pass, or error for runs without a tree."""
     n = lambda c: F.count(F.when(c, 1))

@@ -6,12 +6,13 @@ trace, whose number is bounded, become one row of arrays, and a tree walk gives
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeledger.functions import names
@@ -36,7 +37,7 @@ class Graph(NamedTuple):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and go on from there, partitioned and pruned by column as Parquet.
+    """Write df to the folder in spark.checkpoint.dir and go on from there, pruned by column as Parquet, until the driver ends.
 
     Without that setting, as in tests in local mode, Spark's own cache holds it.
     """
@@ -45,9 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
         return df.persist()
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if getattr(spark.sparkContext, "_jsc", None) is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def usable(spans: DataFrame, most: int = MAX_SPANS) -> tuple[DataFrame, DataFrame]:
     """Rows with a span_id of traces that are not too large, and a row of counts for each trace. Rows without a trace_id are of no trace."""
     spans = spans.where("trace_id IS NOT NULL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from routeledger.functions import exact, names, redact
 from routeledger.operators import canonical, diff, features, graph, mine, release, rules, selectors, tables
-from routeledger.operators.evaluate import evaluate
+from routeledger.operators.evaluate import evaluate, evaluation_hashes as hashes_of
 from routeledger.sources import spans as source
 from routeledger.streaming import windows
 
@@ -719,3 +719,29 @@ def release_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Releases side by side: failing runs, repeated side effects and missing prerequisites."""
     e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
     return release.counts(e.runs, e.violations).select("release", "runs", "failed", F.col("duplicate_rule_runs").alias("duplicates"), F.col("missing_prerequisites").alias("missing"))
+
+
+@query(STATUS + "SELECT trace_id, sha256(string_agg(said, ';' ORDER BY said)) AS hash FROM (SELECT trace_id, rule_id || '|' || outcome || '|' || coalesce(code, '') || '|' || n AS said FROM res) GROUP BY trace_id")
+def evaluation_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of every run's outcomes at run scope."""
+    return hashes_of(evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).results.where("outcome <> 'deferred'"))
+
+
+@query(STATUS + "SELECT trace_id, rule_id, severity, code, coalesce(value, 0)::BIGINT AS value FROM res JOIN (VALUES ('require-view', 'critical'), ('one-purchase', 'critical')) v(rule_id, severity) USING (rule_id) WHERE outcome = 'violation'")
+def critical_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of the gravest severity."""
+    found = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).violations.where("severity = 'critical'")
+    return found.select("trace_id", "rule_id", "severity", "code", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+@query("SELECT label, count(*)::BIGINT AS spans, min(start_ns)::BIGINT AS first_ns FROM spans WHERE service IN ('web', 'payments') AND (label = 'view' OR effect = 'write') AND start_ns > 0 AND effect IS NOT NULL GROUP BY label")
+def filtered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by a filter of comparisons, lists, presence, and both connectives."""
+    return event_spans(spark, sf_dir).where("service IN ('web', 'payments') AND (name = 'view' OR side_effect = 'write') AND start_ns > 0 AND side_effect IS NOT NULL").groupBy(F.col("name").alias("label")).agg(F.count("*").alias("spans"), F.min("start_ns").alias("first_ns"))
+
+
+@query(EDGES + ", f AS (SELECT DISTINCT trace_id, CASE WHEN effect IN ('write', 'external') THEN 'side_effect' WHEN tool IS NOT NULL THEN 'tool' ELSE 'ordinary' END || ':' || label AS feature, CASE WHEN effect IN ('write', 'external') THEN 5 WHEN tool IS NOT NULL THEN 3 ELSE 1 END AS weight FROM spans UNION SELECT trace_id, 'service:' || service, 2 FROM spans UNION SELECT trace_id, 'ordinary:' || a || '->' || b, 1 FROM e) SELECT trace_id, feature, max(weight)::BIGINT AS weight FROM f GROUP BY ALL")
+def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted features of every run's route."""
+    g = event_graph(spark, sf_dir)
+    return features.features(g, canonical.ordered(g)).select("trace_id", "feature", F.col("weight").cast("bigint").alias("weight"))
