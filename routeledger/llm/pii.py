@@ -12,6 +12,9 @@ n of them costs about n * sqrt(n) small steps, and no list is copied for each of
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9
 #: The kind under which discovered identifiers are listed, after the others.
 FOUND = "id"
 KINDS = [*PATTERNS, FOUND]
+#: Words with a digit or an at sign: instances are among them, and hold or begin every match of the fixed patterns.
+MARKED = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
 #: A key, which is a seed though no match of the fixed patterns.
 KEY = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
 #: Candidates have so many characters at least.
@@ -132,40 +137,54 @@ def first_met(blocks: Column, start: Column, end: Column) -> Column:
 def instances(texts: DataFrame) -> DataFrame:
     """row, start, end, instance, patterns (an array of hashes), seed and base of every instance of texts (row, text, base): base spans,
     keys, and other words with a digit that meet no base span. Of base spans that begin in one word the first counts."""
-    marked = F.filter(located(F.col("text"), r"\S+"), lambda x: x["match"].rlike("[0-9@]"))
+    text, gaps_of = F.col("text"), F.split("text", MARKED, -1)
+    found = F.regexp_extract_all(text, F.lit(MARKED), F.lit(0))
+    # Marked words with the text between the one before and it.
+    pairs = let(gaps_of, lambda gaps: F.transform(found, lambda m, i: F.struct(m.alias("match"), F.element_at(gaps, (i + 1).cast("int")).alias("gap"), i.alias("i"))))
+    seen = texts.where(text.rlike("[0-9@]")).select("row", "text", "base", F.element_at(gaps_of, -1).alias("tail"), pairs.alias("marked"))
 
     def judged(blocks: Column) -> Column:
-        met = lambda x: first_met(blocks, x["start"], x["start"] + F.length(x["match"]))
-        return F.transform(marked, lambda x: F.struct(x.alias("word"), met(x).alias("span")))
+        def one(x: Column) -> Column:
+            start = x["before"] + F.length(x["item"]["gap"])
+            return F.struct(x["item"]["match"].alias("match"), x["item"]["i"].alias("i"), start.alias("start"), first_met(blocks, start, start + F.length(x["item"]["match"])).alias("span"))
+
+        return F.transform(summed(F.col("marked"), lambda x: F.length(x["gap"]) + F.length(x["match"])), one)
 
     # A word in which a base span only goes on is no instance of its own.
-    own = lambda x: F.when(x["span"].isNull(), x["word"]["match"].rlike("[0-9]")).otherwise(x["span"]["start"] >= x["word"]["start"])
+    own = lambda x: F.when(x["span"].isNull(), x["match"].rlike("[0-9]")).otherwise(x["span"]["start"] >= x["start"])
 
     def described(x: Column) -> Column:
-        word, base = x["word"]["match"], x["span"].isNotNull()
+        word, base = x["match"], x["span"].isNotNull()
         head, tail = (F.length(F.regexp_extract(word, around, 0)) for around in AROUND)
-        start = F.when(base, x["span"]["start"]).otherwise(x["word"]["start"] + head)
-        end = F.when(base, x["span"]["end"]).otherwise(x["word"]["start"] + F.length(word) - tail)
+        start = F.when(base, x["span"]["start"]).otherwise(x["start"] + head)
+        end = F.when(base, x["span"]["end"]).otherwise(x["start"] + F.length(word) - tail)
         inside = word.substr((head + 1).cast("int"), (F.length(word) - head - tail).cast("int"))
-        value = F.when(base, F.col("text").substr((start + 1).cast("int"), (end - start).cast("int"))).otherwise(inside)
-        return F.struct(x["word"]["i"].alias("i"), start.alias("start"), end.alias("end"), value.alias("value"), base.alias("base"))
+        value = F.when(base, text.substr((start + 1).cast("int"), (end - start).cast("int"))).otherwise(inside)
+        return F.struct(x["i"].alias("i"), start.alias("start"), end.alias("end"), value.alias("value"), base.alias("base"))
 
     long_enough = lambda x: x["base"] | (F.length(x["value"]) >= LEAST_LENGTH) & x["value"].rlike("[0-9]")
 
-    def with_patterns(words: Column) -> Column:
+    def with_patterns(marked: Column) -> Column:
+        """Two neighbours on a side lie within two marked words and the gaps beside them."""
+        at = lambda i: F.get(marked, i.cast("int"))
+        gap = lambda i: F.coalesce(at(i)["gap"], F.when(i == F.size(marked), F.col("tail")))
+
         def patterns(x: Column) -> Column:
-            last = x["i"] + F.size(F.split(x["value"], r"\s+")) - 1  # phones and cards may have spaces
-            at = lambda i: F.lower(F.get(words, i.cast("int")))
-            both = lambda kind, a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(F.lit(kind), a, b))
-            return F.array_compact(F.array(both("before", at(x["i"] - 2), at(x["i"] - 1)), both("around", at(x["i"] - 1), at(last + 1)), both("after", at(last + 1), at(last + 2))))
+            # Phones and cards may go on over several marked words.
+            i, last = x["i"], x["i"] + F.greatest(F.size(F.filter(F.split(x["value"], r"\s+"), lambda w: w.rlike("[0-9@]"))) - 1, F.lit(0))
+            left = F.lower(F.concat_ws("", at(i - 2)["match"], at(i - 1)["gap"], at(i - 1)["match"], at(i)["gap"]))
+            right = F.lower(F.concat_ws("", gap(last + 1), at(last + 1)["match"], gap(last + 2), at(last + 2)["match"]))
+            two, one = F.regexp_extract(left, r"(?<!\S)(\S++\s++\S++)\s*+$", 1), F.regexp_extract(left, r"(?<!\S)(\S++)\s*+$", 1)
+            next_one, next_two = F.regexp_extract(right, r"^\s*+(\S++)", 1), F.regexp_extract(right, r"^\s*+(\S++\s++\S++)", 1)
+            words = lambda t: F.regexp_replace(t, r"\s++", " ")
+            key = lambda kind, *parts: F.when(reduce(and_, (p != "" for p in parts)), F.xxhash64(F.lit(kind), *map(words, parts)))
+            return F.array_compact(F.array(key("before", two), key("around", one, next_one), key("after", next_two)))
 
         return F.transform("found", lambda x: F.struct(x.alias("x"), patterns(x).alias("patterns")))
 
-    seen = texts.where(F.col("text").rlike("[0-9@]"))
-    # Only what is found is kept of a text, and only then are its words looked at again.
-    seen = seen.select("row", "text", let(met_spans(F.col("base")), judged).alias("judged"))
-    seen = seen.select("row", "text", F.filter(F.transform(F.filter("judged", own), described), long_enough).alias("found")).where(F.size("found") > 0)
-    each = seen.select("row", F.explode(let(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), with_patterns)).alias("y")).select("row", "y.x", "y.patterns")
+    seen = seen.select("row", "text", "tail", "marked", let(met_spans(F.col("base")), judged).alias("judged"))
+    seen = seen.select("row", "tail", "marked", F.filter(F.transform(F.filter("judged", own), described), long_enough).alias("found")).where(F.size("found") > 0)
+    each = seen.select("row", F.explode(let(F.col("marked"), with_patterns)).alias("y")).select("row", "y.x", "y.patterns")
     value = F.col("x.value")
     return each.select("row", "x.start", "x.end", F.xxhash64(F.lower(value)).alias("instance"), "patterns", (F.col("x.base") | value.rlike(KEY)).alias("seed"), "x.base")
 
