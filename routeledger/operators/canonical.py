@@ -14,15 +14,6 @@ def ordered(graph: Graph) -> DataFrame:
     return graph.nodes.where("`order` IS NOT NULL")
 
 
-def canonical_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between places: trace_id, from, to, type."""
-    at = nodes.select("trace_id", "span_id", "order")
-    return (
-        edges.join(at.toDF("trace_id", "from", "a"), ["trace_id", "from"]).join(at.toDF("trace_id", "to", "b"), ["trace_id", "to"])
-        .select("trace_id", F.col("a").alias("from"), F.col("b").alias("to"), "type")
-    )
-
-
 def fingerprints(nodes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """trace_id and `fingerprint`: SHA-256 of the canonical graph as JSON. A trace has a bounded number of spans."""
     fields = [("order", "order"), ("depth", "depth"), ("label", "label"), ("service", "service"), ("kind", "kind"), ("sideEffect", "side_effect"), ("tool", "tool"), ("dataDomain", "data_domain"), ("retryNumber", "retry_number")]

@@ -305,6 +305,13 @@ def test_state_of_a_release(spark):
     assert {r["disclosure"] for r in release.disclosures(counted, budgets, release.Reference(4, 4, 0)).collect()} == {"RETRY_CHANGE_NOT_MEASURED"}
 
 
+def test_selectors_of_side_effects():
+    pins = selectors.pins_side_effect
+    assert pins({"attributes": {"agent.side_effect": "write"}}) and not pins({"attributes": {"agent.side_effect": "read"}}) and not pins({"name": "x"})
+    assert pins({"attributes": [{"key": "agent.side_effect", "operator": "in", "value": ["write", "external"]}]})
+    assert not pins({"attributes": {"agent.side_effect": {"operator": "in", "values": ["write", "none"]}}})
+
+
 def test_patterns_that_take_exponential_time_are_refused():
     for bad in ("(a+)+b", "(a|ab)*", "(?:x*y)*", "((ab)*c)+"):
         assert selectors.check_pattern(bad), bad
