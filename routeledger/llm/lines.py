@@ -41,7 +41,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     """docs with `text` less its boilerplate lines, and n_lines and n_dropped.
 
     Lines are compared without spaces at their ends; blank ones are kept and never counted. A null host is a host; a null
-    text stays null, has no lines and counts as a page. Repeated rows are pages each. Other columns are kept as they are.
+    text stays null, has no lines and counts as a page. Repeated rows are pages each. Other columns are kept as they are, but for
+    those named n_lines or n_dropped, which give way. An empty table gives no rows.
     """
     pages = needs(docs, host, "text").toDF("host", "text")
     # Read back from a table, boilerplate has a size that Spark knows, and a shuffle of its own where it is large.

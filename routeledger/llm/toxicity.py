@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), sample_row
 
 
 def score(docs: DataFrame, model: dict[int, float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with `score` (0 to 1; that of an empty text is the intercept's) and `predicted`. All rows are kept."""
+    """docs with `score` (0 to 1; that of an empty text is the intercept's) and `predicted`, in place of columns of these names. All rows are kept; a null text
+    scores as an empty one, long texts are read whole, and repeated rows and rows without doc_id are scored each."""
     dense = np.zeros(1 << BITS)
     for place, w in model.items():
         if place < 1 << BITS:
