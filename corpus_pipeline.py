@@ -10,31 +10,32 @@ from routeledger.llm.shared import table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labels that are not held out, does not reject."""
+    """Documents that the toxicity model, learned from the labels that are not held out, does not reject. Null and empty texts score as the
+    model's intercept does and stay, as rows without doc_id and repeated rows do if their text is not rejected."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
     model = toxicity.train(table(spark, sf_dir, "documents"), labels)
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that are boilerplate of their source."""
+    """Documents less the lines that are boilerplate of their source; a null source is one. All rows stay, null texts as they are."""
     cut = lines.drop_boilerplate(docs)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return cut.select(*(n_chars if c == "n_chars" else c for c in docs.columns))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, and one row of each doc_id. Documents without words, and rows without doc_id, all stay."""
     return minhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; rows without doc_id stay."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
+    """The documents' pieces in sequences of at most 2048 tokens; a null text is an empty one, of one piece."""
     return packing.pack(docs, packing.word_tokenizer())
 
 
