@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.llm import chat, decontaminate, lines, minhash, passages, pii, search, toxicity, urls
+from routeledger.llm import chat, clusters, decontaminate, fingerprints, lines, minhash, passages, phrases, pii, search, toxicity, urls
 from routeledger.llm.packing import pack, word_tokenizer
 from routeledger.llm.shared import table
 
@@ -63,6 +63,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.where(search.every(100)))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 components."""
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_pii": op9_pii,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str | None] = {"op5_chat_formatting": chat.ORACLE, "op3_url_filters": urls.ORACLE, "op7_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str | None] = {"op5_chat_formatting": chat.ORACLE, "op3_url_filters": urls.ORACLE, "op7_line_dedup": lines.ORACLE, "op12_phrase_collocations": phrases.ORACLE, "op13_centroid_clustering": clusters.ORACLE}
