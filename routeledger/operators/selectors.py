@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import warnings
-from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from routeledger.functions import patterns
+from routeledger.functions.patterns import MAX_INPUT, MAX_PATTERN, MAX_REPEAT
+
 OPERATORS = ("equals", "not_equals", "in", "not_in", "exists", "matches")
-MAX_INPUT, MAX_PATTERN = 8192, 256
 #: Fields that are columns of a node besides its attributes.
 SIDE_EFFECTING = ("write", "external")
 
@@ -29,40 +29,27 @@ def field(name: str) -> Column:
 
 
 def check_pattern(pattern: str) -> list[str]:
-    """Faults of a pattern of the linear-time subset: no look-around, back-references, or lazy, possessive and nested repeats."""
+    """Faults of a pattern: one that is empty, too long or too large, or has look-around, back-references, flags, lazy repeats, repeats
+    of repeats or other escapes. Every other one is matched in linear time."""
     out = []
+    if not pattern:
+        out.append("an empty pattern")
     if len(pattern) > MAX_PATTERN:
         out.append("pattern too long")
     if re.search(r"\(\?(?!:)", pattern) or re.search(r"\\[1-9kpPbBAZzGQE]", pattern):
         out.append("look-around, back-references and other escapes are not allowed")
-    if re.search(r"(?<!\\)[*+?}][*+?{]", pattern):
+    if re.search(r"(?<!\\)[*+?}][*+?]", pattern):
         out.append("a repeat of a repeat is not allowed")
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            re.compile(pattern, re.ASCII)
-            if nested_repeat(parser.parse(pattern)):
-                out.append("a repeat within a repeat, or of alternatives that may begin alike, is not allowed")
-    except re.error as e:
-        out.append(f"no pattern: {e}")
+    if any(int(n) > MAX_REPEAT for bounds in re.findall(r"\{(\d+)(?:,(\d*))?\}", pattern) for n in bounds if n):
+        out.append(f"a repeat of more than {MAX_REPEAT} times is not allowed")
+    if not out:
+        try:
+            patterns.Automaton(pattern)
+        except (re.error, patterns.PatternTooLarge, KeyError) as e:
+            out.append(f"no pattern: {e}")
     return out
 
 
-def nested_repeat(parsed, inside: bool = False) -> bool:
-    """Whether a parsed pattern repeats something that itself repeats or has a choice of several words, on which engines that
-    backtrack take exponential time."""
-    for op, value in parsed:
-        if op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
-            many = value[1] > 1
-            if inside and (many or value[0] != value[1]) or nested_repeat(value[2], inside or many):
-                return True
-        elif op is parser.SUBPATTERN and nested_repeat(value[-1], inside):
-            return True
-        elif op is parser.BRANCH and (inside or any(nested_repeat(x, inside) for x in value[1])):
-            return True
-    return False
-
-
 def rendered(pattern: str) -> str:
     """The pattern in Java's syntax with the subset's meaning: `$` is the very end, `.` stops at line feeds only, `&&` and
     `[` in a class are letters."""
@@ -90,8 +77,12 @@ def rendered(pattern: str) -> str:
 
 
 def matches(text: Column, pattern: str) -> Column:
+    """Whether a text of at most MAX_INPUT letters holds a match. A pattern without repeats is a plain expression, any other one runs
+    on an automaton: no engine that backtracks meets a repeat."""
     if faults := check_pattern(pattern):
         raise ValueError("; ".join(faults))
+    if patterns.has_repeat(patterns.parsed(pattern)):
+        return patterns.search(text, pattern)
     return F.coalesce((F.length(text) <= MAX_INPUT) & text.rlike(rendered(pattern)), F.lit(False))
 
 
