@@ -252,31 +252,29 @@ def release_label_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind IN ('node_added', 'node_removed', 'cardinality_changed')").select("kind", "subject", "before", "after")
 
 
-@query(JSON_NODES + """, f AS (SELECT DISTINCT trace_id, CASE WHEN effect IN ('write', 'external') THEN 'side_effect' WHEN tool IS NOT NULL THEN 'tool' ELSE 'ordinary' END || ':' || label AS feature, CASE WHEN effect IN ('write', 'external') THEN 5 WHEN tool IS NOT NULL THEN 3 ELSE 1 END AS weight FROM spans
-  UNION SELECT trace_id, 'service:' || service, 2 FROM spans UNION SELECT s.trace_id, 'ordinary:' || p.label || '->' || s.label, 1 FROM spans s JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.up),
-fam AS (SELECT fingerprint, min(trace_id) AS trace_id, count(*) AS n FROM routes JOIN runs USING (trace_id) WHERE release = 'v1' GROUP BY fingerprint ORDER BY n DESC, fingerprint LIMIT 5),
-ff AS (SELECT fingerprint, feature, weight FROM fam JOIN f USING (trace_id)), ft AS (SELECT fingerprint, sum(weight) AS t FROM ff GROUP BY 1), mt AS (SELECT trace_id, sum(weight) AS t FROM f GROUP BY 1),
-sim AS (SELECT f.trace_id, ff.fingerprint, sum(f.weight) AS shared FROM f JOIN ff USING (feature) GROUP BY ALL),
-r AS (SELECT trace_id, fingerprint, shared, mt.t + ft.t - shared AS either, row_number() OVER (PARTITION BY trace_id ORDER BY (shared::DECIMAL(38,18) / (mt.t + ft.t - shared)) DESC, fingerprint) AS k FROM sim JOIN mt USING (trace_id) JOIN ft USING (fingerprint))
-SELECT trace_id, fingerprint AS nearest, shared::BIGINT AS shared, either::BIGINT AS either FROM r WHERE k = 1""")
+FEATURES = """, f AS (SELECT trace_id, CASE WHEN effect IN ('write', 'external') THEN 'sideEffectNode:' || label || '|' || effect WHEN tool IS NOT NULL THEN 'toolNode:' || tool ELSE 'ordinaryNode:' || label END AS feature,
+    CASE WHEN effect IN ('write', 'external') THEN 5 WHEN tool IS NOT NULL THEN 3 ELSE 1 END AS weight FROM spans
+  UNION SELECT trace_id, 'serviceNode:' || service, 2 FROM spans UNION SELECT s.trace_id, 'ordinaryNode:' || p.label || '->' || s.label, 1 FROM spans s JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.up)"""
+
+
+@query(JSON_NODES + FEATURES + """,
+mt AS (SELECT trace_id, string_agg(feature, ',' ORDER BY feature) AS k, sum(weight) AS t FROM f GROUP BY 1), own AS (SELECT k, min(trace_id) AS trace_id, any_value(t) AS t FROM mt GROUP BY k),
+fam AS (SELECT fingerprint, min(trace_id) AS trace_id FROM routes JOIN runs USING (trace_id) WHERE release = 'v1' GROUP BY fingerprint),
+groups AS (SELECT min(fingerprint) AS fingerprint, min(trace_id) AS trace_id, any_value(t) AS t FROM fam JOIN mt USING (trace_id) GROUP BY k),
+sim AS (SELECT own.trace_id, g.fingerprint, sum(f.weight) AS shared, any_value(own.t) + any_value(g.t) - sum(f.weight) AS either FROM own JOIN f USING (trace_id) JOIN f ff ON ff.feature = f.feature JOIN groups g ON g.trace_id = ff.trace_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY (shared::DECIMAL(38,18) / either) DESC, fingerprint) AS place FROM sim)
+SELECT mt.trace_id, fingerprint AS nearest, shared::BIGINT AS shared, either::BIGINT AS either FROM mt JOIN own USING (k) JOIN r ON r.trace_id = own.trace_id WHERE place = 1""")
 def nearest_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar of the five largest families of v1 for every run."""
+    """The most similar of all families of v1 for every run."""
     g, placed, routes = routed(spark, sf_dir)
-    own = graph.cut(features.features(g, placed))
-    mine_ = routes.join(g.traces.where("release = 'v1'").select("trace_id"), "trace_id").groupBy("fingerprint").agg(F.min("trace_id").alias("trace_id"), F.count("*").alias("n"))
-    five = mine_.orderBy(F.desc("n"), "fingerprint").limit(5).select("fingerprint", "trace_id")
-    return features.nearest(own, own.join(five, "trace_id").select("fingerprint", "feature", "weight"))
+    return features.nearest(*own_and_families(g, placed, routes))
 
 
-def nearest_of_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar of all families of v1 for every run; without SQL, which would compare every run with every family."""
-    g, placed, routes = routed(spark, sf_dir)
+def own_and_families(g: graph.Graph, placed: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of all runs, and of one run of each family of v1."""
     own = graph.cut(features.features(g, placed))
     every = routes.join(g.traces.where("release = 'v1'").select("trace_id"), "trace_id").groupBy("fingerprint").agg(F.min("trace_id").alias("trace_id"))
-    return features.nearest_of_all(own, own.join(every, "trace_id").select("fingerprint", "feature", "weight"))
-
-
-QUERIES["nearest_of_all_families"], ORACLES["nearest_of_all_families"] = nearest_of_all_families, None
+    return own, own.join(every, "trace_id").select("fingerprint", "feature", "weight")
 
 
 @query("""WITH n AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY ALL) SELECT l_orderkey::VARCHAR AS trace_id, count(*)::BIGINT AS spans, sum(n - 1)::BIGINT AS dropped, count(CASE WHEN parts > 1 THEN 1 END)::BIGINT AS conflicts FROM n GROUP BY l_orderkey""", spans=False)
@@ -740,7 +738,7 @@ def filtered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_spans(spark, sf_dir).where("service IN ('web', 'payments') AND (name = 'view' OR side_effect = 'write') AND start_ns > 0 AND side_effect IS NOT NULL").groupBy(F.col("name").alias("label")).agg(F.count("*").alias("spans"), F.min("start_ns").alias("first_ns"))
 
 
-@query(EDGES + ", f AS (SELECT DISTINCT trace_id, CASE WHEN effect IN ('write', 'external') THEN 'side_effect' WHEN tool IS NOT NULL THEN 'tool' ELSE 'ordinary' END || ':' || label AS feature, CASE WHEN effect IN ('write', 'external') THEN 5 WHEN tool IS NOT NULL THEN 3 ELSE 1 END AS weight FROM spans UNION SELECT trace_id, 'service:' || service, 2 FROM spans UNION SELECT trace_id, 'ordinary:' || a || '->' || b, 1 FROM e) SELECT trace_id, feature, max(weight)::BIGINT AS weight FROM f GROUP BY ALL")
+@query(FEATURES + " SELECT trace_id, feature, weight::BIGINT AS weight FROM f")
 def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted features of every run's route."""
     g = event_graph(spark, sf_dir)

@@ -32,7 +32,7 @@ def test_nearest_of_all_families(spark):
     from routeledger.operators import features
 
     g, placed, routes = registry.routed(spark, DATA)
-    sets = {}
+    sets, sides = {}, registry.own_and_families(g, placed, routes)
     for r in features.features(g, placed).collect():
         sets.setdefault(r["trace_id"], {})[r["feature"]] = r["weight"]
     v1 = {r["trace_id"] for r in g.traces.where("release = 'v1'").collect()}
@@ -52,7 +52,9 @@ def test_nearest_of_all_families(spark):
         return min(found)[1]
 
     known = {a: best(a) for a in {frozenset(s.items()) for s in sets.values()}}
-    got = {r["trace_id"]: r["nearest"] for r in registry.QUERIES["nearest_of_all_families"](spark, DATA).collect()}
+    got = {r["trace_id"]: r["nearest"] for r in features.nearest(*sides).collect()}
+    _, runs, groups = features.distinct_sets(*sides)
+    assert features.candidates(runs, groups).count() < 0.35 * runs.count() * groups.count()  # of all pairs
     assert len(families) > 5 and got == {t: known[frozenset(s.items())] for t, s in sets.items()}
 
 
