@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeledger.functions.exact import fraction, percentile, ratio
+from routeledger.functions.exact import fraction, ratio
+from routeledger.operators.ranks import percentiles
 
 #: Decisions by rank and exit codes.
 DECISIONS = ["pass", "insufficient_data", "fail", "error"]
@@ -61,14 +62,19 @@ def counts(runs: DataFrame, violations: DataFrame) -> DataFrame:
     tokens = F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(), F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
     met = met.withColumn("tokens", tokens)
     is_ = lambda s: F.col("status") == s
-    return met.groupBy("release").agg(
+    plain = met.groupBy("release").agg(
         F.count("*").alias("runs"), n(is_("pass")).alias("passed"), n(is_("fail")).alias("failed"), n(is_("insufficient_data")).alias("insufficient"), n(is_("error")).alias("errors"),
         *(F.sum(f"v_{s}").alias(f"v_{s}") for s in ("critical", "high", "medium", "low")),
         F.sum("unknown_route").cast("bigint").alias("unknown_routes"), F.sum("duplicate").cast("bigint").alias("duplicate_rule_runs"), F.sum("missing").cast("bigint").alias("missing_prerequisites"),
         n(F.col("quality") != "complete").alias("degraded"), F.countDistinct("fingerprint").alias("routes"),
-        percentile("duration_ms", 95).alias("p95_ms"), percentile("duration_ms", 99).alias("p99_ms"), F.sum("retries").alias("retries"), F.sum("output_tokens").alias("output_tokens"),
-        percentile("tokens", 95).alias("p95_tokens"), F.count("duration_ms").alias("timed"), F.count("retries").alias("with_retries"), F.expr("sum(retries) div count(retries)").alias("retries_per_run"),
+        F.sum("retries").alias("retries"), F.sum("output_tokens").alias("output_tokens"),
+        F.count("duration_ms").alias("timed"), F.count("retries").alias("with_retries"), F.expr("sum(retries) div count(retries)").alias("retries_per_run"),
     )
+    measured = met.select("release", F.explode(F.array(F.struct(F.lit("ms").alias("of"), F.col("duration_ms").cast("bigint").alias("value")), F.struct(F.lit("tokens").alias("of"), F.col("tokens").cast("bigint").alias("value")))).alias("x")).select("release", "x.*")
+    ranked = percentiles(measured, ["release", "of"], "value", [95, 99])
+    pick = lambda of, p: F.max(F.when(F.col("of") == of, F.col(f"p{p}")))
+    ranked = ranked.groupBy(F.struct("release").alias("_k")).agg(pick("ms", 95).alias("p95_ms"), pick("ms", 99).alias("p99_ms"), pick("tokens", 95).alias("p95_tokens"))
+    return plain.withColumn("_k", F.struct("release")).join(ranked, "_k", "left").drop("_k")
 
 
 def rates(counted: DataFrame) -> DataFrame:
@@ -82,8 +88,10 @@ def release_budgets(results: DataFrame, runs: DataFrame, rules: list[dict]) -> D
     deferred = results.where("outcome = 'deferred'").join(runs.select("trace_id", "release"), "trace_id")
     found = deferred.groupBy("release", "rule_id").agg(
         F.count("value").alias("reporting"), F.count("*").alias("runs"), F.sum("value").alias("sum"), F.max("value").alias("max"),
-        F.floor(F.sum("value") / F.count("value")).alias("avg"), percentile("value", 95).alias("p95"), percentile("value", 99).alias("p99"),
+        F.floor(F.sum("value") / F.count("value")).alias("avg"),
     )
+    ranked = percentiles(deferred, ["release", "rule_id"], "value", [95, 99]).select(F.struct("release", "rule_id").alias("_k"), "p95", "p99")
+    found = found.withColumn("_k", F.struct("release", "rule_id")).join(ranked, "_k", "left")
     value, bad, is_budget = F.lit(None).cast("bigint"), F.lit(False), F.lit(False)
     for rule in rules:
         if rule.get("scope") != "release":
@@ -201,12 +209,20 @@ def decisions(counted: DataFrame, found: DataFrame) -> DataFrame:
     return met.select("release", decision.alias("decision"), F.element_at(codes, decision).alias("exit_code"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
 
 
-def evidence(runs: DataFrame, most: int = 5) -> DataFrame:
-    """Up to `most` failing and passing runs of each release, by trace id."""
-    first = Window.partitionBy("release", "status").orderBy("trace_id")
-    return runs.where("status IN ('fail', 'pass')").withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("release", "status", "place", "trace_id")
-
-
+def evidence(runs: DataFrame, violations: DataFrame, zero_tolerance: list[str] = (), most: int = 5) -> DataFrame:
+    """What a release's decision rests on: release, failing and passing (up to `most` traces each, by id; every run that does not pass is
+    failing), violated_rules, those of them without tolerance, and the fingerprints observed."""
+    salt = F.pmod(F.xxhash64("trace_id"), F.lit(64))  # the first of each part, then of those: a release is never sorted as a whole
+    side = runs.select("release", "trace_id", F.when(F.col("status") == "pass", "passing").otherwise("failing").alias("side"), salt.alias("salt"))
+    first = side.withColumn("_n", F.row_number().over(Window.partitionBy("release", "side", "salt").orderBy("trace_id"))).where(F.col("_n") <= most)
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("release", "side").orderBy("trace_id"))).where(F.col("_n") <= most)
+    listed = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("trace_id")))).alias(s)
+    traces = first.groupBy("release").agg(listed("failing"), listed("passing"))
+    rules = violations.select("trace_id", "rule_id").join(runs.select("trace_id", "release"), "trace_id").groupBy("release").agg(F.array_sort(F.collect_set("rule_id")).alias("violated_rules"))
+    routes = runs.select("release", "fingerprint").distinct().groupBy("release").agg(F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"))
+    met = traces.join(routes, "release", "left").join(rules, "release", "left").withColumn("violated_rules", F.coalesce("violated_rules", F.array().cast("array<string>")))
+    intolerable = F.array_intersect("violated_rules", F.array(*map(F.lit, sorted(zero_tolerance))).cast("array<string>"))
+    return met.select("release", "failing", "passing", "violated_rules", intolerable.alias("zero_tolerance_rules"), F.coalesce("fingerprints", F.array().cast("array<string>")).alias("fingerprints"))
 
 
 def decision_hash(counted: DataFrame, found: DataFrame) -> DataFrame:

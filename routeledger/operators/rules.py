@@ -17,15 +17,21 @@ from routeledger.operators import canonical, features
 from routeledger.operators.graph import Graph, cut
 from routeledger.operators.selectors import SIDE_EFFECTING, condition, field, operand_of, selector
 
-RESULT = "struct<outcome: string, code: string, detail: string, value: bigint, span_ids: array<string>>"
-NO_SPANS = F.array
+#: `detail` tells apart the violations of one rule in a run; span_ids, orders and labels are the evidence.
+RESULT = "struct<outcome: string, code: string, detail: string, value: bigint, span_ids: array<string>, orders: array<bigint>, labels: array<string>>"
+PLACES = "array<struct<order: bigint, span_id: string, label: string>>"
+NO_PLACE = 1 << 60
 
 
-def result(outcome: str | Column, code: str | Column | None = None, value: Column | None = None, spans: Column | None = None, detail: Column | None = None) -> Column:
+def result(outcome: str | Column, code: str | Column | None = None, value: Column | None = None, found: Column | None = None, detail: Column | None = None, absent: list[str] = ()) -> Column:
+    """A rule's result. found: the spans that are its evidence, as `place` gives them; absent: labels that were expected."""
     text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
+    spans = None if found is None else F.array_sort(found)
+    orders = F.array() if spans is None else F.transform(F.filter(spans, lambda x: x["order"] < NO_PLACE), lambda x: x["order"])
+    labels = F.array(*map(F.lit, sorted(set(absent)))) if spans is None else F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda x: x["label"].isNotNull()), lambda x: x["label"])))
     return F.struct(
-        text(outcome).alias("outcome"), text(code).alias("code"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
-        (F.lit(None) if value is None else value).cast("bigint").alias("value"), (F.lit(None) if spans is None else spans).cast("array<string>").alias("span_ids"),
+        text(outcome).alias("outcome"), text(code).alias("code"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"), (F.lit(None) if value is None else value).cast("bigint").alias("value"),
+        (F.lit(None) if spans is None else F.transform(spans, lambda x: x["span_id"])).cast("array<string>").alias("span_ids"), orders.cast("array<bigint>").alias("orders"), labels.cast("array<string>").alias("labels"),
     )
 
 
@@ -33,13 +39,14 @@ def one(choice: Column) -> Column:
     return F.array(choice)
 
 
-def ids(found: Column) -> Column:
-    """Span ids of structs (order, span_id) in canonical order, those without one last."""
-    return F.transform(F.array_sort(found), lambda x: x["span_id"])
+def place() -> Column:
+    """A span in canonical order, those without one last."""
+    return F.struct(F.coalesce("order", F.lit(NO_PLACE)).alias("order"), F.col("span_id"), F.col("label"))
 
 
-def place() -> Column:
-    return F.struct(F.coalesce("order", F.lit(1 << 60)).alias("order"), F.col("span_id"))
+def placed(x: Column) -> Column:
+    """What tells a span apart: its canonical order, or its id where it has none."""
+    return F.when(x["order"] < NO_PLACE, x["order"].cast("string")).otherwise(x["span_id"])
 
 
 COMPLETE = "quality = 'complete'"
@@ -54,7 +61,8 @@ def window_of(rule: dict) -> tuple[int, int | None]:
 def counted(rule: dict, found: Column) -> Column:
     """required_span and cardinality: too many can be told of any run, too few of complete ones only."""
     low, high = window_of(rule)
-    n, spans = F.size(found), ids(found)
+    n, spans = F.size(found), found
+    absent = [rule["selector"]["name"]] if "name" in rule["selector"] else []
     if rule["type"] == "cardinality" and rule["scope"] == "release":
         return one(result("deferred", None, n, spans))
     over = F.lit(False) if high is None else n > high
@@ -63,6 +71,7 @@ def counted(rule: dict, found: Column) -> Column:
     return one(
         F.when(over, result("violation", above, n, spans))
         .when((n < low) & ~F.expr(COMPLETE), result("insufficient_evidence", "trace_incomplete", n, spans))
+        .when((n < low) & (n == 0), result("violation", below, n, absent=absent))
         .when(n < low, result("violation", below, n, spans))
         .otherwise(result("pass", None, n, spans))
     )
@@ -70,7 +79,7 @@ def counted(rule: dict, found: Column) -> Column:
 
 def forbidden(found: Column) -> Column:
     return one(
-        F.when(F.size(found) > 0, result("violation", "FORBIDDEN_SPAN_PRESENT", F.size(found), ids(found)))
+        F.when(F.size(found) > 0, result("violation", "FORBIDDEN_SPAN_PRESENT", F.size(found), found))
         .when(~F.expr(COMPLETE), result("insufficient_evidence", "trace_incomplete"))
         .otherwise(result("pass"))
     )
@@ -87,14 +96,16 @@ def single_pass(traces: DataFrame, nodes: DataFrame, rules: list[dict]) -> DataF
         kind, c = rule["type"], f"r{i}"
         if kind in ("required_span", "cardinality", "forbidden_span"):
             aggs.append(F.collect_list(F.when(selector(rule["selector"]), place())).alias(c))
-            found = F.coalesce(c, F.array().cast("array<struct<order: bigint, span_id: string>>"))
+            found = F.coalesce(c, F.array().cast(PLACES))
             parts.append((rule, forbidden(found) if kind == "forbidden_span" else counted(rule, found)))
         elif kind == "allowed_values":
             value = plain_value(rule["field"])
             value = F.when(selector(rule["selector"]), value) if rule.get("selector") else value
             bad = value.isNotNull() & ~condition(value, "in", rule["values"])
-            aggs += [F.count(value).alias(c), F.collect_set(F.when(bad, value)).alias(f"{c}_bad")]
-            wrong = F.transform(F.array_sort(f"{c}_bad"), lambda v: result("violation", "DISALLOWED_VALUE", None, None, v))
+            aggs += [F.count(value).alias(c), F.collect_list(F.when(bad, F.struct(value.alias("value"), place().alias("span")))).alias(f"{c}_bad")]
+            values = F.array_sort(F.array_distinct(F.transform(f"{c}_bad", lambda x: x["value"])))
+            all_bad = F.col(f"{c}_bad")
+            wrong = F.transform(values, lambda v: result("violation", "DISALLOWED_VALUE", None, F.transform(F.filter(all_bad, lambda x: x["value"] == v), lambda x: x["span"]), v))  # noqa: B023
             none = F.coalesce(c, F.lit(0)) == 0
             parts.append((rule, F.when(none, one(result("insufficient_evidence", "attribute_not_emitted"))).when(F.size(f"{c}_bad") > 0, wrong).otherwise(one(result("pass")))))
         elif kind == "attribute_constraint":
@@ -102,22 +113,20 @@ def single_pass(traces: DataFrame, nodes: DataFrame, rules: list[dict]) -> DataF
             holds = condition(value, op, operand_of(rule))
             unsure = value.isNull() if op in ("equals", "in", "matches") else F.lit(False)
             aggs += [F.collect_list(F.when(mine & ~holds & ~unsure, place())).alias(c), F.count(F.when(mine & unsure, 1)).alias(f"{c}_unsure")]
-            found = F.coalesce(c, F.array().cast("array<struct<order: bigint, span_id: string>>"))
-            parts.append((rule, one(
-                F.when(F.size(found) > 0, result("violation", "ATTRIBUTE_CONSTRAINT_FAILED", F.size(found), ids(found)))
-                .when(F.col(f"{c}_unsure") > 0, result("insufficient_evidence", "attribute_not_emitted")).otherwise(result("pass"))
-            )))
+            found = F.coalesce(c, F.array().cast(PLACES))
+            wrong = F.transform(F.array_sort(found), lambda x: result("violation", "ATTRIBUTE_CONSTRAINT_FAILED", None, F.array(x), placed(x)))
+            parts.append((rule, F.when(F.size(found) > 0, wrong).when(F.col(f"{c}_unsure") > 0, one(result("insufficient_evidence", "attribute_not_emitted"))).otherwise(one(result("pass")))))
         elif kind == "numeric_budget":
             amount = {"run.duration_ms": F.when((F.col("span_id") == F.col("run_root")), F.expr("duration_ns div 1000000"))}.get(
                 rule["metric"], F.col("input_tokens") if rule["metric"].endswith("input_tokens") else F.col("output_tokens")
             )
-            aggs.append((F.sum if rule["aggregation"] == "sum" or rule["metric"] != "run.duration_ms" else F.max)(amount).cast("bigint").alias(c))
+            aggs += [(F.sum if rule["aggregation"] == "sum" or rule["metric"] != "run.duration_ms" else F.max)(amount).cast("bigint").alias(c), F.collect_list(F.when(amount.isNotNull(), place())).alias(f"{c}_of")]
             if rule["scope"] == "release":
                 parts.append((rule, one(result("deferred", None, F.col(c)))))
             else:
                 parts.append((rule, one(
                     F.when(F.col(c).isNull(), result("insufficient_evidence", "metric_not_emitted"))
-                    .when(F.col(c) > rule["max"], result("violation", "NUMERIC_BUDGET_EXCEEDED", F.col(c))).otherwise(result("pass", None, F.col(c)))
+                    .when(F.col(c) > rule["max"], result("violation", "NUMERIC_BUDGET_EXCEEDED", F.col(c), F.col(f"{c}_of"))).otherwise(result("pass", None, F.col(c)))
                 )))
     if not parts:
         return None
@@ -133,11 +142,15 @@ def per_run(traces: DataFrame, found: DataFrame, rule: dict, choice: Column) ->
     return met.select("trace_id", F.lit(rule["id"]).alias("rule_id"), choice.cast(RESULT).alias("r")).select("trace_id", "rule_id", "r.*")
 
 
-def per_offender(traces: DataFrame, spans: DataFrame, rule: dict, code: str, doubtful: Column, otherwise: Column) -> DataFrame:
-    """One violation for each span that `spans` marks `bad`; runs without one are insufficient if `doubtful`, else `otherwise`."""
-    found = spans.groupBy("trace_id").agg(F.collect_list(F.when(F.col("state") == "bad", place())).alias("bad"), F.count(F.when(F.col("state") == "unsure", 1)).alias("unsure"))
+def per_offender(traces: DataFrame, spans: DataFrame, rule: dict, code: str, doubtful: Column, otherwise: Column, more: Column | None = None) -> DataFrame:
+    """One violation for each span that `spans` marks `bad`; runs without one are insufficient if `doubtful`, else `otherwise`.
+
+    more: the spans that are evidence of a bad one besides it.
+    """
+    own = F.struct(place().alias("span"), (F.array().cast(PLACES) if more is None else more).alias("more"))
+    found = spans.groupBy("trace_id").agg(F.collect_list(F.when(F.col("state") == "bad", own)).alias("bad"), F.count(F.when(F.col("state") == "unsure", 1)).alias("unsure"))
     met = traces.select("trace_id", "quality").join(found, "trace_id", "left")
-    bad = F.transform(F.array_sort("bad"), lambda x: result("violation", code, None, F.array(x["span_id"]), None))
+    bad = F.transform(F.array_sort("bad"), lambda x: result("violation", code, None, F.array_union(F.array(x["span"]), x["more"]), placed(x["span"])))
     results = F.when(F.size("bad") > 0, bad.cast(f"array<{RESULT}>")).when(doubtful, one(result("insufficient_evidence", otherwise)).cast(f"array<{RESULT}>")).otherwise(one(result("pass")).cast(f"array<{RESULT}>"))
     return met.select("trace_id", F.lit(rule["id"]).alias("rule_id"), F.explode(results).alias("r")).select("trace_id", "rule_id", "r.*")
 
@@ -186,7 +199,12 @@ def forbidden_path(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame
     unless = (rule.get("unless") or {}).get("contains")
     own = selector(unless) if unless else F.lit(False)
     bad = nodes.where(selector(rule["to"]) & nearest.isNotNull() & ~own & F.coalesce(exempt > nearest, F.lit(True))).withColumn("state", F.lit("bad"))
-    return per_offender(traces, bad, rule, "FORBIDDEN_PATH_PRESENT", F.col("quality") != "complete", F.lit("trace_incomplete"))
+    # The path from the nearest `from` span down to it is the evidence.
+    above = canonical.ancestors(nodes, bad.select("trace_id", "span_id"))
+    steps = above.join(nodes.select("trace_id", F.col("span_id").alias("ancestor"), place().alias("step")), ["trace_id", "ancestor"])
+    path = steps.groupBy("trace_id", "span_id").agg(F.collect_list(F.struct("dist", "step")).alias("steps"))
+    bad = bad.join(path, ["trace_id", "span_id"], "left").withColumn("path", F.transform(F.filter(F.coalesce("steps", F.array().cast(f"array<struct<dist: int, step: {PLACES[6:-1]}>>")), lambda x: x["dist"] <= nearest), lambda x: x["step"]))
+    return per_offender(traces, bad, rule, "FORBIDDEN_PATH_PRESENT", F.col("quality") != "complete", F.lit("trace_incomplete"), F.col("path"))
 
 
 def retry_budget(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame:
@@ -203,14 +221,14 @@ def retry_budget(traces: DataFrame, nodes: DataFrame, rule: dict) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("tool", "most", "effect", "all", "mutating"))).alias("groups"), F.sum("most").alias("total"), F.flatten(F.collect_list("unknown")).alias("unknown")
     )
     over = lambda value, most: F.filter("groups", lambda g: g[value] > most)
-    tools = F.transform(over("most", rule["maxPerTool"]), lambda g: result("violation", "RETRY_BUDGET_PER_TOOL_EXCEEDED", g["most"], ids(g["all"]), g["tool"]))
-    total = F.when(F.col("total") > rule["maxRunTotal"], one(result("violation", "RETRY_BUDGET_RUN_TOTAL_EXCEEDED", F.col("total"), ids(F.flatten(F.transform("groups", lambda g: g["all"])))))).otherwise(F.array().cast(f"array<{RESULT}>"))
-    mutating = F.transform(over("effect", rule["sideEffectMax"]), lambda g: result("violation", "RETRY_BUDGET_SIDE_EFFECT_EXCEEDED", g["effect"], ids(g["mutating"]), F.concat(F.lit("side-effect:"), g["tool"])))
+    tools = F.transform(over("most", rule["maxPerTool"]), lambda g: result("violation", "RETRY_BUDGET_PER_TOOL_EXCEEDED", g["most"], g["all"], g["tool"]))
+    total = F.when(F.col("total") > rule["maxRunTotal"], one(result("violation", "RETRY_BUDGET_RUN_TOTAL_EXCEEDED", F.col("total"), F.flatten(F.transform("groups", lambda g: g["all"]))))).otherwise(F.array().cast(f"array<{RESULT}>"))
+    mutating = F.transform(over("effect", rule["sideEffectMax"]), lambda g: result("violation", "RETRY_BUDGET_SIDE_EFFECT_EXCEEDED", g["effect"], g["mutating"], F.concat(F.lit("side-effect:"), g["tool"])))
     every = F.concat(tools.cast(f"array<{RESULT}>"), total.cast(f"array<{RESULT}>"), mutating.cast(f"array<{RESULT}>"))
     results = (
         F.when(F.col("groups").isNull(), one(result("insufficient_evidence", "attribute_not_emitted")).cast(f"array<{RESULT}>"))
         .when(F.size(every) > 0, every)
-        .when(F.size("unknown") > 0, one(result("insufficient_evidence", "side_effect_unclassified", None, ids(F.col("unknown")))).cast(f"array<{RESULT}>"))
+        .when(F.size("unknown") > 0, one(result("insufficient_evidence", "side_effect_unclassified", None, F.col("unknown"))).cast(f"array<{RESULT}>"))
         .otherwise(one(result("pass", None, F.col("total"))).cast(f"array<{RESULT}>"))
     )
     met = traces.select("trace_id").join(found, "trace_id", "left")
@@ -234,7 +252,7 @@ def approved_routes(traces: DataFrame, routes: DataFrame, rule: dict, own: DataF
 
 
 def evaluate_rules(graph: Graph, nodes: DataFrame, rules: list[dict], routes: DataFrame | None = None, own: DataFrame | None = None, approved: DataFrame | None = None) -> DataFrame:
-    """trace_id, rule_id, rule_type, severity, outcome, code, detail, value and span_ids of all rules over the runs that can be evaluated.
+    """trace_id, rule_id, rule_type, severity, outcome, code, detail, value, span_ids, orders and labels of all rules over the runs that can be evaluated.
 
     nodes: graph.nodes.
     """
@@ -249,4 +267,4 @@ def evaluate_rules(graph: Graph, nodes: DataFrame, rules: list[dict], routes: Da
     parts += [approved_routes(traces, routes, r, own, approved) for r in rules if r["type"] == "approved_routes"]
     every = reduce(DataFrame.unionByName, parts)
     about = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r["id"]), F.struct(F.lit(r["type"]).alias("rule_type"), F.lit(r["severity"]).alias("severity"), F.lit(i).alias("rule_order")))))
-    return every.withColumn("about", F.element_at(about, F.col("rule_id"))).select("trace_id", "rule_id", "about.rule_type", "about.severity", "about.rule_order", "outcome", "code", "detail", "value", "span_ids")
+    return every.withColumn("about", F.element_at(about, F.col("rule_id"))).select("trace_id", "rule_id", "about.rule_type", "about.severity", "about.rule_order", "outcome", "code", "detail", "value", "span_ids", "orders", "labels")

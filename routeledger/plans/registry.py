@@ -186,7 +186,7 @@ RULE_SQL = {
     "buy-after-view": one_per_run("buy-after-view", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' AND up = 'root' GROUP BY trace_id", *verdict("c > 0", "REQUIRED_ANCESTRY_MISSING"), n="coalesce(c, 1)"),
     "no-error-in-view": one_per_run("no-error-in-view", "SELECT e.trace_id, count(*) AS c FROM spans e JOIN spans v ON v.trace_id = e.trace_id AND v.span_id = e.up WHERE e.label = 'error' AND v.label = 'view' AND v.retry NOT IN (1, 2, 3) GROUP BY e.trace_id", *verdict("c > 0", "FORBIDDEN_PATH_PRESENT"), n="coalesce(c, 1)"),
     "known-services": one_per_run("known-services", "SELECT trace_id, count(DISTINCT service) AS c FROM spans WHERE service NOT IN ('web', 'payments') GROUP BY trace_id", *verdict("c > 0", "DISALLOWED_VALUE"), n="coalesce(c, 1)"),
-    "first-purchase": one_per_run("first-purchase", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' AND retry <> 0 GROUP BY trace_id", *verdict("c > 0", "ATTRIBUTE_CONSTRAINT_FAILED"), value="c"),
+    "first-purchase": one_per_run("first-purchase", "SELECT trace_id, count(*) AS c FROM spans WHERE label = 'purchase' AND retry <> 0 GROUP BY trace_id", *verdict("c > 0", "ATTRIBUTE_CONSTRAINT_FAILED"), n="coalesce(c, 1)"),
     "few-retries": """SELECT trace_id, 'few-retries' AS rule_id, outcome, code, count(*)::BIGINT AS n, sum(value)::BIGINT AS value FROM (
         SELECT trace_id, 'violation' AS outcome, 'RETRY_BUDGET_PER_TOOL_EXCEEDED' AS code, m AS value FROM tool_retries WHERE m > 2
         UNION ALL SELECT trace_id, 'violation', 'RETRY_BUDGET_RUN_TOTAL_EXCEEDED', total FROM run_retries WHERE total > 3
@@ -462,10 +462,37 @@ def gate_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.disclosures(release.counts(e.runs, e.violations), release.release_budgets(e.results, e.runs, RULES)).select("release", "disclosure")
 
 
-@query(STATUS + ", f AS (SELECT release, status, trace_id, row_number() OVER (PARTITION BY release, status ORDER BY trace_id) AS place FROM st JOIN runs USING (trace_id) WHERE status IN ('fail', 'pass')) SELECT release, status, place, trace_id FROM f WHERE place <= 5")
+@query(JSON_NODES + STATUS + """, side AS (SELECT release, CASE WHEN status = 'pass' THEN 'passing' ELSE 'failing' END AS side, trace_id, fingerprint FROM st JOIN runs USING (trace_id) JOIN routes USING (trace_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY release, side ORDER BY trace_id) AS place FROM side),
+bad AS (SELECT release, list_sort(list(DISTINCT rule_id)) AS rules FROM res JOIN runs USING (trace_id) WHERE outcome = 'violation' GROUP BY release)
+SELECT n.release, to_json(coalesce(list_sort(list(trace_id) FILTER (WHERE side = 'failing' AND place <= 5)), []))::VARCHAR AS failing, to_json(coalesce(list_sort(list(trace_id) FILTER (WHERE side = 'passing' AND place <= 5)), []))::VARCHAR AS passing,
+  to_json(coalesce(any_value(rules), []))::VARCHAR AS violated_rules, to_json(list_filter(coalesce(any_value(rules), []), lambda x: x IN ('require-view', 'one-purchase')))::VARCHAR AS zero_tolerance_rules, to_json(list_sort(list(DISTINCT fingerprint)))::VARCHAR AS fingerprints
+FROM n LEFT JOIN bad ON bad.release = n.release GROUP BY n.release""")
 def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five failing and five passing runs of every release."""
-    return release.evidence(evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).runs)
+    """Runs, rules and routes that the decision of every release rests on."""
+    e = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False)
+    found = release.evidence(e.runs, e.violations, GATE["zeroToleranceRuleIds"])
+    return found.select("release", *(F.to_json(c).alias(c) for c in found.columns if c != "release"))
+
+
+@query(JSON_NODES + """, located AS (SELECT s.*, p.ord FROM spans s JOIN places p USING (trace_id, span_id)),
+bad AS (
+  SELECT v.trace_id, 'views-lead-on' AS rule_id, 'REQUIRED_EDGE_MISSING' AS code, [v.ord] AS orders, ['view'] AS labels, v.ord::VARCHAR AS detail FROM located v
+    WHERE label = 'view' AND NOT EXISTS (SELECT 1 FROM spans k WHERE k.trace_id = v.trace_id AND k.up = v.span_id AND k.label = 'click')
+  UNION ALL SELECT trace_id, 'buy-after-view', 'REQUIRED_ANCESTRY_MISSING', [ord], ['purchase'], ord::VARCHAR FROM located WHERE label = 'purchase' AND up = 'root'
+  UNION ALL SELECT e.trace_id, 'no-error-in-view', 'FORBIDDEN_PATH_PRESENT', list_sort([v.ord, e.ord]), ['error', 'view'], e.ord::VARCHAR FROM located e JOIN located v ON v.trace_id = e.trace_id AND v.span_id = e.up
+    WHERE e.label = 'error' AND v.label = 'view' AND v.retry NOT IN (1, 2, 3)
+  UNION ALL SELECT trace_id, 'known-services', 'DISALLOWED_VALUE', list(ord ORDER BY ord), list_sort(list(DISTINCT label)), 'string:' || service FROM located WHERE service NOT IN ('web', 'payments') GROUP BY trace_id, service
+  UNION ALL SELECT trace_id, 'first-purchase', 'ATTRIBUTE_CONSTRAINT_FAILED', [ord], ['purchase'], ord::VARCHAR FROM located WHERE label = 'purchase' AND retry <> 0
+  UNION ALL SELECT trace_id, 'one-purchase', 'CARDINALITY_ABOVE_MAX', list(ord ORDER BY ord), ['purchase'], NULL FROM located WHERE label = 'purchase' GROUP BY trace_id HAVING count(*) > 1
+  UNION ALL SELECT trace_id, 'no-second-retry', 'FORBIDDEN_SPAN_PRESENT', list(ord ORDER BY ord), list_sort(list(DISTINCT label)), NULL FROM located WHERE retry = 2 GROUP BY trace_id
+  UNION ALL SELECT trace_id, 'require-view', CASE WHEN count(*) FILTER (WHERE label = 'view') = 0 THEN 'REQUIRED_SPAN_MISSING' ELSE 'REQUIRED_SPAN_TOO_MANY' END, coalesce(list(ord ORDER BY ord) FILTER (WHERE label = 'view'), []), ['view'], NULL FROM located GROUP BY trace_id HAVING count(*) FILTER (WHERE label = 'view') NOT BETWEEN 1 AND 6
+  UNION ALL SELECT trace_id, 'run-latency', 'NUMERIC_BUDGET_EXCEEDED', [0], ['session'], NULL FROM runs WHERE duration_ms > 700)
+SELECT trace_id, rule_id, rule_id || ':' || code || ':' || sha256('["' || rule_id || '","' || code || '",[' || array_to_string(orders, ',') || '],["' || array_to_string(labels, '","') || '"],' || coalesce('"' || detail || '"', 'null') || ']')[1:16] AS violation_id FROM bad""")
+def violation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all violations but those of retry budgets."""
+    found = evaluate(event_spans(spark, sf_dir), CONTRACT, unicode=False).violations
+    return found.where("rule_type <> 'retry_budget'").select("trace_id", "rule_id", "violation_id")
 
 
 @query(STATUS + "SELECT rule_id, code, sum(n)::BIGINT AS violations, count(DISTINCT trace_id)::BIGINT AS runs FROM res WHERE outcome = 'violation' GROUP BY rule_id, code")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeledger.functions.exact import percentile
+from routeledger.operators.ranks import percentiles
 
 
 def rolling(rows: DataFrame, ts: str, span: str, every: str, key: str | None = None) -> DataFrame:
@@ -51,7 +51,35 @@ def counter_increase(points: DataFrame, ts: str = "ts") -> DataFrame:
     return points.select("series", ts, F.when(before.isNull(), F.lit(None)).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value")).alias("increase"))
 
 
+def bucket_quantiles(points: DataFrame, percents: list[int], width: str, ts: str = "ts") -> DataFrame:
+    """window_start, observed and p50, p95, ... of histograms, whose buckets are counters.
+
+    points: series (text), le (upper end of a bucket, infinity for the last one), ts and value (observations up to le so far). Each
+    bucket's increases are added up by window and over all series, so that a series that restarts counts from 0 again. A percentile lies in the
+    first bucket that reaches its rank, by linear interpolation from the bucket below, or from 0 below the first one; beyond the last finite
+    end it is that end. Buckets are made to rise with le. Windows without observations have null percentiles.
+    """
+    by_bucket = points.select(F.struct("series", "le").alias("series"), ts, "value")
+    grown = counter_increase(by_bucket, ts).where("increase IS NOT NULL").groupBy(F.window(ts, width).start.alias("window_start"), F.col("series.le").alias("le")).agg(F.sum("increase").alias("n"))
+    # One row for each bucket of a window: as many as the histogram has.
+    buckets = grown.groupBy("window_start").agg(F.array_sort(F.collect_list(F.struct("le", "n"))).alias("raw"))
+    highest = F.transform("raw", lambda b, i: F.struct(b["le"].alias("le"), F.array_max(F.transform(F.slice("raw", 1, i + 1), lambda x: x["n"])).cast("double").alias("n")))
+    ready = buckets.withColumn("b", highest).withColumn("total", F.element_at("b", -1)["n"])
+
+    def at(percent: int) -> Column:
+        rank = F.col("total") * percent / 100
+        i = F.array_position(F.transform("b", lambda x: x["n"] >= rank), F.lit(True)).cast("int")  # from 1
+        here, below = F.element_at("b", i), F.when(i > 1, F.element_at("b", F.greatest(i - 1, F.lit(1))))
+        low, before = F.coalesce(below["le"], F.when(here["le"] > 0, F.lit(0.0)).otherwise(here["le"])), F.coalesce(below["n"], F.lit(0.0))
+        inside = low + (here["le"] - low) * (rank - before) / F.when(here["n"] > before, here["n"] - before)
+        return F.when(F.col("total") > 0, F.when(here["le"] == float("inf"), below["le"]).otherwise(F.coalesce(inside, here["le"])))
+
+    return ready.select("window_start", F.col("total").cast("bigint").alias("observed"), *(at(p).alias(f"p{p}") for p in percents))
+
+
 def panels(runs: DataFrame) -> DataFrame:
     """release and day with runs, p95 of duration_ms, tokens and the most retries; runs have start_ns and these columns."""
-    day = F.date_trunc("day", F.timestamp_micros(F.expr("start_ns div 1000"))).cast("timestamp_ntz")
-    return runs.groupBy("release", day.alias("day")).agg(F.count("*").alias("runs"), percentile("duration_ms", 95).alias("p95_ms"), F.sum("tokens").alias("tokens"), F.max("retries").alias("most_retry"))
+    dated = runs.withColumn("day", F.date_trunc("day", F.timestamp_micros(F.expr("start_ns div 1000"))).cast("timestamp_ntz"))
+    ranked = percentiles(dated, ["release", "day"], "duration_ms", [95]).select(F.struct("release", "day").alias("_k"), F.col("p95").alias("p95_ms"))
+    plain = dated.groupBy("release", "day").agg(F.count("*").alias("runs"), F.sum("tokens").alias("tokens"), F.max("retries").alias("most_retry"))
+    return plain.withColumn("_k", F.struct("release", "day")).join(ranked, "_k", "left").select("release", "day", "runs", "p95_ms", "tokens", "most_retry")

@@ -6,22 +6,24 @@ import os
 import duckdb
 import pytest
 
-from routeledger.plans import registry
+from routeledger.operators import features
+from routeledger.plans import operations, registry
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["span_source", "trace_quality", "route_fingerprints", "rule_retry_budget", "gate_findings", "label_statistics", "nearest_family", "span_dedup", "error_alert", "faulty_quality", "faulty_buy_after_view", "release_changes", "evidence_within_an_hour", "reconciled_artifacts", "keys_and_cursors"])
+@pytest.mark.parametrize("name", ["span_source", "trace_quality", "route_fingerprints", "rule_retry_budget", "gate_findings", "label_statistics", "nearest_family", "span_dedup", "error_alert", "faulty_quality", "faulty_buy_after_view", "release_changes", "evidence_within_an_hour", "reconciled_artifacts", "keys_and_cursors", "evidence_bundle", "matching_urls", "daily_histograms", "alert_minutes"])
 def test_query(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
     for p in glob.glob(f"{DATA}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    df = registry.QUERIES[name](spark, DATA)
+    queries, oracles = registry.QUERIES | operations.QUERIES, registry.ORACLES | operations.ORACLES
+    df = queries[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(tuple(map(str, r)) for r in df.select(*cols).collect())
-    want = sorted(tuple(map(str, r)) for r in db.execute(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({registry.ORACLES[name]})").fetchall())
+    want = sorted(tuple(map(str, r)) for r in db.execute(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({oracles[name]})").fetchall())
     assert got == want
 
 
@@ -29,7 +31,6 @@ def test_query(spark, name):
 def test_nearest_of_all_families(spark):
     from fractions import Fraction
 
-    from routeledger.operators import features
 
     g, placed, routes = registry.routed(spark, DATA)
     sets, sides = {}, registry.own_and_families(g, placed, routes)
@@ -58,6 +59,14 @@ def test_nearest_of_all_families(spark):
     assert len(families) > 5 and got == {t: known[frozenset(s.items())] for t, s in sets.items()}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_violations_have_ids_of_their_own(spark):
+    e = registry.evaluate(registry.event_spans(spark, DATA), registry.CONTRACT, unicode=False)
+    rows = e.violations.select("trace_id", "violation_id", "place", "orders", "labels", "span_ids").collect()
+    assert len(rows) == len({(r["trace_id"], r["violation_id"]) for r in rows}) == len({(r["trace_id"], r["place"]) for r in rows}) > 100
+    assert all(len(r["orders"]) == len(r["span_ids"] or []) for r in rows)
+
+
 def test_streaming_closes_runs(spark, tmp_path):
     from routeledger.streaming.windows import closed_runs, evaluate_closed
 
