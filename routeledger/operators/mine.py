@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from fractions import Fraction
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeledger.functions.exact import at_least, distribution, percentile
-from routeledger.functions.names import canonical_json, margin_up, rule_id, safe_text
+from routeledger.functions.exact import at_least, distribution, fraction, percentile
+from routeledger.functions.names import margin_up, rule_id, safe_text
 from routeledger.operators.canonical import fingerprints, ordered
 from routeledger.operators.diff import labeled_edges
 from routeledger.operators.graph import build, cut
 
+#: Bounds of a selection: letters of a key and of a text, traces.
+MOST_KEY, MOST_TEXT, MOST_TRACES = 128, 256, 100_000
 #: Reasons for which a run is left out, those of eligibility in the order in which they are looked for.
 REASONS = [
     "UNTRUSTED_TYPED_ATTRIBUTE", "TRACE_FETCH_FAILED", "TRACE_MALFORMED", "TRACE_TOO_LARGE", "TRACE_INCONSISTENT", "TRACE_INCOMPLETE", "ROOT_SPAN_MISSING", "NORMALISER_VERSION_MISMATCH",
@@ -57,11 +63,11 @@ def dataset(runs: DataFrame, why: Column) -> tuple[DataFrame, DataFrame]:
     return good.where("place = 1").drop("place", "reason"), tally
 
 
-def families(runs: DataFrame, rare_percent: int = 5) -> DataFrame:
-    """Route families: runs of one fingerprint with their statistics, the largest first, and whether they are rare."""
+def families(runs: DataFrame, rare: str = "0.05") -> DataFrame:
+    """Route families: runs of one fingerprint with their statistics, and whether they are rare: less than this share of all runs."""
     found = runs.groupBy("fingerprint").agg(F.count("*").alias("runs"), *distribution("duration_ms", "d_"), percentile("duration_ms", 95).alias("p95_ms"), F.max("retries").alias("most_retries"))
     total = runs.agg(F.count("*").alias("total"))
-    return found.crossJoin(total).withColumn("rare", F.col("runs") * 100 < F.col("total") * rare_percent)  # total is one row
+    return found.crossJoin(total).withColumn("rare", ~at_least(F.col("runs"), F.col("total"), rare))  # total is one row
 
 
 def representatives(runs: DataFrame, k: int = 3) -> DataFrame:
@@ -165,7 +171,7 @@ def availability(runs: DataFrame, column: str, least: int = 1) -> DataFrame:
 
 
 def status(n_eligible: int, truncated: bool, least: int = 20) -> str:
-    return "truncated" if truncated else "insufficient" if n_eligible < least else "pending_review"
+    return "dataset_truncated" if truncated else "insufficient_runs" if n_eligible < least else "pending_review"
 
 
 def decided(found: DataFrame, decisions: dict[str, str]) -> DataFrame:
@@ -285,18 +291,97 @@ def propose(nodes: DataFrame, edges: DataFrame, found: DataFrame, runs: DataFram
     return {"apiVersion": "v1", "kind": "TrajectoryContract", "metadata": {"id": name, "name": name, "version": "0.1.0"}, "spec": {"selectors": {"rootSpan": root} if root else {}, "approvedRoutes": routes, "rules": rules, "gate": gate}, "disclosures": sorted(set(disclosures))}
 
 
-def mine(spans: DataFrame, release: str, name: str, root: str | None = None, environment: str | None = None, decisions: dict[str, str] | None = None, least: int = 20, unicode: bool = True) -> dict:
-    """The whole way from spans to a draft: eligible runs, families, the baseline's status and, once families are approved, a contract."""
-    g = build(spans, root, unicode=unicode)
-    good, tally = dataset(facts(spans, g.traces), reason(release, environment))
+class Selection(NamedTuple):
+    """What is mined: a release's runs in a window of time. Bounds are checked by `selected`."""
+
+    project: str
+    agent: str
+    release: str
+    root: str
+    start_ms: int
+    end_ms: int
+    environment: str | None = None
+    minimum_runs: int = 20
+    successful_only: bool = True
+    needs_root: bool = True
+    rare: str = "0.05"
+    most_traces: int = 1000
+    most_spans: int = 10_000
+    representatives: int = 3
+
+
+def selected(s: Selection) -> Selection:
+    """The selection, if it keeps its bounds."""
+    for what, key in (("project", s.project), ("agent", s.agent)):
+        if not re.fullmatch(r"[a-z0-9][a-z0-9._-]*", key) or len(key) > MOST_KEY:
+            raise ValueError(f"no {what} key: {key!r}")
+    for what, text in (("release", s.release), ("root", s.root)):
+        if not 0 < len(text) <= MOST_TEXT:
+            raise ValueError(f"the {what} has to have 1 to {MOST_TEXT} letters")
+    if s.end_ms <= s.start_ms:
+        raise ValueError("the window has to end after it starts")
+    for what, n, most in (("minimum_runs", s.minimum_runs, MOST_TRACES), ("most_traces", s.most_traces, MOST_TRACES), ("most_spans", s.most_spans, 100_000), ("representatives", s.representatives, 50)):
+        if not 0 < n <= most:
+            raise ValueError(f"{what} has to be from 1 to {most}")
+    n, d = fraction(s.rare)
+    if not 0 <= n <= d:
+        raise ValueError("the threshold of rare routes is a share")
+    return s
+
+
+def baseline_id(s: Selection) -> str:
+    """The identity of a baseline: all of its selection. The threshold counts as a fraction in lowest terms."""
+    rare = Fraction(*fraction(s.rare))
+    said = [s.project, s.agent, s.release, s.environment, s.start_ms, s.end_ms, s.minimum_runs, s.root, s.successful_only, s.needs_root, [rare.numerator, rare.denominator], s.most_traces, s.most_spans, s.representatives]
+    return f"bl-{hashlib.sha256(json.dumps(said, separators=(',', ':'), ensure_ascii=False).encode()).hexdigest()[:32]}"
+
+
+def family_ids(found: DataFrame, baseline: str) -> DataFrame:
+    """Families with `family_id`, which depends on baseline and fingerprint only."""
+    return found.withColumn("family_id", F.concat(F.lit("rf-"), F.substring(F.sha2(F.concat(F.lit(f"{baseline}|"), F.col("fingerprint")), 256), 1, 32)))
+
+
+def discovered(spans: DataFrame, s: Selection) -> tuple[DataFrame, bool]:
+    """Spans of the first `most_traces` traces, by time, whose root is of the release and in the window, and whether there are more."""
+    roots = spans.where((F.col("name") == s.root) & (F.col("release") == s.release) & (F.col("start_ns") >= s.start_ms * 1_000_000) & (F.col("start_ns") < s.end_ms * 1_000_000))
+    roots = roots if s.environment is None else roots.where(F.col("environment") == s.environment)
+    first = roots.groupBy("trace_id").agg(F.min("start_ns").alias("at")).orderBy("at", "trace_id").limit(s.most_traces + 1)
+    ranked = cut(first.withColumn("place", F.row_number().over(Window.orderBy("at", "trace_id"))))  # most_traces + 1 rows at most
+    return spans.join(ranked.where(F.col("place") <= s.most_traces).select("trace_id"), "trace_id", "left_semi"), ranked.where(F.col("place") > s.most_traces).count() > 0
+
+
+def baseline_disclosures(state: str, found: DataFrame, tally: DataFrame, eligible: int, unverified: list[str] = ()) -> list[tuple[str, int]]:
+    """Code and count of what a reviewer has to know about a baseline. unverified: fields whose type nothing tells."""
+    out = sum(r["runs"] for r in tally.collect())  # a row for each reason
+    rare = found.where("rare").count()
+    told = [
+        ("DATASET_TRUNCATED", out + eligible if state == "dataset_truncated" else 0), ("INSUFFICIENT_RUNS", eligible if state == "insufficient_runs" else None), ("TRACES_EXCLUDED", out),
+        ("RARE_FAMILY_PRESENT", rare), ("FIELD_TYPE_UNVERIFIED", len(unverified)),
+    ]
+    return sorted((code, n) for code, n in told if n or (code == "INSUFFICIENT_RUNS" and n == 0))
+
+
+def proposal_disclosures(families: DataFrame) -> list[tuple[str, int]]:
+    """Code and count of what a reviewer has to know about the families that a proposal rests on; families have `status`."""
+    counts = {r["approved"]: r["n"] for r in families.groupBy((F.col("status") == "approved").alias("approved")).agg(F.count("*").alias("n")).collect()}
+    told = [("MULTIPLE_FAMILIES_APPROVED", counts.get(True, 0) if counts.get(True, 0) > 1 else 0), ("UNAPPROVED_FAMILY_PRESENT", counts.get(False, 0))]
+    return [(code, n) for code, n in told if n]
+
+
+def mine(spans: DataFrame, selection: Selection, name: str, decisions: dict[str, str] | None = None, unicode: bool = True, unverified: list[str] = ()) -> dict:
+    """The whole way from spans to a draft: the selection's traces, eligible runs, families, the baseline's status and disclosures and, once families
+    are approved, a contract."""
+    s = selected(selection)
+    own, truncated = discovered(spans, s)
+    g = build(own, s.root, unicode=unicode)
+    good, tally = dataset(facts(own, g.traces), reason(s.release, s.environment, needs_root=s.needs_root))
     totals = g.nodes.groupBy("trace_id").agg(F.max(F.when(F.col("order") == 0, F.expr("duration_ns div 1000000"))).alias("duration_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.greatest("retry_number", F.lit(0))).alias("retries"))
     runs = cut(good.select("trace_id").join(fingerprints(ordered(g)), "trace_id").join(totals, "trace_id"))
-    found = families(runs)
-    state = status(runs.count(), False, least)
-    draft = propose(g.nodes, labeled_edges(g.nodes, g.edges), decided(found, decisions), runs, name, root, least) if decisions else None
-    return {"families": found, "runs": runs, "tally": tally, "status": state, "draft": draft, "baseline": baseline_id(release, root, environment)}
-
-
-def baseline_id(release: str, root: str | None, environment: str | None) -> str:
-    """An identity of what was mined, by its selection."""
-    return hashlib.sha256(canonical_json([release, root, environment]).encode()).hexdigest()[:32]
+    found, eligible, baseline = cut(family_ids(families(runs, s.rare), baseline_id(s))), runs.count(), baseline_id(s)
+    state = status(eligible, truncated, s.minimum_runs)
+    told, draft = baseline_disclosures(state, found, tally, eligible, unverified), None
+    if decisions:
+        approved = decided(found, decisions)
+        draft = propose(g.nodes, labeled_edges(g.nodes, g.edges), approved, runs, name, s.root, s.minimum_runs)
+        draft["disclosures"] = sorted({*draft["disclosures"], *(f"{code}:" for code, _ in [*told, *proposal_disclosures(approved)])})
+    return {"families": found, "runs": runs, "tally": tally, "status": state, "disclosures": told, "draft": draft, "baseline": baseline}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.operators import ranks, selectors
+from routeledger.operators import artifacts, instruments, ranks, selectors
 from routeledger.plans.registry import table
 from routeledger.sources import sink
 from routeledger.streaming import alerts, windows
@@ -93,3 +93,46 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     events = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("who"), at.alias("first_seen"), at.alias("last_seen"), F.col("event_id").cast("bigint").alias("event_id"))
     return sink.merged(events, ["event_type", "who"], "first_seen", "last_seen")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents, and the same as read back with planted differences."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    name, meta = F.concat(F.lit("order-"), F.col("k").cast("string")), lambda v: F.struct(v.alias("version"), F.array(F.lit(1), F.lit(2)).alias("steps"))
+    desired = orders.select(name.alias("name"), F.to_json(F.struct("status", "priority", meta(F.lit(1)).alias("meta"))).alias("document"))
+    changed = F.struct(F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("status")).alias("status"), F.when(F.col("k") % 5 != 0, F.col("priority")).alias("priority"), meta(F.lit(2)).alias("meta"), F.when(F.col("k") % 11 == 0, F.lit(True)).alias("extra"))
+    found = orders.where("k % 13 <> 0").select(name.alias("name"), F.when(F.col("k") % 17 == 0, "<html>").otherwise(F.to_json(changed)).alias("document"))
+    return desired, found
+
+
+@query("""WITH o AS (SELECT 'order-' || o_orderkey AS name, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders), r AS (SELECT * FROM o WHERE k % 13 <> 0 AND k % 17 <> 0)
+SELECT name, NULL AS path, 'absent' AS kind, NULL AS wanted, NULL AS found FROM o WHERE k % 13 = 0 UNION ALL SELECT name, NULL, 'invalid', NULL, NULL FROM o WHERE k % 13 <> 0 AND k % 17 = 0
+UNION ALL SELECT name, 'status', 'changed', '"' || s || '"', '"X"' FROM r WHERE k % 7 = 0 AND s <> 'X' UNION ALL SELECT name, 'priority', 'lacking', '"' || p || '"', NULL FROM r WHERE k % 5 = 0
+UNION ALL SELECT name, 'extra', 'surplus', NULL, 'true' FROM r WHERE k % 11 = 0""")
+def document_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between orders' documents and what is read back, versions set by the server aside."""
+    return artifacts.drift(*_documents(spark, sf_dir), ["meta.version"])
+
+
+DIMENSIONS = {"events": ["type", "user", "fifth"], "values": ["type"]}
+
+
+def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    labels = F.create_map(*(x for k, v in (("type", F.col("event_type")), ("user", F.col("user_id").cast("string")), ("fifth", (F.col("user_id") % 5).cast("string"))) for x in (F.lit(k), v)))
+    thousandths = F.floor(F.col("value") * 1000).cast("bigint")
+    return events.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), labels.alias("labels"), v.alias("value")) for m, v in (("events", F.lit(1).cast("bigint")), ("values", thousandths), ("stray", thousandths))))).alias("x")).select("x.*")
+
+
+@query("""SELECT 'events' AS metric, 'type=' || event_type || ',user=' || CASE WHEN (SELECT count(DISTINCT user_id) FROM events) > 30 THEN '__other__' ELSE user_id::VARCHAR END || ',fifth=' || (user_id % 5) AS labels, count(*)::BIGINT AS n, count(*)::BIGINT AS total FROM events GROUP BY ALL
+UNION ALL SELECT 'values', 'type=' || event_type, count(*), sum(floor(value * 1000)::BIGINT)::BIGINT FROM events GROUP BY ALL""")
+def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of events' metrics by their declared dimensions; users are too many."""
+    found = instruments.series(_measurements(spark, sf_dir), DIMENSIONS, 30)
+    return found.select("metric", F.array_join(F.transform("labels", lambda x: F.concat(x["dimension"], F.lit("="), x["value"])), ",").alias("labels"), "n", "total")
+
+
+@query("SELECT 'values' AS metric, unnest(['user', 'fifth']) AS label, (SELECT count(*) FROM events)::BIGINT AS rows UNION ALL SELECT 'stray', NULL, count(*)::BIGINT FROM events")
+def refused_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of events' metrics that are not declared."""
+    return instruments.refused(_measurements(spark, sf_dir), DIMENSIONS)

@@ -88,8 +88,8 @@ def search(spans: DataFrame, where: Column, columns: list[str], start_ns: int, e
     """A page of spans in [start_ns, end_ns) by time; the filter and the columns reach the scan."""
     if limit <= 0 or end_ns <= start_ns or offset < 0:
         raise ValueError("limit must be positive and the window not empty")
-    found = spans.where(where & (F.col("start_ns") >= start_ns) & (F.col("start_ns") < end_ns)).select(*dict.fromkeys([*columns, "start_ns", "span_id"]))
-    return found.orderBy(F.col("start_ns").desc() if newest_first else F.col("start_ns"), "span_id").offset(offset).limit(limit).select(*columns)
+    found = spans.where(where & (F.col("start_ns") >= start_ns) & (F.col("start_ns") < end_ns)).select(*dict.fromkeys([*columns, "start_ns", "span_id", "trace_id"]))
+    return found.orderBy(F.col("start_ns").desc() if newest_first else F.col("start_ns"), "span_id", "trace_id").offset(offset).limit(limit).select(*columns)
 
 
 def discover(spans: DataFrame, root: str, release: str, most: int) -> tuple[DataFrame, bool]:

@@ -234,10 +234,17 @@ def test_mining(spark):
     many = [[r | {"run_id": f"run{i}", "operation": "op", "retry_number": 0, "output_tokens": 5} for r in rows(f"t{i}", release="r1")] for i in range(4)]
     other = rows("u", release="r2", run_id="x")
     all_spans = spans(spark, *many, other, [r | {"run_id": "run0"} for r in rows("t9", release="r1")], rows("v", release="r1"))
-    first = mine.mine(all_spans, "r1", "x", "start", least=2)
-    assert first["status"] == "pending_review" and {r["reason"]: r["runs"] for r in first["tally"].collect()} == {"RELEASE_MISMATCH": 1, "RUN_ID_MISSING": 1, "DUPLICATE_RUN": 1}
+    chosen = mine.Selection("p", "a", "r1", "start", 0, 10**12, minimum_runs=2)
+    first = mine.mine(all_spans, chosen, "x")
+    assert first["status"] == "pending_review" and {r["reason"]: r["runs"] for r in first["tally"].collect()} == {"RUN_ID_MISSING": 1, "DUPLICATE_RUN": 1}
+    assert first["disclosures"] == [("TRACES_EXCLUDED", 2)]
+    few = mine.mine(all_spans, chosen._replace(most_traces=3, minimum_runs=50), "x", unverified=["x.y"])
+    assert few["status"] == "dataset_truncated" and few["disclosures"] == [("DATASET_TRUNCATED", 3), ("FIELD_TYPE_UNVERIFIED", 1)] and few["baseline"] != first["baseline"]
+    said = '["p","a","r1",null,0,1000000000000,2,"start",true,true,[1,20],1000,10000,3]'
+    assert first["baseline"] == "bl-" + hashlib.sha256(said.encode()).hexdigest()[:32]
     route = first["families"].first()["fingerprint"]
-    found = mine.mine(all_spans, "r1", "x", "start", decisions={route: "approved"}, least=2)
+    assert first["families"].first()["family_id"] == "rf-" + hashlib.sha256(f"{first['baseline']}|{route}".encode()).hexdigest()[:32]
+    found = mine.mine(all_spans, chosen, "x", decisions={route: "approved"})
     draft = found["draft"]
     disclosed = draft.pop("disclosures")
     kinds = {r["type"] for r in draft["spec"]["rules"]}
@@ -248,6 +255,12 @@ def test_mining(spark):
     assert evaluate(spans(spark, *many), draft).runs.where("status = 'pass'").count() == 4
     with pytest.raises(ValueError):
         mine.decided(first["families"], {"none": "approved"})
+    for wrong in ({"project": "P"}, {"end_ms": 0}, {"minimum_runs": 0}, {"rare": "1.5"}, {"root": ""}, {"representatives": 51}):
+        with pytest.raises(ValueError):
+            mine.selected(chosen._replace(**wrong))
+    two = found["families"].select("fingerprint").withColumn("status", F.lit("approved")).union(spark.createDataFrame([("a", "approved"), ("b", "pending")], "fingerprint string, status string"))
+    assert mine.proposal_disclosures(two) == [("MULTIPLE_FAMILIES_APPROVED", 2), ("UNAPPROVED_FAMILY_PRESENT", 1)]
+    assert mine.baseline_disclosures("insufficient_runs", two.withColumn("rare", F.lit(True)), first["tally"].limit(0), 0) == [("INSUFFICIENT_RUNS", 0), ("RARE_FAMILY_PRESENT", 3)]
 
 
 def test_labels_that_a_run_may_hide(spark):
