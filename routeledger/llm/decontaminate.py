@@ -4,9 +4,11 @@
    keeps its template. An item's windows are hashes of runs of templates; an item of few templates is one window of its exact words.
 2. Texts are read once, where they are. A filter of a fixed number of bits, set for the items' windows, lets through the windows that
    may be an item's, whatever the benchmark's size; runs of them leave the task with their slots.
-3. These windows are hash-joined with the items' windows, which are broadcast only where Spark finds them small.
-4. Matches are grouped by text, item and diagonal, and slots are checked: wherever the item has the same value the text must have
-   one value too. A text that covers enough of an item's template, with consistent slots on some diagonal, holds the item.
+3. These windows are hash-joined with the items' windows, which are broadcast only where Spark finds them small. A window of hardly any
+   literal words says little: its words have to be equal, values included.
+4. Matches are grouped by text, item and band of neighbouring diagonals, so that a place in the text goes with one in the item, but for a
+   few words put in or left out. Slots are checked: wherever the item has the same value the text must have one value too. A text
+   whose windows of one band cover enough of an item's template, with consistent slots on some diagonal of it, holds the item.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from routeledger.llm.words import MEMO_WORDS, Memo, chunked, hash_word, shingles
 
 #: Templates of a window; items of fewer are one window, and those of fewer than EXACT one of their words as they are.
 WINDOW, EXACT = 8, 6
+#: Literal words of a window that is told by its template; one of fewer is told by its words and values.
+LITERAL = 3
+#: Diagonals of a band. Bands overlap by half, so that matches within half as many diagonals share one.
+BAND = 16
 #: Of an item's templates so many must be covered, and of its slots so many be consistent.
 COVER, CONSISTENT = 0.5, 0.8
 #: Bits of the filter for windows that may be an item's: 2 MB.
@@ -110,8 +116,13 @@ class WordTable(Memo):
 
 
 def window_hashes(t: Templates, size: int) -> np.ndarray:
-    """A hash for each run of `size` templates, or of words as they are if it is less than EXACT; runs may reach over texts' ends."""
-    return shingles(t.t if size >= EXACT else t.value, size) ^ np.uint64(size)
+    """A hash for each run of `size` templates, or of words as they are if it is less than EXACT or few of them are literal; runs may reach over
+    texts' ends."""
+    exact = shingles(t.value, size) ^ np.uint64(size)
+    if size < EXACT or not len(exact):
+        return exact
+    literal = np.concatenate([[0], np.cumsum(t.slot == PLAIN)])
+    return np.where(literal[size:] - literal[:-size] >= LITERAL, shingles(t.t, size) ^ np.uint64(size), ~exact)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -186,8 +197,8 @@ def runs_of_windows(docs: DataFrame, sizes: list[int], may_be: np.ndarray) -> Da
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, agree: float = CONSISTENT) -> DataFrame:
     """doc_id, item_id, start, end, covered and consistent of texts and the benchmark items that they hold.
 
-    start and end count templates; covered is the share of the item's templates in windows that the text has, consistent the share of the
-    slots of these windows that are consistent on the best diagonal, 1 where there are no slots. Null and empty texts and items have none;
+    start and end count templates; covered is the share of the item's templates in windows that the text has in one band, consistent the share of the
+    slots of these windows that are consistent on the best diagonal of it, 1 where there are no slots. An item that a text holds several times has one row. Null and empty texts and items have none;
     an item of few words is held by a text that has them in a row, or that has no others if it is less than three. Rows without doc_id are
     reported with a null one; repeated rows of docs are reported each, of the benchmark once; other columns are left out.
     """
@@ -198,21 +209,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     each = runs.select("row", "doc_id", "size", "at", "total", F.posexplode("hashes").alias("k", "hash"), "slots", "values")
     each = each.select("row", "doc_id", (F.col("at") + F.col("k")).alias("at"), "total", "hash", "size", F.slice("slots", F.col("k") + 1, F.col("size")).alias("text_slots"), F.slice("values", F.col("k") + 1, F.col("size")).alias("text_values"))
     met = written(each.join(items, ["hash", "size"]).where("n > 2 OR n = total"))
-    found = met.groupBy("row", "item").agg(
+    diagonal = F.col("at") - F.col("place")
+    bands = lambda d: F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.floor((d + i * (BAND // 2)) / BAND).alias("band")) for i in (0, 1)))).alias("b")
+    found = met.select("*", bands(diagonal)).groupBy("row", "item", "b").agg(
         F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n").alias("n"), F.first("size").alias("size"),
         F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.collect_set("place").alias("places"),
     )
     every = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
     found = found.withColumn("covered", F.size(F.array_distinct(every)) / F.col("n")).where(F.col("covered") >= cover)
     pair = F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b"), F.col("text_slots").alias("c"), F.col("text_values").alias("d"), F.sequence("place", F.col("place") + F.col("size") - 1).alias("e"))
-    slots = met.select("row", "item", (F.col("at") - F.col("place")).alias("diagonal"), F.explode(pair).alias("x")).where("x.a > 0 AND x.c > 0")
+    slots = met.select("row", "item", diagonal.alias("diagonal"), F.explode(pair).alias("x")).where("x.a > 0 AND x.c > 0")
     slots = slots.select("row", "item", "diagonal", F.col("x.e").alias("place"), F.col("x.b").alias("value"), F.col("x.d").alias("text_value")).distinct()
     counted = slots.groupBy("row", "item", "diagonal", "value", "text_value").agg(F.count("*").alias("n"))
     of_value = counted.groupBy("row", "item", "diagonal", "value").agg(F.max("n").alias("same"), F.sum("n").alias("n"))
     on_diagonal = of_value.groupBy("row", "item", "diagonal").agg((F.sum("same") / F.sum("n")).alias("consistent"))
-    best = on_diagonal.groupBy("row", "item").agg(F.max("consistent").alias("consistent"))
-    judged = found.join(best, ["row", "item"], "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= agree)
-    return judged.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "covered", "consistent")
+    best = on_diagonal.select("row", "item", "consistent", bands(F.col("diagonal"))).groupBy("row", "item", "b").agg(F.max("consistent").alias("consistent"))
+    judged = found.join(best, ["row", "item", "b"], "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= agree)
+    # Of the bands in which a text holds an item, the one that covers most, then the first.
+    order = F.struct(-F.col("covered"), -F.col("consistent"), "start", "end")
+    one = judged.groupBy("row", "item").agg(F.min_by(F.struct("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "covered", "consistent"), order).alias("x"))
+    return one.select("x.*")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

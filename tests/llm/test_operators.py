@@ -460,6 +460,20 @@ def test_decontamination_after_many_inconsistent_variants(spark):
     assert got == {(1, 1.0)}
 
 
+def test_decontamination_on_one_diagonal_with_literal_words(spark):
+    rng = random.Random(33)
+    item = "a boat sails down the river for two whole days before its tired captain sees the old harbour where his brother sells fresh bread"
+    w, far = item.split(), [rng.choice(VOCAB) for _ in range(2000)]
+    numbers = " ".join(str(rng.randrange(1000)) for _ in range(60))
+    bench = spark.createDataFrame([(1, item), (2, "12 7 55 and 3 9 18 and 4 6 88"), (3, numbers)], "item_id long, text string")
+    texts = [
+        (1, " ".join([*w[-8:], *far, *w[:8]])), (2, "scores 1 2 3 and 4 5 6 and 7 8 9 today"), (3, " ".join(str(rng.randrange(10_000)) for _ in range(6000))),
+        (4, " ".join([*far[:50], *w[:12], "slowly", *w[12:], *far[50:90]])), (5, "see 12 7 55 and 3 9 18 and 4 6 88 here"), (6, f"{numbers} {numbers}"), (7, " ".join([*w[:9], *w[11:]])),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {(4, 1), (5, 2), (6, 3), (7, 1)} and got[4, 1]["end"] - got[4, 1]["start"] == len(w) + 1 and got[4, 1]["start"] == 50
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(21)
     some = lambda n: [rng.choice(["the", "of", "cat", "ran", "home", "7", "12", "kg", "Bob", "Ann.", "blue"]) for _ in range(n)]
@@ -485,23 +499,31 @@ def test_decontamination_against_brute_force(spark):
             size = min(8, len(it))
             if not size or (len(it) < 3 and len(it) != len(tt)):
                 continue
-            a, b = (it, tt) if size >= 6 else (iv, tv)
-            hits = [(p, q) for p in range(len(a) - size + 1) for q in range(len(b) - size + 1) if a[p : p + size] == b[q : q + size]]
-            covered = {p + k for p, _ in hits for k in range(size)}
-            if not hits or len(covered) / len(it) < 0.5:
-                continue
-            shares = []
-            for d in {q - p for p, q in hits}:
-                places = {p + k for p, q in hits if q - p == d for k in range(size)}
-                values = collections.defaultdict(collections.Counter)
-                for p in places:
-                    if is_[p] and ts[p + d]:
-                        values[iv[p]][tv[p + d]] += 1
-                if values:
-                    shares.append(sum(max(c.values()) for c in values.values()) / sum(sum(c.values()) for c in values.values()))
-            best = max(shares, default=1.0)
-            if best >= 0.8:
-                want[doc, item, min(q for _, q in hits), max(q for _, q in hits) + size, round(len(covered) / len(it), 6), round(best, 6)] += 1
+            literal = lambda sl, p: sum(x == 0 for x in sl[p : p + size])
+            by_words = lambda sl, p: size < 6 or literal(sl, p) < 3
+            same = lambda p, q: by_words(is_, p) == by_words(ts, q) and (iv[p : p + size] == tv[q : q + size] if by_words(is_, p) else it[p : p + size] == tt[q : q + size])
+            hits = [(p, q) for p in range(len(it) - size + 1) for q in range(len(tt) - size + 1) if same(p, q)]
+            held = []
+            for side, band in {(i, (q - p + 8 * i) // 16) for p, q in hits for i in (0, 1)}:
+                own = [(p, q) for p, q in hits if (q - p + 8 * side) // 16 == band]
+                covered = {p + k for p, _ in own for k in range(size)}
+                if len(covered) / len(it) < 0.5:
+                    continue
+                shares = []
+                for d in {q - p for p, q in own}:
+                    places = {p + k for p, q in own if q - p == d for k in range(size)}
+                    values = collections.defaultdict(collections.Counter)
+                    for p in places:
+                        if is_[p] and ts[p + d]:
+                            values[iv[p]][tv[p + d]] += 1
+                    if values:
+                        shares.append(sum(max(c.values()) for c in values.values()) / sum(sum(c.values()) for c in values.values()))
+                best = max(shares, default=1.0)
+                if best >= 0.8:
+                    held.append((-len(covered) / len(it), -best, min(q for _, q in own), max(q for _, q in own) + size))
+            if held:
+                c, agree, start, end = min(held)
+                want[doc, item, start, end, round(-c, 6), round(-agree, 6)] += 1
     docs = docs_of(spark, texts).withColumn("item", F.lit(1)).withColumn("at", F.lit(2))
     rows = decontaminate.contaminated(docs, spark.createDataFrame(bench * 2, "item_id long, text string")).collect()
     got = collections.Counter((r["doc_id"], r["item_id"], r["start"], r["end"], round(r["covered"], 6), round(r["consistent"], 6)) for r in rows)
