@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from routeledger.functions import names
 from routeledger.functions.names import DEFAULT, Config
-from routeledger.sources.spans import FIELDS, tag
+from routeledger.sources.spans import FIELDS, dealt, tag
 
 MAX_SPANS = 10_000
 SYNTHETIC = "synthetic-root"
@@ -64,8 +64,9 @@ def usable(spans: DataFrame, most: int = MAX_SPANS) -> tuple[DataFrame, DataFram
     )
     state = F.when(F.col("with_id") == 0, "empty").when(F.col("with_id") > most, "too_large").otherwise("ok")
     counts = counts.select("trace_id", "release", "environment", (F.col("rows") - F.col("with_id")).alias("rejected_rows"), state.alias("state"))
-    good = spans.where("span_id IS NOT NULL")
-    return good.join(counts.where("state = 'too_large'").select("trace_id"), "trace_id", "left_anti"), counts
+    # Counted in the partitions that the trees are built in: no join, and no shuffle but that by trace.
+    good = dealt(spans).withColumn("_with_id", F.count("span_id").over(Window.partitionBy("trace_id"))).where(F.col("span_id").isNotNull() & (F.col("_with_id") <= most))
+    return good.drop("_with_id"), counts
 
 
 def dedup(spans: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def utf16_length(text: Column) -> Column:
 #: The label of a generated root, with its length.
 SYNTHETIC_TEXT = f'["{SYNTHETIC}","unknown",null,"none",null,null,null,[]]'
 PLACED = "up: array<string>, depth: array<int>, order: array<bigint>, pre: array<bigint>, last: array<bigint>, digest: array<string>, orphan: array<boolean>, on_cycle: array<boolean>"
-TREE = f"struct<root: string, generated: boolean, root_digest: string, root_last: bigint, {PLACED}>"
+TREE = f"struct<root: string, generated: boolean, {PLACED}>"
 
 
 def on_cycles(parent: list[int]) -> list[bool]:
@@ -183,17 +184,19 @@ def walked(ids: list, parents: list, labels: list, texts: list, root_name: str |
             pre[k], depth[k] = place, depth[i] + 1
             place += size[k]
     inside = [pre[i] < size[root] for i in range(n)]
+    made = root == n  # the generated root comes last
+    m = n + made
     return (
-        names_[root], root == n, digest[n] if root == n else None, size[n] - 1 if root == n else None,
-        [None if u < 0 else names_[u] for u in up[:n]], [d if x else None for d, x in zip(depth, inside, strict=False)], [p if x else None for p, x in zip(pre, inside, strict=False)],
-        pre[:n], [p + s - 1 for p, s in zip(pre[:n], size[:n], strict=True)], digest[:n], [p is not None and k < 0 for p, k in zip(parents, parent, strict=True)], cyclic,
+        names_[root], made, [None if u < 0 else names_[u] for u in up[:m]],
+        [d if x else None for d, x in zip(depth, inside, strict=False)] + [0] * made, [p if x else None for p, x in zip(pre, inside, strict=False)] + [0] * made,
+        pre[:m], [p + s - 1 for p, s in zip(pre[:m], size[:m], strict=True)], digest[:m], [p is not None and k < 0 for p, k in zip(parents, parent, strict=True)] + [False] * made, cyclic + [False] * made,
     )
 
 
 def build(spans: DataFrame, root_name: str | None = None, config: Config = DEFAULT, unicode: bool = True, most: int = MAX_SPANS) -> Graph:
     """The trees of all traces. Traces without usable rows, or with too many, have a row in `traces` with that quality."""
     rows, counts = usable(spans, most)
-    nodes = project(dedup(rows.repartition("trace_id")), config, unicode).withColumn("text", node_label())
+    nodes = project(dedup(rows), config, unicode).withColumn("text", node_label())
     nodes = nodes.withColumn("text", F.concat(utf16_length(F.col("text")).cast("string"), F.lit(":"), "text"))
 
     @F.pandas_udf(TREE)
@@ -207,16 +210,14 @@ def build(spans: DataFrame, root_name: str | None = None, config: Config = DEFAU
     places = [c.split(":")[0] for c in PLACED.split(", ")]
     served = F.transform(F.filter("n", lambda x: (x["kind"] == "Server") & x["parent_id"].isNotNull()), lambda x: x["parent_id"])
     packed = packed.withColumn("served", F.map_from_arrays(F.array_distinct(served), F.transform(F.array_distinct(served), lambda x: F.lit(True))))
-    each = packed.select("trace_id", "t.root", "t.generated", "served", F.explode(F.arrays_zip("n", *(F.col(f"t.{c}").alias(c) for c in places))).alias("x"))
+    known = {"span_id": SYNTHETIC, "name": SYNTHETIC, "label": SYNTHETIC, "service": "unknown", "side_effect": "none", "duration_ns": 0, "synthetic": True}
+    top = F.struct(*(F.lit(known.get(f.name)).cast(f.dataType).alias(f.name) for f in nodes.schema if f.name != "trace_id"))
+    every = F.concat("n", F.when(F.col("t.generated"), F.array(top)).otherwise(F.array().cast(packed.schema["n"].dataType)))
+    each = packed.select("trace_id", "t.root", "t.generated", "served", F.explode(F.arrays_zip(every.alias("n"), *(F.col(f"t.{c}").alias(c) for c in places))).alias("x"))
     watched = F.coalesce((F.col("x.n.kind") == "Client") & ~F.col("x.n.side_effect").isin("none", "unknown"), F.lit(False))
     spans_of = [F.col(f"x.n.{c}").alias(c) for c in nodes.columns if c not in ("trace_id", "text")]
     unserved = watched & F.element_at("served", F.col("x.n.span_id")).isNull()
-    made = packed.where("t.generated").select(
-        "trace_id", "t.root", "t.generated", F.lit(SYNTHETIC).alias("span_id"), F.lit(SYNTHETIC).alias("name"), F.lit(SYNTHETIC).alias("label"), F.lit("unknown").alias("service"),
-        F.lit("none").alias("side_effect"), F.lit(0).cast("bigint").alias("duration_ns"), F.lit(True).alias("synthetic"), F.lit(False).alias("orphan"), F.lit(False).alias("on_cycle"), F.lit(False).alias("unserved"),
-        F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("order"), F.lit(0).cast("bigint").alias("pre"), F.col("t.root_last").alias("last"), F.col("t.root_digest").alias("digest"),
-    )
-    every = cut(each.select("trace_id", "root", "generated", *spans_of, *(F.col(f"x.{c}").alias(c) for c in places), unserved.alias("unserved")).unionByName(made, allowMissingColumns=True))
+    every = cut(each.select("trace_id", "root", "generated", *spans_of, *(F.col(f"x.{c}").alias(c) for c in places), unserved.alias("unserved")))
     real = every.where("NOT synthetic")
     found = real.groupBy("trace_id").agg(
         F.first("root").alias("root"), F.first("generated").alias("generated"), F.count("*").alias("spans"),
@@ -250,5 +251,6 @@ def per_trace(nodes: DataFrame, columns: dict[str, Column], walk, returns: str)
     def run(x: pd.DataFrame) -> pd.Series:
         return pd.Series([[tuple(r) for r in walk(*map(list, row))] for row in x.itertuples(index=False)])
 
-    packed = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("pre", *(c.alias(n) for n, c in columns.items())))).alias("n"))
+    own = dealt(nodes.select("trace_id", "pre", *(c.alias(f"_{n}") for n, c in columns.items())))
+    packed = own.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("pre", *(F.col(f"_{n}").alias(n) for n in columns)))).alias("n"))
     return packed.select("trace_id", F.explode(run(F.struct(*(F.col("n")[n].alias(n) for n in columns)))).alias("x")).select("trace_id", "x.*")

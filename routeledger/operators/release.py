@@ -225,8 +225,16 @@ def evidence(runs: DataFrame, violations: DataFrame, zero_tolerance: list[str] =
     return met.select("release", "failing", "passing", "violated_rules", intolerable.alias("zero_tolerance_rules"), F.coalesce("fingerprints", F.array().cast("array<string>")).alias("fingerprints"))
 
 
-def decision_hash(counted: DataFrame, found: DataFrame) -> DataFrame:
-    """release and `hash`: SHA-256 of its counts and findings as text; not of times or ids of the evaluation."""
-    listed = found.groupBy("release").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "finding", "decision", F.coalesce("rule_id", F.lit("")), F.coalesce("detail", F.lit(""))))), "|").alias("said"))
-    numbers = F.concat_ws(",", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("runs", "passed", "failed", "insufficient", "errors", "unknown_routes")))
-    return counted.join(listed, "release", "left").select("release", F.sha2(F.concat_ws(";", "release", numbers, F.coalesce("said", F.lit(""))), 256).alias("hash"))
+def decision_hash(counted: DataFrame, found: DataFrame, disclosed: DataFrame | None = None, budgets: DataFrame | None = None, rests_on: DataFrame | None = None) -> DataFrame:
+    """release, document and `hash`: SHA-256 of a release's decision as JSON: all counts, findings, and where they are given disclosures, release rules and
+    evidence. Lists are in order and keys too, so that an unchanged release has one hash however often, and in what order, it is counted."""
+    listed = lambda df, name: df.groupBy("release").agg(F.array_sort(F.collect_list(F.to_json(F.struct(*sorted(c for c in df.columns if c != "release")), {"ignoreNullFields": "false"}))).alias(name))
+    met = counted.select("release", F.struct(*sorted(c for c in counted.columns if c != "release")).alias("counts"))
+    parts = {"budgets": budgets, "disclosures": disclosed, "findings": found}
+    for name, df in parts.items():
+        if df is not None:
+            met = met.join(listed(df, name), "release", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    if rests_on is not None:
+        met = met.join(rests_on.select("release", F.struct(*sorted(c for c in rests_on.columns if c != "release")).alias("evidence")), "release", "left")
+    document = F.to_json(F.struct(*sorted(met.columns)), {"ignoreNullFields": "false"})
+    return met.select("release", document.alias("document"), F.sha2(document, 256).alias("hash"))

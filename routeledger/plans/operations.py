@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.operators import artifacts, instruments, ranks, selectors
+from routeledger.operators import artifacts, instruments, ranks, release, rules, selectors
+from routeledger.plans import registry
 from routeledger.plans.registry import table
 from routeledger.sources import sink
 from routeledger.streaming import alerts, windows
@@ -136,3 +137,26 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refused_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of events' metrics that are not declared."""
     return instruments.refused(_measurements(spark, sf_dir), DIMENSIONS)
+
+
+@query(registry.SPANS + registry.JSON_NODES + registry.FEATURES + registry.TOP_ROUTES + """, fam AS (SELECT fingerprint, min(trace_id) AS trace_id FROM routes JOIN runs USING (trace_id) WHERE release = 'v1' AND fingerprint IN (SELECT fingerprint FROM top) GROUP BY 1),
+mt AS (SELECT trace_id, sum(weight) AS t FROM f GROUP BY 1), sim AS (SELECT f.trace_id, g.trace_id AS other, sum(f.weight) AS shared FROM fam g JOIN f ff ON ff.trace_id = g.trace_id JOIN f ON f.feature = ff.feature GROUP BY ALL),
+near AS (SELECT s.trace_id, bool_or(shared * 10 >= 8 * (a.t + b.t - shared)) AS close FROM sim s JOIN mt a ON a.trace_id = s.trace_id JOIN mt b ON b.trace_id = s.other GROUP BY 1)
+SELECT trace_id, CASE WHEN fingerprint IN (SELECT fingerprint FROM top) THEN 'pass' ELSE 'violation' END AS outcome,
+  CASE WHEN fingerprint IN (SELECT fingerprint FROM top) THEN NULL WHEN close THEN 'ROUTE_DRIFTED' ELSE 'ROUTE_NOT_APPROVED' END AS code FROM routes LEFT JOIN near USING (trace_id)""")
+def drifted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that take an approved route, one much like it, or another one."""
+    g, placed, routes = registry.routed(spark, sf_dir)
+    approved = registry.approved_of_v1(g, routes)
+    own, families = registry.own_and_families(g, placed, routes)
+    rule = {"id": "known-routes", "type": "approved_routes", "fingerprints": approved, "minSimilarity": 0.8, "severity": "high"}
+    found = rules.evaluate_rules(g, g.nodes, [rule], routes, own, families.where(F.col("fingerprint").isin(*approved)))
+    return found.select("trace_id", "outcome", "code")
+
+
+@query(registry.SPANS + "SELECT release, 'few-purchases' AS rule_id, count(*)::BIGINT AS reporting, sum(n)::BIGINT AS value, CASE WHEN sum(n) > 900 OR sum(n) < 1 THEN 'violation' ELSE 'pass' END AS outcome FROM (SELECT release, trace_id, count(*) FILTER (WHERE label = 'purchase') AS n FROM spans GROUP BY ALL) GROUP BY release")
+def release_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cardinality of release scope: purchases of all runs of a release."""
+    g = registry.event_graph(spark, sf_dir)
+    rule = {"id": "few-purchases", "type": "cardinality", "selector": {"name": "purchase"}, "min": 1, "max": 900, "scope": "release", "severity": "medium"}
+    return release.release_budgets(rules.evaluate_rules(g, g.nodes, [rule]), g.traces, [rule]).select("release", "rule_id", "reporting", "value", "outcome")

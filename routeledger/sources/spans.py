@@ -139,31 +139,43 @@ def metric_points(series: DataFrame) -> DataFrame:
     return each.select(labels.alias("labels"), F.explode("s.values").alias("p")).select("labels", "p.ts", "p.value")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out by trace into as many partitions as spark.sql.shuffle.partitions says. What follows takes far more time than its bytes
+    suggest, so adaptive execution should not put the partitions together by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trace_id")
+
+
 def event_spans(events: DataFrame) -> DataFrame:
     """Events as spans: a run is a user's week under a generated `session` root, and clicks, errors and purchases hang
-    off the latest view before them. Retries are places in a streak of one type."""
+    off the latest view before them. Retries are places in a streak of one type. Events are dealt out by run once; each run's first
+    event also gives its root."""
     week = F.to_date(F.date_trunc("week", "ts"))
     rows = events.select(
         "event_id", "event_type", F.floor(F.col("value") * 1000).cast("bigint").alias("us"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         F.concat_ws("-", F.col("user_id").cast("string"), week.cast("string")).alias("trace_id"), F.when(week < F.lit("2024-01-15").cast("date"), "v1").otherwise("v2").alias("release"),
     )
     run = Window.partitionBy("trace_id").orderBy("event_id")
-    rows = rows.withColumn("last_view", F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = dealt(rows).withColumn("last_view", F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).over(run.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("island", F.sum(F.when(F.col("event_type") == F.lag("event_type").over(run), 0).otherwise(1)).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("retry", F.row_number().over(Window.partitionBy("trace_id", "island").orderBy("event_id")) - 1)
     kind = F.col("event_type")
     under = kind.isin("click", "error", "purchase") & F.col("last_view").isNotNull()
-    steps = rows.select(
-        "trace_id", "release", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("span_id"),
-        F.when(under, F.concat(F.lit("e"), F.col("last_view").cast("string"))).otherwise("root").alias("parent_span_id"),
-        kind.alias("name"), F.when(kind.isin("purchase", "signup"), "Client").otherwise("Internal").alias("kind"),
-        (F.col("us") * 1000).alias("duration_ns"), (F.col("micros") * 1000).alias("start_ns"), (kind == "error").alias("has_error"),
-        F.when(kind == "purchase", "payments").when(kind == "signup", "accounts").otherwise("web").alias("service"),
-        F.when(kind == "purchase", "write").when(kind == "signup", "external").when(kind.isin("view", "click"), "read").alias("side_effect"),
-        F.when(kind == "purchase", "money").when(kind == "signup", "people").alias("data_domain"), F.col("retry").cast("bigint").alias("retry_number"),
-        F.when(kind.isin("purchase", "signup"), kind).alias("tool"), (F.length("event_type") * 10).cast("bigint").alias("output_tokens"),
-    )
-    roots = steps.groupBy("trace_id", "release").agg(F.sum("duration_ns").alias("duration_ns"), F.min("start_ns").alias("start_ns")).select(
-        "trace_id", "release", F.lit("root").alias("span_id"), F.lit("session").alias("name"), F.lit("Server").alias("kind"), "duration_ns", "start_ns", F.lit("web").alias("service"), F.lit("none").alias("side_effect")
-    )
-    return as_spans(steps.unionByName(roots, allowMissingColumns=True))
+    whole = Window.partitionBy("trace_id")
+    rows = rows.withColumn("run_us", F.sum("us").over(whole)).withColumn("run_start", F.min("micros").over(whole)).withColumn("first", F.row_number().over(run) == 1)
+    text = lambda x: F.lit(x).cast("string")
+    number = lambda x: x.cast("bigint")
+    step = {
+        "span_id": F.concat(F.lit("e"), F.col("event_id").cast("string")), "parent_span_id": F.when(under, F.concat(F.lit("e"), F.col("last_view").cast("string"))).otherwise("root"),
+        "name": kind, "kind": F.when(kind.isin("purchase", "signup"), "Client").otherwise("Internal"), "duration_ns": F.col("us") * 1000, "start_ns": F.col("micros") * 1000, "has_error": kind == "error",
+        "service": F.when(kind == "purchase", "payments").when(kind == "signup", "accounts").otherwise("web"),
+        "side_effect": F.when(kind == "purchase", "write").when(kind == "signup", "external").when(kind.isin("view", "click"), "read"),
+        "data_domain": F.when(kind == "purchase", "money").when(kind == "signup", "people"), "retry_number": number(F.col("retry")), "tool": F.when(kind.isin("purchase", "signup"), kind),
+        "output_tokens": number(F.length("event_type") * 10),
+    }
+    root = {
+        "span_id": text("root"), "parent_span_id": text(None), "name": text("session"), "kind": text("Server"), "duration_ns": F.col("run_us") * 1000, "start_ns": F.col("run_start") * 1000, "has_error": F.lit(None).cast("boolean"),
+        "service": text("web"), "side_effect": text("none"), "data_domain": text(None), "retry_number": number(F.lit(None)), "tool": text(None), "output_tokens": number(F.lit(None)),
+    }
+    own, top = (F.struct(*(v.alias(k) for k, v in x.items())) for x in (step, root))
+    spans = rows.select("trace_id", "release", F.explode(F.when(F.col("first"), F.array(own, top)).otherwise(F.array(own))).alias("s")).select("trace_id", "release", "s.*")
+    return as_spans(spans)
