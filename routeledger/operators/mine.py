@@ -84,11 +84,11 @@ def family_topology(nodes: DataFrame, families_: DataFrame) -> DataFrame:
     return own.groupBy("fingerprint", "label").agg(F.count("*").alias("occurrences"), F.max("retry_number").alias("most_retry"), *(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()))
 
 
-def hidden_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def hidden_labels(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """trace_id and label of what a run may have hidden: labels that somewhere are children of one whose client span has no server span
-    in this run. nodes have unserved; edges are by labels (a, b)."""
-    flagged = nodes.where("unserved").select("trace_id", F.col("label").alias("a")).distinct()
-    return flagged.join(edges.select("a", F.col("b").alias("label")).distinct(), "a").select("trace_id", "label").distinct()
+    in this run, and that the run doesn't show. labels: trace_id, label and unserved; pairs: labels a and b of edges."""
+    flagged = labels.where("unserved").select("trace_id", F.col("label").alias("a"))
+    return flagged.join(pairs.select("a", F.col("b").alias("label")), "a").select("trace_id", "label").distinct().join(labels.select("trace_id", "label"), ["trace_id", "label"], "left_anti")
 
 
 def presence_class(present: Column, observable: Column, required: float = 1, rare: float = 0.05) -> Column:
@@ -103,18 +103,19 @@ def presence_class(present: Column, observable: Column, required: float = 1, rar
 def label_statistics(nodes: DataFrame, runs: DataFrame, edges: DataFrame, required: float = 1, rare: float = 0.05) -> DataFrame:
     """For every label: runs with it, those that could show it, all runs, least, most and p95 of its count in these (0 without it), its
     presence, kinds, parents and whether it is a remote handler; edges are by labels (trace_id, a, b)."""
-    per_run = nodes.join(runs.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id", "label").agg(F.count("*").alias("n"), F.max("retry_number").alias("retry"))
-    total = runs.agg(F.count("*").alias("total"))
-    mine = nodes.join(runs.select("trace_id"), "trace_id", "left_semi")
     sets = {"side_effects": "side_effect", "services": "service", "kinds": "kind", "tools": "tool", "data_domains": "data_domain", "operations": "operation"}
-    seen = per_run.groupBy("label").agg(F.count("*").alias("present"), F.min("n").alias("lo"), F.max("n").alias("most"), F.max("retry").alias("most_retry"))
-    seen = seen.join(mine.groupBy("label").agg(*(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items())), "label")
-    of_runs = edges.join(runs.select("trace_id"), "trace_id", "left_semi")
-    parents = of_runs.groupBy(F.col("b").alias("label")).agg(F.array_sort(F.collect_set("a")).alias("parent_labels"))
-    hidden = hidden_labels(mine, of_runs).join(per_run.select("trace_id", "label"), ["trace_id", "label"], "left_anti").groupBy("label").agg(F.count("*").alias("unobservable"))
-    clients = mine.where("kind = 'Client'").select(F.col("label").alias("a")).distinct()
+    # Nodes are read once, for a row for each run and label; edges once, for the pairs of labels. The rest is made of these.
+    mine = nodes.join(runs.select("trace_id"), "trace_id", "left_semi")
+    per_run = cut(mine.groupBy("trace_id", "label").agg(F.count("*").alias("n"), F.max("retry_number").alias("retry"), F.max("unserved").alias("unserved"), *(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items())))
+    pairs = cut(edges.join(runs.select("trace_id"), "trace_id", "left_semi").select("a", "b").distinct())
+    total = runs.agg(F.count("*").alias("total"))
+    every = lambda n: F.array_sort(F.array_distinct(F.flatten(F.collect_set(n)))).alias(n)  # noqa: E731  # of the different sets of a label's runs
+    seen = per_run.groupBy("label").agg(F.count("*").alias("present"), F.min("n").alias("lo"), F.max("n").alias("most"), F.max("retry").alias("most_retry"), *map(every, sets))
+    parents = pairs.groupBy(F.col("b").alias("label")).agg(F.array_sort(F.collect_set("a")).alias("parent_labels"))
+    hidden = hidden_labels(per_run, pairs).groupBy("label").agg(F.count("*").alias("unobservable"))
+    clients = seen.where(F.array_contains("kinds", "Client")).select(F.col("label").alias("a"))
     # A label whose parents all are client spans somewhere.
-    foreign = of_runs.select("a", F.col("b").alias("label")).distinct().join(clients, "a", "left_anti").select("label").distinct().withColumn("foreign", F.lit(True))
+    foreign = pairs.select("a", F.col("b").alias("label")).join(clients, "a", "left_anti").select("label").distinct().withColumn("foreign", F.lit(True))
     seen = seen.join(parents, "label", "left").join(hidden, "label", "left").join(foreign, "label", "left").crossJoin(total)  # total is one row
     seen = seen.withColumn("unobservable", F.coalesce("unobservable", F.lit(0))).withColumn("observable", F.col("total") - F.col("unobservable"))
     # Of runs without the label only the number matters: the p95 is a rank among the others.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeledger.operators import artifacts, instruments, ranks, release, rules, selectors
+from routeledger.operators import artifacts, instruments, panels, ranks, release, rules, selectors
 from routeledger.plans import registry
 from routeledger.plans.registry import table
 from routeledger.sources import sink
@@ -160,3 +160,31 @@ def release_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = registry.event_graph(spark, sf_dir)
     rule = {"id": "few-purchases", "type": "cardinality", "selector": {"name": "purchase"}, "min": 1, "max": 900, "scope": "release", "severity": "medium"}
     return release.release_budgets(rules.evaluate_rules(g, g.nodes, [rule]), g.traces, [rule]).select("release", "rule_id", "reporting", "value", "outcome")
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluated runs with day, start, tokens and retries, and their violations."""
+    e = registry.evaluate(registry.event_spans(spark, sf_dir), registry.CONTRACT, unicode=False)
+    starts = e.nodes.where("`order` = 0").select("trace_id", "start_ns", F.to_date(F.timestamp_micros(F.expr("start_ns div 1000"))).cast("string").alias("day"))
+    runs = e.runs.join(starts, "trace_id").select("trace_id", "release", "day", "start_ns", "status", "duration_ms", F.col("output_tokens").alias("tokens"), "retries")
+    return runs, e.violations
+
+
+OF_RULES = ", ".join(f"('{r['id']}', '{r['type']}/{r['severity']}')" for r in registry.RULES)
+DAYS = """, d AS (SELECT r.trace_id, r.release, status, violations, duration_ms, start_ns, make_timestamp(start_ns // 1000)::DATE::VARCHAR AS day, tokens, retried FROM st JOIN runs r USING (trace_id)
+  JOIN (SELECT trace_id, min(start_ns) AS start_ns, sum(tokens) AS tokens, sum(CASE WHEN retry > 0 THEN retry ELSE 0 END) AS retried FROM spans GROUP BY 1) s USING (trace_id)) """
+
+
+@query(registry.SPANS + registry.STATUS + DAYS + f""", dup AS (SELECT DISTINCT trace_id FROM res WHERE code IN ('CARDINALITY_ABOVE_MAX', 'REQUIRED_SPAN_TOO_MANY', 'RETRY_BUDGET_SIDE_EFFECT_EXCEEDED')),
+every AS (SELECT 'decisions' AS panel, day, status AS key, 1 AS value FROM d UNION ALL SELECT 'tokens', day, release, tokens FROM d UNION ALL SELECT 'retries', day, release, retried FROM d UNION ALL SELECT 'violations', day, release, violations FROM d
+  UNION ALL SELECT 'duplicates', day, release, 1 FROM d JOIN dup USING (trace_id) UNION ALL SELECT 'rules', day, kind, n FROM res JOIN d USING (trace_id) JOIN (VALUES {OF_RULES}) v(rule_id, kind) USING (rule_id) WHERE outcome = 'violation')
+SELECT panel, day, key, sum(value)::BIGINT AS value FROM every GROUP BY ALL HAVING sum(value) <> 0 UNION ALL SELECT 'latency', day, release, quantile_disc(duration_ms, 0.95)::BIGINT FROM d GROUP BY ALL""")
+def dashboard_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions, violations, duplicates, latency, tokens and retries by day."""
+    return panels.series(*_evaluated(spark, sf_dir))
+
+
+@query(registry.SPANS + registry.STATUS + DAYS + "SELECT release, row_number() OVER (PARTITION BY release ORDER BY start_ns DESC, trace_id) AS place, trace_id, start_ns, violations FROM d WHERE violations > 0 QUALIFY place <= 20")
+def latest_violating_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty latest violating traces of every release."""
+    return panels.latest_violating(*_evaluated(spark, sf_dir))
