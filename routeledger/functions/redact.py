@@ -48,7 +48,11 @@ def redacted(value, secrets: list[str] = ()):
 
 
 def exported(nodes: DataFrame, secrets: list[str] = ()) -> DataFrame:
-    """trace_id and `document`: the nodes of each trace, of which there is a bounded number, in canonical order as JSON without secrets."""
+    """trace_id and `document`: the nodes of each trace, of which there is a bounded number, in canonical order and the edges between them as JSON without
+    secrets."""
     node = F.struct("order", "label", "service", "kind", F.col("side_effect").alias("sideEffect"), "tool", redacted_map(F.col("attributes"), secrets).alias("attributes"))
-    listed = nodes.where("`order` IS NOT NULL").groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("order", F.to_json(node).alias("text")))).alias("n"))
-    return listed.select("trace_id", F.concat(F.lit('{"nodes":['), F.array_join(F.col("n")["text"], ","), F.lit("]}")).alias("document"))
+    listed = nodes.where("`order` IS NOT NULL").groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("order", F.to_json(node).alias("text"), F.col("span_id").alias("id"), "up"))).alias("n"))
+    listed = listed.withColumn("place", F.map_from_arrays(F.col("n")["id"], F.col("n")["order"]))
+    ends = F.transform(F.filter("n", lambda x: x["up"].isNotNull()), lambda x: F.struct(F.element_at("place", x["up"]).alias("from"), x["order"].alias("to"), F.lit("parent").alias("type")))
+    edges = F.to_json(F.array_sort(F.filter(ends, lambda e: e["from"].isNotNull())))
+    return listed.select("trace_id", F.concat(F.lit('{"nodes":['), F.array_join(F.col("n")["text"], ","), F.lit('],"edges":'), edges, F.lit("}")).alias("document"))

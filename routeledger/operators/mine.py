@@ -11,8 +11,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeledger.functions.exact import at_least, distribution, fraction, percentile
+from routeledger.functions.exact import at_least, distribution, fraction
 from routeledger.functions.names import margin_up, rule_id, safe_text
+from routeledger.operators import ranks
 from routeledger.operators.canonical import fingerprints, ordered
 from routeledger.operators.diff import labeled_edges
 from routeledger.operators.graph import build, cut
@@ -65,16 +66,20 @@ def dataset(runs: DataFrame, why: Column) -> tuple[DataFrame, DataFrame]:
 
 def families(runs: DataFrame, rare: str = "0.05") -> DataFrame:
     """Route families: runs of one fingerprint with their statistics, and whether they are rare: less than this share of all runs."""
-    found = runs.groupBy("fingerprint").agg(F.count("*").alias("runs"), *distribution("duration_ms", "d_"), percentile("duration_ms", 95).alias("p95_ms"), F.max("retries").alias("most_retries"))
+    plain = runs.groupBy("fingerprint").agg(F.count("*").alias("runs"), F.max("retries").alias("most_retries"))
+    spread = ranks.distribution(runs, ["fingerprint"], "duration_ms", "d_")  # a family may hold most runs
+    found = plain.join(spread, "fingerprint").withColumn("p95_ms", F.col("d_p95"))
     total = runs.agg(F.count("*").alias("total"))
     return found.crossJoin(total).withColumn("rare", ~at_least(F.col("runs"), F.col("total"), rare))  # total is one row
 
 
 def representatives(runs: DataFrame, k: int = 3) -> DataFrame:
     """The k runs of each family that are closest to its median duration, ties to the smaller trace id."""
-    middle = runs.groupBy("fingerprint").agg(percentile("duration_ms", 50).alias("middle"))
-    near = Window.partitionBy("fingerprint").orderBy(F.abs(F.col("duration_ms") - F.col("middle")), "trace_id")
-    return runs.join(middle, "fingerprint").withColumn("place", F.row_number().over(near)).where(F.col("place") <= k).select("fingerprint", "place", "trace_id")
+    middle = ranks.percentiles(runs, ["fingerprint"], "duration_ms", [50]).select("fingerprint", F.col("p50").alias("middle"))
+    order = [F.abs(F.col("duration_ms") - F.col("middle")), "trace_id"]
+    near = runs.join(middle, "fingerprint").withColumn("part", F.pmod(F.xxhash64("trace_id"), F.lit(64)))
+    some = near.withColumn("place", F.row_number().over(Window.partitionBy("fingerprint", "part").orderBy(*order))).where(F.col("place") <= k)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy("fingerprint").orderBy(*order))).where(F.col("place") <= k).select("fingerprint", "place", "trace_id")
 
 
 def family_topology(nodes: DataFrame, families_: DataFrame) -> DataFrame:
@@ -205,7 +210,10 @@ def proposal_rows(nodes: DataFrame, runs: DataFrame, edges: DataFrame, most: int
     rows = labels.join(cardinality_bounds(labels), "label").join(agree, "label", "left").orderBy("label").limit(most + 1).collect()
     per_run = run_retries(mine).agg(F.max("total").alias("total"), F.max("side_effect_max").alias("side_effect_max")).first()
     groups = mine.where("retry_number IS NOT NULL").agg(F.max("retry_number").alias("most"), F.array_sort(F.collect_set("operation")).alias("operations")).first()
-    metrics = runs.agg(F.max("duration_ms").alias("most"), *(percentile(c, 95).alias(c) for c in ("duration_ms", "input_tokens", "output_tokens"))).first()
+    columns = ("duration_ms", "input_tokens", "output_tokens")
+    each = runs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("bigint").alias("value")) for c in columns))).alias("x")).select("x.*")
+    ranked = {r["of"]: r["p95"] for r in ranks.percentiles(each, ["of"], "value", [95]).collect()}
+    metrics = {"most": runs.agg(F.max("duration_ms").alias("most")).first()["most"]} | {c: ranked.get(c) for c in columns}
     return {"labels": rows, "retries": per_run, "groups": groups, "metrics": metrics}
 
 

@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["span_source", "trace_quality", "route_fingerprints", "rule_retry_budget", "gate_findings", "label_statistics", "nearest_family", "span_dedup", "error_alert", "faulty_quality", "faulty_buy_after_view", "release_changes", "evidence_within_an_hour", "reconciled_artifacts", "keys_and_cursors", "evidence_bundle", "matching_urls", "daily_histograms", "alert_minutes"])
+@pytest.mark.parametrize("name", ["span_source", "trace_quality", "route_fingerprints", "rule_retry_budget", "gate_findings", "label_statistics", "nearest_family", "span_dedup", "error_alert", "faulty_quality", "faulty_buy_after_view", "release_changes", "evidence_within_an_hour", "reconciled_artifacts", "keys_and_cursors", "evidence_bundle", "matching_urls", "daily_histograms", "alert_minutes", "document_drift", "metric_series", "dashboard_panels", "route_families"])
 def test_query(spark, name):
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")

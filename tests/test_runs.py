@@ -363,6 +363,7 @@ def test_lists_and_redaction(spark):
     assert redact.redacted(doc, ["long-secret", "b"]) == {"apiKey": "[redacted]", "tokens": 3, "deep": [{"Password": "[redacted]", "note": "a [redacted] b"}]}
     nodes = graph.build(spans(spark, rows(extra={"x.secret": "string:s"})), "start").nodes
     document = json.loads(redact.exported(nodes).first()["document"])
+    assert [(e["from"] < e["to"], e["type"]) for e in document["edges"]] == [(True, "parent")] * 3
     assert [n["order"] for n in document["nodes"]] == [0, 1, 2, 3] and document["nodes"][0]["attributes"]["x.secret"] == "[redacted]"
 
 
