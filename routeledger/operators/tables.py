@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def keyset_page(rows: DataFrame, key: str, after: Column | None, limit: int, descending: bool = True) -> DataFrame:
     """The next `limit` rows beyond a key, with `more`: whether there are others. The condition on the key reaches the scan."""
     beyond = rows if after is None else rows.where(F.col(key) < after if descending else F.col(key) > after)
-    page = beyond.orderBy(F.col(key).desc() if descending else F.col(key)).limit(limit + 1)
-    every = page.agg(F.count("*").alias("_n"))
-    return page.orderBy(F.col(key).desc() if descending else F.col(key)).limit(limit).crossJoin(F.broadcast(every)).withColumn("more", F.col("_n") > limit).drop("_n")  # one row
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    page = beyond.orderBy(order).limit(limit + 1)  # what the windows look at
+    placed = page.withColumn("_place", F.row_number().over(Window.orderBy(order))).withColumn("more", F.count("*").over(Window.partitionBy()) > limit)
+    return placed.where(F.col("_place") <= limit).drop("_place")
 
 
 def within(events: DataFrame, logs: DataFrame, key: str, at: str, seconds: int = 3600) -> DataFrame:
