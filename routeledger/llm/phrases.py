@@ -84,13 +84,15 @@ def slots(h: np.ndarray, bits: int) -> np.ndarray:
 def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.ndarray:
     """Bits of the slots to which `least` words or pairs, or more, are hashed: 2^bits of them, packed, whatever the input's size."""
     block = min(bits, BLOCK_BITS)
+    kind = np.uint8 if least <= 255 else np.uint16  # counts stop at the least one that matters
+    most = min(least, np.iinfo(kind).max)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(_hash), np.zeros(1 << bits, np.uint16)
+        memo, seen = Memo(_hash), np.zeros(1 << bits, kind)
         for batch in batches:
             for _, w in Words.of(batch, memo):
                 at, n = np.unique(slots(np.concatenate([w.word, w.pair[w.pair != 0]]), bits), return_counts=True)
-                seen[at] = np.minimum(seen[at] + n, min(least, 65535))
+                seen[at] = np.minimum(seen[at] + n, most)
         for b in range(1 << (bits - block)):
             own = seen[b << block : (b + 1) << block]
             at = np.flatnonzero(own)
@@ -102,9 +104,9 @@ def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.nd
         for batch in batches:
             for b, at, n in zip(*(batch[c].to_pylist() for c in ("block", "at", "n")), strict=True):
                 own = sums.setdefault(b, np.zeros(1 << block, np.int64))
-                own[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.uint16)
+                own[np.frombuffer(at, np.int32)] += np.frombuffer(n, kind)
         for b, own in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "bits": pa.array([np.packbits(own >= min(least, 65535)).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "bits": pa.array([np.packbits(own >= most).tobytes()], pa.binary())})
 
     n_blocks = 1 << (bits - block)
     counted = texts.mapInArrow(count, "block int, at binary, n binary").repartition(n_blocks, "block").mapInArrow(add, "block int, bits binary")
