@@ -27,6 +27,12 @@ def test_query(spark, name):
     assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["faulty_clicks_retried", "faulty_clicks_each"])
+def test_clicks_by_run_and_by_span(spark, name):
+    test_query(spark, name)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_nearest_of_all_families(spark):
     from fractions import Fraction
