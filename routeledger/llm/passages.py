@@ -1,21 +1,24 @@
 """Substring dedup: fuzzy passages that several documents share, by collinear chaining of k-mer seeds.
 
-1. A document's seeds are its minimisers: of each window of neighbouring k-word runs the one with the least hash. Two
-   texts with window + k - 1 equal words in a row have a seed in common.
-2. Each seed that several texts hold points from each of them to one leader, the least doc_id that holds it: pairs of a text and
-   a leader grow with the number of texts, not with its square. Only seeds and doc_ids are shuffled for this.
-3. Texts of pairs meet, and all seeds that the two have in common are matched, whatever leaders they point to. Where a seed recurs,
-   its n-th occurrence matches the n-th of the other text, or the first one if there is none, so that repetitions stay linear too.
-   Matches are chained by a Fenwick tree: a match extends the best chain that ends before it in both texts, less a cost for the
-   words skipped in either.
-4. Chains are aligned with both texts: gaps by edit distance, ends as far as words keep agreeing. Aligned passages are
+1. A document's seeds are its minimisers: of each window of neighbouring k-word runs the one with the least hash; and besides all runs
+   with hashes so small that one in RATE has them, which changes nearby cannot unseat. Two texts with window + k - 1 equal words in a row
+   have a seed in common.
+2. Each seed that several texts hold points from each of them to one leader, the least doc_id that holds it. Texts meet a leader with
+   which they share two seeds at places that a passage can have. Only seeds and doc_ids are shuffled for this.
+3. Texts of pairs meet, and all k-word runs that the two have in common are matched. Where a run recurs, its n-th occurrence matches the
+   n-th of the other text, or the first one if there is none, so that repetitions stay linear too. Matches are chained by a Fenwick
+   tree: a match extends the best chain that ends before it in both texts, less a cost for the words skipped in either.
+4. A passage whose seeds point to different leaders is found in a second round, in which every two texts meet that share a seed of
+   at most MOST_HOLDERS texts. Of a seed that more hold, every two seeds near each other are a seed of their own, held by fewer texts; where
+   that is not so the leader holds both. Pairs whose common seeds all lie in passages that are found already are left out of this round.
+5. Chains are aligned with both texts: gaps by edit distance, ends as far as words keep agreeing. Aligned passages are
    merged within each document; those long enough are the result.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -25,21 +28,27 @@ from pyspark.sql import functions as F
 from routeledger.llm.shared import discard, needs, written
 from routeledger.llm.words import chunked, lower_memo, runs, shingles, word_hashes
 
-#: Words of a seed and k-word runs of a window. Every run of LEAST_CHAIN + 2 * WINDOW - 2 = 26 equal words has two seeds that span
-#: LEAST_CHAIN, which leaves room for passages of LEAST_WORDS with some words changed.
-K, WINDOW = 6, 8
+#: Words of a seed, k-word runs of a window, and the share of runs (one in RATE) that are seeds in any case. Every run of
+#: LEAST_CHAIN + 2 * WINDOW - 2 = 26 equal words has two seeds, which leaves room for passages of LEAST_WORDS with some words changed.
+K, WINDOW, RATE = 4, 8, 8
 #: A chain loses this much for each word that it skips in either text; it is aligned if it spans so many words.
 GAP_COST, LEAST_CHAIN = 0.2, 12
 #: Share of a passage's words that must agree, and the words of the shortest passage of the result.
 AGREE, LEAST_WORDS = 0.8, 40
-#: Seeds that a text must share with a leader for the two to meet; one that recurs in the text counts twice.
-LEAST_SEEDS = 2
+#: Two seeds that texts share are of one passage if they are at most this many words apart in both and AGREE allows the difference.
+REACH = 80
+#: A seed of more texts does not pair all of them, but goes on with each of the next NEAR seeds of a text, up to NEAR_WORDS away.
+MOST_HOLDERS, NEAR, NEAR_WORDS = 8, 4, 40
+#: Texts that a task keeps in words, none of more characters than KNOWN_CHARS.
+KNOWN_TEXTS, KNOWN_CHARS = 1000, 20_000
+#: Matches that are chained as one.
+PIECE = 8
 #: At the ends of a chain, words are compared until disagreements outweigh agreements by this much.
 DROP = 6
 
 
-def minimisers(h: np.ndarray, starts: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of texts in word_hashes' form: positions in h, and hashes. A text with fewer runs than a window gives its least."""
+def minimisers(h: np.ndarray, starts: np.ndarray, k: int = K, window: int = WINDOW, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of texts in word_hashes' form: positions in h, and hashes. A text with fewer runs than a window gives its least at any rate."""
     none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(h) < k:
         return none
@@ -66,7 +75,7 @@ def minimisers(h: np.ndarray, starts: np.ndarray, k: int = K, window: int = WIND
         end = starts[text[w] + 1] - k + 1
         chosen.add(int(w + value[w:end].argmin()))
     wins = windows[~short]
-    picked = np.zeros(len(value), bool)
+    picked = whole & (value < most // np.uint64(rate))
     picked[list(chosen)] = True
     for shift in range(window):
         at = wins + shift
@@ -87,7 +96,7 @@ def numbered(own: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """seed, id and `times` (1, or 2 if it recurs) of every different seed of each of the texts (id, text)."""
+    """seed, id, `at` (the word where it first begins) and `times` (1, or 2 if it recurs) of every different seed of each of the texts (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = lower_memo()
@@ -99,23 +108,58 @@ def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 own = np.searchsorted(starts, places, side="right") - 1
                 nth = numbered(own, value)
                 recurs = set(zip(own[nth == 1].tolist(), value[nth == 1].tolist(), strict=True))
-                own, value = own[nth == 0], value[nth == 0]
+                own, value, at = own[nth == 0], value[nth == 0], (places - starts[own])[nth == 0]
                 times = [2 if key in recurs else 1 for key in zip(own.tolist(), value.tolist(), strict=True)] if recurs else 1
-                yield pd.DataFrame({"seed": value.view(np.int64), "id": ids[x:y][own], "times": times})
-
-    return texts.mapInPandas(run, "seed long, id long, times int")
-
-
-def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places x and y of the seeds that two texts, each as places and values, have in common."""
-
-    def in_order(places: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(value, kind="stable")
-        value = value[order]
-        new = np.append(True, value[1:] != value[:-1]) if len(value) else np.empty(0, bool)
-        return places[order], value[new], np.nonzero(new)[0], np.diff(np.append(np.nonzero(new)[0], len(value)))
-
-    (pa, va, sa, na), (pb, vb, sb, nb) = in_order(*a), in_order(*b)
+                yield pd.DataFrame({"seed": value.view(np.int64), "id": ids[x:y][own], "at": at, "times": times})
+
+    return texts.mapInPandas(run, "seed long, id long, at int, times int")
+
+
+def links(held: DataFrame, most: int) -> DataFrame:
+    """id, leader (a smaller id), x and y (their places), most and least (of their times): of the rows (seed, id, at, times) every two of a seed
+    that at most `most` hold, and each with the least id of a seed that more hold."""
+    own = F.struct("id", "at", "times")
+    heads = held.groupBy("seed").agg(F.count("*").alias("n"), F.min(own).alias("head")).where("n > 1")
+    met = held.join(heads, "seed").select("seed", own.alias("own"), "n", "head")
+    link = lambda a, b: F.struct(b["id"].alias("id"), a["id"].alias("leader"), b["at"].alias("x"), a["at"].alias("y"), F.greatest(a["times"], b["times"]).alias("most"), F.least(a["times"], b["times"]).alias("least"))
+    few = met.where(F.col("n") <= most).groupBy("seed").agg(F.array_sort(F.collect_list("own")).alias("all"))
+    each = few.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, most), lambda b: link(a, b))))).alias("link"))
+    return each.union(met.where(F.col("n") > most).select(link(F.col("head"), F.col("own")))).select("link.*").where("id > leader")
+
+
+def near_seeds(held: DataFrame, heavy: DataFrame) -> DataFrame:
+    """seed, id, at and times of every two seeds near each other in a text, one of which is in `heavy` (seed)."""
+    marked = held.join(heavy.select("seed", F.lit(True).alias("heavy")), "seed", "left")
+    by_text = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "seed", F.coalesce("heavy", F.lit(False)).alias("heavy")))).alias("all")).where(F.exists("all", lambda a: a["heavy"]))
+    two = lambda a, b: F.struct(F.xxhash64(a["seed"], b["seed"]).alias("seed"), a["at"].alias("at"), (a["heavy"] | b["heavy"]).alias("heavy"), (b["at"] - a["at"]).alias("gap"))
+    every = by_text.select("id", F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, NEAR), lambda b: two(a, b))))).alias("x"))
+    some = every.where(F.col("x.heavy") & (F.col("x.gap") <= NEAR_WORDS))
+    return some.groupBy(F.col("x.seed").alias("seed"), "id").agg(F.min("x.at").alias("at"), F.lit(2).alias("times"))
+
+
+def alike(linked: DataFrame, slack: float = 1 - AGREE) -> DataFrame:
+    """id, leader and places (x, y) of the linked texts that two seeds may put in one passage. Places of seeds that recur are not
+    all known, so any second seed does with these; one that recurs in both does alone."""
+    pairs = linked.groupBy("id", "leader").agg(F.collect_list(F.struct("x", "y")).alias("places"), F.max("most").alias("most"), F.max("least").alias("least"))
+    step = lambda a, b, c: b[c] - a[c]
+    close = lambda a, b: step(a, b, "x").between(1, REACH) & step(a, b, "y").between(1, REACH) & (F.abs(step(a, b, "x") - step(a, b, "y")) <= F.lit(int(REACH * slack)))
+    one_passage = F.exists("places", lambda a: F.exists("places", lambda b: close(a, b)))
+    return pairs.where((F.col("least") > 1) | ((F.size("places") > 1) & ((F.col("most") > 1) | one_passage))).select("id", "leader", "places")
+
+
+def in_order(h: np.ndarray, k: int = K) -> tuple[np.ndarray, ...]:
+    """The k-word runs of a text by value: places, different values, and where each value's places begin and how many they are."""
+    value = shingles(h, k)
+    places = np.argsort(value, kind="stable")
+    value = value[places]
+    new = np.append(True, value[1:] != value[:-1]) if len(value) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    return places, value[first], first, np.diff(np.append(first, len(value)))
+
+
+def matched(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places x and y of the runs that two texts, each as in_order gives them, have in common."""
+    (pa, va, sa, na), (pb, vb, sb, nb) = a, b
     _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
     most = np.maximum(na[i], nb[j])
     i, j = np.repeat(i, most), np.repeat(j, most)
@@ -123,55 +167,63 @@ def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return pa[sa[i] + np.where(nth < na[i], nth, 0)], pb[sb[j] + np.where(nth < nb[j], nth, 0)]
 
 
-def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[np.ndarray]:
-    """Collinear chains of matches (x[i], y[i]) of k words: places in the input, in ascending order.
+def pieces(x: np.ndarray, y: np.ndarray, most: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches that follow each other in both texts as one: x, y and how many they are, at most `most`."""
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)
+    at = np.arange(len(x))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0
+    first = np.flatnonzero(new)
+    return x[first], y[first], np.diff(np.append(first, len(x)))
+
+
+def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[np.ndarray]:
+    """Collinear chains of pieces (x[i], y[i]) of n[i] matches of k words: places in the input, in ascending order.
 
-    The best predecessor of a match is looked up in a Fenwick tree over y that holds prefix maxima of score plus gap_cost
-    times the sum of a chain's ends. Each match belongs to one chain, the best first.
+    The best predecessor of a piece is looked up in a Fenwick tree over y that holds prefix maxima of score plus gap_cost
+    times the sum of a chain's ends. Each piece belongs to one chain, the best first.
     """
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    if len(x) > 1 and (np.diff(x) > 0).all() and (np.diff(x) == np.diff(y)).all() and (np.diff(x) * 2 * gap_cost <= k).all():
+    x, y, n = x[order], y[order], n[order]
+    if len(x) == 1 or ((y - x == y[0] - x[0]).all() and ((x[1:] - x[:-1] - n[:-1]) * 2 * gap_cost <= k).all()):
         return [order]  # one diagonal without long gaps
-    ranks = np.searchsorted(np.unique(y), y) + 1
-    size = int(ranks.max())
-    tree, held = np.full(size + 1, -np.inf), np.full(size + 1, -1)
-    score, before = np.zeros(len(x)), np.full(len(x), -1)
-    waiting: deque[int] = deque()
-
-    def add(i: int) -> None:
-        value, r = score[i] + gap_cost * (x[i] + y[i]), int(ranks[i])
-        while r <= size:
-            if value > tree[r]:
-                tree[r], held[r] = value, i
-            r += r & -r
-
+    known = np.unique(np.concatenate([y, y + n - 1]))
+    first, last = (np.searchsorted(known, y) + 1).tolist(), (np.searchsorted(known, y + n - 1) + 1).tolist()
+    x, y, n = x.tolist(), y.tolist(), n.tolist()
+    size = len(known)
+    tree, held = [-np.inf] * (size + 1), [-1] * (size + 1)
+    score, before = [0.0] * len(x), [-1] * len(x)
+    waiting: list[tuple[int, int]] = []
     for i in range(len(x)):
-        while waiting and x[waiting[0]] < x[i]:
-            add(waiting.popleft())
-        best, at, r = -np.inf, -1, int(ranks[i]) - 1
+        while waiting and waiting[0][0] < x[i]:
+            end, j = heappop(waiting)
+            value, r = score[j] + gap_cost * (end + y[j] + n[j] - 1), last[j]
+            while r <= size:
+                if value > tree[r]:
+                    tree[r], held[r] = value, j
+                r += r & -r
+        best, at, r = -np.inf, -1, first[i] - 1
         while r > 0:
             if tree[r] > best:
                 best, at = tree[r], held[r]
             r -= r & -r
-        gained = best - gap_cost * (x[i] + y[i])
+        score[i] = k + n[i] - 1
         if at >= 0:
-            step = min(x[i] - x[at], y[i] - y[at])
-            own = min(k, step) + gap_cost * 2 * min(k, step)  # the words that a match covers are not skipped
-            if gained + own > k:
-                score[i], before[i] = gained + own, at
-                waiting.append(i)
-                continue
-        score[i] = k
-        waiting.append(i)
-    used, out = np.zeros(len(x), bool), []
-    for i in np.argsort(-score, kind="stable"):
+            step = min(x[i] - x[at] - n[at] + 1, y[i] - y[at] - n[at] + 1, k)
+            gained = best - gap_cost * (x[i] + y[i]) + step + gap_cost * 2 * step  # the words that a match covers are not skipped
+            if gained > k:
+                score[i], before[i] = gained + n[i] - 1, at
+        heappush(waiting, (x[i] + n[i] - 1, i))
+    used, out = [False] * len(x), []
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
         chain = []
-        at = int(i)
+        at = i
         while at >= 0 and not used[at]:
             used[at] = True
             chain.append(at)
-            at = int(before[at])
+            at = before[at]
         if chain:
             out.append(order[np.array(chain[::-1])])
     return out
@@ -206,14 +258,14 @@ def extended(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int]:
     return took, int((~same[:took]).sum())
 
 
-def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K, agree: float = AGREE) -> tuple[int, int, int, int] | None:
+def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, k: int = K, agree: float = AGREE) -> tuple[int, int, int, int] | None:
     """The passages a[from:to] and b[from:to] of a chain, with its ends extended; None if too few words agree."""
     edits, ax, by = 0, int(x[0]), int(y[0])
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+    for i, j, m in zip(x.tolist(), y.tolist(), n.tolist(), strict=True):
         if i > ax or j > by:
             gap_a, gap_b = a[ax : max(i, ax)], b[by : max(j, by)]
             edits += distance(gap_a, gap_b) if len(gap_a) and len(gap_b) else len(gap_a) + len(gap_b)
-        ax, by = max(ax, i + k), max(by, j + k)
+        ax, by = max(ax, i + m + k - 1), max(by, j + m + k - 1)
     left, wrong_left = extended(a[: x[0]][::-1], b[: y[0]][::-1])
     right, wrong_right = extended(a[ax:], b[by:])
     edits += wrong_left + wrong_right
@@ -221,18 +273,18 @@ def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int =
     return span if edits <= (1 - agree) * max(span[1] - span[0], span[3] - span[2]) else None
 
 
-def parted(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
+def parted(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Aligned passages of a chain; one in which too few words agree is split at its widest gap, so that its parts are not lost."""
-    out, waiting = [], [(x, y)]
+    out, waiting = [], [(x, y, n)]
     while waiting:
-        x, y = waiting.pop()
-        if x[-1] + K - x[0] < LEAST_CHAIN:
+        x, y, n = waiting.pop()
+        if x[-1] + n[-1] + K - 1 - x[0] < LEAST_CHAIN:
             continue
-        if (span := aligned(a, b, x, y)) is not None:
+        if (span := aligned(a, b, x, y, n)) is not None:
             out.append(span)
-        elif len(x) > 2:
+        elif len(x) > 1:
             at = int(np.maximum(np.diff(x), np.diff(y)).argmax()) + 1
-            waiting += [(x[:at], y[:at]), (x[at:], y[at:])]
+            waiting += [(x[:at], y[:at], n[:at]), (x[at:], y[at:], n[at:])]
     return out
 
 
@@ -240,24 +292,30 @@ def shared_spans(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """id, start, end and other: aligned passages of both texts of each pair (id, leader)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = lower_memo()
-
-        def sown(text: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-            h, starts = word_hashes([text], memo)
-            return h, minimisers(h, starts)
+        memo, known = lower_memo(), {}
+
+        def sown(i: int, text: str) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+            key = i, len(text)
+            if key not in known:
+                if len(known) >= KNOWN_TEXTS:
+                    known.clear()
+                h, _ = word_hashes([text], memo)
+                if len(text) > KNOWN_CHARS:
+                    return h, in_order(h)
+                known[key] = h, in_order(h)
+            return known[key]
 
         for batch in batches:
             out = []
             last: tuple = (None, None)
             for row in batch.itertuples(index=False):
                 if last[0] != row.lead_text:
-                    last = (row.lead_text, sown(row.lead_text))
-                (a, own), (b, other) = sown(row.text), last[1]
-                x, y = matched(own, other)
-                for chain in chains(x, y) if len(x) > 1 else []:
-                    if x[chain[-1]] + K - x[chain[0]] >= LEAST_CHAIN:
-                        for span in parted(a, b, x[chain], y[chain]):
-                            out += [(row.id, span[0], span[1], row.leader), (row.leader, span[2], span[3], row.id)]
+                    last = (row.lead_text, sown(row.leader, row.lead_text))
+                (a, own), (b, other) = sown(row.id, row.text), last[1]
+                x, y, n = pieces(*matched(own, other))
+                for chain in chains(x, y, n) if len(x) else []:
+                    for span in parted(a, b, x[chain], y[chain], n[chain]):
+                        out += [(row.id, span[0], span[1], row.leader), (row.leader, span[2], span[3], row.id)]
             yield pd.DataFrame(out, columns=["id", "start", "end", "other"]).astype("int64")
 
     # Texts are too large to be broadcast at any size that matters; one plan for all sizes.
@@ -276,6 +334,27 @@ def merged(spans: list, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
     return [tuple(s) for s in out if s[1] - s[0] >= least]
 
 
+def passages_of(found: DataFrame, least: int) -> DataFrame:
+    """id and own: the merged passages (start, end, other) of each text, in order."""
+    # Of the passages that begin at one word the longest: no more rows for a leader than it has words.
+    spans = found.groupBy("id", "start").agg(F.max("end").alias("end"), F.min("other").alias("other"))
+
+    @F.pandas_udf("array<struct<start: long, end: long, other: long>>")
+    def merge(each: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e, "other": o} for s, e, o in merged([(x["start"], x["end"], x["other"]) for x in own], least)] for own in each])
+
+    return spans.groupBy("id").agg(F.collect_list(F.struct("start", "end", "other")).alias("own")).select("id", merge("own").alias("own"))
+
+
+def uncovered(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """id and leader of the pairs (id, leader, places) that share a seed outside the passages (id, own) of one of the two."""
+    of = lambda i, name: known.select(F.col("id").alias(i), F.col("own").alias(name))
+    met = pairs.join(of("id", "own_x"), "id", "left").join(of("leader", "own_y"), "leader", "left")
+    inside = lambda at, own: F.exists(own, lambda s: (s["start"] <= at) & (at + K <= s["end"]))
+    new = F.col("own_x").isNull() | F.col("own_y").isNull() | F.exists("places", lambda p: ~inside(p["x"], F.col("own_x")) | ~inside(p["y"], F.col("own_y")))
+    return met.where(new).select("id", "leader")
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Passages of at least `least` words that other documents repeat, perhaps with some words changed.
 
@@ -285,22 +364,25 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     texts = needs(docs, "doc_id", "text").where("doc_id IS NOT NULL").toDF("id", "text")
     sown = written(seeds(texts))
-    heads = written(sown.groupBy("seed").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader < most").select("seed", "leader"))
-    links = sown.join(heads, "seed").where("id > leader")
-    pairs = written(links.groupBy("id", "leader").agg(F.sum("times").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("id", "leader"))
+    heads = sown.groupBy("seed").agg(F.min(F.struct("id", "at", "times")).alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("head.id < last")
+    held = written(sown.join(heads, "seed").select("seed", "id", "at", "times", "n", "head"))
     discard(sown)
-    discard(heads)
-    ids = pairs.select("id").union(pairs.select("leader")).distinct()
+    head = F.col("head")
+    led = held.where("id > head.id").select("id", head["id"].alias("leader"), F.col("at").alias("x"), head["at"].alias("y"), F.greatest("times", head["times"]).alias("most"), F.least("times", head["times"]).alias("least"))
+    pairs = written(alike(led))
+    near = written(near_seeds(held.select("seed", "id", "at"), held.where(F.col("n") > MOST_HOLDERS).select("seed").distinct()))
+    more = links(held.select("seed", "id", "at", "times"), MOST_HOLDERS).union(links(near, MOST_HOLDERS))
+    others = written(alike(more).join(pairs.select("id", "leader"), ["id", "leader"], "left_anti"))
+    discard(held)
+    discard(near)
+    both = pairs.select("id", "leader").union(others.select("id", "leader"))
+    ids = both.select("id").union(both.select("leader")).distinct()
     # One plan for all sizes: the ids of texts in pairs grow with the documents.
-    found = written(shared_spans(pairs, written(texts.join(ids.hint("merge"), "id", "left_semi"))))
-    # Of the passages that begin at one word the longest: no more rows for a leader than it has words.
-    spans = found.groupBy("id", "start").agg(F.max("end").alias("end"), F.min("other").alias("other"))
-
-    @F.pandas_udf("array<struct<start: long, end: long, other: long>>")
-    def merge(each: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "end": e, "other": o} for s, e, o in merged([(x["start"], x["end"], x["other"]) for x in own], least)] for own in each])
-
-    by_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end", "other")).alias("own")).select(F.col("id").alias("doc_id"), merge("own").alias("own"))
+    met = written(texts.join(ids.hint("merge"), "id", "left_semi"))
+    found = written(shared_spans(pairs.select("id", "leader"), met))
+    rest = uncovered(others, passages_of(found, least))
+    again = written(shared_spans(rest, met))
+    by_doc = passages_of(found.union(again), least).select(F.col("id").alias("doc_id"), "own")
     return by_doc.select("doc_id", F.posexplode("own").alias("passage", "x")).select("doc_id", "passage", "x.start", "x.end", "x.other")
 
 

@@ -170,6 +170,35 @@ def test_passages_that_recur_within_a_document(spark):
         assert left == {1: len(first), 2: len(second) - (120 if second is twice else 60), 3: 30, 4: 100}
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_passages_whose_seeds_point_to_other_texts(spark, copies):
+    rng = random.Random(5)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    shared, texts = some(60), []
+    for i in range(54):
+        texts += [(len(texts) + j, " ".join(some(20) + shared[i : i + 7] + some(20))) for j in range(copies)]
+    texts += [(1000, " ".join(some(30) + shared + some(10))), (1001, " ".join(some(15) + shared + some(25)))]
+    got = {r["doc_id"]: (r["start"], r["end"], r["other"]) for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert got == {1000: (30, 90, 1001), 1001: (15, 75, 1000)}
+
+
+def test_passages_with_evenly_spaced_changes(spark):
+    rng = random.Random(7)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    kinds = [(80, 6), (80, 7), (60, 10)]
+    texts = []
+    for i in range(90):
+        n, every = kinds[i % 3]
+        shared = some(n)
+        other = [f"changed{i}" if at % every == every - 1 else w for at, w in enumerate(shared)]
+        texts += [some(30) + shared + some(25), some(20) + other + some(40)]
+    assert all(agreeing(texts[i], texts[i + 1]) for i in range(0, len(texts), 2))
+    got = {r["doc_id"] for r in passages.repeated_passages(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    recall = [sum(2 * i in got and 2 * i + 1 in got for i in range(k, 90, 3)) / 30 for k in range(3)]
+    print(recall)
+    assert min(recall) >= 0.9
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
