@@ -7,7 +7,8 @@ prefixes: a word that leaves the stack takes its count with it and adds it to th
 - Suffixes are dealt into ranges of their order, so that a hot first word, or pair, spans ranges. Only prefixes of a range's first and
   last suffix can go on elsewhere; their counts are added up afterwards, those of all others are whole and are dropped if too small.
 - A phrase is as frequent as each of its words and pairs at most. Words and pairs are counted beforehand in a fixed number of slots
-  by their hashes; a slot below the least count holds none that a candidate can have, so suffixes end before such pairs. The filter
+  by their hashes; a slot below the least count holds none that a candidate can have, so suffixes end before such pairs. Longer phrases
+  of what is left are counted in slots likewise, so suffixes end with the longest phrase that may be frequent enough. The filter
   never loses a candidate. On more words than it has room for it spares less, down to nothing; counts remain the same.
 - Words are joined by NUL, below all letters, so that suffixes with one prefix are neighbours; a NUL in a text is escaped.
 """
@@ -15,11 +16,12 @@ prefixes: a word that leaves the stack takes its count with it and adds it to th
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,16 @@ class Words:
         pair[both] = mix(h[both] * GOLDEN ^ mix(h[both + 1] ^ salt)) | np.uint64(1)
         self.words, self.word, self.pair = words[real], mix(h[real] ^ salt), pair[real]
 
+    def longer(self, m: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length from 3 to max_n: the places whose suffix of m words is as long, and a hash of the phrase of that length there."""
+        at, h = np.flatnonzero(m > 1), None
+        for n in range(3, max_n + 1):
+            h = self.pair[at] if h is None else h
+            more = m[at] >= n
+            at, h = at[more], h[more]
+            h = mix(h * GOLDEN ^ self.word[at + n - 1])
+            yield n, at, h
+
     @classmethod
     def of(cls, batch: pa.RecordBatch, memo: Memo) -> Iterator[tuple[str, Words]]:
         langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
@@ -81,8 +93,17 @@ def slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """Bits of the slots to which `least` words or pairs, or more, are hashed: 2^bits of them, packed, whatever the input's size."""
+def _words_and_pairs(w: Words) -> np.ndarray:
+    return np.concatenate([w.word, w.pair[w.pair != 0]])
+
+
+def is_set(bits_of: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    s = slots(h, bits)
+    return (bits_of[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS, hashes: Callable[[Words], np.ndarray] = _words_and_pairs) -> np.ndarray:
+    """Bits of the slots to which `least` words or pairs (or other `hashes`), or more, are hashed: 2^bits of them, packed, whatever the input's size."""
     block = min(bits, BLOCK_BITS)
     kind = np.uint8 if least <= 255 else np.uint16  # counts stop at the least one that matters
     most = min(least, np.iinfo(kind).max)
@@ -91,7 +112,7 @@ def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.nd
         memo, seen = Memo(_hash), np.zeros(1 << bits, kind)
         for batch in batches:
             for _, w in Words.of(batch, memo):
-                at, n = np.unique(slots(np.concatenate([w.word, w.pair[w.pair != 0]]), bits), return_counts=True)
+                at, n = np.unique(slots(hashes(w), bits), return_counts=True)
                 seen[at] = np.minimum(seen[at] + n, most)
         for b in range(1 << (bits - block)):
             own = seen[b << block : (b + 1) << block]
@@ -124,14 +145,23 @@ def lengths(good_word: np.ndarray, good_pair: np.ndarray, max_n: int) -> np.ndar
     return np.where(good_word, np.minimum(to_end, max_n), 0)
 
 
-def suffixes(texts: DataFrame, filter_bits: np.ndarray, max_n: int, bits: int = SLOT_BITS) -> DataFrame:
+def frequent_phrases(texts: DataFrame, filter_bits: Broadcast, least: int, max_n: int, bits: int = SLOT_BITS) -> np.ndarray:
+    """frequent_slots of the phrases of three words or more whose words and pairs are in frequent slots."""
+
+    def hashes(w: Words) -> np.ndarray:
+        m = lengths(is_set(filter_bits.value, w.word, bits), (w.pair != 0) & is_set(filter_bits.value, w.pair, bits), max_n)
+        return np.concatenate([np.empty(0, np.uint64), *(h for _, _, h in w.longer(m, max_n))])
+
+    return frequent_slots(texts, least, bits, hashes)
+
+
+def suffixes(texts: DataFrame, filter_bits: Broadcast, phrase_bits: Broadcast, max_n: int, bits: int = SLOT_BITS) -> DataFrame:
     """lang, suffix and n: suffixes counted within each task, and the number of all words of a language where suffix is null."""
-    sent = texts.sparkSession.sparkContext.broadcast(filter_bits)
     schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, totals, filled = Memo(_hash), {}, Counter(), 0
-        good = lambda h: (sent.value[(s := slots(h, bits)) >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
+        good = lambda h: is_set(filter_bits.value, h, bits)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, own in held.items():
@@ -146,6 +176,9 @@ def suffixes(texts: DataFrame, filter_bits: np.ndarray, max_n: int, bits: int =
                 if not len(w.words):
                     continue
                 m = lengths(good(w.word), (w.pair != 0) & good(w.pair), max_n)
+                for length, at, h in w.longer(m.copy(), max_n):
+                    rare = at[~is_set(phrase_bits.value, h, bits)]
+                    m[rare] = np.minimum(m[rare], length - 1)
                 own, words = held.setdefault(lang, Counter()), w.words.tolist()
                 before = len(own)
                 at = np.flatnonzero(m)
@@ -259,7 +292,10 @@ def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2
     a, then by the phrase's bytes. A language without candidates, and an empty table, give no rows.
     """
     rows = needs(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found = written(suffixes(rows, frequent_slots(rows, least, slot_bits), max_n, slot_bits))
+    send = rows.sparkSession.sparkContext.broadcast
+    words_and_pairs = send(frequent_slots(rows, least, slot_bits))
+    longer = send(frequent_phrases(rows, words_and_pairs, least, max_n, slot_bits))
+    found = written(suffixes(rows, words_and_pairs, longer, max_n, slot_bits))
     totals = found.where("suffix is null").groupBy("lang").agg(F.sum("n").alias("n"))
     counted = written(prefix_counts(found.where("suffix is not null"), least))
     candidates = written(scored(counted, totals))

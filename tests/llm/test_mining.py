@@ -169,6 +169,16 @@ def test_collocations_against_brute_force(spark, monkeypatch):
             assert got == want and len(want) > 20
 
 
+def test_suffixes_end_with_phrases_that_may_be_candidates(spark):
+    texts = [(i, "a b. b c. c d e f", "en") for i in range(20)] + [(30, "a b c d", "en")]
+    docs = docs_of(spark, texts).select("lang", "text")
+    send = spark.sparkContext.broadcast
+    pairs = send(phrases.frequent_slots(docs, 10, 20))
+    longer = send(phrases.frequent_phrases(docs, pairs, 10, 5, 20))
+    got = {r["suffix"].replace("\x00", " ") for r in phrases.suffixes(docs, pairs, longer, 5, 20).where("suffix is not null").collect()}
+    assert got == {"a b", "b c", "c d e f", "d e f", "e f", "b", "c", "f", "c d", "d"}
+
+
 def test_collocations_of_edge_cases(spark):
     assert phrases.collocations(docs_of(spark, []).limit(0), slot_bits=10).count() == 0
     assert phrases.collocations(docs_of(spark, [(1, None, None), (2, "", "en"), (3, ". , !", "en")]), least=1, slot_bits=10).count() == 0
