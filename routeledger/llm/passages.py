@@ -22,11 +22,11 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeledger.llm.shared import discard, needs, written
-from routeledger.llm.words import chunked, lower_memo, runs, shingles, word_hashes
+from routeledger.llm.words import WEIGHTS, byte_hashes, chunked, runs, shingles
 
 #: Words of a seed, k-word runs of a window, and the share of runs (one in RATE) that are seeds in any case. Every run of
 #: LEAST_CHAIN + 2 * WINDOW - 2 = 26 equal words has two seeds, which leaves room for passages of LEAST_WORDS with some words changed.
@@ -39,8 +39,10 @@ AGREE, LEAST_WORDS = 0.8, 40
 REACH = 80
 #: A seed of more texts does not pair all of them, but goes on with each of the next NEAR seeds of a text, up to NEAR_WORDS away.
 MOST_HOLDERS, NEAR, NEAR_WORDS = 8, 4, 40
-#: Texts that a task keeps in words, none of more characters than KNOWN_CHARS.
-KNOWN_TEXTS, KNOWN_CHARS = 1000, 20_000
+#: Characters of the texts that a task keeps in words.
+KNOWN_CHARS = 4_000_000
+#: Pairs whose texts are put into words together.
+TOGETHER = 64
 #: Matches that are chained as one.
 PIECE = 8
 #: At the ends of a chain, words are compared until disagreements outweigh agreements by this much.
@@ -84,72 +86,82 @@ def minimisers(h: np.ndarray, starts: np.ndarray, k: int = K, window: int = WIND
     return places, value[places]
 
 
-def numbered(own: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each seed the number, from 0, of its occurrence in its own text, so that repetitions match one by one."""
-    order = np.lexsort((np.arange(len(value)), value, own))
-    new = np.ones(len(value), bool)
-    new[1:] = (own[order][1:] != own[order][:-1]) | (value[order][1:] != value[order][:-1])
-    at = np.arange(len(value))
-    rank = np.empty(len(value), np.int32)
-    rank[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    return rank
+def firsts(own: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which seed of each text is the first of its value there, and whether that value recurs in the text."""
+    order = np.lexsort((value, own))
+    new = np.ones(len(value) + 1, bool)
+    new[1:-1] = (own[order][1:] != own[order][:-1]) | (value[order][1:] != value[order][:-1])
+    at = order[new[:-1]]
+    again = ~new[1:][new[:-1]]
+    by_place = np.argsort(at)
+    return at[by_place], again[by_place]
 
 
 def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """seed, id, `at` (the word where it first begins) and `times` (1, or 2 if it recurs) of every different seed of each of the texts (id, text)."""
+    """seed, id and `place` of every different seed of each of the texts (id, text): twice the word where it first begins, and 1 more if it recurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = lower_memo()
         for batch in batches:
             ids, all_texts = batch["id"].to_numpy(), list(batch["text"])
             for x, y in chunked(all_texts):
-                h, starts = word_hashes(all_texts[x:y], memo)
+                h, starts = byte_hashes(all_texts[x:y])
                 places, value = minimisers(h, starts, k, window)
                 own = np.searchsorted(starts, places, side="right") - 1
-                nth = numbered(own, value)
-                recurs = set(zip(own[nth == 1].tolist(), value[nth == 1].tolist(), strict=True))
-                own, value, at = own[nth == 0], value[nth == 0], (places - starts[own])[nth == 0]
-                times = [2 if key in recurs else 1 for key in zip(own.tolist(), value.tolist(), strict=True)] if recurs else 1
-                yield pd.DataFrame({"seed": value.view(np.int64), "id": ids[x:y][own], "at": at, "times": times})
+                first, again = firsts(own, value)
+                own = own[first]
+                yield pd.DataFrame({"seed": value[first].view(np.int64), "id": ids[x:y][own], "place": (places[first] - starts[own]) * 2 + again})
 
-    return texts.mapInPandas(run, "seed long, id long, at int, times int")
+    return texts.mapInPandas(run, "seed long, id long, place int")
+
+
+def held_seeds(sown: DataFrame) -> DataFrame:
+    """The rows (seed, id, place) of seeds of two ids or more, with n, their rows, and the least id that holds them: `head`, at `head_place`."""
+    heads = sown.groupBy("seed").agg(F.min("id").alias("head"), F.min_by("place", "id").alias("head_place"), F.max("id").alias("last"), F.count("*").alias("n")).where("head < last").drop("last")
+    return sown.join(heads.hint("shuffle_hash"), "seed")
 
 
 def links(held: DataFrame, most: int) -> DataFrame:
-    """id, leader (a smaller id), x and y (their places), most and least (of their times): of the rows (seed, id, at, times) every two of a seed
-    that at most `most` hold, and each with the least id of a seed that more hold."""
-    own = F.struct("id", "at", "times")
-    heads = held.groupBy("seed").agg(F.count("*").alias("n"), F.min(own).alias("head")).where("n > 1")
-    met = held.join(heads, "seed").select("seed", own.alias("own"), "n", "head")
-    link = lambda a, b: F.struct(b["id"].alias("id"), a["id"].alias("leader"), b["at"].alias("x"), a["at"].alias("y"), F.greatest(a["times"], b["times"]).alias("most"), F.least(a["times"], b["times"]).alias("least"))
-    few = met.where(F.col("n") <= most).groupBy("seed").agg(F.array_sort(F.collect_list("own")).alias("all"))
-    each = few.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, most), lambda b: link(a, b))))).alias("link"))
-    return each.union(met.where(F.col("n") > most).select(link(F.col("head"), F.col("own")))).select("link.*").where("id > leader")
-
-
-def near_seeds(held: DataFrame, heavy: DataFrame) -> DataFrame:
-    """seed, id, at and times of every two seeds near each other in a text, one of which is in `heavy` (seed)."""
-    marked = held.join(heavy.select("seed", F.lit(True).alias("heavy")), "seed", "left")
-    by_text = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "seed", F.coalesce("heavy", F.lit(False)).alias("heavy")))).alias("all")).where(F.exists("all", lambda a: a["heavy"]))
+    """id, leader (a smaller id), x and y (their places) and `first` (whether the leader is the least id): of the rows that held_seeds gives every two
+    of a seed that at most `most` hold, and each with the least id of a seed that more hold."""
+    own = F.struct("id", "place")
+    link = lambda a, b, first: F.struct(b["id"].alias("id"), a["id"].alias("leader"), b["place"].alias("x"), a["place"].alias("y"), first.alias("first"))
+    few = held.where(F.col("n") <= most).groupBy("seed").agg(F.array_sort(F.collect_list(own)).alias("all"))
+    each = few.select(F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, most), lambda b: link(a, b, a["id"] == F.col("all")[0]["id"]))))).alias("link"))
+    head = F.struct(F.col("head").alias("id"), F.col("head_place").alias("place"))
+    return each.union(held.where(F.col("n") > most).select(link(head, own, F.lit(True)).alias("link"))).select("link.*").where("id > leader")
+
+
+def near_seeds(held: DataFrame, most: int) -> DataFrame:
+    """seed, id and place of every two seeds near each other in a text, one of which more than `most` hold."""
+    own = F.struct(F.shiftright("place", 1).alias("at"), "seed", (F.col("n") > most).alias("heavy"))
+    by_text = held.groupBy("id").agg(F.array_sort(F.collect_list(own)).alias("all")).where(F.exists("all", lambda a: a["heavy"]))
     two = lambda a, b: F.struct(F.xxhash64(a["seed"], b["seed"]).alias("seed"), a["at"].alias("at"), (a["heavy"] | b["heavy"]).alias("heavy"), (b["at"] - a["at"]).alias("gap"))
     every = by_text.select("id", F.explode(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, NEAR), lambda b: two(a, b))))).alias("x"))
     some = every.where(F.col("x.heavy") & (F.col("x.gap") <= NEAR_WORDS))
-    return some.groupBy(F.col("x.seed").alias("seed"), "id").agg(F.min("x.at").alias("at"), F.lit(2).alias("times"))
+    return some.groupBy(F.col("x.seed").alias("seed"), "id").agg((F.min("x.at") * 2 + 1).alias("place"))
 
 
 def alike(linked: DataFrame, slack: float = 1 - AGREE) -> DataFrame:
-    """id, leader and places (x, y) of the linked texts that two seeds may put in one passage. Places of seeds that recur are not
-    all known, so any second seed does with these; one that recurs in both does alone."""
-    pairs = linked.groupBy("id", "leader").agg(F.collect_list(F.struct("x", "y")).alias("places"), F.max("most").alias("most"), F.max("least").alias("least"))
-    step = lambda a, b, c: b[c] - a[c]
+    """id, leader, places (x, y) and `first` of the linked texts that two seeds may put in one passage; `first` where seeds do so whose leader this is.
+    Places of seeds that recur are not all known, so any second seed does with these; one that recurs in both does alone."""
+    pairs = linked.groupBy("id", "leader").agg(F.collect_list(F.struct("x", "y", "first")).alias("all"))
+    step = lambda a, b, c: F.shiftright(b[c], 1) - F.shiftright(a[c], 1)
     close = lambda a, b: step(a, b, "x").between(1, REACH) & step(a, b, "y").between(1, REACH) & (F.abs(step(a, b, "x") - step(a, b, "y")) <= F.lit(int(REACH * slack)))
-    one_passage = F.exists("places", lambda a: F.exists("places", lambda b: close(a, b)))
-    return pairs.where((F.col("least") > 1) | ((F.size("places") > 1) & ((F.col("most") > 1) | one_passage))).select("id", "leader", "places")
+    recurs = lambda p, c: p[c].bitwiseAND(1) == 1
+
+    def one_passage(places: str) -> Column:
+        several = F.exists(places, lambda p: recurs(p, "x") | recurs(p, "y")) | F.exists(places, lambda a: F.exists(places, lambda b: close(a, b)))
+        return F.exists(places, lambda p: recurs(p, "x") & recurs(p, "y")) | ((F.size(places) > 1) & several)
+
+    # Each of the two looks through a column of its own, the second only where the first finds nothing.
+    told = pairs.withColumn("of_first", F.filter("all", lambda p: p["first"])).withColumn("first", one_passage("of_first"))
+    some = told.where(F.col("first") | one_passage("all"))
+    return some.select("id", "leader", "first", F.when(~F.col("first"), F.transform("all", lambda p: F.struct(F.shiftright(p["x"], 1).alias("x"), F.shiftright(p["y"], 1).alias("y")))).alias("places"))
 
 
 def in_order(h: np.ndarray, k: int = K) -> tuple[np.ndarray, ...]:
     """The k-word runs of a text by value: places, different values, and where each value's places begin and how many they are."""
-    value = shingles(h, k)
+    value = sum((h[i : len(h) - k + 1 + i] * WEIGHTS[i] for i in range(k)), np.zeros(max(len(h) - k + 1, 0), np.uint64))
     places = np.argsort(value, kind="stable")
     value = value[places]
     new = np.append(True, value[1:] != value[:-1]) if len(value) else np.empty(0, bool)
@@ -292,35 +304,36 @@ def shared_spans(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """id, start, end and other: aligned passages of both texts of each pair (id, leader)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, known = lower_memo(), {}
-
-        def sown(i: int, text: str) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-            key = i, len(text)
-            if key not in known:
-                if len(known) >= KNOWN_TEXTS:
-                    known.clear()
-                h, _ = word_hashes([text], memo)
-                if len(text) > KNOWN_CHARS:
-                    return h, in_order(h)
-                known[key] = h, in_order(h)
-            return known[key]
+        known: dict = {}
+
+        def keep(texts: dict[tuple[int, int], str]) -> None:
+            """Hash the words of those texts that are not known, some of them together."""
+            own = [(key, text) for key, text in texts.items() if key not in known]
+            if sum(size for _, size in known) + sum(size for (_, size), _ in own) > KNOWN_CHARS:
+                known.clear()
+                own = list(texts.items())
+            for x, y in chunked([text for _, text in own]):
+                h, starts = byte_hashes([text for _, text in own[x:y]])
+                for (key, _), a, b in zip(own[x:y], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    known[key] = (some := h[a:b].copy()), in_order(some)
 
         for batch in batches:
-            out = []
-            last: tuple = (None, None)
-            for row in batch.itertuples(index=False):
-                if last[0] != row.lead_text:
-                    last = (row.lead_text, sown(row.leader, row.lead_text))
-                (a, own), (b, other) = sown(row.id, row.text), last[1]
-                x, y, n = pieces(*matched(own, other))
-                for chain in chains(x, y, n) if len(x) else []:
-                    for span in parted(a, b, x[chain], y[chain], n[chain]):
-                        out += [(row.id, span[0], span[1], row.leader), (row.leader, span[2], span[3], row.id)]
+            out, rows = [], list(batch.itertuples(index=False))
+            for begin in range(0, len(rows), TOGETHER):
+                some = rows[begin : begin + TOGETHER]
+                keep({(i, len(text)): text for row in some for i, text in ((row.id, row.own_text), (row.leader, row.lead_text))})
+                for row in some:
+                    (a, own), (b, other) = known[row.id, len(row.own_text)], known[row.leader, len(row.lead_text)]
+                    x, y, n = pieces(*matched(own, other))
+                    for chain in chains(x, y, n) if len(x) else []:
+                        for span in parted(a, b, x[chain], y[chain], n[chain]):
+                            out += [(row.id, span[0], span[1], row.leader), (row.leader, span[2], span[3], row.id)]
             yield pd.DataFrame(out, columns=["id", "start", "end", "other"]).astype("int64")
 
-    # Texts are too large to be broadcast at any size that matters; one plan for all sizes.
-    met = pairs.join(texts.hint("merge"), "id").join(texts.toDF("leader", "lead_text").hint("merge"), "leader")
-    return met.select("id", "leader", "text", "lead_text").mapInPandas(run, "id long, start long, end long, other long")
+    # Texts are too large to be broadcast at any size that matters; one plan for all sizes. Both joins read one shuffle of them.
+    of = lambda i, text: texts.select(F.col("id").alias(i), F.col("text").alias(text)).hint("merge")
+    met = pairs.join(of("id", "own_text"), "id").join(of("leader", "lead_text"), "leader")
+    return met.select("id", "leader", "own_text", "lead_text").mapInPandas(run, "id long, start long, end long, other long")
 
 
 def merged(spans: list, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
@@ -363,25 +376,17 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     one document; letter case is ignored.
     """
     texts = needs(docs, "doc_id", "text").where("doc_id IS NOT NULL").toDF("id", "text")
-    sown = written(seeds(texts))
-    heads = sown.groupBy("seed").agg(F.min(F.struct("id", "at", "times")).alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("head.id < last")
-    held = written(sown.join(heads, "seed").select("seed", "id", "at", "times", "n", "head"))
+    sown = written(seeds(texts), tidy=True)
+    held = written(held_seeds(sown), tidy=True)
     discard(sown)
-    head = F.col("head")
-    led = held.where("id > head.id").select("id", head["id"].alias("leader"), F.col("at").alias("x"), head["at"].alias("y"), F.greatest("times", head["times"]).alias("most"), F.least("times", head["times"]).alias("least"))
-    pairs = written(alike(led))
-    near = written(near_seeds(held.select("seed", "id", "at"), held.where(F.col("n") > MOST_HOLDERS).select("seed").distinct()))
-    more = links(held.select("seed", "id", "at", "times"), MOST_HOLDERS).union(links(near, MOST_HOLDERS))
-    others = written(alike(more).join(pairs.select("id", "leader"), ["id", "leader"], "left_anti"))
+    near = written(near_seeds(held, MOST_HOLDERS), tidy=True)
+    more = links(held_seeds(near), MOST_HOLDERS).withColumn("first", F.lit(False))
+    linked = written(alike(links(held, MOST_HOLDERS).union(more)), tidy=True)
     discard(held)
     discard(near)
-    both = pairs.select("id", "leader").union(others.select("id", "leader"))
-    ids = both.select("id").union(both.select("leader")).distinct()
-    # One plan for all sizes: the ids of texts in pairs grow with the documents.
-    met = written(texts.join(ids.hint("merge"), "id", "left_semi"))
-    found = written(shared_spans(pairs.select("id", "leader"), met))
-    rest = uncovered(others, passages_of(found, least))
-    again = written(shared_spans(rest, met))
+    found = written(shared_spans(linked.where("first").select("id", "leader"), texts), tidy=True)
+    rest = uncovered(linked.where("NOT first"), passages_of(found, least))
+    again = written(shared_spans(rest, texts), tidy=True)
     by_doc = passages_of(found.union(again), least).select(F.col("id").alias("doc_id"), "own")
     return by_doc.select("doc_id", F.posexplode("own").alias("passage", "x")).select("doc_id", "passage", "x.start", "x.end", "x.other")
 

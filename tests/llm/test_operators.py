@@ -8,12 +8,14 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from routeledger.llm import chat, decontaminate, lines, minhash, packing, passages, pii, search, toxicity, urls
+from routeledger.llm import words as text_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -199,6 +201,32 @@ def test_passages_with_evenly_spaced_changes(spark):
     assert min(recall) >= 0.9
 
 
+def test_words_by_their_bytes():
+    rng = random.Random(9)
+    odd = "aAbB éİſ\x1c\x85\xa0\u3000 \n\t\r\x0b\x00zß\U0001f600\ud800"
+    texts = [None, "", " ", "  a", "x" * 1000 + " y" * 5, *("".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(2000))]
+    want, starts = text_words.word_hashes(texts, text_words.lower_memo())
+    for most in (7, 1 << 20):
+        got, own = text_words.byte_hashes(texts, most)
+        assert own.tolist() == starts.tolist() and len(got) == len(want)
+        assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))
+    assert text_words.byte_hashes([])[1].tolist() == [0]
+
+
+def test_passages_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kept = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    texts = docs_of(spark, [(i, " ".join(words(30) + VOCAB[:60])) for i in range(40)])
+    before = kept()
+    found = passages.repeated_passages(texts)  # its tables are written, its last step has not run
+    for _ in range(50):
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before
+    assert found.count() == 40
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
