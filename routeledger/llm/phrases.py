@@ -10,6 +10,10 @@ prefixes: a word that leaves the stack takes its count with it and adds it to th
   by their hashes; a slot below the least count holds none that a candidate can have, so suffixes end before such pairs. Longer phrases
   of what is left are counted in slots likewise, so suffixes end with the longest phrase that may be frequent enough. The filter
   never loses a candidate. On more words than it has room for it spares less, down to nothing; counts remain the same.
+- A phrase scores 1000 * n / f at most, where f counts its first or last word. So phrases that begin or end with a hot word, of f above
+  a bound, are not scored while enough others score higher than that allows; a language where they don't is counted again with all its
+  phrases. Parts of scored phrases, and phrases a word longer, begin or end with a word that is not hot; these are counted whole. Words
+  and pairs that only occur where no phrase around them can be scored are not counted by themselves (marks).
 - Words are joined by NUL, below all letters, so that suffixes with one prefix are neighbours; a NUL in a text is escaped.
 """
 
@@ -32,6 +36,11 @@ from routeledger.llm.words import GOLDEN, Memo, chunked, mix
 SLOT_BITS, BLOCK_BITS = 27, 20
 #: Different suffixes that a task counts before it sends them on.
 HELD_SUFFIXES = 400_000
+#: Different words that a task counts before it forgets the rarer half, and hot words of all languages together.
+HELD_WORDS, HOT_WORDS = 400_000, 200_000
+#: Words are hot above so many times the least count, as far as tasks have met each a 64th of it.
+HOT_TIMES, HOT_SHARE = 40, 64
+_ALONE, _PAIR = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5A)
 _SEPARATORS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _BREAK, _NOTHING = np.uint64(1), np.uint64(0)
 
@@ -51,12 +60,26 @@ def _plain(joined: Column) -> Column:
     return F.replace(F.replace(F.replace(joined, F.lit("\x00"), F.lit(" ")), F.lit("\x01\x01"), F.lit("\x00")), F.lit("\x01\x02"), F.lit("\x01"))
 
 
+def _split(texts: list[str]) -> list[bytes]:
+    """Words and, as b"\\n", ends of pieces; some are empty."""
+    return b"\n".join(map(_escaped, texts)).lower().translate(_SEPARATORS).replace(b"\n", b" \n ").split(b" ")
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    by: dict[str, list[str]] = {}
+    for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        if text:
+            by.setdefault(lang, []).append(text)
+    for lang, own in by.items():
+        for a, b in chunked(own):
+            yield lang, own[a:b]
+
+
 class Words:
     """Words of some texts of one language: each with its hash and that of the pair that it begins (0 at the end of a piece)."""
 
     def __init__(self, lang: str, texts: list[str], memo: Memo):
-        data = b"\n".join(map(_escaped, texts)).lower().translate(_SEPARATORS).replace(b"\n", b" \n ")
-        words = np.array(data.split(b" "), object)
+        words = np.array(_split(texts), object)
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         some = h != _NOTHING
         words, h = words[some], h[some]
@@ -65,7 +88,7 @@ class Words:
         pair = np.zeros(len(h), np.uint64)
         both = np.flatnonzero(real[:-1] & real[1:])
         pair[both] = mix(h[both] * GOLDEN ^ mix(h[both + 1] ^ salt)) | np.uint64(1)
-        self.words, self.word, self.pair = words[real], mix(h[real] ^ salt), pair[real]
+        self.lang, self.words, self.word, self.pair = lang, words[real], mix(h[real] ^ salt), pair[real]
 
     def longer(self, m: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length from 3 to max_n: the places whose suffix of m words is as long, and a hash of the phrase of that length there."""
@@ -79,14 +102,8 @@ class Words:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, memo: Memo) -> Iterator[tuple[str, Words]]:
-        langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
-        by: dict[str, list[str]] = {}
-        for lang, text in zip(langs, texts, strict=True):
-            if text:
-                by.setdefault(lang, []).append(text)
-        for lang, own in by.items():
-            for a, b in chunked(own):
-                yield lang, cls(lang, own[a:b], memo)
+        for lang, own in _chunks(batch):
+            yield lang, cls(lang, own, memo)
 
 
 def slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -137,6 +154,49 @@ def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS, hashes:
     return out.ravel()
 
 
+def hot_words(texts: DataFrame, above: int) -> dict[str, set[bytes]]:
+    """Words of each language that occur more than `above` times: not all of them, but no others, as counts leave places out and add none."""
+    share = max(1, above // HOT_SHARE)
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, own in _chunks(batch):
+                held.setdefault(lang, Counter()).update(_split(own))
+                if sum(map(len, held.values())) > HELD_WORDS:
+                    held = {k: Counter(dict(seen.most_common(len(seen) // 2))) for k, seen in held.items()}
+        for lang, seen in held.items():
+            some = [(w, n) for w, n in seen.items() if n >= share and w not in (b"", b"\n")]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], schema=schema)
+
+    counted = texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") > above)
+    found: dict[str, set[bytes]] = {}
+    for row in counted.orderBy(F.desc("n")).limit(HOT_WORDS).collect():
+        found.setdefault(row["lang"], set()).add(bytes(row["word"]))
+    return found
+
+
+def up_to_cold(m: np.ndarray, cold: np.ndarray) -> np.ndarray:
+    """Words of the suffix at each place: of one that begins with a hot word only those up to its last cold word."""
+    at = np.arange(len(m))
+    last = np.maximum.accumulate(np.where(cold, at, -1))[at + np.maximum(m, 1) - 1]
+    return np.where(cold | (m == 0), m, np.maximum(0, last - at + 1))
+
+
+def cold_words(w: Words, hot: set[bytes]) -> np.ndarray:
+    return ~np.fromiter(map(hot.__contains__, w.words), bool, len(w.words))
+
+
+def marks(w: Words, m: np.ndarray, cold: np.ndarray) -> np.ndarray:
+    """Hashes of the words and pairs that may be parts of a scored phrase at their place, for suffixes of m words up to their last cold one."""
+    before = lambda x, n: np.concatenate([np.zeros(n, bool), x])[: len(x)]
+    both, long = cold & (m > 1) & np.append(cold[1:], False), m > 2
+    word = cold & (both | long | before(both, 1) | before(long, 2))
+    pair = both | (m > 1) & np.where(cold, long, before(long, 1))
+    return np.concatenate([mix(w.word[word] ^ _ALONE), mix(w.pair[pair] ^ _PAIR)])
+
+
 def lengths(good_word: np.ndarray, good_pair: np.ndarray, max_n: int) -> np.ndarray:
     """Words of the suffix at each place: 0 where the word is rare, else up to the first rare pair."""
     n = len(good_word)
@@ -145,18 +205,25 @@ def lengths(good_word: np.ndarray, good_pair: np.ndarray, max_n: int) -> np.ndar
     return np.where(good_word, np.minimum(to_end, max_n), 0)
 
 
-def frequent_phrases(texts: DataFrame, filter_bits: Broadcast, least: int, max_n: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """frequent_slots of the phrases of three words or more whose words and pairs are in frequent slots."""
+def frequent_phrases(texts: DataFrame, filter_bits: Broadcast, least: int, max_n: int, bits: int = SLOT_BITS, hot: Broadcast | None = None) -> np.ndarray:
+    """frequent_slots of the phrases of three words or more whose words and pairs are in frequent slots; in languages with hot words, also of marks."""
 
     def hashes(w: Words) -> np.ndarray:
         m = lengths(is_set(filter_bits.value, w.word, bits), (w.pair != 0) & is_set(filter_bits.value, w.pair, bits), max_n)
-        return np.concatenate([np.empty(0, np.uint64), *(h for _, _, h in w.longer(m, max_n))])
+        own = [np.empty(0, np.uint64)]
+        if hot is not None and w.lang in hot.value and len(m):
+            cold = cold_words(w, hot.value[w.lang])
+            m = up_to_cold(m, cold)
+            own.append(marks(w, m, cold))
+        return np.concatenate([*own, *(h for _, _, h in w.longer(m, max_n))])
 
     return frequent_slots(texts, least, bits, hashes)
 
 
-def suffixes(texts: DataFrame, filter_bits: Broadcast, phrase_bits: Broadcast, max_n: int, bits: int = SLOT_BITS) -> DataFrame:
-    """lang, suffix and n: suffixes counted within each task, and the number of all words of a language where suffix is null."""
+def suffixes(texts: DataFrame, filter_bits: Broadcast, phrase_bits: Broadcast, max_n: int, bits: int = SLOT_BITS, hot: Broadcast | None = None) -> DataFrame:
+    """lang, suffix and n: suffixes counted within each task, and the number of all words of a language where suffix is null.
+
+    With `hot` words of each language, what begins and ends with a hot word is not counted whole."""
     schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +246,13 @@ def suffixes(texts: DataFrame, filter_bits: Broadcast, phrase_bits: Broadcast, m
                 for length, at, h in w.longer(m.copy(), max_n):
                     rare = at[~is_set(phrase_bits.value, h, bits)]
                     m[rare] = np.minimum(m[rare], length - 1)
+                if hot is not None and lang in hot.value:
+                    cold = cold_words(w, hot.value[lang])
+                    m = up_to_cold(m, cold)
+                    for n, hashes, salt in ((2, w.pair, _PAIR), (1, w.word, _ALONE)):
+                        at = np.flatnonzero(m == n)
+                        at = at[~is_set(phrase_bits.value, mix(hashes[at] ^ salt), bits)]
+                        m[at] = cold[at] & (n > 1)
                 own, words = held.setdefault(lang, Counter()), w.words.tolist()
                 before = len(own)
                 at = np.flatnonzero(m)
@@ -259,11 +333,11 @@ def big(x: Column) -> Column:
     return x.cast(T.DecimalType(19, 0))
 
 
-def scored(counted: DataFrame, totals: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, n and score of every counted phrase of two words or more, by the cut that scores lowest."""
+def scored(counted: DataFrame, totals: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """lang, phrase, a, l, r, n and score of every counted (or chosen) phrase of two words or more, by the cut that scores lowest."""
     words = F.split("phrase", "\x00")
     part = lambda at, n: F.array_join(F.slice(words, at, n), "\x00")
-    cuts = counted.where(F.size(words) > 1).select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"))
+    cuts = (counted if chosen is None else chosen).where(F.size(words) > 1).select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"))
     cuts = cuts.select("*", part(1, F.col("k")).alias("left_part"), part(F.col("k") + 1, F.size(words)).alias("right_part"))
     of = lambda name, f: counted.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     met = cuts.join(of("left_part", "l"), ["lang", "left_part"]).join(of("right_part", "r"), ["lang", "right_part"]).join(totals, "lang")
@@ -272,17 +346,28 @@ def scored(counted: DataFrame, totals: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.n", "cut.score")
 
 
-def without_contained(candidates: DataFrame, percent: int = 100) -> DataFrame:
-    """Candidates whose words do not lie in a longer one with at least percent / 100 of their count.
+def between_cold(counted: DataFrame, hot: dict[str, set[bytes]]) -> DataFrame:
+    """The counted phrases of two words or more that neither begin nor end with a hot word."""
+    words = F.split("phrase", "\x00")
+    found = counted.where(F.size(words) > 1)
+    if hot:
+        table = counted.sparkSession.createDataFrame([(lang, word.decode("utf-8", "surrogatepass")) for lang, own in hot.items() for word in own], "lang string, word string")
+        for at in (1, -1):
+            found = found.withColumn("word", F.element_at(words, at)).join(F.broadcast(table), ["lang", "word"], "left_anti").drop("word")
+    return found
+
+
+def without_contained(chosen: DataFrame, counted: DataFrame, percent: int = 100) -> DataFrame:
+    """Chosen phrases whose words do not lie in a longer counted one with at least percent / 100 of their count.
 
-    A candidate one word longer between the two is as frequent as the longest, so those of one word more tell.
+    A phrase one word longer between the two is as frequent as the longest, so those of one word more tell.
     """
     words = F.split("phrase", "\x00")
     n = F.size(words)
     inner = F.explode(F.array(F.array_join(F.slice(words, 1, n - 1), "\x00"), F.array_join(F.slice(words, 2, n - 1), "\x00")))
-    longer = candidates.where(n > 2).select("lang", inner.alias("phrase"), F.col("a").alias("f")).groupBy("lang", "phrase").agg(F.max("f").alias("f"))
-    hidden = candidates.join(longer, ["lang", "phrase"]).where(big(F.col("f")) * 100 >= big(F.col("a")) * percent).select("lang", "phrase")
-    return candidates.join(hidden, ["lang", "phrase"], "left_anti")
+    longer = counted.where(n > 2).select("lang", inner.alias("phrase"), F.col("f").alias("most")).groupBy("lang", "phrase").agg(F.max("most").alias("most"))
+    hidden = chosen.join(longer, ["lang", "phrase"]).where(big(F.col("most")) * 100 >= big(F.col("f")) * percent).select("lang", "phrase")
+    return chosen.join(hidden, ["lang", "phrase"], "left_anti")
 
 
 def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2000, percent: int = 100, slot_bits: int = SLOT_BITS) -> DataFrame:
@@ -292,14 +377,27 @@ def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2
     a, then by the phrase's bytes. A language without candidates, and an empty table, give no rows.
     """
     rows = needs(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    send = rows.sparkSession.sparkContext.broadcast
+    send, above = rows.sparkSession.sparkContext.broadcast, HOT_TIMES * least
+    hot = hot_words(rows, above)
+    sent = send(hot)
     words_and_pairs = send(frequent_slots(rows, least, slot_bits))
-    longer = send(frequent_phrases(rows, words_and_pairs, least, max_n, slot_bits))
-    found = written(suffixes(rows, words_and_pairs, longer, max_n, slot_bits))
-    totals = found.where("suffix is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    counted = written(prefix_counts(found.where("suffix is not null"), least))
-    candidates = written(scored(counted, totals))
-    kept = without_contained(candidates, percent).select("lang", _plain(F.col("phrase")).alias("phrase"), "a", "l", "r", "n", "score")
+    longer = send(frequent_phrases(rows, words_and_pairs, least, max_n, slot_bits, sent))
+
+    def kept_of(texts: DataFrame, longer: Broadcast, hot: dict[str, set[bytes]], sent: Broadcast | None) -> DataFrame:
+        found = written(suffixes(texts, words_and_pairs, longer, max_n, slot_bits, sent))
+        totals = found.where("suffix is null").groupBy("lang").agg(F.sum("n").alias("n"))
+        counted = written(prefix_counts(found.where("suffix is not null"), least))
+        return written(scored(counted, totals, without_contained(between_cold(counted, hot), counted, percent)))
+
+    kept = kept_of(rows, longer, hot, sent)
+    if hot:
+        high = kept.where(F.expr(f"score > cast(1000 * cast(n as decimal(19, 0)) as decimal(38, 0)) div {above + 1}"))
+        again = sorted(set(hot) - {row["lang"] for row in high.groupBy("lang").count().where(F.col("count") >= top).collect()})
+        if again:
+            texts = rows.where(F.col("lang").isin(again))
+            whole = send(frequent_phrases(texts, words_and_pairs, least, max_n, slot_bits))
+            kept = kept.where(~F.col("lang").isin(again)).unionByName(kept_of(texts, whole, {}, None))
+    kept = kept.select("lang", _plain(F.col("phrase")).alias("phrase"), "a", "l", "r", "n", "score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     some = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
     first = some.where(F.col("rank") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)

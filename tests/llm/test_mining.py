@@ -179,6 +179,26 @@ def test_suffixes_end_with_phrases_that_may_be_candidates(spark):
     assert got == {"a b", "b c", "c d e f", "d e f", "e f", "b", "c", "f", "c d", "d"}
 
 
+def test_phrases_of_hot_words_are_left_out_only_below_the_top(spark, monkeypatch):
+    rng = random.Random(9)
+    hot, rows = [f"h{i}" for i in range(8)], []
+    planted = [[f"p{i}", f"q{i}"] for i in range(12)] + [["h0", "a", "b"], ["c", "h1", "d"], ["e", "f", "h2"], ["r", "h3", "h4", "s"]]
+    for lang, own in (("en", planted), ("de", planted[:3])):
+        pieces = [p for p in own for _ in range(10)] + [[rng.choice(["p3", "c h1", "h1 d", "h3"])] for _ in range(30)]
+        for i, p in enumerate(pieces * 2 if lang == "de" else pieces):
+            rows.append((i, " ".join([*rng.choices(hot, k=rng.randrange(12)), *p, *rng.choices(hot, k=rng.randrange(12))]), lang))
+    docs = docs_of(spark, rows).repartition(3)
+    tables, write = [], phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, *args: tables.append(write(df, *args)) or tables[-1])
+    for times, bits, args in ((5, 16, (5, 10, 8, 100)), (5, 4, (4, 10, 8, 60)), (2, 16, (5, 10, 2000, 100))):
+        monkeypatch.setattr(phrases, "HOT_TIMES", times, raising=False)
+        tables.clear()
+        assert sorted(map(tuple, phrases.collocations(docs, *args, slot_bits=bits).collect())) == slow_collocations(rows, *args)
+        if args[2] < 10:
+            sent = [r["suffix"].split("\x00") for r in tables[0].where("lang = 'en' and suffix is not null").collect()]
+            assert sent and not any(set(words) <= set(hot) for words in sent)
+
+
 def test_collocations_of_edge_cases(spark):
     assert phrases.collocations(docs_of(spark, []).limit(0), slot_bits=10).count() == 0
     assert phrases.collocations(docs_of(spark, [(1, None, None), (2, "", "en"), (3, ". , !", "en")]), least=1, slot_bits=10).count() == 0
