@@ -11,8 +11,12 @@
 4. A passage whose seeds point to different leaders is found in a second round, in which every two texts meet that share a seed of
    at most MOST_HOLDERS texts. Of a seed that more hold, every two seeds near each other are a seed of their own, held by fewer texts; where
    that is not so the leader holds both. Pairs whose common seeds all lie in passages that are found already are left out of this round.
+   Of equal texts only the one of the least doc_id takes part in all this; the others share its whole length.
 5. Chains are aligned with both texts: gaps by edit distance, ends as far as words keep agreeing. Aligned passages are
    merged within each document; those long enough are the result.
+
+Steps that shuffle more than a share of the texts' bytes take their rows in parts, one after another, so that the disk that
+they need at a time follows the texts, however many rows the texts have in common.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeledger.llm.shared import discard, needs, written
+from routeledger.llm.shared import discard, in_parts, needs, total, written
 from routeledger.llm.words import WEIGHTS, byte_hashes, chunked, runs, shingles
 
 #: Words of a seed, k-word runs of a window, and the share of runs (one in RATE) that are seeds in any case. Every run of
@@ -45,6 +49,12 @@ KNOWN_CHARS = 4_000_000
 TOGETHER = 64
 #: Matches that are chained as one.
 PIECE = 8
+#: Rows of a step are taken in parts that shuffle about this share of the texts' bytes at a time, or LEAST_ROOM bytes if that is more.
+ROOM, LEAST_ROOM = 0.5, 1 << 26
+#: Bytes that a row takes in the shuffles of a step: of seeds that are counted and joined with their counts, of seeds that are linked, and of links.
+SEED_BYTES, LINK_BYTES = 40, 30
+#: A leader's text goes to the others of its pairs, where it is the shorter one, if it is in at most so many pairs.
+MOST_SENT = 64
 #: At the ends of a chain, words are compared until disagreements outweigh agreements by this much.
 DROP = 6
 
@@ -98,7 +108,8 @@ def firsts(own: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """seed, id and `place` of every different seed of each of the texts (id, text): twice the word where it first begins, and 1 more if it recurs."""
+    """seed, id and `place` of every different seed of each of the texts (id, text): twice the word where it first begins, and 1 more if it recurs.
+    A row without seed has a text's words as its place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,6 +121,7 @@ def seeds(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 first, again = firsts(own, value)
                 own = own[first]
                 yield pd.DataFrame({"seed": value[first].view(np.int64), "id": ids[x:y][own], "place": (places[first] - starts[own]) * 2 + again})
+                yield pd.DataFrame({"seed": pd.array([None] * (y - x), "Int64"), "id": ids[x:y], "place": np.diff(starts)})
 
     return texts.mapInPandas(run, "seed long, id long, place int")
 
@@ -300,8 +312,21 @@ def parted(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.nda
     return out
 
 
+def leaders(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """leader, pairs and lead_size: of each leader of the pairs (id, leader) how many it has, and the bytes of its text."""
+    return pairs.groupBy("leader").agg(F.count("*").alias("pairs")).join(known.select(F.col("id").alias("leader"), F.col("size").alias("lead_size")), "leader")
+
+
+def sent(pairs: DataFrame, known: DataFrame, led: DataFrame) -> DataFrame:
+    """The pairs (id, leader), whether the text of `id` goes to that of `leader` rather than the other way, and the bytes of the text that goes.
+    The shorter one does; a leader of many pairs stays, so that no task sends them all. led: what `leaders` gives."""
+    sized = pairs.join(known.select("id", "size"), "id").join(led, "leader")
+    own_goes = (F.col("size") <= F.col("lead_size")) | (F.col("pairs") > MOST_SENT)
+    return sized.select("id", "leader", own_goes.alias("own_goes"), F.when(own_goes, F.col("size")).otherwise(F.col("lead_size")).alias("bytes"))
+
+
 def shared_spans(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, start, end and other: aligned passages of both texts of each pair (id, leader)."""
+    """id, start, end and other: aligned passages of both texts of each pair (id, leader, own_goes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
@@ -332,8 +357,11 @@ def shared_spans(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     # Texts are too large to be broadcast at any size that matters; one plan for all sizes. Both joins read one shuffle of them.
     of = lambda i, text: texts.select(F.col("id").alias(i), F.col("text").alias(text)).hint("merge")
-    met = pairs.join(of("id", "own_text"), "id").join(of("leader", "lead_text"), "leader")
-    return met.select("id", "leader", "own_text", "lead_text").mapInPandas(run, "id long, start long, end long, other long")
+    either = lambda a, b: F.when(F.col("own_goes"), F.col(a)).otherwise(F.col(b))
+    dealt = pairs.select("id", "leader", "own_goes", either("id", "leader").alias("goes"), either("leader", "id").alias("stays"))
+    met = dealt.join(of("goes", "text_there"), "goes").join(of("stays", "text_here"), "stays")
+    own = met.select("id", "leader", either("text_there", "text_here").alias("own_text"), either("text_here", "text_there").alias("lead_text"))
+    return own.mapInPandas(run, "id long, start long, end long, other long")
 
 
 def merged(spans: list, least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
@@ -368,6 +396,19 @@ def uncovered(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.where(new).select("id", "leader")
 
 
+def described(texts: DataFrame) -> DataFrame:
+    """Of each id of texts (id, text): size, the bytes of its text, and digest, null if its rows hold different texts."""
+    each = texts.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("size"))
+    one = each.groupBy("id").agg(F.min("digest").alias("digest"), F.max("digest").alias("last"), F.max("size").alias("size"))
+    return one.select("id", F.when(F.col("digest") == F.col("last"), F.col("digest")).alias("digest"), "size")
+
+
+def copies(known: DataFrame) -> DataFrame:
+    """id and head: every id whose text a smaller id has too, and the least of these."""
+    heads = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
+    return known.join(heads.hint("shuffle_hash"), "digest").where("id > head").select("id", "head")
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Passages of at least `least` words that other documents repeat, perhaps with some words changed.
 
@@ -375,20 +416,46 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     least doc_id known to share it. Null and empty texts and rows without doc_id have none; repeated rows of one doc_id are
     one document; letter case is ignored.
     """
-    texts = needs(docs, "doc_id", "text").where("doc_id IS NOT NULL").toDF("id", "text")
-    sown = written(seeds(texts), tidy=True)
-    held = written(held_seeds(sown), tidy=True)
+    texts = needs(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").toDF("id", "text")
+    known = written(described(texts), tidy=True)
+    (size,) = total(known, "size")
+    one = F.lit(1)
+    parts = lambda n: max(1, -(-n // max(LEAST_ROOM, int(size * ROOM))))
+    copied = written(copies(known), tidy=True)
+    sown = written(seeds(texts.join(copied.select("id").hint("shuffle_hash"), "id", "left_anti")), tidy=True)
+    held = in_parts(held_seeds, sown.where("seed IS NOT NULL"), parts(total(sown, one)[0] * SEED_BYTES), "seed")
+    words = sown.where("seed IS NULL").groupBy("id").agg(F.max("place").cast("long").alias("end"))
+    whole = written(copied.groupBy(F.col("head").alias("id")).agg(F.min("id").alias("other")).join(words, "id").select("id", F.lit(0).cast("long").alias("start"), "end", "other"), tidy=True)
     discard(sown)
-    near = written(near_seeds(held, MOST_HOLDERS), tidy=True)
-    more = links(held_seeds(near), MOST_HOLDERS).withColumn("first", F.lit(False))
-    linked = written(alike(links(held, MOST_HOLDERS).union(more)), tidy=True)
+    rows, heavy = total(held, one, (F.col("n") > MOST_HOLDERS).cast("long"))
+    linked = in_parts(lambda some: links(some, MOST_HOLDERS), held, parts(rows * LINK_BYTES), "seed")
+    near = in_parts(lambda some: near_seeds(some, MOST_HOLDERS), held, parts((rows + heavy * NEAR) * LINK_BYTES), "id")
     discard(held)
+    more = in_parts(lambda some: links(held_seeds(some), MOST_HOLDERS).withColumn("first", F.lit(False)), near, parts(total(near, one)[0] * (SEED_BYTES + LINK_BYTES)), "seed")
     discard(near)
-    found = written(shared_spans(linked.where("first").select("id", "leader"), texts), tidy=True)
-    rest = uncovered(linked.where("NOT first"), passages_of(found, least))
-    again = written(shared_spans(rest, texts), tidy=True)
-    by_doc = passages_of(found.union(again), least).select(F.col("id").alias("doc_id"), "own")
-    return by_doc.select("doc_id", F.posexplode("own").alias("passage", "x")).select("doc_id", "passage", "x.start", "x.end", "x.other")
+    every = linked.union(more)
+    met = in_parts(alike, every, parts(total(every, one)[0] * LINK_BYTES), "id", "leader")
+    discard(linked)
+    discard(more)
+
+    def spans(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, tidy=True)
+        led = written(leaders(pairs, known), tidy=True)
+        dealt = written(sent(pairs, known, led), tidy=True)
+        discard(pairs)
+        discard(led)
+        # Each part shuffles all texts besides those that go.
+        found = in_parts(lambda some: shared_spans(some, texts), dealt, max(1, -(-total(dealt, "bytes")[0] // max(LEAST_ROOM, size))), "id", "leader")
+        discard(dealt)
+        return found
+
+    found = spans(met.where("first").select("id", "leader"))
+    again = spans(uncovered(met.where("NOT first"), passages_of(found.union(whole), least)))
+    own = written(passages_of(found.union(whole).union(again), least).select("id", F.posexplode("own").alias("passage", "x")).select("id", "passage", "x.start", "x.end", "x.other"), tidy=True)
+    for table in (known, whole, met, found, again):
+        discard(table)
+    of_copies = copied.join(own.withColumnRenamed("id", "head"), "head").select("id", "passage", "start", "end", F.least("other", "head").alias("other"))
+    return own.union(of_copies).withColumnRenamed("id", "doc_id")
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:

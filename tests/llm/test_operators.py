@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeledger.llm import chat, decontaminate, lines, minhash, packing, passages, pii, search, toxicity, urls
+from routeledger.llm import shared as scratch
 from routeledger.llm import words as text_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -227,6 +228,60 @@ def test_passages_leave_no_shuffle_files(spark):
     assert found.count() == 40
 
 
+def test_passages_of_equal_texts(spark, monkeypatch):
+    rng = random.Random(13)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    texts = []
+    for _ in range(15):
+        shared = some(60)
+        texts += [some(50) + shared + some(20), some(30) + shared + some(70)]
+    texts += [some(200), some(30)]
+    rows = collections.Counter()
+
+    def noted(df, tidy=False, of=passages.written):
+        table = of(df, tidy)
+        rows[copies] += table.count() if {"seed", "leader"} & set(df.columns) else 0
+        return table
+
+    for module in (passages, scratch):
+        monkeypatch.setattr(module, "written", lambda df, tidy=False: noted(df, tidy))
+    for copies in (1, 12):
+        docs = docs_of(spark, [(i + 100 * j, " ".join(t)) for i, t in enumerate(texts) for j in range(copies)])
+        got = sorted(r[:] for r in passages.repeated_passages(docs).select("doc_id", "passage", "start", "end", "other").collect())
+        if copies == 1:
+            assert got == [(i, 0, *((30, 90, i - 1) if i % 2 else (50, 110, i + 1))) for i in range(30)]
+    # A copy shares its whole text with the first, and that with the next one or with the text that has a passage of it.
+    first = lambda i: i - 1 if i % 2 and i < 30 else i
+    want = [(i + 100 * j, 0, 0, len(t), first(i) if j or first(i) < i else i + 1 if i < 30 else i + 100) for i, t in enumerate(texts[:31]) for j in range(12)]
+    assert got == sorted(want)
+    assert rows[12] <= 1.05 * rows[1]  # what is counted, linked and compared follows the different texts
+
+
+def test_passages_in_parts(spark, monkeypatch):
+    rng = random.Random(17)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    often, texts = some(50), []
+    for i in range(40):
+        passage = some(60)
+        texts += [some(20 + i) + passage + some(30) + (often if i % 2 else []), some(10) + passage + some(15)]
+    texts += [texts[0], texts[3], ["x"] * 60]
+    docs = docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]).union(docs_of(spark, [(7, " ".join(texts[7])), (8, " ".join(texts[3]))]))
+    once = sorted(r[:] for r in passages.repeated_passages(docs).collect())
+    made = []
+    monkeypatch.setattr(passages, "in_parts", lambda make, df, n, *keys, of=passages.in_parts: (made.append(n), of(make, df, n, *keys))[1])
+    monkeypatch.setattr(passages, "LEAST_ROOM", 1)
+    monkeypatch.setattr(passages, "MOST_SENT", 2)
+    assert sorted(r[:] for r in passages.repeated_passages(docs).collect()) == once and len(once) >= 80
+    assert len(made) == 7 and min(made[:5]) > 1  # no step shuffles all of its rows at a time
+
+
+def test_passages_send_the_shorter_text(spark):
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, passages.MOST_SENT + 2)] + [(1, 900), (2, 901), (3, 901)], "id long, leader long")
+    known = spark.createDataFrame([(0, 5), *((i, 10 * i) for i in range(1, 100)), (900, 7), (901, 25)], "id long, size long")
+    got = {(r["id"], r["leader"]): (r["own_goes"], r["bytes"]) for r in passages.sent(pairs, known, passages.leaders(pairs, known)).collect()}
+    assert got == {(i, 0): (True, 10 * i) for i in range(1, passages.MOST_SENT + 2)} | {(1, 900): (False, 7), (2, 901): (True, 20), (3, 901): (False, 25)}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
