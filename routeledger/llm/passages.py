@@ -403,10 +403,14 @@ def described(texts: DataFrame) -> DataFrame:
     return one.select("id", F.when(F.col("digest") == F.col("last"), F.col("digest")).alias("digest"), "size")
 
 
-def copies(known: DataFrame) -> DataFrame:
-    """id and head: every id whose text a smaller id has too, and the least of these."""
-    heads = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
-    return known.join(heads.hint("shuffle_hash"), "digest").where("id > head").select("id", "head")
+def heads(known: DataFrame) -> DataFrame:
+    """digest and head: of every text that several ids have the least of these."""
+    return known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
+
+
+def copies(known: DataFrame, first: DataFrame) -> DataFrame:
+    """id and head: every id whose text a smaller id has too, and the least of these. first: what `heads` gives."""
+    return known.join(first, "digest").where("id > head").select("id", "head")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -421,7 +425,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     (size,) = total(known, "size")
     one = F.lit(1)
     parts = lambda n: max(1, -(-n // max(LEAST_ROOM, int(size * ROOM))))
-    copied = written(copies(known), tidy=True)
+    first = written(heads(known), tidy=True)
+    copied = written(copies(known, first), tidy=True)
+    discard(first)
     sown = written(seeds(texts.join(copied.select("id").hint("shuffle_hash"), "id", "left_anti")), tidy=True)
     held = in_parts(held_seeds, sown.where("seed IS NOT NULL"), parts(total(sown, one)[0] * SEED_BYTES), "seed")
     words = sown.where("seed IS NULL").groupBy("id").agg(F.max("place").cast("long").alias("end"))
